@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup
+from . import linededup, minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,5 +32,9 @@ FROM lines l LEFT JOIN shared s ON l.k = s.k
 GROUP BY l.r, l.doc_id
 """
 
-QUERIES = {"op4_line_dedup": op4_line_dedup}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 ORACLE = {"op4_line_dedup": OP4_SQL}
