@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, minhash
+from . import linededup, minhash, pow2pack, simple8b
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,5 +36,23 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+def tokenizer_file(name: str) -> str:
+    """Where the installed tokenizer files are, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = simple8b.write_ids(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), blanks=False, end_id=1)
+    return simple8b.read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pow2pack.pieces(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), blanks=True, end_id=0)
+    found = pow2pack.number_sequences(found.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op8_simple8b_ids": op8_simple8b_ids, "op9_pow2_packing": op9_pow2_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 ORACLE = {"op4_line_dedup": OP4_SQL}
