@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, minhash, pow2pack, simple8b, superkmer
+from . import langid, linededup, minhash, pow2pack, simple8b, superkmer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.dedup_windows(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
+    return langid.predict(docs, langid.profiles(docs.where("NOT held_out")), keep=("doc_id", "held_out"))
+
+
 def tokenizer_file(name: str) -> str:
     """Where the installed tokenizer files are, the same on every machine."""
     import public_tokenizers
@@ -58,5 +63,5 @@ def op9_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op6_superkmer_dedup": op6_superkmer_dedup, "op8_simple8b_ids": op8_simple8b_ids, "op9_pow2_packing": op9_pow2_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op6_superkmer_dedup": op6_superkmer_dedup, "op7_language_id": op7_language_id, "op8_simple8b_ids": op8_simple8b_ids, "op9_pow2_packing": op9_pow2_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 ORACLE = {"op4_line_dedup": OP4_SQL}
