@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, minhash, pow2pack, simple8b, superkmer
+from . import imatch, langid, linededup, minhash, pow2pack, simple8b, superkmer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    slots = imatch.lexicon(docs).scalar()
+    rows = imatch.fingerprinted(docs, slots, "text", "prints").withColumn("tie", F.xxhash64("text"))
+    rows = imatch.with_next(rows, ["text", "prints"], tie_col="tie").withColumn("n_chars", F.length("text").cast("long"))
+    half = F.expr("cast(n_chars div 2 as int)")
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
+    rows = imatch.fingerprinted(rows.withColumn("edited", edited), slots, "edited", "edited_prints")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        imatch.printed(F.col("prints")).alias("fingerprint"),
+        imatch.printed(F.col("edited_prints")).alias("edited_fingerprint"),
+        imatch.likeness(F.col("prints"), F.col("edited_prints")).alias("near_edited"),
+        imatch.likeness(F.col("prints"), F.col("next_prints")).alias("near_next"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
@@ -63,5 +82,5 @@ def op9_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op6_superkmer_dedup": op6_superkmer_dedup, "op7_language_id": op7_language_id, "op8_simple8b_ids": op8_simple8b_ids, "op9_pow2_packing": op9_pow2_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+QUERIES = {"op2_imatch_fingerprints": op2_imatch_fingerprints, "op4_line_dedup": op4_line_dedup, "op6_superkmer_dedup": op6_superkmer_dedup, "op7_language_id": op7_language_id, "op8_simple8b_ids": op8_simple8b_ids, "op9_pow2_packing": op9_pow2_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 ORACLE = {"op4_line_dedup": OP4_SQL}
