@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, langid, linededup, minhash, pow2pack, simple8b, superkmer
+from . import imatch, langid, linededup, minhash, pow2pack, simple8b, superkmer, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,22 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archive(warc.write_archive(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", F.length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+q AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS owner FROM q)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes < 100 OR page_id = owner THEN NULL ELSE owner END AS refers_to
+FROM r
+"""
+
+
 def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.dedup_windows(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -82,5 +98,5 @@ def op9_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op2_imatch_fingerprints": op2_imatch_fingerprints, "op4_line_dedup": op4_line_dedup, "op6_superkmer_dedup": op6_superkmer_dedup, "op7_language_id": op7_language_id, "op8_simple8b_ids": op8_simple8b_ids, "op9_pow2_packing": op9_pow2_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
-ORACLE = {"op4_line_dedup": OP4_SQL}
+QUERIES = {"op2_imatch_fingerprints": op2_imatch_fingerprints, "op4_line_dedup": op4_line_dedup, "op5_warc_archive": op5_warc_archive, "op6_superkmer_dedup": op6_superkmer_dedup, "op7_language_id": op7_language_id, "op8_simple8b_ids": op8_simple8b_ids, "op9_pow2_packing": op9_pow2_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+ORACLE = {"op4_line_dedup": OP4_SQL, "op5_warc_archive": OP5_SQL}
