@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, langid, linededup, minhash, pow2pack, simple8b, superkmer, warc
+from . import bitslice, imatch, langid, linededup, minhash, pow2pack, simple8b, superkmer, warc
+from .store import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,22 @@ def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bitslice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(bitslice.quantised(_table(spark, sf_dir, "embeddings"), 256, "vec_id", "embedding"), "vectors")
+    index = written(bitslice.build_index(rows), "slices")
+    return bitslice.top_k(index, rows.where("id % 50 = 0"), 5).select(F.col("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
@@ -98,5 +115,5 @@ def op9_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op2_imatch_fingerprints": op2_imatch_fingerprints, "op4_line_dedup": op4_line_dedup, "op5_warc_archive": op5_warc_archive, "op6_superkmer_dedup": op6_superkmer_dedup, "op7_language_id": op7_language_id, "op8_simple8b_ids": op8_simple8b_ids, "op9_pow2_packing": op9_pow2_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
-ORACLE = {"op4_line_dedup": OP4_SQL, "op5_warc_archive": OP5_SQL}
+QUERIES = {"op2_imatch_fingerprints": op2_imatch_fingerprints, "op3_bitslice_topk": op3_bitslice_topk, "op4_line_dedup": op4_line_dedup, "op5_warc_archive": op5_warc_archive, "op6_superkmer_dedup": op6_superkmer_dedup, "op7_language_id": op7_language_id, "op8_simple8b_ids": op8_simple8b_ids, "op9_pow2_packing": op9_pow2_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+ORACLE = {"op3_bitslice_topk": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_warc_archive": OP5_SQL}
