@@ -12,6 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
+
+#: A digest's occurrences meet its owner in so many groups.
+SALTS = 16
 #: Characters stripped at both ends of a line.
 BLANKS = " \t\n\x0b\f\r"
 
@@ -20,18 +24,27 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    """The line without blanks at both ends, A-Z in lower case."""
-    stripped = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.translate(stripped, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def stripped(line: Column) -> Column:
+    return F.trim(line, F.lit(BLANKS))
+
+
+def folded(line: Column) -> Column:
+    """Equal for two lines exactly if they are equal but for the case of A-Z; only to be hashed.
+
+    ASCII lines are lower-cased as they are. Of other lines the UTF-8 bytes are lower-cased as Latin-1 characters: that
+    shifts some lead bytes besides A-Z, but a shifted lead byte is followed by fewer continuation bytes than an
+    unshifted one of that value, so different lines stay different.
+    """
+    as_bytes = F.decode(F.encode(line, "UTF-8"), "ISO-8859-1")
+    return F.lower(F.when(F.octet_length(line) == F.length(line), line).otherwise(as_bytes))
 
 
 def line_occurrences(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, sig, pos, h): every line whose key has at least ``min_chars`` code points; sig tells texts of one id apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("sig"), F.posexplode(_lines(text)).alias("pos", "line"))
-    keyed = lines.where(F.length("line") >= min_chars).withColumn("key", line_key(F.col("line")))
-    return keyed.where(F.length("key") >= min_chars).select("doc", "sig", "pos", F.unhex(F.md5("key")).alias("h"))
+    keyed = lines.where(F.length("line") >= min_chars).withColumn("line", stripped(F.col("line")))
+    return keyed.where(F.length("line") >= min_chars).select("doc", "sig", "pos", F.unhex(F.md5(folded(F.col("line")))).alias("h"))
 
 
 def repeated_lines(occurrences: DataFrame, min_docs: int, partitions: int | None = None) -> DataFrame:
@@ -45,9 +58,10 @@ def repeated_lines(occurrences: DataFrame, min_docs: int, partitions: int | None
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, sig, bits): per document the compressed bitmap ``array<struct<w, b>>`` of the lines it loses, w ascending."""
-    found = line_occurrences(docs, min_chars, id_col, text_col)
-    repeated = repeated_lines(found, min_docs)
-    lost = found.join(repeated, "h").where(~F.col("doc").eqNullSafe(F.col("owner")))
+    found = written(line_occurrences(docs, min_chars, id_col, text_col), "lines")
+    repeated = repeated_lines(found, min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    lost = salted.join(repeated, ["h", "salt"]).where(~F.col("doc").eqNullSafe(F.col("owner")))
     words = lost.groupBy("doc", "sig", F.expr("pos div 64").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("b"))
     return words.groupBy("doc", "sig").agg(F.array_sort(F.collect_list(F.struct("w", "b"))).alias("bits"))
 
