@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, imatch, langid, linededup, minhash, pow2pack, simple8b, superkmer, warc
+from . import bitslice, imatch, langid, linededup, minhash, mixing, pow2pack, simple8b, superkmer, warc
 from .store import written
 
 
@@ -13,6 +13,69 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Sources by domain, five to each; the weights of domains, of languages everywhere, and of the first source of a domain.
+DOMAINS = {"web": 5, "books": 3, "forums": 2, "manuals": 2}
+LANGUAGES = {"en": 6, "fr": 2, "de": 2, "es": 1}
+FIRST_SOURCE = 2
+_SOURCES = {d: [f"src{5 * i + k}" for k in range(5)] for i, d in enumerate(DOMAINS)}
+MIX = {d: (w, {x: (v, {s: (1 if k else FIRST_SOURCE, None) for k, s in enumerate(_SOURCES[d])}) for x, v in LANGUAGES.items()}) for d, w in DOMAINS.items()}
+_DOMAIN_SQL = "CASE " + " ".join(f"WHEN source IN ({', '.join(map(repr, s))}) THEN '{d}'" for d, s in _SOURCES.items()) + " END"
+
+
+def mix_levels() -> tuple[Column, Column, Column]:
+    """Domain, language and source of a document."""
+    return F.expr(_DOMAIN_SQL), F.col("lang"), F.col("source")
+
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    taken = mixing.mix(docs, MIX, mix_levels(), share=0.6, epochs=4, seed=7)
+    return taken.select("doc_id", "domain", "lang", "source", "tokens", "full_epochs", "last_tokens")
+
+
+def _filled(level: str, parent: str, above: str) -> str:
+    """Water-filling of every parent's budget ``b`` over its children's caps ``c`` and weights ``w``, in integers."""
+    return f"""
+{level}_o AS (
+  SELECT n.*, a.b, sum(n.c) OVER f - n.c AS done, sum(n.w) OVER p - (sum(n.w) OVER f - n.w) AS open
+  FROM {level}_n n JOIN {above} a USING ({parent})
+  WINDOW p AS (PARTITION BY {parent}), f AS (PARTITION BY {parent} ORDER BY n.c / n.w, n.name ROWS UNBOUNDED PRECEDING)),
+{level}_s AS (SELECT *, c * open <= (b - done) * w AS sat FROM {level}_o),
+{level}_t AS (
+  SELECT *, sum(CASE WHEN sat THEN c ELSE 0 END) OVER p AS used, sum(CASE WHEN sat THEN 0 ELSE w END) OVER p AS rest_w
+  FROM {level}_s WINDOW p AS (PARTITION BY {parent}))"""
+
+
+_SPEC = ", ".join(f"('{d}', {DOMAINS[d]}, '{x}', {v}, '{s}', {1 if k else FIRST_SOURCE})" for d in DOMAINS for x, v in LANGUAGES.items() for k, s in enumerate(_SOURCES[d]))
+_SHARE = "CAST(CASE WHEN sat THEN c ELSE ((b - used) * w) // rest_w END AS BIGINT)"
+OP1_SQL = f"""
+WITH spec(domain, dw, lang, lw, source, sw) AS (VALUES {_SPEC}),
+docs AS (SELECT d.doc_id, s.domain, d.lang, d.source, CAST(len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens
+         FROM documents d JOIN spec s ON d.lang = s.lang AND d.source = s.source),
+have AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS n FROM docs GROUP BY ALL),
+caps AS (SELECT s.*, 4 * coalesce(h.n, 0) AS c FROM spec s LEFT JOIN have h USING (domain, lang, source)),
+top AS (SELECT 0 AS one, CAST(sum(n) AS BIGINT) * 600000 // 1000000 AS b FROM have),
+d_n AS (SELECT 0 AS one, domain AS name, dw AS w, CAST(sum(c) AS BIGINT) AS c FROM caps GROUP BY domain, dw),
+{_filled("d", "one", "top")},
+d_b AS (SELECT name AS domain, {_SHARE} AS b FROM d_t),
+l_n AS (SELECT domain, lang AS name, lw AS w, CAST(sum(c) AS BIGINT) AS c FROM caps GROUP BY domain, lang, lw),
+{_filled("l", "domain", "d_b")},
+l_b AS (SELECT domain, name AS lang, {_SHARE} AS b FROM l_t),
+s_n AS (SELECT domain, lang, source AS name, sw AS w, c FROM caps),
+{_filled("s", "domain, lang", "l_b")},
+plan AS (SELECT t.domain, t.lang, t.name AS source, {_SHARE} AS b FROM s_t t),
+leaf AS (SELECT p.domain, p.lang, p.source, CASE WHEN h.n > 0 THEN p.b // h.n ELSE 0 END AS full_epochs, CASE WHEN h.n > 0 THEN p.b % h.n ELSE 0 END AS rest
+         FROM plan p JOIN have h USING (domain, lang, source)),
+placed AS (
+  SELECT d.*, l.full_epochs, l.rest,
+         sum(d.tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5('7|' || l.full_epochs || '|' || d.doc_id), d.doc_id ROWS UNBOUNDED PRECEDING) - d.tokens AS before
+  FROM docs d JOIN leaf l USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, tokens, CAST(full_epochs AS BIGINT) AS full_epochs, CAST(greatest(0, least(tokens, rest - before)) AS BIGINT) AS last_tokens
+FROM placed WHERE full_epochs > 0 OR greatest(0, least(tokens, rest - before)) > 0
+"""
+
+
 def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     slots = imatch.lexicon(docs).scalar()
@@ -115,5 +178,5 @@ def op9_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op2_imatch_fingerprints": op2_imatch_fingerprints, "op3_bitslice_topk": op3_bitslice_topk, "op4_line_dedup": op4_line_dedup, "op5_warc_archive": op5_warc_archive, "op6_superkmer_dedup": op6_superkmer_dedup, "op7_language_id": op7_language_id, "op8_simple8b_ids": op8_simple8b_ids, "op9_pow2_packing": op9_pow2_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
-ORACLE = {"op3_bitslice_topk": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_warc_archive": OP5_SQL}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_imatch_fingerprints": op2_imatch_fingerprints, "op3_bitslice_topk": op3_bitslice_topk, "op4_line_dedup": op4_line_dedup, "op5_warc_archive": op5_warc_archive, "op6_superkmer_dedup": op6_superkmer_dedup, "op7_language_id": op7_language_id, "op8_simple8b_ids": op8_simple8b_ids, "op9_pow2_packing": op9_pow2_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+ORACLE = {"op1_mix_sources": OP1_SQL, "op3_bitslice_topk": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_warc_archive": OP5_SQL}
