@@ -77,7 +77,7 @@ edges AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(weight)
 BEST = "bt AS (SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, term) AS k FROM cnt) WHERE k <= {0})"
 GRAMS = f"""{TOK}, nx AS (SELECT doc_id, term AS t1, lower(term) IN ({STOP}) AS s1, lead(term) OVER w AS n2, lead(term, 2) OVER w AS n3, lag(term) OVER w AS p FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 ns AS (SELECT doc_id, t1, CASE WHEN lower(n2) NOT IN ({STOP}) THEN n2 END AS t2, CASE WHEN lower(n2) NOT IN ({STOP}) AND lower(n3) NOT IN ({STOP}) THEN n3 END AS t3, p IS NULL OR lower(p) IN ({STOP}) AS first FROM nx WHERE NOT s1)"""
-PLACES = "pa AS (SELECT doc_id, term, text, string_split(text, term) AS p FROM documents JOIN bt USING (doc_id)), pl AS (SELECT *, list_sum(list_transform(list_slice(p, 1, k), lambda x: length(x))) + (k - 1) * length(term) + 1 AS st FROM (SELECT *, unnest(range(1, len(p))) AS k FROM pa))"
+PLACES = "pa AS (SELECT doc_id, term, text, string_split(text, term) AS p FROM documents JOIN bt USING (doc_id)), pl AS (SELECT *, CAST(st0 AS BIGINT) AS st FROM (SELECT *, list_sum(list_transform(list_slice(p, 1, k), lambda x: length(x))) + (k - 1) * length(term) + 1 AS st0 FROM (SELECT *, unnest(range(1, len(p))) AS k FROM pa)))"
 HEAD = f"""{CNT}, hw AS (SELECT term AS headword, lower(term) AS key, ['x-' || term, term || '-' || lang] AS synonyms, lang || ' word' AS definition, CASE WHEN lang <> 'en' THEN lang END AS category, source, doc_id AS ord FROM cnt JOIN documents USING (doc_id) WHERE frequency >= 3)"""
 
 
