@@ -55,13 +55,14 @@ def from_term(term: Column, frequency: Column) -> Column:
 
 def chunk_perplexity(reply: Column) -> Column:
     """From a reply with a score: 105 less it, at least 5; 50 for none."""
-    return F.coalesce(F.greatest(F.lit(5.0), 105 - text.first_integer(reply)), F.lit(50.0))
+    score = text.first_integer(reply)
+    return F.when(score.isNotNull(), F.greatest(F.lit(5.0), 105 - score)).otherwise(F.lit(50.0))
 
 
 def token_probability(partial: Column, context: Column, similarity: Column) -> Column:
     """Weighted 0.4, 0.4, 0.2 in this order; the method that is missing shifts the later ones up, and weights aren't scaled."""
     value = F.when(context.isNotNull(), 0.4 * partial + 0.4 * context + 0.2 * similarity).otherwise(0.4 * partial + 0.4 * similarity)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
+    return F.when(value.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
 
 
 def generation_probability(term: Column, partial: Column, generality: Column) -> Column:
@@ -76,7 +77,8 @@ def split_points(term: Column) -> Column:
 
 
 def weighted(consistency: Column, comprehension: Column, naturalness: Column) -> Column:
-    return F.coalesce(F.least(F.lit(100.0), F.greatest(F.lit(5.0), 0.4 * consistency + 0.3 * comprehension + 0.3 * naturalness)), F.lit(80.0))
+    value = 0.4 * consistency + 0.3 * comprehension + 0.3 * naturalness
+    return F.when(value.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(5.0), value))).otherwise(F.lit(80.0))
 
 
 def consistency(term: Column, definitions: Column) -> Column:
@@ -100,7 +102,7 @@ def naturalness(scores: Column) -> Column:
 
 
 def mask_perplexity(p: Column) -> Column:
-    return F.least(F.lit(100.0), F.greatest(F.lit(5.0), -F.log(p) * 10))
+    return F.when(p > 0, F.least(F.lit(100.0), F.greatest(F.lit(5.0), -F.log(p) * 10)))
 
 
 def generality(reply: Column) -> Column:
