@@ -3,13 +3,17 @@ and a join on the digest puts the original records together again.
 
 A page gives one record. Of records with equal payloads of at least ``least`` bytes the one with the smallest page id is
 a response, the others revisit it; smaller payloads are responses every time, and are stored once all the same.
-Both tables are Parquet in the shared folder; their rows are deterministic, so a lost executor's files are made again.
+Payloads are compressed one by one, as records of an archive are, before they are dealt out by digest. Both tables are
+Parquet in the shared folder; their rows are deterministic, so a lost executor's files are made again.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +25,7 @@ CRLF = "\r\n"
 
 @dataclass(frozen=True)
 class Archive:
-    """``headers(page_id, digest, header)`` and ``payloads(digest, payload)``."""
+    """``headers(page_id, digest, header)`` and ``payloads(digest, stored)``, the latter compressed."""
 
     headers: DataFrame
     payloads: DataFrame
@@ -44,9 +48,33 @@ def _header(kind: Column) -> Column:
     return F.concat(F.array_join(F.array_compact(F.array(*lines)), CRLF), F.lit(CRLF + CRLF))
 
 
-def _hashed(pages: DataFrame) -> DataFrame:
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    return pages.withColumn("payload", payload).withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.length("payload").cast("long"))
+def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            raw = [x.as_py() for x in part.column(0)]
+            digests = pa.array([hashlib.sha256(x).hexdigest() for x in raw])
+            yield pa.RecordBatch.from_arrays([digests, pa.array([packer.compress(x) for x in raw], pa.binary())], names=["digest", "stored"])
+
+
+def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(header, payload); a payload that is missing or not what its digest says ends the job."""
+    import zstandard
+
+    unpacker = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            payloads = []
+            for digest, stored in zip(part.column(1).to_pylist(), part.column(2)):
+                payload = unpacker.decompress(stored.as_py()) if stored.is_valid else None
+                if payload is None or hashlib.sha256(payload).hexdigest() != digest:
+                    raise ValueError(f"payload does not match digest {digest}")
+                payloads.append(payload)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(payloads, pa.binary())], names=["header", "payload"])
 
 
 def write_archive(pages: DataFrame, least: int = 100) -> Archive:
@@ -55,8 +83,8 @@ def write_archive(pages: DataFrame, least: int = 100) -> Archive:
     Null html is an empty payload, a null url an empty one. Rows that repeat a page id and a payload are alike. A null
     page id sorts last: it is a response only where no other page has the payload, and nothing refers to it.
     """
-    hashed = _hashed(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
-    facts = hashed.select("page_id", "url", "digest", "n_bytes")
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    facts = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha2(payload, 256).alias("digest"), F.length(payload).cast("long").alias("n_bytes"))
     owners = facts.groupBy("digest").agg(F.min("page_id").alias("owner"))
     # a digest that very many pages share meets its owner in several groups
     owners_at = owners.select("digest", "owner", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
@@ -64,11 +92,8 @@ def write_archive(pages: DataFrame, least: int = 100) -> Archive:
     first = (F.col("n_bytes") < least) | F.col("owner").isNull() | F.coalesce(F.col("page_id") == F.col("owner"), F.lit(False))
     kind = F.when(first, F.lit("response")).otherwise(F.lit("revisit"))
     headers = written(owned.select("page_id", "digest", _header(kind).alias("header")), "headers")
-    bodies = hashed.select("page_id", "digest", "payload")
-    one = bodies.join(owners, (bodies["digest"] == owners["digest"]) & bodies["page_id"].eqNullSafe(owners["owner"]), "left_semi")
-    # the owner may come in several equal rows
-    one = one.groupBy("page_id", "digest").agg(F.first("payload").alias("payload")).select("digest", "payload")
-    return Archive(headers, written(one, "payloads"))
+    stored = pages.select(payload.alias("payload")).mapInArrow(_compress, "digest string, stored binary")
+    return Archive(headers, written(stored.groupBy("digest").agg(F.first("stored").alias("stored")), "payloads"))
 
 
 def read_archive(archive: Archive) -> DataFrame:
@@ -79,8 +104,8 @@ def read_archive(archive: Archive) -> DataFrame:
     """
     # a digest that very many headers share lies on the left side only, where adaptive execution may split it
     rows = archive.headers.join(archive.payloads, "digest", "left")
-    sound = F.coalesce(F.sha2("payload", 256) == F.regexp_extract("header", r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1), F.lit(False))
-    rows = rows.withColumn("payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not match digest "), F.col("digest"))).cast("binary")))
+    rows = rows.withColumn("named", F.regexp_extract("header", r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1))
+    rows = rows.select("header", "named", "stored").mapInArrow(_restore, "header string, payload binary")
 
     def named(name: str, value: str) -> Column:
         found = F.regexp_extract("header", rf"\r\n{name}: {value}\r\n", 1)
