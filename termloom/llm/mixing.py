@@ -70,7 +70,7 @@ def mix(docs: DataFrame, tree: Tree, levels: tuple[Column, Column, Column], shar
     The budget is ``share`` of the tokens of all leaves, rounded down. A document is in every full epoch, and gives
     ``last_tokens`` of its first tokens to the last one: all of them but for the document at which the prefix ends.
     Documents outside the tree (null labels included) and documents taken for no token are left out; rows that repeat an
-    id are documents of their own. ``docs`` may not have columns of the added names.
+    id are documents of their own. Columns of ``docs`` that have one of the added names give way to it.
     """
     spark = docs.sparkSession
     named = docs.withColumns(dict(zip(LEVELS, levels))).withColumn("tokens", n_tokens(F.col(text_col)))
@@ -83,6 +83,7 @@ def mix(docs: DataFrame, tree: Tree, levels: tuple[Column, Column, Column], shar
     parts = [(*path, *divmod(given.get(path, 0), have[path])) for path in paths if have.get(path)]
     plan = spark.createDataFrame(parts, "domain string, language string, origin string, full_epochs long, rest long")
     key = F.concat_ws("|", F.lit(str(seed)), F.col("full_epochs").cast("string"), F.col(id_col).cast("string"))
+    named = named.drop("full_epochs", "rest", "last_tokens")
     rows = named.join(F.broadcast(plan), list(LEVELS)).withColumn("__h", F.md5(key)).withColumn("__b", F.substring("__h", 1, DIGITS))
     sums = rows.groupBy(*LEVELS, "rest", "__b").agg(F.sum("tokens").alias("n"))
     upto = sums.withColumn("before", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("__b")) - F.col("n"))
@@ -94,4 +95,5 @@ def mix(docs: DataFrame, tree: Tree, levels: tuple[Column, Column, Column], shar
     edge = rows.where("__b = __end").withColumn("__before", F.col("__base") + F.sum("tokens").over(w) - F.col("tokens"))
     edge = edge.withColumn("last_tokens", F.greatest(F.lit(0).cast("long"), F.least("tokens", F.col("rest") - F.col("__before")))).drop("__before")
     both = clear.unionByName(edge).where("full_epochs > 0 OR last_tokens > 0")
-    return both.select(*docs.columns, *LEVELS, "tokens", "full_epochs", "last_tokens")
+    added = (*LEVELS, "tokens", "full_epochs", "last_tokens")
+    return both.select(*[c for c in docs.columns if c not in added], *added)
