@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..operators import candidates, chunkers, contexts, dictionary, graph, perplexity, rank, stats, vectors
 from ..sources.provider import Provider, embed
+from ..sources.shared import cut
 
 
 def window_tfidf(docs: DataFrame, config: EngineConfig, size: int = 100) -> DataFrame:
@@ -41,7 +42,7 @@ def statistical_terms(docs: DataFrame, config: EngineConfig | None = None, most:
 def graph_terms(docs: DataFrame, provider: Provider, config: EngineConfig | None = None, most: int = 300) -> DataFrame:
     """Entry A with a graph: base scores spread over similar terms of the document, weighed by co-occurrence."""
     nodes = rank.top_per(scored_terms(docs, config).withColumn("base_score", F.col("score")), most, "doc_id")
-    nodes = nodes.withColumn("id", F.xxhash64("doc_id", "term")).checkpoint()
+    nodes = cut(nodes.withColumn("id", F.xxhash64("doc_id", "term")))
     near = vectors.knn(embed(nodes.select("doc_id", "id", "term"), provider), id_col="id", within="doc_id")
     edges = graph.undirected(near)
     sentence = docs.select("doc_id", F.posexplode(F.split("text", r"[.!?\n。！？]+")).alias("sentence", "s"))

@@ -132,7 +132,7 @@ ORACLE = {
     "token_ngrams": f"WITH {GRAMS} SELECT doc_id, term, count(*) AS frequency FROM (SELECT doc_id, t1 AS term FROM ns UNION ALL SELECT doc_id, t1 || ' ' || t2 FROM ns WHERE t2 IS NOT NULL UNION ALL SELECT doc_id, t1 || ' ' || t2 || ' ' || t3 FROM ns WHERE t3 IS NOT NULL) WHERE length(term) BETWEEN 2 AND 60 GROUP BY ALL",
     "compound_prefixes": f"WITH {GRAMS} SELECT doc_id, term, count(*) AS frequency FROM (SELECT doc_id, t1 || ' ' || t2 AS term FROM ns WHERE first AND t2 IS NOT NULL UNION ALL SELECT doc_id, t1 || ' ' || t2 || ' ' || t3 FROM ns WHERE first AND t3 IS NOT NULL) WHERE length(term) BETWEEN 3 AND 60 GROUP BY ALL",
     "kwic": f"WITH {CNT}, {BEST.format(3)}, {PLACES}, e AS (SELECT *, greatest(st - 50, 1) AS s, least(st + length(term) - 1 + 50, length(text)) AS e FROM pl WHERE k <= 3) SELECT doc_id, term, CAST(k - 1 AS INTEGER) AS ord, CASE WHEN s > 1 THEN '...' ELSE '' END || substr(text, s, e - s + 1) || CASE WHEN e < length(text) THEN '...' ELSE '' END AS context FROM e",
-    "mask_real": f"WITH {CNT}, {BEST.format(1)}, {PLACES}, lr AS (SELECT *, substr(text, greatest(st - 50, 1), least(st - 1, 50)) AS l, substr(text, st + length(term), 50) AS r FROM pl), m AS (SELECT doc_id, term, CAST(k - 1 AS INTEGER) AS ord, string_split(l, '.')[-1] || '[MASK]' || CASE WHEN instr(r, '.') > 0 THEN left(r, instr(r, '.')) ELSE r END AS masked_text FROM lr) SELECT *, round(least(1.0, CASE WHEN length(masked_text) < 10 THEN 0.5 WHEN length(masked_text) > 200 THEN 0.8 ELSE 1.0 END * CASE WHEN (instr(masked_text, '[MASK]') - 1) / length(masked_text) < 0.1 OR (instr(masked_text, '[MASK]') - 1) / length(masked_text) > 0.9 THEN 0.7 ELSE 1.0 END * CASE WHEN regexp_matches(masked_text, '[。、]') THEN 1.1 ELSE 1.0 END * CASE WHEN nw < 5 THEN 0.6 WHEN nw > 15 THEN 1.2 ELSE 1.0 END), 6) AS quality FROM (SELECT *, len(list_filter(string_split_regex(masked_text, '\\s+'), lambda x: x <> '')) AS nw FROM m)".replace("SELECT *, round(least", "SELECT doc_id, term, ord, masked_text, round(least"),
+    "mask_real": f"WITH {CNT}, {BEST.format(1)}, {PLACES}, lr AS (SELECT *, substr(text, greatest(st - 50, 1), least(st - 1, 50)) AS l, substr(text, st + length(term), 50) AS r FROM pl), m AS (SELECT doc_id, term, CAST(k - 1 AS INTEGER) AS ord, string_split(l, '.')[-1] || '[MASK]' || CASE WHEN instr(r, '.') > 0 THEN left(r, instr(r, '.')) ELSE r END AS masked_text FROM lr) SELECT *, round(CAST(least(1.0, CASE WHEN length(masked_text) < 10 THEN 0.5 WHEN length(masked_text) > 200 THEN 0.8 ELSE 1.0 END * CASE WHEN (instr(masked_text, '[MASK]') - 1) / length(masked_text) < 0.1 OR (instr(masked_text, '[MASK]') - 1) / length(masked_text) > 0.9 THEN 0.7 ELSE 1.0 END * CASE WHEN regexp_matches(masked_text, '[。、]') THEN 1.1 ELSE 1.0 END * CASE WHEN nw < 5 THEN 0.6 WHEN nw > 15 THEN 1.2 ELSE 1.0 END) AS DOUBLE), 6) AS quality FROM (SELECT *, len(list_filter(string_split_regex(masked_text, '\\s+'), lambda x: x <> '')) AS nw FROM m)".replace("SELECT *, round(CAST(least", "SELECT doc_id, term, ord, masked_text, round(CAST(least"),
     "boundary_frequency": f"WITH {CNT}, tm AS (SELECT doc_id, term FROM cnt WHERE frequency >= 3), g AS (SELECT doc_id, term, 1 AS single FROM tok UNION ALL SELECT doc_id, term || ' ' || nx, 0 FROM (SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM tok) WHERE nx IS NOT NULL), c AS (SELECT doc_id, term, count(*) AS n, max(single) AS single FROM g GROUP BY ALL) SELECT doc_id, term, CAST(greatest(1, coalesce(n, 0) + coalesce(single, 0)) AS BIGINT) AS frequency FROM tm LEFT JOIN c USING (doc_id, term)",
     "longest_terms": f"WITH {CNT} SELECT doc_id, term, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, term) AS rank FROM cnt) WHERE rank <= 100",
     "stopword_anti": f"WITH {CNT} SELECT * FROM cnt WHERE term NOT IN ({STOP})",

@@ -11,6 +11,7 @@ from ..config import LATIN, EngineConfig
 from ..functions import text
 from ..operators import candidates, chunkers, contexts, dictionary, graph, perplexity, rank, stats, vectors
 from ..sources import readers
+from ..sources.shared import cut
 from . import extract
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,13 +236,13 @@ def personalised_weights(embeddings):
 
 @query
 def pagerank_steps(embeddings):
-    edges = graph.undirected(vectors.knn(embeddings)).checkpoint()
+    edges = cut(graph.undirected(vectors.knn(embeddings)))
     return graph.pagerank_steps(_nodes(embeddings).select("id", "p"), edges, 20).select("id", _r("pagerank", 8).alias("pagerank"))
 
 
 @query
 def fuse_scores(embeddings):
-    edges = graph.undirected(vectors.knn(embeddings)).checkpoint()
+    edges = cut(graph.undirected(vectors.knn(embeddings)))
     ranked = graph.pagerank_steps(_nodes(embeddings).select("id", "p"), edges, 20)
     both = ranked.join(_nodes(embeddings).select("id", "base_score"), "id")
     return graph.fuse(both).select("id", _r("score", 5).alias("score"))
