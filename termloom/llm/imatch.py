@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 #: Share of all documents that a term of the lexicon is found in.
 LOW, HIGH = 0.001, 0.2
-#: Subsets of the lexicon: RATES halvings, SEEDS of each. Subset (r, s) holds a term with probability 2^-r.
-RATES, SEEDS = 8, 4
+#: Subsets of the lexicon: for each rate r, SEEDS of them that hold a term with probability 2^-r, and the whole lexicon.
+#: A subset tells texts apart by degrees where it holds a few of their terms: short texts have dense ones for that, long
+#: texts sparse ones.
+RATES, SEEDS = (2, 3, 4, 5, 6, 7, 8, 9, 10), 4
 #: Below so many terms within the band, all terms of a text are its lexicon.
 FEWEST = 3
 _SLOTS = 1 << 16
@@ -64,7 +66,7 @@ def fingerprinted(df: DataFrame, slots: Column, text_col: str, out: str) -> Data
     # a scalar subquery may not be written inside a higher-order function; the optimiser inlines this single use of it
     df = df.withColumn("__slots", slots).withColumn("__in", F.transform(F.array("__slots"), lambda table: F.filter("__all", lambda t: listed(table, t)))[0]).drop("__slots")
     df = df.withColumn("__in", F.when(F.size("__in") >= FEWEST, F.col("__in")).otherwise(F.col("__all")))
-    subsets = [_subset(F.col("__in"), r, s) for r in range(RATES) for s in range(SEEDS if r else 1)]
+    subsets = [_subset(F.col("__in"), r, s) for r in (0, *RATES) for s in range(SEEDS if r else 1)]
     own = F.array(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     return df.withColumn(out, F.when(F.size("__all") > 0, F.array(*subsets)).otherwise(own)).drop("__all", "__in")
 
