@@ -28,6 +28,8 @@ BANDS, ROWS = 32, 4
 #: Bits kept of each minimum, and how many of them fit a long.
 LOW_BITS = 4
 PER_LONG = 64 // LOW_BITS
+#: Groups that the members of one bucket are dealt to when they meet what is known of it.
+SALTS = 8
 #: Members of a bucket that one task compares with as many others.
 CHUNK = 2048
 
@@ -129,6 +131,11 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
+def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted documents. Their number grows with the corpus, so texts meet them by a shuffle at every size."""
+    return docs.join(wanted.hint("merge"), "doc", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` that pass the estimate and then the comparison of full sets."""
     least = floor_of_estimate(percent / 100)
@@ -136,34 +143,62 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, pe
     near = pairs.join(short.toDF("a", "bits_a"), "a").join(short.toDF("b", "bits_b"), "b")
     near = written(near.where(agreeing(F.col("bits_a"), F.col("bits_b")) >= least).select("a", "b"), "near")
     wanted = near.select(F.col("a").alias("doc")).unionAll(near.select("b")).distinct()
-    texts = written(docs.join(wanted, "doc", "left_semi"), "texts")
+    texts = written(_of(docs, wanted), "texts")
     both = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(lambda it: _confirm(it, size, percent), "a long, b long")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, i, j): pairs of one group's members that differ in component and pass the estimate."""
+def _compact(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(rep, compact): the set's hashes folded to 32 bits, sorted."""
+    for batch in batches:
+        for row, end, data, offsets in text_slices(batch.column(1)):
+            shingles, first = shingle_hashes(words_of(data, offsets, lower=True), size)
+            folded = (shingles >> np.uint64(32)).astype(np.uint32)
+            sets = [np.unique(folded[first[i] : first[i + 1]]).tobytes() for i in range(end - row)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(sets, pa.binary())], names=["rep", "compact"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, i, j): pairs of one group's members that differ in component and look similar enough.
+
+    A pair is judged in the first bucket that its members share, and not where one of them leads: that pair was confirmed
+    or refused before. The estimate goes first, then the folded sets; folding may only add matches, and two are allowed for.
+    """
+    least = floor_of_estimate(percent / 100)
 
     def compare(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows)
-        rep, comp, chunk = (table.column(c).to_numpy() for c in ("rep", "comp", "chunk"))
-        bits = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table.column("bits").chunks]).view(np.uint64).reshape(len(rep), -1)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        rep, comp, chunk, leads = (table.column(c).to_numpy() for c in ("rep", "comp", "chunk", "leads"))
+        bits, bands = (np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table.column(c).chunks]).reshape(len(rep), -1) for c in ("bits", "bands"))
+        bits = bits.view(np.uint64)
+        sets = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("compact")]
+        key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
+        left, right = np.flatnonzero((chunk == i) & ~leads), np.flatnonzero((chunk == j) & ~leads)
+        found: list[tuple[int, int]] = []
         for at in range(0, len(left), 64):
             rows_ = left[at : at + 64]
-            other = comp[rows_][:, None] != comp[right][None, :]
-            if not other.any():
+            open_ = comp[rows_][:, None] != comp[right][None, :]
+            if i == j:
+                open_ &= rows_[:, None] < right[None, :]
+            if not open_.any():
                 continue
             z = bits[rows_][:, None, :] ^ bits[right][None, :, :]
             z |= z >> np.uint64(1)
             z |= z >> np.uint64(2)
             differ = np.bitwise_count(z & np.uint64(0x1111111111111111)).sum(axis=2, dtype=np.int32)
-            a, b = np.nonzero(other & (_N - differ >= least))
-            a, b = rep[rows_][a], rep[right][b]
-            if len(a):
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+            a, b = np.nonzero(open_ & (_N - differ >= least))
+            a, b = rows_[a], right[b]
+            for lo in range(0, len(a), 4096):
+                x, y = a[lo : lo + 4096], b[lo : lo + 4096]
+                same = bands[x] == bands[y]
+                mine = bands[x, same.argmax(axis=1)] == key
+                for p, q in zip(x[mine].tolist(), y[mine].tolist()):
+                    both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                    if 100 * (both + 2) >= percent * (len(sets[p]) + len(sets[q]) - both - 2):
+                        found.append((min(rep[p], rep[q]), max(rep[p], rep[q])))
+        if found:
+            pairs = np.array(found, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     group, held = None, []
     for batch in batches:
@@ -183,19 +218,30 @@ def _blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield from compare(held)
 
 
-def _open_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _salted(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Members of the buckets, with the bucket's columns; a large bucket's members meet it in ``SALTS`` groups."""
+    several = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    return dealt.join(several, ["key", "salt"]).drop("salt")
+
+
+def _open_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Candidates between members of one bucket that the first components leave apart."""
     of = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     of = written(of, "members")
     mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    rows = of.join(mixed.select("key", "size"), "key").join(sets.select("rep", "bits"), "rep")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    rows = written(_salted(of, mixed.select("key", "size")), "mixed")
+    wanted = rows.select(F.col("rep").alias("doc")).distinct()
+    compact = _of(docs, wanted).mapInArrow(lambda it: _compact(it, size), "rep long, compact binary")
+    known = written(sets.select("rep", "bits", "bands").join(compact, "rep"), "compact")
+    rows = rows.join(known, "rep")
+    rows = rows.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("key", F.least("chunk", "j").alias("i"), F.greatest("chunk", "j").alias("j"), "rep", "comp", "chunk", "bits")
+    rows = rows.select("key", F.least("chunk", "j").alias("i"), F.greatest("chunk", "j").alias("j"), "rep", "comp", "chunk", "leads", "bits", "bands", "compact")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(lambda it: _blocks(it, floor_of_estimate(percent / 100)), "a long, b long").distinct()
+    return rows.mapInArrow(lambda it: _blocks(it, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,10 +256,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     sets = written(sets.agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "sets")
     keys = sets.select("rep", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1")
-    members = written(keys.join(buckets, "key"), "buckets")
+    members = written(_salted(keys, buckets), "buckets")
     stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     comps = components(_confirmed(stars, sets, docs, size, percent))
-    open_pairs = written(_open_pairs(members.where("n > 2").select("key", "rep"), comps, sets, percent), "open")
+    open_pairs = written(_open_pairs(members.where("n > 2").select("key", "rep", (F.col("rep") == F.col("leader")).alias("leads")), comps, sets, docs, size, percent), "open")
     if not open_pairs.isEmpty():
         more = written(_confirmed(open_pairs, sets, docs, size, percent), "links")
         named = comps.toDF("node", "c")
