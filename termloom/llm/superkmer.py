@@ -20,6 +20,8 @@ from .words import Words, span_hashes, text_slices, words_of
 
 #: Bytes of text for each bucket, on average.
 BUCKET_BYTES = 8 << 20
+#: Bytes of text that are packed together.
+SENT_BYTES = 2 << 20
 #: Words of a minimiser.
 MINI = 2
 
@@ -44,10 +46,10 @@ def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _send(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=6)
     for batch in batches:
         docs, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        for row, _, data, offsets in text_slices(batch.column(2)):
+        for row, _, data, offsets in text_slices(batch.column(2), SENT_BYTES):
             words = words_of(data, offsets, lower=False)
             n_words = np.diff(words.first)
             n_windows = np.maximum(n_words - size + 1, 0)
@@ -186,7 +188,7 @@ def repeated_ranges(docs: DataFrame, size: int = 13, id_col: str = "doc_id", tex
     buckets = max(1, -(-n_bytes // BUCKET_BYTES))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = rows.mapInArrow(lambda it: _send(it, size, buckets), "bucket long, packed binary")
-    sent = sent.repartition(max(n, 1), "bucket").sortWithinPartitions("bucket")
+    sent = sent.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket")
     return sent.mapInArrow(lambda it: _count(it, size), "doc long, mark long, lo long, hi long")
 
 
