@@ -339,14 +339,18 @@ def merge_headwords(documents):
     return out.select("key", F.array_join("synonyms", ",").alias("synonyms"), "definition", "category", F.array_join("source_docs", ",").alias("source_docs"))
 
 
-def _half(documents: DataFrame, odd: int) -> DataFrame:
-    """A dictionary from the documents of even or of odd ids: the two sides of an upsert."""
-    rows = _headwords(documents).where(F.col("ord") % 2 == odd)
+def _dictionary(rows: DataFrame) -> DataFrame:
+    """A stored dictionary of all the headwords in ``rows``."""
     merged = dictionary.merge_headwords(rows)
     stamp = F.lit(None).cast("timestamp")
     return merged.select(F.col("key").alias("headword"), "synonyms", "definition", "category", (F.size("synonyms") / 10).alias("confidence"), "source_docs", F.lit(None).cast("array<float>").alias("embedding"), stamp.alias("created_at"), stamp.alias("updated_at"))
 
 
+def _half(documents: DataFrame, odd: int) -> DataFrame:
+    """A dictionary from the documents of even or of odd ids: the two sides of an upsert."""
+    return _dictionary(_headwords(documents).where(F.col("ord") % 2 == odd))
+
+
 @query
 def dictionary_upsert(documents):
     out = dictionary.upsert(_half(documents, 0), _half(documents, 1), F.lit("2024-01-01").cast("timestamp"))
@@ -355,13 +359,13 @@ def dictionary_upsert(documents):
 
 @query
 def dictionary_search(documents):
-    out = dictionary.search(_half(documents, 0), "TION", 10)
+    out = dictionary.search(_dictionary(_headwords(documents)), "TION", 10)
     return out.select("headword", _r("confidence").alias("confidence"))
 
 
 @query
 def dictionary_stats(documents):
-    s = stats.dictionary_statistics(_half(documents, 0))
+    s = stats.dictionary_statistics(_dictionary(_headwords(documents)))
     return s.withColumn("avg_synonyms", _r("avg_synonyms"))
 
 
