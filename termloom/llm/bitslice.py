@@ -23,17 +23,18 @@ from pyspark.sql import functions as F
 BLOCK_ROWS, GROUP_QUERIES = 1 << 13, 1 << 10
 #: Queries whose bitmaps are worked on together.
 TOGETHER = 32
-#: Quantised values of at least this size make a vector take no part; scores then fit 63 bits for a million attributes.
-LIMIT = 1 << 20
+#: Quantised values are longs; a component beyond them is an error.
+LIMIT = float(1 << 63)
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): floor(scale * x) of every component, as doubles. Vectors that are null or hold a null, a non-finite or a
-    huge component, and rows with a null id, are left out."""
-    values = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    fine = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(LIMIT / scale)))
+    """(id, v): floor(scale * x) of every component. Vectors that are null or hold a null or a non-finite component, and
+    rows with a null id, are left out; a finite component whose value passes a long fails the query."""
+    scaled = lambda x: x.cast("double") * F.lit(float(scale))
+    values = F.transform(F.col(vector_col), lambda x: F.when(F.abs(scaled(x)) < F.lit(LIMIT), F.floor(scaled(x))).otherwise(F.raise_error(F.lit("a vector's quantised component passes 63 bits")).cast("long")))
+    fine = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(fine)
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(values, lambda x: x.cast("int")).alias("v"))
+    return rows.select(F.col(id_col).cast("long").alias("id"), values.alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -107,6 +108,16 @@ def add_products(slices: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return out
 
 
+def whole_numbers(bits: np.ndarray) -> np.ndarray:
+    """Values of [slice, row] bits, the last slice the sign. A value that doesn't fit a long is an error."""
+    if len(bits) > 64:
+        if (bits[63:] != bits[-1]).any():
+            raise OverflowError("a score among the best passes 63 bits")
+        bits = bits[:64]
+    bits = bits.astype(np.int64)
+    return (bits[:-1] << np.arange(len(bits) - 1)[:, None]).sum(axis=0) - (bits[-1] << (len(bits) - 1))
+
+
 def select_top(score: np.ndarray, allowed: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of each query's ``k`` highest scores among the allowed rows, ties to smaller ids.
 
@@ -195,8 +206,7 @@ def _search(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
             score = add_products(slices[:both], queries[at : at + TOGETHER, :both])
             q, row = select_top(score, allowed, ids, k)
             bits = (score[:, q, row // 64] >> (row % 64).astype(np.uint64)[None, :]) & np.uint64(1)
-            value = (bits[:-1].astype(np.int64) << np.arange(len(score) - 1)[:, None]).sum(axis=0) - (bits[-1].astype(np.int64) << (len(score) - 1))
-            found.append(np.stack([own[q], ids[row], value], axis=1))
+            found.append(np.stack([own[q], ids[row], whole_numbers(bits)], axis=1))
     out = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
     return pa.table({"query_id": out[:, 0].copy(), "vec_id": out[:, 1].copy(), "score": out[:, 2].copy()})
 

@@ -1,5 +1,11 @@
 """Queries take all of their input: no document, term or vector is left out beforehand."""
 
+import math
+
+import numpy as np
+import pytest
+
+from termloom.llm import bitslice
 from termloom.plans.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -15,3 +21,26 @@ def test_dictionary_of_odd_and_even_documents(spark, tmp_path):
     d = documents(spark, tmp_path, (1, "station " * 3), (2, "nation " * 3))
     assert {r["headword"] for r in QUERIES["dictionary_search"](spark, d).collect()} == {"station", "nation"}
     assert QUERIES["dictionary_stats"](spark, d).first()["terms"] == 2
+
+
+@pytest.mark.parametrize("size", [1e4, 1e6])
+def test_search_takes_large_components(spark, size):
+    rng = np.random.default_rng(3)
+    v = [*rng.normal(0, 1, (40, 4)).tolist(), *rng.normal(0, size, (10, 4)).tolist()]
+    rows = bitslice.quantised(spark.createDataFrame(list(enumerate(v)), "id long, e array<double>"), 256, "id", "e").cache()
+    q = [[math.floor(256 * x) for x in e] for e in v]
+    expected = []
+    for i in range(len(q)):
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in range(len(q)) if j != i)[:5]
+        expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, bitslice.top_k(bitslice.build_index(rows, 16), rows, 5).collect())) == expected
+
+
+def test_scores_beyond_a_long_are_errors(spark):
+    rows = lambda x: bitslice.quantised(spark.createDataFrame([(1, [x]), (2, [x])], "id long, e array<double>"), 256, "id", "e")
+    with pytest.raises(Exception, match="63 bits"):
+        bitslice.top_k(bitslice.build_index(rows(1e8)), rows(1e8), 5).collect()
+    with pytest.raises(Exception, match="63 bits"):
+        rows(1e18).collect()
+    bits = lambda n, width: np.array([[n >> k & 1] for k in range(width)], np.uint64)
+    assert [bitslice.whole_numbers(bits(n, w))[0] for n, w in ((-5, 4), (5, 64), (-(1 << 63), 70), ((1 << 63) - 1, 70))] == [-5, 5, -(1 << 63), (1 << 63) - 1]
