@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 #: Hash buckets of an epoch's order: three hexadecimal digits.
 DIGITS = 3
 
-Tree = Mapping[str, tuple[int, "Tree | None"]]
+Path = tuple[str | None, ...]
+Tree = Mapping[str | None, tuple[int, "Tree | None"]]
 LEVELS = ("domain", "language", "origin")
 
 
-def leaves(tree: Tree, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
+def leaves(tree: Tree, path: Path = ()) -> list[Path]:
     """The paths of all leaves with a positive weight all the way."""
     out = []
     for name, (weight, below) in tree.items():
@@ -32,16 +33,16 @@ def leaves(tree: Tree, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
     return out
 
 
-def allocate(tree: Tree, supply: Mapping[tuple[str, ...], int], budget: int, path: tuple[str, ...] = ()) -> dict[tuple[str, ...], int]:
+def allocate(tree: Tree, supply: Mapping[Path, int], budget: int, path: Path = ()) -> dict[Path, int]:
     """Tokens for every leaf: at most its supply, at most ``budget`` together; shares are rounded down."""
 
-    def cap(name: str) -> int:
+    def cap(name: str | None) -> int:
         below = tree[name][1]
         own = (*path, name)
         return sum(supply.get((*own, *leaf), 0) for leaf in leaves(below)) if below else supply.get(own, 0)
 
     caps = {name: cap(name) for name, (weight, _) in tree.items() if weight > 0}
-    given: dict[str, int] = {}
+    given: dict[str | None, int] = {}
     unmet, left = dict(caps), budget
     while unmet:
         total = sum(tree[name][0] for name in unmet)
@@ -52,7 +53,7 @@ def allocate(tree: Tree, supply: Mapping[tuple[str, ...], int], budget: int, pat
         for name in short:
             given[name] = unmet.pop(name)
         left -= sum(given[name] for name in short)
-    out: dict[tuple[str, ...], int] = {}
+    out: dict[Path, int] = {}
     for name, share in given.items():
         below = tree[name][1]
         out |= allocate(below, supply, share, (*path, name)) if below else {(*path, name): share}
@@ -64,19 +65,28 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _at_leaves(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of a broadcast table of leaves; a null name is a name like others."""
+    named = table.withColumnsRenamed({c: f"__{c}" for c in LEVELS})
+    same = F.lit(True)
+    for c in LEVELS:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(F.broadcast(named), same, how).drop(*[f"__{c}" for c in LEVELS])
+
+
 def mix(docs: DataFrame, tree: Tree, levels: tuple[Column, Column, Column], share: float, epochs: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` that are taken, with ``domain``, ``language``, ``origin``, ``tokens``, ``full_epochs`` and ``last_tokens``.
 
     The budget is ``share`` of the tokens of all leaves, rounded down. A document is in every full epoch, and gives
     ``last_tokens`` of its first tokens to the last one: all of them but for the document at which the prefix ends.
-    Documents outside the tree (null labels included) and documents taken for no token are left out; rows that repeat an
-    id are documents of their own. Columns of ``docs`` that have one of the added names give way to it.
+    Documents outside the tree and documents taken for no token are left out; a null label is in the tree where the tree
+    names None. Rows that repeat an id are documents of their own. Columns of ``docs`` that have one of the added names give way to it.
     """
     spark = docs.sparkSession
     named = docs.withColumns(dict(zip(LEVELS, levels))).withColumn("tokens", n_tokens(F.col(text_col)))
     paths = leaves(tree)
     names = spark.createDataFrame(paths, "domain string, language string, origin string")
-    supply = named.groupBy(*LEVELS).agg(F.sum("tokens").alias("n")).join(F.broadcast(names), list(LEVELS))
+    supply = _at_leaves(named.groupBy(*LEVELS).agg(F.sum("tokens").alias("n")), names)
     have = {tuple(r[c] for c in LEVELS): r["n"] for r in supply.collect()}
     budget = sum(have.values()) * round(share * 1_000_000) // 1_000_000
     given = allocate(tree, {path: n * epochs for path, n in have.items()}, budget)
@@ -84,11 +94,11 @@ def mix(docs: DataFrame, tree: Tree, levels: tuple[Column, Column, Column], shar
     plan = spark.createDataFrame(parts, "domain string, language string, origin string, full_epochs long, rest long")
     key = F.concat_ws("|", F.lit(str(seed)), F.col("full_epochs").cast("string"), F.col(id_col).cast("string"))
     named = named.drop("full_epochs", "rest", "last_tokens")
-    rows = named.join(F.broadcast(plan), list(LEVELS)).withColumn("__h", F.md5(key)).withColumn("__b", F.substring("__h", 1, DIGITS))
+    rows = _at_leaves(named, plan).withColumn("__h", F.md5(key)).withColumn("__b", F.substring("__h", 1, DIGITS))
     sums = rows.groupBy(*LEVELS, "rest", "__b").agg(F.sum("tokens").alias("n"))
     upto = sums.withColumn("before", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("__b")) - F.col("n"))
     ends = upto.where("before < rest AND before + n >= rest").select(*LEVELS, F.col("__b").alias("__end"), F.col("before").alias("__base"))
-    rows = rows.join(F.broadcast(ends), list(LEVELS), "left")
+    rows = _at_leaves(rows, ends, "left")
     place = F.when(F.col("__end").isNull(), F.lit(0).cast("long")).when(F.col("__b") < F.col("__end"), F.col("tokens")).otherwise(F.lit(0).cast("long"))
     clear = rows.where("__end IS NULL OR __b <> __end").withColumn("last_tokens", place)
     w = Window.partitionBy(*LEVELS).orderBy("__h", id_col, "tokens", F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)

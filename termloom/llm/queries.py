@@ -18,13 +18,18 @@ DOMAINS = {"web": 5, "books": 3, "forums": 2, "manuals": 2}
 LANGUAGES = {"en": 6, "fr": 2, "de": 2, "es": 1}
 FIRST_SOURCE = 2
 _SOURCES = {d: [f"src{5 * i + k}" for k in range(5)] for i, d in enumerate(DOMAINS)}
-MIX = {d: (w, {x: (v, {s: (1 if k else FIRST_SOURCE, None) for k, s in enumerate(_SOURCES[d])}) for x, v in LANGUAGES.items()}) for d, w in DOMAINS.items()}
+#: The weight of what is in none of these: other languages in each domain, and a domain of other sources. Its label is null.
+REST = 1
+_LANGUAGES = {**LANGUAGES, None: REST}
+MIX = {d: (w, {x: (v, {s: (1 if k else FIRST_SOURCE, None) for k, s in enumerate(_SOURCES[d])}) for x, v in _LANGUAGES.items()}) for d, w in DOMAINS.items()}
+MIX[None] = (REST, {x: (v, {None: (1, None)}) for x, v in _LANGUAGES.items()})
 _DOMAIN_SQL = "CASE " + " ".join(f"WHEN source IN ({', '.join(map(repr, s))}) THEN '{d}'" for d, s in _SOURCES.items()) + " END"
 
 
 def mix_levels() -> tuple[Column, Column, Column]:
-    """Domain, language and source of a document."""
-    return F.expr(_DOMAIN_SQL), F.col("lang"), F.col("source")
+    """Domain, language and source of a document; null where the tree has no such name, for its leaves of the rest."""
+    listed = lambda c, names: F.when(F.col(c).isin(*names), F.col(c))
+    return F.expr(_DOMAIN_SQL), listed("lang", LANGUAGES), listed("source", [s for names in _SOURCES.values() for s in names])
 
 
 

@@ -5,7 +5,8 @@ import math
 import numpy as np
 import pytest
 
-from termloom.llm import bitslice
+import corpus_pipeline
+from termloom.llm import bitslice, mixing, queries
 from termloom.plans.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -44,3 +45,20 @@ def test_scores_beyond_a_long_are_errors(spark):
         rows(1e18).collect()
     bits = lambda n, width: np.array([[n >> k & 1] for k in range(width)], np.uint64)
     assert [bitslice.whole_numbers(bits(n, w))[0] for n, w in ((-5, 4), (5, 64), (-(1 << 63), 70), ((1 << 63) - 1, 70))] == [-5, 5, -(1 << 63), (1 << 63) - 1]
+
+
+def test_mixture_has_a_place_for_every_label(spark, tmp_path):
+    labels = [("en", "src0"), (None, "src0"), ("it", "src7"), ("en", None), ("fr", "elsewhere"), (None, None), ("it", "elsewhere")]
+    rows = [(i, "a b c", *x, 5) for i, x in enumerate(labels)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(docs, queries.MIX, queries.mix_levels(), share=1.0, epochs=1, seed=7).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(7)) and all(r["full_epochs"] == 1 for r in got)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    taken = queries.op1_mix_sources(spark, str(tmp_path)).collect()
+    assert 12 - len(rows) < sum(3 * r["full_epochs"] + r["last_tokens"] for r in taken) <= 12 and {r["doc_id"] for r in taken} > {0}
+
+
+def test_missing_language_label_is_filled(spark):
+    rows = [(i, "the and of with for that " * 5, "en" if i else None, "src0", 125) for i in range(4)]
+    got = corpus_pipeline.language(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in got) == [(i, "en") for i in range(4)]
