@@ -58,9 +58,9 @@ def places(s: Column, t: Column) -> Column:
     return F.filter(every, lambda i: F.substring(s, i, F.length(t)) == t)
 
 
-def places_apart(s: Column, t: Column) -> Column:
-    """1-based places of ``t`` that don't overlap: running lengths of the parts between them."""
-    parts = F.split(s, F.concat(F.lit("\\Q"), t, F.lit("\\E")), -1)
+def places_apart(s: Column, t: Column, most: int | None = None) -> Column:
+    """1-based places of ``t`` that don't overlap, or the first ``most``: running lengths of the parts between them."""
+    parts = F.split(s, F.concat(F.lit("\\Q"), t, F.lit("\\E")), -1 if most is None else most + 1)
     heads = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     state = F.aggregate(
         heads,

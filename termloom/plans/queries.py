@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import LATIN, EngineConfig
@@ -41,6 +41,11 @@ def _counts(docs: DataFrame) -> DataFrame:
     return candidates.term_counts(docs)
 
 
+def _targets(docs: DataFrame) -> DataFrame:
+    """The terms of a document that get contexts, masks and neighbours: all of the engine's least frequency."""
+    return _counts(docs).where(F.col("frequency") >= EngineConfig().min_frequency).select("doc_id", "term")
+
+
 @query
 def term_score_topk(documents):
     out = extract.statistical_terms(documents)
@@ -215,9 +220,7 @@ def cooccur_sentence(documents):
 @query
 def cooccur_words(documents):
     words = documents.select("doc_id", F.posexplode(chunkers.words(F.col("text"))).alias("pos", "word"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("frequency"), "term")
-    targets = _counts(documents).where("length(term) >= 6").withColumn("k", F.row_number().over(w)).where("k <= 2")
-    return contexts.around_words(words, targets).select("doc_id", "term", "side", "word", "n", F.col("rank").cast("long").alias("rank"))
+    return contexts.around_words(words, _targets(documents)).select("doc_id", "term", "side", "word", "n", F.col("rank").cast("long").alias("rank"))
 
 
 @query
@@ -277,19 +280,22 @@ def unknown_terms(embeddings):
     return found.select("vec_id", _r("value").alias("similarity"), F.col("is_unknown").alias("explicit"), "unknown", rank.band(F.col("value")).alias("band"))
 
 
+def _with_targets(documents: DataFrame, found: Callable) -> DataFrame:
+    """(doc_id, term, found) of every target of every document: texts are joined with lists of terms, not copied to each."""
+    terms = _targets(documents).groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
+    each = F.transform("terms", lambda t: F.struct(t.alias("term"), found(F.col("text"), t).alias("found")))
+    return documents.join(terms, "doc_id").select("doc_id", F.inline(each))
+
+
 @query
 def kwic(documents):
-    w = Window.partitionBy("doc_id").orderBy(F.desc("frequency"), "term")
-    best = _counts(documents).withColumn("k", F.row_number().over(w)).where("k <= 3").select("doc_id", "term")
-    rows = documents.join(best, "doc_id")
-    return rows.select("doc_id", "term", F.posexplode(contexts.kwic(F.col("text"), F.col("term"))).alias("ord", "context"))
+    return _with_targets(documents, contexts.kwic).select("doc_id", "term", F.posexplode("found").alias("ord", "context"))
 
 
 @query
 def mask_real(documents):
-    w = Window.partitionBy("doc_id").orderBy(F.desc("frequency"), "term")
-    best = _counts(documents).withColumn("k", F.row_number().over(w)).where("k <= 1").select("doc_id", "term")
-    masks = documents.join(best, "doc_id").select("doc_id", "term", F.posexplode(contexts.real_masks(F.col("text"), F.col("term"), 50, ".")).alias("ord", "masked_text"))
+    found = _with_targets(documents, lambda s, t: contexts.real_masks(s, t, 50, "."))
+    masks = found.select("doc_id", "term", F.posexplode("found").alias("ord", "masked_text"))
     return masks.withColumn("quality", _r(contexts.mask_quality(F.col("masked_text"))))
 
 
@@ -435,7 +441,7 @@ def sentence_split(documents):
 
 @query
 def kwic_turns(conversations):
-    """The first word of six or more letters of every turn, in context and in any case."""
-    t = F.regexp_extract("text", r"\p{L}{6,}", 0)
-    rows = conversations.select("conv_id", "turn", "text", t.alias("term")).where("term <> ''")
+    """Every term of every turn, in context and in any case."""
+    terms = F.array_distinct(F.regexp_extract_all("text", F.lit(LATIN.token), F.lit(0)))
+    rows = conversations.select("conv_id", "turn", "text", F.explode(terms).alias("term"))
     return rows.select("conv_id", "turn", "term", F.size(contexts.kwic_any_case(F.col("text"), F.col("term"))).cast("long").alias("n"), F.md5(F.get(contexts.kwic_any_case(F.col("text"), F.col("term")), F.lit(0))).alias("first_md5"))
