@@ -1,16 +1,18 @@
 """MinHash near-dedup with b-bit signatures.
 
-Texts become sets of word shingles, equal sets are folded, and each set's minima give band keys. Of the minima only the
-low bits are kept, packed in longs. Candidates are, per band bucket, the members against the bucket's smallest one; the
-collision-corrected estimate from bit counts drops pairs far below the threshold and full sets confirm the rest. What
-the smallest member does not settle - members of different components in one bucket - is compared bit by bit inside
-tasks, in blocks, and only pairs that pass the estimate leave the task. Components follow from confirmed links alone.
+Texts become sets of word shingles, texts of equal words are folded, and each set's minima give band keys. Of the minima
+only the low bits are kept, packed in longs. Candidates are, per band bucket, the members against the bucket's leader; the
+collision-corrected estimate from bit counts drops pairs far below the threshold and full sets confirm the rest, shingles
+being compared as words and not by hashes. Members that a leader leaves in other components elect a new one among them,
+``ROUNDS`` times; what is left then is compared bit by bit inside tasks, in blocks, and only pairs that pass the estimate
+leave the task. Components follow from confirmed links alone.
 
 Nothing is capped: a bucket of any size is cut in chunks whose pairs go to different tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -21,10 +23,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import written
-from .words import mix64, shingle_hashes, text_slices, words_of
+from .words import mix64, plain, shingle_hashes, shingle_names, text_slices, words_of
 
 #: 32 bands of 4 minima: a pair at 0.75 is missed with probability (1 - 0.75^4)^32 = 6e-6.
 BANDS, ROWS = 32, 4
+#: Bytes of SHA-256 by which texts of equal words are known.
+SAME_BYTES = 20
 #: Bits kept of each minimum, and how many of them fit a long.
 LOW_BITS = 4
 PER_LONG = 64 // LOW_BITS
@@ -38,7 +42,10 @@ _seed = mix64(np.arange(1, 2 * _N + 1, dtype=np.uint64))
 _A = (_seed[:_N] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (_seed[_N:] >> np.uint64(32)).astype(np.uint32)
 
-SIGNATURE = "doc long, n_shingles long, d1 long, d2 long, bands array<long>, bits array<long>"
+#: Elections of leaders before members that are left open are compared in blocks.
+ROUNDS = 3
+
+SIGNATURE = "doc long, n_shingles long, same binary, bands array<long>, bits array<long>"
 
 
 def _minima(shingles: np.ndarray) -> np.ndarray:
@@ -68,22 +75,27 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     for batch in batches:
         ids = batch.column(0)
         for row, end, data, offsets in text_slices(batch.column(1)):
-            shingles, first = shingle_hashes(words_of(data, offsets, lower=True), size)
+            words = words_of(data, offsets, lower=True)
+            names, first, kinds = shingle_names(words, size)
+            hashes, _ = shingle_hashes(words, size)
             n = end - row
-            count, digests, minima = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64), np.zeros((n, _N), np.uint32)
-            for i in np.flatnonzero(np.diff(first)):
-                own = np.unique(shingles[first[i] : first[i + 1]])
-                count[i] = len(own)
-                digests[i] = mix64(own).sum(), mix64(own ^ np.uint64(0x5851F42D4C957F2D)).sum()
-                minima[i] = _minima(own)
-            keys, bits = _sketch(minima)
-            d = digests.view(np.int64)
-            columns = [ids.slice(row, n), pa.array(count), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), _lists(keys), _lists(bits)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_shingles", "d1", "d2", "bands", "bits"])
+            doc = np.repeat(np.arange(n), np.diff(first))
+            keys, one = np.unique(doc * kinds + names, return_index=True)
+            edge = np.searchsorted(keys, np.arange(n + 1) * kinds)
+            own = hashes[one]
+            minima = np.zeros((n, _N), np.uint32)
+            for i in np.flatnonzero(np.diff(edge)):
+                minima[i] = _minima(own[edge[i] : edge[i + 1]])
+            bands, bits = _sketch(minima)
+            text, start, stop = plain(words)
+            lo = np.append(start, len(text))[words.first]
+            same = [hashlib.sha256(text[a:b].data).digest()[:SAME_BYTES] if a < b else None for a, b in zip(lo[:-1].tolist(), lo[1:].tolist())]
+            columns = [ids.slice(row, n), pa.array(np.diff(edge)), pa.array(same, pa.binary()), _lists(bands), _lists(bits)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_shingles", "same", "bands", "bits"])
 
 
 def signatures(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: set size, 128-bit digest of the set, band keys and packed low bits."""
+    """One row per row of ``docs``: set size, digest of the words in order (null for none), band keys and packed low bits."""
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda it: _sign(it, size), SIGNATURE)
 
 
@@ -117,18 +129,34 @@ def estimate(x: Column, y: Column) -> Column:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for _, _, data, offsets in text_slices(column):
-            shingles, first = shingle_hashes(words_of(data, offsets, lower=True), size)
-            for i in range(len(offsets) - 1):
-                yield np.unique(shingles[first[i] : first[i + 1]])
+    """Rows (a, salt, b, text) sorted by (a, salt, b nulls first): the leader's own text, then its candidates' texts.
 
+    Slices of rows are compared at once, shingles by numbers that are exact within a slice; a slice that begins amid a
+    group has the group's leader before it. Only a leader's text is held, whatever the number of its candidates.
+    """
+    leader: bytes = b""
     for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(sets(batch.column(2)), sets(batch.column(3)))):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-        yield batch.select([0, 1]).filter(pa.array(keep))
+        for at, end, _, _ in text_slices(batch.column(3)):
+            part = batch.slice(at, end - at)
+            leads = part.column(2).is_null().to_numpy(zero_copy_only=False)
+            column, texts = part.column(3), part.column(3)
+            if not leads[0]:
+                texts = pa.concat_arrays([pa.array([leader], pa.binary()).cast(texts.type), texts])
+                leads = np.concatenate([[True], leads])
+            head = np.flatnonzero(leads)
+            of = head[np.cumsum(leads) - 1]
+            leader = texts[int(of[-1])].as_buffer().to_pybytes()
+            _, _, data, offsets = next(text_slices(texts, 1 << 62))
+            names, first, kinds = shingle_names(words_of(data, offsets, lower=True), size)
+            rows = np.repeat(np.arange(len(texts)), np.diff(first))
+            keys = np.unique(rows * kinds + names)
+            rows = keys // kinds
+            n = np.bincount(rows, minlength=len(texts))
+            probe = of[rows] * kinds + keys % kinds
+            hit = keys[np.minimum(np.searchsorted(keys, probe), len(keys) - 1)] == probe if len(keys) else np.zeros(0, bool)
+            both = np.bincount(rows, hit, minlength=len(texts)).astype(np.int64)
+            keep = ~leads & (both > 0) & (100 * both >= percent * (n + n[of] - both))
+            yield part.select([0, 2]).filter(pa.array(keep[len(texts) - len(column) :]))
 
 
 def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -137,15 +165,25 @@ def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that pass the estimate and then the comparison of full sets."""
+    """Those of ``pairs(a, b)`` that pass the estimate and then the comparison of full sets.
+
+    A leader's candidates are dealt to groups of about ``CHUNK`` by a salt. Its text goes once to each group and not to
+    each pair, so that no task holds more than one leader's text and gathers no more than a group.
+    """
     least = floor_of_estimate(percent / 100)
     short = sets.select("rep", "bits")
     near = pairs.join(short.toDF("a", "bits_a"), "a").join(short.toDF("b", "bits_b"), "b")
     near = written(near.where(agreeing(F.col("bits_a"), F.col("bits_b")) >= least).select("a", "b"), "near")
     wanted = near.select(F.col("a").alias("doc")).unionAll(near.select("b")).distinct()
     texts = written(_of(docs, wanted), "texts")
-    both = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(lambda it: _confirm(it, size, percent), "a long, b long")
+    heads = written(near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("groups")), "heads")
+    salt = F.pmod(F.xxhash64("b"), F.col("groups")).cast("int")
+    members = near.join(heads, "a").select("a", salt.alias("salt"), "b")
+    of_b = members.hint("merge").join(texts.toDF("b", "text"), "b").select("a", "salt", "b", "text")
+    of_a = heads.hint("merge").join(texts.toDF("a", "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = of_a.unionAll(of_b).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(lambda it: _confirm(it, size, percent), "a long, b long")
 
 
 def _compact(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -161,19 +199,19 @@ def _compact(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
 def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, i, j): pairs of one group's members that differ in component and look similar enough.
 
-    A pair is judged in the first bucket that its members share, and not where one of them leads: that pair was confirmed
-    or refused before. The estimate goes first, then the folded sets; folding may only add matches, and two are allowed for.
+    A pair is judged in the first bucket that its members share: if one of them led there, it was confirmed or refused
+    before. The estimate goes first, then the folded sets, with an allowance for shingles that fold together.
     """
     least = floor_of_estimate(percent / 100)
 
     def compare(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows)
-        rep, comp, chunk, leads = (table.column(c).to_numpy() for c in ("rep", "comp", "chunk", "leads"))
+        rep, comp, chunk = (table.column(c).to_numpy() for c in ("rep", "comp", "chunk"))
         bits, bands = (np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table.column(c).chunks]).reshape(len(rep), -1) for c in ("bits", "bands"))
         bits = bits.view(np.uint64)
         sets = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("compact")]
         key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
-        left, right = np.flatnonzero((chunk == i) & ~leads), np.flatnonzero((chunk == j) & ~leads)
+        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         found: list[tuple[int, int]] = []
         for at in range(0, len(left), 64):
             rows_ = left[at : at + 64]
@@ -194,7 +232,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 mine = bands[x, same.argmax(axis=1)] == key
                 for p, q in zip(x[mine].tolist(), y[mine].tolist()):
                     both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                    if 100 * (both + 2) >= percent * (len(sets[p]) + len(sets[q]) - both - 2):
+                    both += 2 + (len(sets[p]) * len(sets[q]) >> 29)
+                    if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
                         found.append((min(rep[p], rep[q]), max(rep[p], rep[q])))
         if found:
             pairs = np.array(found, np.int64)
@@ -225,12 +264,16 @@ def _salted(members: DataFrame, buckets: DataFrame) -> DataFrame:
     return dealt.join(several, ["key", "salt"]).drop("salt")
 
 
-def _open_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Candidates between members of one bucket that the first components leave apart."""
+def _in_components(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members (key, rep) of the buckets that hold more than one component, with ``comp`` and the bucket's ``size``."""
     of = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     of = written(of, "members")
     mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    rows = written(_salted(of, mixed.select("key", "size")), "mixed")
+    return written(_salted(of, mixed.select("key", "size")), "mixed")
+
+
+def _open_pairs(rows: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidates between members of one bucket that are in different components."""
     wanted = rows.select(F.col("rep").alias("doc")).distinct()
     compact = _of(docs, wanted).mapInArrow(lambda it: _compact(it, size), "rep long, compact binary")
     known = written(sets.select("rep", "bits", "bands").join(compact, "rep"), "compact")
@@ -238,38 +281,55 @@ def _open_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame, docs: Dat
     rows = rows.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("key", F.least("chunk", "j").alias("i"), F.greatest("chunk", "j").alias("j"), "rep", "comp", "chunk", "leads", "bits", "bands", "compact")
+    rows = rows.select("key", F.least("chunk", "j").alias("i"), F.greatest("chunk", "j").alias("j"), "rep", "comp", "chunk", "bits", "bands", "compact")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(lambda it: _blocks(it, percent), "a long, b long").distinct()
 
 
+def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, comp) after more links between nodes."""
+    if comps is None:
+        return components(links)
+    links = written(links, "confirmed")
+    if links.isEmpty():
+        return comps
+    named = comps.toDF("node", "c")
+    for end in ("a", "b"):
+        links = links.join(named.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    above = components(links).toDF("c", "top")
+    known = comps.toDF("node", "c").unionAll(above.join(comps, above["c"] == comps["node"], "left_anti").select("c", "c"))
+    return written(known.join(above, "c", "left").select("node", F.coalesce("top", "c").alias("comp")), "components")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: documents linked at 100 * both >= percent * either.
 
     Texts without words (null, empty) have the empty set and link with nothing. Rows that repeat an id follow their own
-    text; a null id is never linked, its component is null and it is kept. An empty table gives an empty result.
+    text; a null id is never linked, its component is null and it is kept. An empty table gives an empty result. Other
+    columns don't matter.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     signed = written(signatures(docs, size, "doc", "text"), "signatures")
-    sets = signed.where("n_shingles > 0 AND doc IS NOT NULL").groupBy("d1", "d2")
+    sets = signed.where("same IS NOT NULL AND doc IS NOT NULL").groupBy("same")
     sets = written(sets.agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "sets")
-    keys = sets.select("rep", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1")
-    members = written(_salted(keys, buckets), "buckets")
-    stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    comps = components(_confirmed(stars, sets, docs, size, percent))
-    open_pairs = written(_open_pairs(members.where("n > 2").select("key", "rep", (F.col("rep") == F.col("leader")).alias("leads")), comps, sets, docs, size, percent), "open")
-    if not open_pairs.isEmpty():
-        more = written(_confirmed(open_pairs, sets, docs, size, percent), "links")
-        named = comps.toDF("node", "c")
-        for end in ("a", "b"):
-            more = more.join(named.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
-        above = components(more).toDF("c", "top")
-        known = comps.toDF("node", "c").unionAll(above.join(comps, above["c"] == comps["node"], "left_anti").select("c", "c"))
-        comps = known.join(above, "c", "left").select("node", F.coalesce("top", "c").alias("comp"))
-    of_set = sets.select("d1", "d2", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
-    out = signed.select("doc", "n_shingles", "d1", "d2").join(of_set, ["d1", "d2"], "left")
+    members = sets.select("rep", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = written(_salted(members, buckets).withColumn("comp", F.col("rep")), "buckets")
+    comps = None
+    for _ in range(ROUNDS):
+        leaders = rows.groupBy("key").agg(F.min(F.struct("rep", "comp")).alias("l")).select("key", "l.*").toDF("key", "leader", "leader_comp")
+        met = written(_salted(rows, leaders), "met")
+        stars = met.where("rep <> leader AND comp <> leader_comp").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+        comps = _joined(comps, _confirmed(stars, sets, docs, size, percent))
+        # a leader has met all the others: those go on without it
+        rows = _in_components(met.where("rep <> leader").select("key", "rep"), comps)
+        if rows.isEmpty():
+            break
+    else:
+        comps = _joined(comps, _confirmed(_open_pairs(rows, sets, docs, size, percent), sets, docs, size, percent))
+    of_set = sets.select("same", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("comp", "rep").alias("comp"))
+    out = signed.select("doc", "n_shingles", "same").join(of_set, "same", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc").isNotNull(), F.col("comp"))).otherwise(F.col("doc"))
     out = out.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

@@ -2,8 +2,9 @@
 
 Both supported kinds of file split a text before they merge bytes, and never join what lies on two sides of a cut made
 here: before a run of ASCII blanks, and between an ASCII letter and an ASCII mark other than the apostrophe. Pieces
-between cuts are looked up by a 64-bit hash in a bounded table; only unseen ones reach the tokenizer. Texts that hold
-anything whose meaning may reach across a cut (other blanks, a special token's opening, a capital sigma) are encoded whole.
+between cuts are looked up by a 64-bit code in a bounded table that holds their bytes; only unseen ones reach the
+tokenizer, and what is found is compared byte by byte. Texts that hold anything whose meaning may reach across a cut
+(other blanks, a special token's opening, a capital sigma), or a piece whose code belongs to another one, are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .words import _SPACE, span_hashes
+from .words import _SPACE, HASHED, same_spans, span_codes, spread
 
-#: Distinct pieces that a worker remembers; the table starts anew beyond that.
-REMEMBERED = 1 << 21
+#: Distinct pieces, and bytes of them, that a worker remembers; the table starts anew beyond either.
+REMEMBERED, REMEMBERED_BYTES = 1 << 21, 1 << 26
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -29,7 +30,7 @@ _WHOLE = r"<\||Σ|[\x00-\x08\x0e-\x1f\x7f]|\x{85}|\x{a0}|\x{1680}|[\x{2000}-\x{2
 
 
 class _Memo:
-    """Open addressing from 64-bit hashes to id lists, filled and read by whole arrays."""
+    """Open addressing from 64-bit codes to id lists, filled and read by whole arrays; pieces with hashed codes are kept too."""
 
     def __init__(self, entries: int) -> None:
         self.limit = entries
@@ -42,6 +43,9 @@ class _Memo:
         self.start = np.zeros(self.limit + 1, np.int64)
         self.n = 0
         self.ids = np.zeros(1 << 16, np.uint32)
+        self.text = np.zeros(1 << 16, np.uint8)
+        self.span = np.zeros((self.limit + 1, 2), np.int64)
+        self.used = 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Entry numbers, -1 where unknown."""
@@ -57,8 +61,16 @@ class _Memo:
             left = left[~hit & (key != 0)]
         return out
 
-    def add(self, h: np.ndarray, lists: list[list[int]]) -> None:
-        """Distinct unknown hashes with their ids."""
+    def add(self, h: np.ndarray, lists: list[list[int]], data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Distinct unknown codes with their ids, and the pieces ``data[start:end]`` themselves."""
+        kept = np.where(h >= np.uint64(HASHED), end - start, 0)
+        _, at = spread(start, kept)
+        while len(self.text) < self.used + len(at) + 8:
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text[self.used : self.used + len(at)] = data[at]
+        ends = self.used + kept.cumsum()
+        self.span[self.n : self.n + len(h)] = np.stack([ends - kept, ends], axis=1)
+        self.used += len(at)
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         end = self.start[self.n] + counts.cumsum()
         self.start[self.n + 1 : self.n + 1 + len(h)] = end
@@ -115,12 +127,11 @@ class Encoder:
     def encode(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, given also as one run of bytes, and where each text's ids begin."""
         start, end = self._pieces(data, offsets)
-        h = span_hashes(data, start, end)
-        h[h == 0] = 1
+        h = span_codes(data, start, end)  # never 0: no piece is empty
         entry = self.memo.find(h)
         new, at = np.unique(h[entry < 0], return_index=True)
         if len(new):
-            if self.memo.n + len(new) > self.memo.limit:
+            if self.memo.n + len(new) > self.memo.limit or self.memo.used > REMEMBERED_BYTES:
                 self.memo.clear()
                 if len(h) > self.memo.limit:
                     self.memo = _Memo(len(h))
@@ -129,13 +140,19 @@ class Encoder:
             else:
                 where = np.flatnonzero(entry < 0)[at]
             raw = data.tobytes()
-            self.memo.add(new, self._encode([raw[s:e].decode() for s, e in zip(start[where].tolist(), end[where].tolist())]))
+            lists = self._encode([raw[s:e].decode() for s, e in zip(start[where].tolist(), end[where].tolist())])
+            self.memo.add(new, lists, data, start[where], end[where])
             entry = self.memo.find(h)
+        hashed = np.flatnonzero(h >= np.uint64(HASHED))
+        span = self.memo.span[entry[hashed]]
+        foreign = hashed[~same_spans(data, start[hashed], end[hashed], self.memo.text, span[:, 0], span[:, 1], slack=True)]
         count = self.memo.start[entry + 1] - self.memo.start[entry]
         total = np.concatenate([[0], count.cumsum()])
         ids = self.memo.ids[np.repeat(self.memo.start[entry] - total[:-1], count) + np.arange(total[-1])]
         first = total[np.searchsorted(start, offsets)]
-        whole = np.flatnonzero(pc.match_substring_regex(texts.fill_null(""), _WHOLE).to_numpy(zero_copy_only=False))
+        whole = pc.match_substring_regex(texts.fill_null(""), _WHOLE).to_numpy(zero_copy_only=False).copy()
+        whole[np.searchsorted(offsets, start[foreign], "right") - 1] = True
+        whole = np.flatnonzero(whole)
         if len(whole):
             own = dict(zip(whole.tolist(), self._encode(texts.take(pa.array(whole)).to_pylist())))
             parts = [np.array(own[i], np.uint32) if i in own else ids[first[i] : first[i + 1]] for i in range(len(texts))]

@@ -7,6 +7,7 @@ A word is a maximal run of bytes outside ``\\x20\\x09-\\x0D``; those bytes never
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,50 +32,109 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Every byte value stands for one 64-bit word.
-_BYTE = mix64(np.arange(1, 257, dtype=_U) * _U(_MULT))
+def _mix63(x: np.ndarray) -> np.ndarray:
+    """The same on 63-bit words: one-to-one there."""
+    low = _U((1 << 63) - 1)
+    x = x ^ (x >> _U(31))
+    x = (x * _U(0xD6E8FEB86659FD93)) & low
+    x ^= x >> _U(32)
+    x = (x * _U(0xD6E8FEB86659FD93)) & low
+    return x ^ (x >> _U(32))
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: The lowest k bytes of a 64-bit word.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+#: Codes from here on are hashes; smaller ones stand for one span each.
+HASHED = 1 << 63
+#: Spans up to so many bytes are read in blocks of eight, all at once; longer ones one by one.
+IN_BLOCKS = 512
 
-_powers: dict[str, np.ndarray] = {}
 
+def _eights(data: np.ndarray, slack: bool = False) -> np.ndarray:
+    """The eight bytes from every byte on as a little-endian word; zeros behind the end, where there is no ``slack``."""
+    if not slack:
+        data = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), 0, (1,))
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of an odd base modulo 2^64, and of its inverse; grown by doubling and kept for the worker's life."""
-    have = _powers.get("up")
-    if have is None or len(have) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
-        for name, base in (("up", _MULT), ("down", pow(_MULT, -1, 1 << 64))):
-            out = np.ones(size, _U)
-            filled, step = 1, base
-            while filled < size:
-                take = min(filled, size - filled)
-                out[filled : filled + take] = out[:take] * _U(step)
-                filled += take
-                step = step * step % (1 << 64)
-            _powers[name] = out
-        if size > 1 << 24:  # a giant document's tables don't stay
-            return _powers.pop("up"), _powers.pop("down")
-    return _powers["up"], _powers["down"]
 
+def span_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit code for each of the spans ``data[start:end]``, the same for equal spans everywhere.
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``data[start:end]`` for many spans at once, from one running sum over the bytes."""
-    up, down = _power(len(data))
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(0xA24BAED4963EE407))
+    A span of up to seven bytes has a code of its own, below ``HASHED``. A longer one has a hash: blocks of eight bytes go
+    one after another through a mixing that is not linear. Hashes may collide; :func:`settled` finds out.
+    """
+    eights, size = _eights(data), (end - start).astype(np.int64)
+    first = eights[start] & _BYTES[np.minimum(size, 8)]
+    out = _mix63(first | (size.astype(_U) << _U(56)) & _U(HASHED - 1))
+    long = np.flatnonzero(size > 7)
+    if len(long):
+        s, size = start[long], size[long]
+        h = mix64(first[long] ^ size.astype(_U) * _U(0xA24BAED4963EE407))
+        at, live = 8, np.flatnonzero((size > 8) & (size <= IN_BLOCKS))
+        while len(live):
+            block = eights[s[live] + at] & _BYTES[np.minimum(size[live] - at, 8)]
+            h[live] = mix64(h[live] * _U(_MULT) ^ block)
+            at += 8
+            live = live[size[live] > at]
+        for i in np.flatnonzero(size > IN_BLOCKS).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[s[i] : s[i] + size[i]].data, digest_size=8).digest(), "little")
+        out[long] = h | _U(HASHED)
+    return out
+
+
+def same_spans(x: np.ndarray, xs: np.ndarray, xe: np.ndarray, y: np.ndarray, ys: np.ndarray, ye: np.ndarray, slack: bool = False) -> np.ndarray:
+    """Whether ``x[xs:xe]`` and ``y[ys:ye]`` are the same bytes, for many pairs of spans; ``slack``: y has eight bytes to spare."""
+    size = (xe - xs).astype(np.int64)
+    same = size == ye - ys
+    a = _eights(x)
+    b = a if x is y else _eights(y, slack)
+    at, live = 0, np.flatnonzero(same & (size > 0) & (size <= IN_BLOCKS))
+    while len(live):
+        unlike = ((a[xs[live] + at] ^ b[ys[live] + at]) & _BYTES[np.minimum(size[live] - at, 8)]) != 0
+        same[live[unlike]] = False
+        at += 8
+        live = live[~unlike]
+        live = live[size[live] > at]
+    for i in np.flatnonzero(same & (size > IN_BLOCKS)).tolist():
+        same[i] = np.array_equal(x[xs[i] : xe[i]], y[ys[i] : ye[i]])
+    return same
+
+
+def settled(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """``code`` such that, among these spans, equal codes mean equal bytes.
+
+    Hashed codes are sorted and neighbours of one code compared byte by byte. Where any differ, the spans of that code
+    get codes by their bytes, which no other span here has.
+    """
+    long = np.flatnonzero(code >= _U(HASHED))
+    order = long[np.argsort(code[long], kind="stable")]
+    twin = np.flatnonzero(code[order[1:]] == code[order[:-1]])
+    i, j = order[twin], order[twin + 1]
+    bad = ~same_spans(data, start[i], end[i], data, start[j], end[j])
+    if not bad.any():
+        return code
+    out, taken, names, fresh = code.copy(), set(code[long].tolist()), {}, HASHED
+    for k in long[np.isin(code[long], np.unique(code[i[bad]]))].tolist():
+        raw = data[start[k] : end[k]].tobytes()
+        if raw not in names:
+            while fresh in taken:
+                fresh += 1
+            names[raw], fresh = fresh, fresh + 1
+        out[k] = names[raw]
+    return out
 
 
 class Words(NamedTuple):
-    """The words of some consecutive documents: byte spans in ``data``, their hashes, and each document's first word."""
+    """The words of some consecutive documents: byte spans in ``data``, their codes, and each document's first word."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    hash: np.ndarray
+    code: np.ndarray
     first: np.ndarray  # of each document, and the number of words at the end
 
 
@@ -111,23 +171,77 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     begins[both] = True
     ends[both] = True
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    return Words(data, start, end, span_hashes(data, start, end), np.searchsorted(start, offsets))
+    return Words(data, start, end, span_codes(data, start, end), np.searchsorted(start, offsets))
 
 
-def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every run of ``size`` consecutive words, and each document's first one.
+def plain(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with one space after each, and the byte spans of the words there."""
+    length = words.end - words.start
+    end = (length + 1).cumsum() - 1
+    out = np.full(int(end[-1]) + 1 if len(end) else 0, 0x20, np.uint8)
+    start = end - length
+    owner, at = spread(words.start, length)
+    out[start[owner] + at - words.start[owner]] = words.data[at]
+    return out, start, end
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and value of every element of the runs first[i], first[i] + 1, ... of count[i] elements."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(int(count.sum())) - np.repeat(np.concatenate([[0], count.cumsum()[:-1]]) - first, count) if len(count) else owner
+
+
+def run_codes(code: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of every ``size`` consecutive codes, built from runs of one, two, four and so on."""
+    done, out, power = 0, None, code
+    while size >> done:
+        if size >> done & 1:
+            at = size & ((1 << done) - 1)
+            out = power if out is None else mix64(out[: len(power) - at if at else None] * _U(0xC2B2AE3D27D4EB4F) + power[at:])
+        done += 1
+        if size >> done:
+            step = 1 << done - 1
+            power = mix64(power[:-step] * _U(_MULT) + power[step:]) if len(power) > step else power[:0]
+        if out is not None and not len(power):
+            return out[:0]
+    return out
+
+
+def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, number of words, first shingle of each document) of every run of ``size`` consecutive words.
 
     A document of fewer words gives its whole sequence as one shingle, one without words gives none.
     """
     count = np.diff(words.first)
     have = np.where(count >= size, count - size + 1, np.minimum(count, 1))
     first = np.concatenate([[0], np.cumsum(have)])
-    doc = np.repeat(np.arange(len(count)), have)
-    at = np.arange(first[-1]) - first[doc] + words.first[doc]
-    length = np.minimum(count, size)[doc]
+    doc, at = spread(words.first[:-1], have)
+    return at, np.minimum(count, size)[doc], first
+
+
+def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles, the same for equal shingles everywhere, and each document's first one."""
+    at, length, first = shingles(words, size)
     out = np.zeros(len(at), _U)
-    hashes = np.concatenate([words.hash, np.zeros(size, _U)])
+    codes = np.concatenate([words.code, np.zeros(size, _U)])
     for k in range(size):
         use = k < length
-        out = out * _U(0xC2B2AE3D27D4EB4F) + np.where(use, hashes[at + k] ^ _U(0x165667B19E3779F9 * (k + 1) % (1 << 64)), _U(0))
+        out = out * _U(0xC2B2AE3D27D4EB4F) + np.where(use, codes[at + k] ^ _U(0x165667B19E3779F9 * (k + 1) % (1 << 64)), _U(0))
     return mix64(out + length.astype(_U)), first
+
+
+def shingle_names(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Numbers of all shingles, equal for two of these documents' shingles exactly if the shingles are the same words;
+    each document's first one, and a bound of the numbers."""
+    at, length, first = shingles(words, size)
+    kinds, word = np.unique(settled(words.data, words.start, words.end, words.code), return_inverse=True)
+    base, word = len(kinds) + 1, np.concatenate([word.astype(np.int64) + 1, np.zeros(size, np.int64)])
+    out, bound = np.zeros(len(at), np.int64), 1
+    for k in range(size):
+        if bound * base >= 1 << 62:
+            kinds, out = np.unique(out, return_inverse=True)
+            out, bound = out.astype(np.int64), max(1, len(kinds))
+        out = out * base + np.where(k < length, word[at + k], 0)
+        bound *= base
+    kinds, out = np.unique(out, return_inverse=True)
+    return out.astype(np.int64), first, max(1, len(kinds))

@@ -4,10 +4,15 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from termloom.llm import components, linededup, minhash, superkmer
+from termloom.llm import words as minhash_words
 
 DOCS = "doc_id long, text string, pos string, h long"
 LONG = "A line that is longer than twenty characters"
@@ -107,6 +112,60 @@ def test_window_dedup(spark, monkeypatch):
         assert window_result(rows(spark, pairs), size) == brute_windows(pairs, size)
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_windows_of_colliding_words(spark):
+    """Words on which linear hashes modulo 2^64 collide, as the one that differs."""
+    pairs = []
+    for k, n in enumerate((1024, 2048)):
+        x, y = thue_morse(n)
+        shared = " ".join(f"s{k}w{i}" for i in range(12))
+        pairs += [(4 * k, f"{shared} {x}"), (4 * k + 1, f"{shared} {y}"), (4 * k + 2, f"{x} {shared}"), (4 * k + 3, f"{x} {shared}")]
+    assert window_result(rows(spark, pairs), 13) == brute_windows(pairs, 13)
+
+
+def test_windows_whose_hashes_all_collide(spark, monkeypatch):
+    monkeypatch.setattr(superkmer, "run_codes", lambda code, size: np.zeros(max(0, len(code) - size + 1), np.uint64))
+    rng = random.Random(8)
+    pairs = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs]), pa.array([0] * 40), pa.array([t for _, t in pairs])], names=["d", "m", "t"])
+    sent = [x.as_py() for r in superkmer._send([batch], 5, 1) for x in r.column(2)]
+    dead = {i: set() for i, _ in pairs}
+    for r in superkmer._bucket(sent, 5).to_pylist():
+        dead[r["doc"]].update(range(r["lo"], r["hi"]))
+    assert [len(dead[i]) for i, _ in pairs] == [n for _, _, n, _ in brute_windows(pairs, 5)]
+
+
+def test_one_run_in_every_window(monkeypatch):
+    """A hot minimiser: its bucket is cut again and again, and no bucket that is gathered is larger than the limit."""
+    monkeypatch.setattr(superkmer, "BUCKET_LIMIT", 20_000)
+    rng = random.Random(4)
+    pairs = [(i, " ".join(f"x y z {rng.choice('abcdefghij')}{rng.randrange(30)}" for _ in range(rng.randint(20, 60)))) for i in range(150)]
+    pairs += [(200 + i, pairs[i][1]) for i in range(20)]
+    monkeypatch.setattr(superkmer, "_least", lambda values, span, least=superkmer._least: np.zeros(len(values) - span + 1, np.uint64) if span > 5 else least(values, span))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs]), pa.array([0] * len(pairs)), pa.array([t for _, t in pairs])], names=["d", "m", "t"])
+    level, sent = 0, pa.Table.from_batches(superkmer._send([batch], 13, 1))
+    gathered, gather, dead = [], superkmer._bucket, {i: set() for i, _ in pairs}
+
+    def watched(blobs, size):
+        gathered.append(sum(len(zstandard.ZstdDecompressor().decompress(b)) for b in blobs))
+        return gather(blobs, size)
+
+    monkeypatch.setattr(superkmer, "_bucket", watched)
+    while sent.num_rows:
+        found = pa.Table.from_batches(superkmer._count(sent.sort_by("bucket").to_batches(), 13, level))
+        for r in found.filter(pc.is_valid(found["doc"])).to_pylist():
+            dead[r["doc"]].update(range(r["lo"], r["hi"]))
+        sent, level = found.filter(pc.is_valid(found["packed"])).select(["bucket", "n", "packed"]), level + 1
+    assert level > 1 and max(gathered) <= 20_000
+    assert [len(dead[i]) for i, _ in pairs] == [n for _, _, n, _ in brute_windows(pairs, 13)]
+
+
 def brute_near(pairs, size=5, percent=75):
     sets = []
     for i, t in pairs:
@@ -161,6 +220,35 @@ def test_near_duplicates_of_one_large_group(spark, monkeypatch):
     assert near_result(rows(spark, pairs)) == brute_near(pairs)
 
 
+def test_near_duplicates_of_colliding_words(spark):
+    """Words on which linear hashes modulo 2^64 collide make different sets."""
+    pairs = []
+    for n in (1024, 2048):
+        pairs += [(len(pairs) + k, x) for k, x in enumerate(thue_morse(n))]
+        pairs += [(len(pairs) + k, f"{x} b c d e") for k, x in enumerate(thue_morse(n))]
+    assert near_result(rows(spark, pairs)) == brute_near(pairs)
+
+
+def test_shingles_are_compared_as_words(monkeypatch):
+    monkeypatch.setattr(minhash_words, "span_codes", lambda d, s, e: np.full(len(s), minhash_words.HASHED, np.uint64))
+    texts = ["one two three four five six", "one two three four five seven", "ONE two three four five six", "", "one two"]
+    _, _, data, offsets = next(minhash_words.text_slices(pa.array(texts)))
+    names, first, kinds = minhash_words.shingle_names(minhash_words.words_of(data, offsets, True), 5)
+    sets = [set(names[a:b].tolist()) for a, b in zip(first, first[1:])]
+    assert sets[0] == sets[2] and len(sets[0] & sets[1]) == 1 and len(sets[0] | sets[1]) == 3 and not sets[3] and len(sets[4]) == 1 and max(names) < kinds
+
+
+def test_one_leader_of_many():
+    """A leader's candidates in several groups, in slices that begin amid a group."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(40)]
+    pairs = [(i, " ".join([*base, f"u{i}"] if not i or rng.random() > 0.3 else [rng.choice(base + [f"v{rng.randrange(50)}"]) for _ in base])) for i in range(80)]
+    table = pa.table({"a": [0] * 80, "salt": [0] * 80, "b": [None, *range(1, 80)], "text": [t for _, t in pairs]})
+    got = [r["b"] for r in pa.Table.from_batches(minhash._confirm(iter(table.to_batches(7)), 5, 75)).to_pylist()]
+    link = {i: {tuple(words(lower(t))[k : k + 5]) for k in range(len(words(t)) - 4)} for i, t in pairs}
+    assert got == [i for i in range(1, 80) if 100 * len(link[0] & link[i]) >= 75 * len(link[0] | link[i])] and len(got) > 20
+
+
 def test_null_ids_and_repeated_rows_are_kept(spark):
     t = " ".join(f"w{i}" for i in range(20))
     got = near_result(rows(spark, [(5, t), (5, t), (7, t)]))

@@ -111,3 +111,28 @@ def test_packing(spark):
         assert {r["doc_tokens"] for r in own} == {len(ids)} and {r["offset"] for r in own} == {0}
     assert zlib.crc32(b"") == 0
     assert pow2pack.number_sequences(pow2pack.pieces(docs(spark, []), public_tokenizers.path(name), blanks, 0)).count() == 0
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("name, blanks", FILES)
+@pytest.mark.parametrize("flat", [False, True])
+def test_pieces_that_share_a_code(name, blanks, flat, monkeypatch):
+    """Words on which linear hashes collide, and codes that collide by force: equality is decided by bytes."""
+    import pyarrow as pa
+
+    if flat:
+        real = tokens.span_codes
+        monkeypatch.setattr(tokens, "span_codes", lambda *a: np.where(real(*a) >= np.uint64(tokens.HASHED), np.uint64(tokens.HASHED), real(*a)))
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    own = tokens.Encoder(public_tokenizers.path(name), blanks)
+    column = pa.array([f"{x} b {y} longerword otherword" for n in (1024, 2048) for x, y in (thue_morse(n), thue_morse(n)[::-1])] + ["", "longerword", "otherword and"])
+    for row, end, data, offsets in text_slices(column, 5000):
+        ids, first = own.encode(column.slice(row, end - row), data, offsets)
+        for i in range(end - row):
+            assert ids[first[i] : first[i + 1]].tolist() == whole.encode(column[row + i].as_py(), add_special_tokens=False).ids
