@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LATIN, LanguageProfile
 from ..functions import fixed, text
+from .groups import fields, inside, per_key
 
 
 def tokens(docs: DataFrame, profile: LanguageProfile = LATIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,16 +98,38 @@ def boundary_frequency(token_table: DataFrame, terms: DataFrame, longest: int =
 
 
 def containment(terms: DataFrame, id_col: str = "doc_id", shortest: int = 2) -> DataFrame:
-    """(id, term, container) for terms that are proper substrings of others of the same document.
+    """(id, term, container, container_frequency) for terms that are proper substrings of others of the same document.
 
-    Every container is exploded into its distinct proper substrings, which meet the terms on an equi-join; the work grows
-    with the terms' own lengths and not with the square of their number.
+    ``terms`` holds each term of a document once. A document's terms meet in one task, in one automaton.
     """
-    n = F.length("term")
-    lengths = F.when(n > shortest, F.sequence(F.lit(shortest), n - 1)).otherwise(F.array().cast("array<int>"))
-    parts = F.array_distinct(F.flatten(F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring("term", i, k)))))
-    exploded = terms.select(id_col, F.col("term").alias("container"), F.col("frequency").alias("container_frequency"), F.explode(parts).alias("term"))
-    return exploded.join(terms.select(id_col, "term"), [id_col, "term"])
+    rows = terms.select(id_col, "term", "frequency")
+
+    def work(table: pa.Table) -> pa.Table:
+        pairs = [(i, j) for i, parts in inside(table.column("term").to_pylist(), shortest) for j in parts]
+        whole, part = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
+        container = table.take(whole)
+        return pa.table({id_col: container.column(id_col), "term": table.column("term").take(part), "container": container.column("term"), "container_frequency": container.column("frequency")})
+
+    kinds = dict(rows.dtypes)
+    return per_key(rows, id_col, work, f"{id_col} {kinds[id_col]}, term string, container string, container_frequency {kinds['frequency']}")
+
+
+def with_containers(terms: DataFrame, id_col: str = "doc_id", shortest: int = 2) -> DataFrame:
+    """``terms`` with ``__mean`` and ``__most``: the mean and the largest frequency of a term's containers, null without any."""
+    columns = [id_col, *[c for c in terms.columns if c != id_col]]
+
+    def work(table: pa.Table) -> pa.Table:
+        frequency = table.column("frequency").to_pylist()
+        total, count, most = [0] * len(frequency), [0] * len(frequency), [0] * len(frequency)
+        for i, parts in inside(table.column("term").to_pylist(), shortest):
+            for j in parts:
+                total[j] += frequency[i]
+                count[j] += 1
+                most[j] = max(most[j], frequency[i])
+        mean = pa.array([t / n if n else None for t, n in zip(total, count)], pa.float64())
+        return table.append_column("__mean", mean).append_column("__most", pa.array([m if n else None for m, n in zip(most, count)], pa.int64()))
+
+    return per_key(terms.select(*columns), id_col, work, f"{fields(terms.select(*columns))}, __mean double, __most long").select(*terms.columns, "__mean", "__most")
 
 
 def meaningful_part(part: Column, whole: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .candidates import containment
+from .candidates import with_containers
+from .groups import fields, inside, per_key
 
 
 def top_per(df: DataFrame, k: int, *keys: str, score: str = "score", term: str = "term") -> DataFrame:
@@ -21,26 +22,23 @@ def top(df: DataFrame, k: int, score: str = "score", term: str = "term") -> Data
 
 def substring_penalty(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``penalty``: 0.2 or 0.4 where the most frequent container has over a fifth or a tenth of a term's frequency, else 1."""
-    most = containment(scored, id_col).groupBy(id_col, "term").agg(F.max("container_frequency").alias("__m"))
-    f, m = F.col("frequency"), F.col("__m")
+    f, m = F.col("frequency"), F.col("__most")
     penalty = F.when(m > 0.10 * f, F.when(m / f > 0.2, 0.2).otherwise(0.4)).otherwise(F.lit(1.0))
-    return scored.join(most, [id_col, "term"], "left").withColumn("penalty", penalty).drop("__m")
+    return with_containers(scored, id_col).withColumn("penalty", penalty).drop("__mean", "__most")
 
 
-def _prioritise(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.assign(__n=rows["term"].str.len()).sort_values(["__n", "term"], ascending=[False, True], kind="stable")
-    terms, freq = rows["term"].tolist(), rows["frequency"].tolist()
+def _factors(terms: list[str], frequency: list[int]) -> list[float]:
+    """What is left of each term's score once long terms have penalised the terms they contain."""
     factor, done = [1.0] * len(terms), [False] * len(terms)
-    at: dict[str, int] = {t: i for i, t in enumerate(terms)}
-    for i, long in enumerate(terms):
-        if done[i] or not freq[i] > 3:
+    parts = dict(inside(terms, 1))
+    for i in sorted(parts, key=lambda i: (-len(terms[i]), terms[i])):
+        if done[i] or not frequency[i] > 3:
             continue
-        parts = {long[s:e] for s in range(len(long)) for e in range(s + 1, len(long) + 1)} - {long}
-        for j in sorted(at[p] for p in parts if p in at):
-            if freq[i] > 0.05 * freq[j]:
-                factor[j] *= 0.5 if freq[i] > 0.2 * freq[j] else 0.7
+        for j in parts[i]:
+            if frequency[i] > 0.05 * frequency[j]:
+                factor[j] *= 0.5 if frequency[i] > 0.2 * frequency[j] else 0.7
                 done[j] = True
-    return rows.assign(factor=factor).drop(columns="__n")
+    return factor
 
 
 def compound_priority(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -49,8 +47,11 @@ def compound_priority(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     The order decides, so a document's terms are worked on together; its group is bounded by the document.
     """
     rows = scored.select(id_col, "term", "frequency")
-    schema = f"{id_col} {dict(scored.dtypes)[id_col]}, term string, frequency long, factor double"
-    return rows.groupBy(id_col).applyInPandas(lambda pdf: _prioritise(pdf)[[id_col, "term", "frequency", "factor"]], schema)
+
+    def work(table: pa.Table) -> pa.Table:
+        return table.append_column("factor", pa.array(_factors(table.column("term").to_pylist(), table.column("frequency").to_pylist()), pa.float64()))
+
+    return per_key(rows, id_col, work, f"{fields(rows)}, factor double")
 
 
 def elbow_cutoff(scored: DataFrame, id_col: str = "doc_id", low: int = 20, high: int = 100) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from .candidates import containment
+from .candidates import with_containers
 
 
 def chunk_tfidf(counts: DataFrame, sizes: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -39,10 +39,9 @@ LENGTH_WEIGHT = {1: lambda n: F.log2(n + 1), 2: lambda n: F.log2(n), 3: lambda n
 
 def c_value(terms: DataFrame, variant: int = 1, id_col: str = "doc_id") -> DataFrame:
     """``terms`` with ``c_value`` = weight(length) * (frequency - mean frequency of containers), not below 0."""
-    inside = containment(terms, id_col).groupBy(id_col, "term").agg(F.avg("container_frequency").alias("__mean"))
     weight = LENGTH_WEIGHT[variant](F.length("term"))
     value = F.greatest(F.lit(0.0), weight * (F.col("frequency") - F.coalesce("__mean", F.lit(0.0))))
-    return terms.join(inside, [id_col, "term"], "left").withColumn("c_value", value).drop("__mean")
+    return with_containers(terms, id_col).withColumn("c_value", value).drop("__mean", "__most")
 
 
 def context_words(prefix: Column, suffix: Column, runs: str) -> Column:

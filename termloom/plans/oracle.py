@@ -21,8 +21,11 @@ nch AS (SELECT doc_id, count(*) AS n FROM winx GROUP BY ALL),
 tfi AS (SELECT doc_id, term, (1 + ln(max(tf))) * (ln((any_value(n) + 1) / (count(*) + 1)) + 1) AS tfidf FROM ct JOIN nch USING (doc_id) GROUP BY doc_id, term)"""
 
 
-def _pairs(source: str) -> str:
-    return f"SELECT a.doc_id, a.term, b.term AS container, b.frequency AS cf FROM {source} a JOIN {source} b ON a.doc_id = b.doc_id AND length(b.term) > length(a.term) AND contains(b.term, a.term)"
+def _pairs(source: str, shortest: int = 2) -> str:
+    """(doc_id, term, container, cf): parts of the lengths that a document's terms have, met by equality."""
+    lengths = f"SELECT DISTINCT doc_id, length(term) AS k FROM {source} WHERE length(term) >= {shortest}"
+    parts = f"SELECT doc_id, container, cf, substr(container, i, k) AS term FROM (SELECT c.doc_id, c.term AS container, c.frequency AS cf, k, unnest(range(1, length(c.term) - k + 2)) AS i FROM {source} c JOIN ({lengths}) l ON c.doc_id = l.doc_id AND l.k < length(c.term))"
+    return f"SELECT DISTINCT p.doc_id, p.term, p.container, p.cf FROM ({parts}) p SEMI JOIN {source} a ON p.doc_id = a.doc_id AND p.term = a.term"
 
 
 def _cvalue(weight: str) -> str:
