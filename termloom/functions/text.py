@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
 from . import fixed
 
@@ -51,23 +53,33 @@ def count_apart(s: Column, t: Column) -> Column:
     return F.when(F.length(t) > 0, n).otherwise(0).cast("long")
 
 
+def spans(s: str, t: str, overlapping: bool = False, any_case: bool = False) -> Iterator[tuple[int, int]]:
+    """Where ``t`` is in ``s``, from the left, in one search through it; nowhere if it is empty."""
+    if any_case:
+        yield from (m.span() for m in re.finditer(re.escape(t), s, re.IGNORECASE) if t)
+        return
+    at = s.find(t) if t else -1
+    while at >= 0:
+        yield at, at + len(t)
+        at = s.find(t, at + (1 if overlapping else len(t)))
+
+
+def _places(overlapping: bool):
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def places_of(s: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else [a + 1 for a, _ in spans(x, y, overlapping)] for x, y in zip(s, t)], dtype=object)
+
+    return places_of
+
+
 def places(s: Column, t: Column) -> Column:
     """1-based places of ``t``, overlapping ones included."""
-    last = F.length(s) - F.length(t) + 1
-    every = F.when((last >= 1) & (F.length(t) > 0), F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, lambda i: F.substring(s, i, F.length(t)) == t)
+    return _places(True)(s, t)
 
 
-def places_apart(s: Column, t: Column, most: int | None = None) -> Column:
-    """1-based places of ``t`` that don't overlap, or the first ``most``: running lengths of the parts between them."""
-    parts = F.split(s, F.concat(F.lit("\\Q"), t, F.lit("\\E")), -1 if most is None else most + 1)
-    heads = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    state = F.aggregate(
-        heads,
-        F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at")),
-        lambda acc, p: F.struct((acc["end"] + F.length(p) + F.length(t)).alias("end"), F.concat(acc["at"], F.array(acc["end"] + F.length(p) + 1)).alias("at")),
-    )
-    return state["at"]
+def places_apart(s: Column, t: Column) -> Column:
+    """1-based places of ``t`` that don't overlap."""
+    return _places(False)(s, t)
 
 
 def has_alnum(t: Column) -> Column:
@@ -122,6 +134,12 @@ def sentences_with(s: Column, t: Column, marks: str = "。！？\n", most: int =
     return F.slice(F.filter(parts, lambda x: (F.length(x) > 10) & (F.length(x) < 200) & F.contains(x, t)), 1, most)
 
 
+def shortest_sentence(sentences: Column, t: Column, made: str = "{}について") -> Column:
+    """The shortest of the sentences, the first of equals; one that is made where there is none."""
+    ranked = F.array_sort(F.transform(sentences, lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i"), x.alias("x"))))
+    return F.coalesce(F.get(ranked, F.lit(0))["x"], F.replace(F.lit(made), F.lit("{}"), t))
+
+
 def first_integer(s: Column) -> Column:
     found = F.regexp_extract(s, r"(\d+)", 1)
     return F.when(found != "", found.cast("double"))

@@ -19,12 +19,84 @@ def tokens(docs: DataFrame, profile: LanguageProfile = LATIN, id_col: str = "doc
     return docs.select(F.col(id_col), F.posexplode(found).alias("pos", "term"))
 
 
+#: What one token is: runs of one script (A), runs of scripts that make up words (B), whole words with hyphens (C).
+MODES = {
+    "A": "[ァ-ヴー]+|[一-龥]+|[ぁ-ん]+|[0-9]+|[A-Za-zÀ-ɏ]+",
+    "B": "[ァ-ヴー一-龥]+|[ぁ-ん]+|[0-9A-Za-zÀ-ɏ]+",
+    "C": r"[ァ-ヴー一-龥0-9A-Za-zÀ-ɏ][ァ-ヴー一-龥0-9A-Za-zÀ-ɏ\-]*|[ぁ-ん]+",
+}
+
+
+def tag(term: Column, profile: LanguageProfile = LATIN) -> Column:
+    """A token's kind by its looks: number, particle, suffix, other or noun. A tagger's column may stand in for this."""
+    listed = F.lower(term).isin(*profile.stop_words) if profile.stop_words else F.lit(False)
+    kinds = F.when(term.rlike("^[0-9]+$"), "number").when(listed | term.rlike("^[ぁ-ん]{1,2}$"), "particle")
+    return kinds.when(term.isin(*fixed.JOINING_SUFFIXES), "suffix").when(term.rlike("^[ぁ-ん]+$"), "other").otherwise("noun")
+
+
+def tagged(docs: DataFrame, mode: str = "A", profile: LanguageProfile = LATIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, pos, term, tag): tokens of a mode in order."""
+    found = F.regexp_extract_all(F.col(text_col), F.lit(MODES[mode]), F.lit(0))
+    return docs.select(F.col(id_col), F.posexplode(found).alias("pos", "term")).withColumn("tag", tag(F.col("term"), profile))
+
+
+def single_nouns(tokens_: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, term): distinct nouns of two or more characters that are no digits and no function words."""
+    kept = tokens_.where((F.col("tag") == "noun") & (F.length("term") >= 2) & ~F.col("term").isin(*fixed.FUNCTION_WORDS))
+    return kept.select(id_col, "term").distinct()
+
+
+def multi_mode_nouns(docs: DataFrame, profile: LanguageProfile = LATIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, term, modes): nouns and numbers of two or more characters, and technical terms, in how many modes."""
+    term = F.col("term")
+    out = None
+    for mode in MODES:
+        found = tagged(docs, mode, profile, id_col, text_col)
+        kept = found.where((F.col("tag").isin("noun", "number") & (F.length(term) >= 2)) | text.technical_term(term)).select(id_col, "term", F.lit(mode).alias("mode"))
+        out = kept if out is None else out.unionAll(kept)
+    return out.groupBy(id_col, "term").agg(F.count_distinct("mode").alias("modes"))
+
+
+def noun_runs(tokens_: DataFrame, profile: LanguageProfile = LATIN, id_col: str = "doc_id") -> DataFrame:
+    """(id, run, words): runs of nouns; stop words and numbers end one."""
+    return runs(tokens_, F.col("tag").isin("noun", "suffix") & ~F.col("term").isin(*fixed.STOP_WORDS), id_col)
+
+
+def noun_sequences(run_table: DataFrame, joiner: str = "", sizes: tuple[int, int] = (2, 4), id_col: str = "doc_id") -> DataFrame:
+    """(id, term): whole runs of two to four nouns that make a valid compound."""
+    kept = run_table.where(F.size("words").between(*sizes)).select(id_col, F.array_join("words", joiner).alias("term"))
+    return kept.where(text.valid_compound(F.col("term"))).distinct()
+
+
+def position_ngrams(tokens_: DataFrame, joiner: str = "", most: int = 100, id_col: str = "doc_id") -> DataFrame:
+    """(id, term, rank): nouns of two or more characters and n-grams of two to four nouns in a row, longest first."""
+    nouns = tokens_.where(F.col("tag") == "noun")
+    grams = noun_runs(tokens_, id_col=id_col).select(id_col, F.explode(ngrams(F.col("words"), 2, 4, joiner)).alias("term"))
+    return longest_first(nouns.where(F.length("term") >= 2).select(id_col, "term").unionAll(grams).distinct(), most, id_col)
+
+
+def statistical_candidates(docs: DataFrame, profile: LanguageProfile = LATIN, longest: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, term, frequency) from three sources in one count: every n-gram of a run of nouns, runs of katakana, words of
+    letters and digits; none of one character."""
+    short = compounds(noun_runs(tagged(docs, "A", profile, id_col, text_col), profile, id_col), profile, 1, longest, (2, 2 * longest), id_col=id_col)
+    s = F.col(text_col)
+    kata = docs.select(id_col, F.explode(katakana_runs(s)).alias("term")).where(text.valid_term(F.col("term")))
+    alnum = docs.select(id_col, F.explode(F.regexp_extract_all(s, F.lit(r"[A-Za-z][A-Za-z0-9\-]*[A-Za-z0-9]"), F.lit(0))).alias("term"))
+    both = kata.unionAll(alnum).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("frequency"))
+    every = short.unionByName(both).groupBy(id_col, "term").agg(F.sum("frequency").alias("frequency"))
+    return every.where(F.length("term") > 1)
+
+
 def term_counts(docs: DataFrame, profile: LanguageProfile = LATIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, frequency) of all tokens."""
     found = F.regexp_extract_all(F.col(text_col), F.lit(profile.token), F.lit(0))
     return docs.select(F.col(id_col), F.explode(found).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("frequency"))
 
 
+def katakana_runs(s: Column) -> Column:
+    return F.regexp_extract_all(s, F.lit("[ァ-ヴー]+"), F.lit(0))
+
+
 def pattern_candidates(s: Column) -> Column:
     """Katakana, abbreviations and mixed words of a text, distinct."""
     mixed = F.regexp_extract_all(s, F.lit("[A-Za-z]+[ア-ヴー]+|[ア-ヴー]+[A-Za-z]+"), F.lit(0))
@@ -51,10 +123,12 @@ def ngrams(words: Column, shortest: int, longest: int, joiner: str = "", prefixe
     return F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(words, i, n), joiner))))
 
 
-def compounds(run_table: DataFrame, profile: LanguageProfile = LATIN, shortest: int = 1, longest: int = 10, chars: tuple[int, int] = (2, 20), prefixes_only: bool = False, id_col: str = "doc_id") -> DataFrame:
+def compounds(run_table: DataFrame, profile: LanguageProfile = LATIN, shortest: int = 1, longest: int = 10, chars: tuple[int, int] = (2, 20), prefixes_only: bool = False, id_col: str = "doc_id", stop: tuple[str, ...] = fixed.STOP_WORDS) -> DataFrame:
     """(id, term, frequency) of the n-grams of runs within the bounds on characters that are valid terms."""
+    # n-grams beyond the characters aren't built: each of their words and joiners takes one at least
+    longest = min(longest, (chars[1] + len(profile.joiner)) // (1 + len(profile.joiner)))
     grams = run_table.select(id_col, F.explode(ngrams(F.col("words"), shortest, longest, profile.joiner, prefixes_only)).alias("term"))
-    grams = grams.where(F.length("term").between(*chars) & text.valid_term(F.col("term")))
+    grams = grams.where(F.length("term").between(*chars) & text.valid_term(F.col("term"), stop))
     return grams.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("frequency"))
 
 
@@ -151,6 +225,11 @@ def without(terms: DataFrame, words: tuple[str, ...], col: str = "term") -> Data
     return terms.join(F.broadcast(listed), col, "left_anti")
 
 
+def difference(terms: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
+    """Terms that the others don't hold."""
+    return terms.join(others.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def prefilter(terms: DataFrame) -> DataFrame:
     """No generic or layout words and no single characters, after NFKC."""
     normal = terms.withColumn("__n", text.nfkc(F.col("term"))).where(F.length("__n") > 1)

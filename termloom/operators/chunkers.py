@@ -35,7 +35,7 @@ def sentences(s: Column, mark: str = "。") -> Column:
     return F.filter(F.split(F.replace(s, F.lit("\n"), F.lit(mark)), F.lit("\\Q" + mark + "\\E")), lambda x: F.trim(x) != "")
 
 
-def char_windows(s: str, size: int = 2000, overlap: int = 200, marks: tuple[str, ...] = ("。", "．", "\n", "！", "？", '". "')) -> list[str]:
+def char_windows(s: str, size: int = 2000, overlap: int = 200, marks: tuple[str, ...] = ("。", "．", "\n", "！", "？", ". ")) -> list[str]:
     """Windows of characters that end after the last mark in their second half, marks in order of priority."""
     if not overlap < size // 2:
         raise ValueError("overlap must be under half the size")
@@ -80,17 +80,16 @@ def paragraphs(s: str, size: int = 500, mark: str = "。", fewest: int = 5) -> l
         if not part.strip():
             continue
         if len(part) <= 2 * size:
-            out.append(part.strip())
+            out.append(part)
             continue
         current = ""
         for piece in part.split(mark):
             if not piece.strip():
                 continue
-            piece += mark
             if current and len(current) + len(piece) >= size:
                 out.append(current)
                 current = ""
-            current += piece
+            current += piece + mark
         if current:
             out.append(current)
     if len(out) >= fewest:
@@ -106,13 +105,34 @@ def paragraphs(s: str, size: int = 500, mark: str = "。", fewest: int = 5) -> l
     return [*out, current] if current else out
 
 
-def recursive(s: str, size: int = 500, overlap: int = 50, separators: tuple[str, ...] = ("\n\n", "\n", "。", "、", " ", "")) -> list[str]:
-    """Split at the first separator that occurs, pieces still too long at the next ones, then packed with overlap."""
+def pack_bytes(s: str, size: int = 40000, mark: str = "。") -> list[str]:
+    """The text as it is up to ``size`` UTF-8 bytes; else its sentences packed to less than that, one alone if it must."""
+    if len(s.encode()) <= size:
+        return [s] if s.strip() else []
+    out, current, n = [], "", 0
+    for piece in s.split(mark):
+        piece += mark
+        k = len(piece.encode())
+        if current and n + k >= size:
+            out.append(current)
+            current, n = "", 0
+        current, n = current + piece, n + k
+    return [x for x in [*out, current] if x.strip()]
+
+
+def recursive(s: str, size: int = 500, overlap: int = 50, separators: tuple[str, ...] = ("\n\n", "\n", "。", "、", " ", ""), keep_separator: bool = False) -> list[str]:
+    """Split at the first separator that occurs, pieces still too long at the next ones, then packed with overlap.
+
+    With ``keep_separator`` a separator stays at the head of the piece behind it.
+    """
     sep = next((x for x in separators if x == "" or x in s), "")
     rest = separators[separators.index(sep) + 1 :] if sep in separators else ()
+    parts = s.split(sep) if sep else list(s)
+    if keep_separator and sep:
+        parts, sep = [parts[0], *[sep + x for x in parts[1:]]], ""
     pieces: list[str] = []
-    for piece in s.split(sep) if sep else list(s):
-        pieces += recursive(piece, size, overlap, rest) if len(piece) > size and rest else [piece] if piece else []
+    for piece in parts:
+        pieces += recursive(piece, size, overlap, rest, keep_separator) if len(piece) > size and rest else [piece] if piece else []
     out: list[str] = []
     held: list[str] = []
     for piece in pieces:

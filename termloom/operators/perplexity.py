@@ -16,8 +16,8 @@ def perplexity(logprobs: Column) -> Column:
 
 
 def term_logprob(tokens: Column, term: Column) -> Column:
-    """Mean log probability of the tokens that hold the term or are part of it, -3 for none."""
-    own = F.transform(F.filter(tokens, lambda x: F.contains(x["token"], term) | ((F.trim(x["token"]) != "") & F.contains(term, F.trim(x["token"])))), lambda x: x["logprob"])
+    """Mean log probability of the tokens that hold the term or are part of it as they stand, -3 for none."""
+    own = F.transform(F.filter(tokens, lambda x: F.contains(x["token"], term) | F.contains(term, x["token"])), lambda x: x["logprob"])
     return F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / F.size(own)).otherwise(F.lit(-3.0))
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from .candidates import with_containers
+from .contexts import occurrences
+from .groups import counted, per_key
 
 
 def chunk_tfidf(counts: DataFrame, sizes: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -22,15 +26,35 @@ def chunk_tfidf(counts: DataFrame, sizes: DataFrame, id_col: str = "doc_id") ->
 
 
 def substring_counts(chunks: DataFrame, terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, chunk_id, term, tf): non-overlapping occurrences of each of a document's terms in each of its chunks."""
-    pairs = chunks.join(terms.select(id_col, "term"), id_col).where(F.contains("chunk", "term"))
-    return pairs.select(id_col, "chunk_id", "term", text.count_apart(F.col("chunk"), F.col("term")).alias("tf"))
+    """(id, chunk_id, term, tf): occurrences that don't overlap of each of a document's terms in each of its chunks.
+
+    A document's terms and chunks (id, chunk_id, chunk) meet in one task, its terms in one automaton.
+    """
+    none = F.lit(None)
+    rows = terms.select(id_col, none.cast("int").alias("chunk_id"), F.col("term").alias("s")).unionAll(chunks.select(id_col, F.col("chunk_id").cast("int"), F.col("chunk").alias("s")))
+
+    def work(table: pa.Table) -> pa.Table:
+        is_term = table.column("chunk_id").is_null()
+        words, texts = table.filter(is_term), table.filter(pc.invert(is_term))
+        found = list(counted(words.column("s").to_pylist(), texts.column("s").to_pylist()))
+        at, term, n = (pa.array([x[k] for x in found], pa.int64()) for k in range(3))
+        own = texts.take(at)
+        return pa.table({id_col: own.column(id_col), "chunk_id": own.column("chunk_id"), "term": words.column("s").take(term), "tf": n})
+
+    return per_key(rows, id_col, work, f"{id_col} {dict(rows.dtypes)[id_col]}, chunk_id int, term string, tf long")
+
+
+def word_counts(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``terms`` with ``frequency``: how often the term is a lower-cased run of word characters; 0 for one that is none."""
+    words = docs.select(id_col, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("term"))
+    counts = words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("frequency"))
+    return terms.select(id_col, "term").join(counts, [id_col, "term"], "left").withColumn("frequency", F.coalesce("frequency", F.lit(0).cast("long")))
 
 
 def tfidf_l2(counts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Single-document TF-IDF: counts over their Euclidean norm in the document."""
+    """Single-document TF-IDF: counts over their Euclidean norm in the document; :func:`word_counts` gives the counts."""
     norm = F.sqrt(F.sum(F.col("frequency") * F.col("frequency")).over(Window.partitionBy(id_col)))
-    return counts.withColumn("tfidf", F.col("frequency") / norm)
+    return counts.withColumn("tfidf", F.when(norm > 0, F.col("frequency") / norm).otherwise(F.lit(0.0)))
 
 
 #: Weight of a term's length in each variant of the C-value.
@@ -44,13 +68,24 @@ def c_value(terms: DataFrame, variant: int = 1, id_col: str = "doc_id") -> DataF
     return with_containers(terms, id_col).withColumn("c_value", value).drop("__mean", "__most")
 
 
-def context_words(prefix: Column, suffix: Column, runs: str) -> Column:
+#: Runs of one script that count as context words.
+CONTEXT_RUNS = "[ぁ-ん]+|[ァ-ヴー]+|[一-龥]+|[A-Za-z0-9]+"
+
+
+def context_words(prefix: Column, suffix: Column, runs: str = CONTEXT_RUNS) -> Column:
     """The first three and the last three runs of what stands around an occurrence."""
     words = F.regexp_extract_all(F.concat(prefix, suffix), F.lit(runs), F.lit(0))
     tail = F.when(F.size(words) > 3, F.slice(words, -3, 3)).otherwise(words)
     return F.array_union(F.slice(words, 1, 3), tail)
 
 
+def term_contexts(documents: DataFrame, terms: DataFrame, window: int = 30, id_col: str = "doc_id") -> DataFrame:
+    """(id, term, word): the distinct context words of a term's occurrences, from ``window`` characters on both sides."""
+    listed = documents.join(terms.groupBy(id_col).agg(F.collect_list("term").alias("terms")), id_col)
+    found = occurrences(listed, window, keys=(id_col,))
+    return found.select(id_col, "term", F.explode(context_words(F.col("left"), F.col("right"))).alias("word")).distinct()
+
+
 def neighbours(token_table: DataFrame, span: int = 3, id_col: str = "doc_id") -> DataFrame:
     """(id, term, word): distinct words within ``span`` tokens of a term's occurrences."""
     w = Window.partitionBy(id_col).orderBy("pos")
@@ -109,6 +144,26 @@ def general_idf(terms: DataFrame, total: int = fixed.TOTAL_DOCS) -> DataFrame:
     return out.withColumn("class", kind)
 
 
+def rounded_idf(scored: DataFrame) -> DataFrame:
+    """``idf`` and ``speciality`` with three digits, halves to the even one."""
+    return scored.withColumns({c: F.bround(c, 3) for c in ("idf", "speciality")})
+
+
+def evaluation_summary(rows: DataFrame) -> DataFrame:
+    """Of evaluated terms (similarity, is_unknown, explicitly_unknown, error): unknown ones, of these by words of doubt
+    and by similarity alone, known ones and errors."""
+    bad, unknown = F.col("error").isNotNull(), F.coalesce("is_unknown", F.lit(False))
+    explicit = F.coalesce("explicitly_unknown", F.lit(False))
+    return rows.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(~bad & unknown).alias("unknown"),
+        F.count_if(~bad & unknown & explicit).alias("explicitly_unknown"),
+        F.count_if(~bad & unknown & ~explicit).alias("unknown_by_similarity"),
+        F.count_if(~bad & ~unknown).alias("known"),
+        F.count_if(bad).alias("errors"),
+    )
+
+
 def term_statistics(terms: DataFrame, file_col: str = "doc_id") -> DataFrame:
     """One row about scored terms; counts of an empty table are 0 and its means null."""
     return terms.agg(

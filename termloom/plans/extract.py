@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..operators import candidates, chunkers, contexts, dictionary, graph, perplexity, rank, stats, vectors
+from ..operators import candidates, chunkers, graph, perplexity, rank, stats, vectors
 from ..sources.provider import Provider, embed
 from ..sources.shared import cut
 
@@ -59,7 +59,7 @@ def evaluated_terms(docs: DataFrame, config: EngineConfig | None = None, most: i
     """Entry C without a remote model: statistical score, a perplexity from features, priority and class."""
     config = config or EngineConfig()
     counts = candidates.term_counts(docs, config.profile)
-    both = stats.c_value(counts, 2).join(stats.tfidf_l2(counts).select("doc_id", "term", "tfidf"), ["doc_id", "term"])
+    both = stats.c_value(counts, 2).join(stats.tfidf_l2(stats.word_counts(docs, counts)).select("doc_id", "term", "tfidf"), ["doc_id", "term"])
     scored = both.withColumn("score", F.round(stats.statistical_score(F.col("c_value"), F.col("tfidf"), F.col("frequency")), 9))
     best = rank.top_per(scored, most, "doc_id").withColumn("perplexity", perplexity.from_term(F.col("term"), F.col("frequency")))
     best = best.withColumn("priority_score", F.round(stats.priority_score(F.col("score"), F.col("perplexity"), F.lit(None).cast("double")), 9))
@@ -79,5 +79,3 @@ def dictionary_rows(terms: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     return rows.select(F.col("term").alias("headword"), empty.alias("synonyms"), F.lit("").alias("definition"), F.lit(None).cast("string").alias("category"), "confidence", "source_docs", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
 
-
-__all__ = ["contexts", "dictionary", "dictionary_rows", "evaluated_terms", "graph_terms", "run_statistics", "scored_terms", "statistical_terms", "window_tfidf"]

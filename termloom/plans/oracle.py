@@ -28,8 +28,8 @@ def _pairs(source: str, shortest: int = 2) -> str:
     return f"SELECT DISTINCT p.doc_id, p.term, p.container, p.cf FROM ({parts}) p SEMI JOIN {source} a ON p.doc_id = a.doc_id AND p.term = a.term"
 
 
-def _cvalue(weight: str) -> str:
-    return f"con AS (SELECT doc_id, term, avg(cf) AS m FROM ({_pairs('cnt')}) GROUP BY ALL), cv AS (SELECT c.*, greatest(0.0, {weight} * (c.frequency - coalesce(con.m, 0.0))) AS c_value FROM cnt c LEFT JOIN con USING (doc_id, term))"
+def _cvalue(weight: str, source: str = "cnt") -> str:
+    return f"con AS (SELECT doc_id, term, avg(cf) AS m FROM ({_pairs(source)}) GROUP BY ALL), cv AS (SELECT c.*, greatest(0.0, {weight} * (c.frequency - coalesce(con.m, 0.0))) AS c_value FROM {source} c LEFT JOIN con USING (doc_id, term))"
 
 
 W1, W2, W3 = "log2(length(c.term) + 1)", "log2(length(c.term))", "log2(greatest(2, length(c.term)))"
@@ -60,15 +60,23 @@ def _penalty(source: str) -> str:
 
 PPL = "CAST(least(60.0, greatest(10.0, 20 + CASE WHEN regexp_matches(term, '[A-Z][0-9]|[0-9][A-Z]') THEN 15 ELSE 0 END + CASE WHEN length(term) > 8 THEN 10 WHEN length(term) > 5 THEN 5 ELSE 0 END + CASE WHEN regexp_matches(term, '^[ァ-ヴー]+$') AND length(term) > 4 THEN 8 ELSE 0 END + CASE WHEN frequency = 1 THEN 10 WHEN frequency = 2 THEN 5 ELSE 0 END + CASE WHEN regexp_matches(term, '^[A-Z]{2,}$') THEN 12 ELSE 0 END)) AS DOUBLE)"
 PPT = f"{CNT}, pp AS (SELECT *, {PPL} AS perplexity FROM cnt)"
-EVAL = f"""{CNT}, {_cvalue(W2)},
-l2 AS (SELECT *, frequency / sqrt(sum(frequency * frequency) OVER (PARTITION BY doc_id)) AS tfidf FROM cv),
+L2 = r"wc AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) GROUP BY ALL), lf AS (SELECT cnt.doc_id, cnt.term, coalesce(n, 0) AS n FROM cnt LEFT JOIN wc USING (doc_id, term)), lt AS (SELECT *, CASE WHEN sum(n * n) OVER d > 0 THEN n / sqrt(sum(n * n) OVER d) ELSE 0.0 END AS tfidf FROM lf WINDOW d AS (PARTITION BY doc_id))"
+EVAL = f"""{CNT}, {_cvalue(W2)}, {L2},
+l2 AS (SELECT cv.*, tfidf FROM cv JOIN lt USING (doc_id, term)),
 sc AS (SELECT *, round(0.5 * c_value + 30 * tfidf + 0.2 * ln(frequency + 1), 9) AS score FROM l2),
 tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM sc) WHERE rank <= 100),
 ev AS (SELECT *, round(0.4 * score + 0.4 * (100 - perplexity) + 20 * 0.1, 9) AS priority_score, CASE WHEN perplexity < 30 THEN 'high' WHEN perplexity > 70 THEN 'low' ELSE 'medium' END AS confidence FROM (SELECT *, {PPL} AS perplexity FROM tp))"""
-NC = f"""{CNT}, {_cvalue(W3)},
-nb AS (SELECT DISTINCT a.doc_id, a.term, b.term AS word FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 3 AND a.pos + 3 AND a.pos <> b.pos AND a.term <> b.term),
+
+
+def _nc() -> str:
+    context = "substr(text, greatest(st - 30, 1), least(st - 1, 30)) || substr(text, st + length(term), 30)"
+    return f"""{CNT}, c2 AS (SELECT * FROM cnt WHERE frequency >= 2), {_cvalue(W3, 'c2')}, {places('c2')},
+cw AS (SELECT doc_id, term, regexp_extract_all({context}, '[ぁ-ん]+|[ァ-ヴー]+|[一-龥]+|[A-Za-z0-9]+') AS w FROM pl),
+nb AS (SELECT DISTINCT doc_id, term, unnest(list_concat(list_slice(w, 1, 3), list_slice(w, greatest(len(w) - 2, 1), len(w)))) AS word FROM cw),
 wt AS (SELECT doc_id, term, avg(w) AS m FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, word) AS w FROM nb) GROUP BY ALL),
 nc AS (SELECT cv.*, coalesce(0.8 * c_value + 0.2 * c_value * m, c_value) AS nc_value FROM cv LEFT JOIN wt USING (doc_id, term))"""
+
+
 SENT = f"sen AS (SELECT doc_id, i AS sentence, unnest(list_distinct(regexp_extract_all(s, '{TOKEN}'))) AS term FROM (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '[.!?\\n]+') AS p FROM documents)))"
 COSINE = "list_sum(list_transform(list_zip(a, b), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 NORM = "sqrt(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
@@ -77,10 +85,22 @@ KNN = f"""pr AS (SELECT x.vec_id AS src, y.vec_id AS dst, x.embedding AS a, y.em
 ws AS (SELECT src, dst, {COSINE} / ({NORM.format('a')} * {NORM.format('b')}) AS weight FROM pr),
 kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(weight, 12) DESC, dst) AS r FROM ws WHERE weight >= 0.3) WHERE r <= 12),
 edges AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(weight) AS weight FROM kn GROUP BY 1, 2)"""
-BEST = "bt AS (SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, term) AS k FROM cnt) WHERE k <= {0})"
 GRAMS = f"""{TOK}, nx AS (SELECT doc_id, term AS t1, lower(term) IN ({STOP}) AS s1, lead(term) OVER w AS n2, lead(term, 2) OVER w AS n3, lag(term) OVER w AS p FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 ns AS (SELECT doc_id, t1, CASE WHEN lower(n2) NOT IN ({STOP}) THEN n2 END AS t2, CASE WHEN lower(n2) NOT IN ({STOP}) AND lower(n3) NOT IN ({STOP}) THEN n3 END AS t3, p IS NULL OR lower(p) IN ({STOP}) AS first FROM nx WHERE NOT s1)"""
-PLACES = "pa AS (SELECT doc_id, term, text, string_split(text, term) AS p FROM documents JOIN bt USING (doc_id)), pl AS (SELECT *, CAST(st0 AS BIGINT) AS st FROM (SELECT *, list_sum(list_transform(list_slice(p, 1, k), lambda x: length(x))) + (k - 1) * length(term) + 1 AS st0 FROM (SELECT *, unnest(range(1, len(p))) AS k FROM pa)))"
+
+
+def places(source: str, table: str = "documents", keys: str = "doc_id", lower: bool = False) -> str:
+    """pl(keys, term, text, k, st): the k-th of a term's places that don't overlap, from running lengths of what is between."""
+    t, s = ("lower(text)", "lower(term)") if lower else ("text", "term")
+    return f"""ps AS (SELECT {keys}, term, string_split({t}, {s}) AS p FROM {table} JOIN {source} USING ({keys})),
+pu AS (SELECT {keys}, term, unnest(p) AS part, generate_subscripts(p, 1) AS k, len(p) AS np FROM ps),
+pc AS (SELECT {keys}, term, k, np, CAST(1 + sum(length(part)) OVER (PARTITION BY {keys}, term ORDER BY k) + (k - 1) * length(term) AS BIGINT) AS st FROM pu),
+pl AS (SELECT pc.*, text FROM pc JOIN {table} USING ({keys}) WHERE k < np)"""
+
+
+QUALITY = "CAST(least(1.0, CASE WHEN length(masked_text) < 10 THEN 0.5 WHEN length(masked_text) > 200 THEN 0.8 ELSE 1.0 END * CASE WHEN (instr(masked_text, '[MASK]') - 1) / length(masked_text) < 0.1 OR (instr(masked_text, '[MASK]') - 1) / length(masked_text) > 0.9 THEN 0.7 ELSE 1.0 END * CASE WHEN regexp_matches(masked_text, '[。、]') THEN 1.1 ELSE 1.0 END * CASE WHEN nw < 5 THEN 0.6 WHEN nw > 15 THEN 1.2 ELSE 1.0 END) AS DOUBLE)"
+TARGETS = "tg AS (SELECT doc_id, term FROM cnt WHERE frequency >= 2)"
+STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 HEAD = f"""{CNT}, hw AS (SELECT term AS headword, lower(term) AS key, ['x-' || term, term || '-' || lang] AS synonyms, lang || ' word' AS definition, CASE WHEN lang <> 'en' THEN lang END AS category, source, doc_id AS ord FROM cnt JOIN documents USING (doc_id) WHERE frequency >= 3)"""
 
 
@@ -121,21 +141,21 @@ ORACLE = {
     "word_chunks_multi": f"WITH {WORDS} SELECT doc_id, size, CAST(s // size AS INTEGER) AS chunk_id, CAST(s AS INTEGER) AS start_word, md5(array_to_string(list_slice(w, s + 1, s + size), ' ')) AS chunk_md5 FROM (SELECT doc_id, w, size, unnest(range(0, len(w), size)) AS s FROM wl, (SELECT unnest([500, 100, 20]) AS size))",
     "word_windows_half": f"WITH {WINDOWS} SELECT doc_id, chunk_id, start_word, n_words, md5(chunk) AS chunk_md5 FROM winx",
     "tfidf_chunk": f"WITH {TFIDF} SELECT doc_id, term, round(tfidf, 6) AS tfidf FROM tfi",
-    "tfidf_l2": f"WITH {CNT} SELECT *, round(frequency / sqrt(sum(frequency * frequency) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM cnt",
+    "tfidf_l2": f"WITH {CNT}, {L2} SELECT doc_id, term, n AS frequency, round(tfidf, 6) AS tfidf FROM lt",
     "cvalue_v1": f"WITH {CNT}, {_cvalue(W1)} SELECT doc_id, term, frequency, round(c_value, 6) AS c_value FROM cv",
     "cvalue_v2": f"WITH {CNT}, {_cvalue(W2)} SELECT doc_id, term, frequency, round(c_value, 6) AS c_value FROM cv",
     "cvalue_v3": f"WITH {CNT}, {_cvalue(W3)} SELECT doc_id, term, frequency, round(c_value, 6) AS c_value FROM cv",
     "minmax_blend": f"WITH {SCORED} SELECT doc_id, term, round(score + 2.5e-8, 6) AS score FROM scored",
     "statistical_priority": f"WITH {EVAL} SELECT doc_id, term, round(score + 2.5e-8, 6) AS score, perplexity, round(priority_score + 2.5e-8, 6) AS priority_score, confidence, rank FROM ev",
-    "nc_value": f"WITH {NC} SELECT doc_id, term, round(nc_value, 6) AS nc_value FROM nc",
-    "generic_score": f"WITH {NC} SELECT doc_id, term, round(nc_value * 5 + ln(frequency + 1) * 3 + CASE WHEN length(term) BETWEEN 4 AND 10 THEN 10 WHEN length(term) BETWEEN 11 AND 15 THEN 8 WHEN length(term) BETWEEN 2 AND 3 THEN 3 ELSE 1 END + 5 + CASE WHEN regexp_matches(term, '[A-Z0-9]{{2,}}') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(term, '[ア-ヴー]') THEN 5 ELSE 0 END, 6) AS score FROM nc",
+    "nc_value": f"WITH {_nc()} SELECT doc_id, term, round(nc_value, 6) AS nc_value FROM nc",
+    "generic_score": f"WITH {_nc()} SELECT doc_id, term, round(nc_value * 5 + ln(frequency + 1) * 3 + CASE WHEN length(term) BETWEEN 4 AND 10 THEN 10 WHEN length(term) BETWEEN 11 AND 15 THEN 8 WHEN length(term) BETWEEN 2 AND 3 THEN 3 ELSE 1 END + 5 + CASE WHEN regexp_matches(term, '[A-Z0-9]{{2,}}') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(term, '[ア-ヴー]') THEN 5 ELSE 0 END, 6) AS score FROM nc",
     "substring_penalty": f"WITH {CNT}, c2 AS (SELECT * FROM cnt WHERE frequency >= 2), {_penalty('c2')} SELECT doc_id, term, frequency, CAST(penalty AS DOUBLE) AS penalty FROM pen",
     "elbow_cutoff": f"WITH {SCORED}, {_elbow('scored')} SELECT doc_id, n, elbow, contribution, cutoff FROM cu",
     "prune_parts": f"WITH {CNT}, lost AS (SELECT DISTINCT doc_id, term FROM ({_pairs('cnt')})) SELECT doc_id, term, frequency FROM cnt ANTI JOIN lost USING (doc_id, term) WHERE length(term) >= 3",
     "token_ngrams": f"WITH {GRAMS} SELECT doc_id, term, count(*) AS frequency FROM (SELECT doc_id, t1 AS term FROM ns UNION ALL SELECT doc_id, t1 || ' ' || t2 FROM ns WHERE t2 IS NOT NULL UNION ALL SELECT doc_id, t1 || ' ' || t2 || ' ' || t3 FROM ns WHERE t3 IS NOT NULL) WHERE length(term) BETWEEN 2 AND 60 GROUP BY ALL",
     "compound_prefixes": f"WITH {GRAMS} SELECT doc_id, term, count(*) AS frequency FROM (SELECT doc_id, t1 || ' ' || t2 AS term FROM ns WHERE first AND t2 IS NOT NULL UNION ALL SELECT doc_id, t1 || ' ' || t2 || ' ' || t3 FROM ns WHERE first AND t3 IS NOT NULL) WHERE length(term) BETWEEN 3 AND 60 GROUP BY ALL",
-    "kwic": f"WITH {CNT}, {BEST.format(3)}, {PLACES}, e AS (SELECT *, greatest(st - 50, 1) AS s, least(st + length(term) - 1 + 50, length(text)) AS e FROM pl WHERE k <= 3) SELECT doc_id, term, CAST(k - 1 AS INTEGER) AS ord, CASE WHEN s > 1 THEN '...' ELSE '' END || substr(text, s, e - s + 1) || CASE WHEN e < length(text) THEN '...' ELSE '' END AS context FROM e",
-    "mask_real": f"WITH {CNT}, {BEST.format(1)}, {PLACES}, lr AS (SELECT *, substr(text, greatest(st - 50, 1), least(st - 1, 50)) AS l, substr(text, st + length(term), 50) AS r FROM pl), m AS (SELECT doc_id, term, CAST(k - 1 AS INTEGER) AS ord, string_split(l, '.')[-1] || '[MASK]' || CASE WHEN instr(r, '.') > 0 THEN left(r, instr(r, '.')) ELSE r END AS masked_text FROM lr) SELECT *, round(CAST(least(1.0, CASE WHEN length(masked_text) < 10 THEN 0.5 WHEN length(masked_text) > 200 THEN 0.8 ELSE 1.0 END * CASE WHEN (instr(masked_text, '[MASK]') - 1) / length(masked_text) < 0.1 OR (instr(masked_text, '[MASK]') - 1) / length(masked_text) > 0.9 THEN 0.7 ELSE 1.0 END * CASE WHEN regexp_matches(masked_text, '[。、]') THEN 1.1 ELSE 1.0 END * CASE WHEN nw < 5 THEN 0.6 WHEN nw > 15 THEN 1.2 ELSE 1.0 END) AS DOUBLE), 6) AS quality FROM (SELECT *, len(list_filter(string_split_regex(masked_text, '\\s+'), lambda x: x <> '')) AS nw FROM m)".replace("SELECT *, round(CAST(least", "SELECT doc_id, term, ord, masked_text, round(CAST(least"),
+    "kwic": f"WITH {CNT}, {TARGETS}, {places('tg')}, e AS (SELECT *, greatest(st - 50, 1) AS s, least(st + length(term) - 1 + 50, length(text)) AS e FROM pl WHERE k <= 3) SELECT doc_id, term, CAST(k - 1 AS INTEGER) AS ord, CASE WHEN s > 1 THEN '...' ELSE '' END || substr(text, s, e - s + 1) || CASE WHEN e < length(text) THEN '...' ELSE '' END AS context FROM e",
+    "mask_real": f"WITH {CNT}, {TARGETS}, {places('tg')}, lr AS (SELECT *, substr(text, greatest(st - 50, 1), least(st - 1, 50)) AS l, substr(text, st + length(term), 50) AS r FROM pl), m AS (SELECT doc_id, term, CAST(k - 1 AS INTEGER) AS ord, {STRIP.format("string_split(l, '.')[-1] || '[MASK]' || CASE WHEN instr(r, '.') > 0 THEN left(r, instr(r, '.')) ELSE r END")} AS masked_text FROM lr) SELECT doc_id, term, ord, masked_text, round({QUALITY}, 6) AS quality FROM (SELECT *, len(list_filter(string_split_regex(masked_text, '\\s+'), lambda x: x <> '')) AS nw FROM m)",
     "boundary_frequency": f"WITH {CNT}, tm AS (SELECT doc_id, term FROM cnt WHERE frequency >= 3), g AS (SELECT doc_id, term, 1 AS single FROM tok UNION ALL SELECT doc_id, term || ' ' || nx, 0 FROM (SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM tok) WHERE nx IS NOT NULL), c AS (SELECT doc_id, term, count(*) AS n, max(single) AS single FROM g GROUP BY ALL) SELECT doc_id, term, CAST(greatest(1, coalesce(n, 0) + coalesce(single, 0)) AS BIGINT) AS frequency FROM tm LEFT JOIN c USING (doc_id, term)",
     "longest_terms": f"WITH {CNT} SELECT doc_id, term, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, term) AS rank FROM cnt) WHERE rank <= 100",
     "stopword_anti": f"WITH {CNT} SELECT * FROM cnt WHERE term NOT IN ({STOP})",
@@ -144,7 +164,7 @@ ORACLE = {
     "confidence_dynamic": f"WITH {PPT}, q AS (SELECT quantile_cont(perplexity, 0.7) AS p70, quantile_cont(perplexity, 0.9) AS p90 FROM pp WHERE perplexity <> 50) SELECT CASE WHEN perplexity > p90 THEN 'high_confidence' WHEN perplexity > p70 THEN 'medium_confidence' ELSE 'low_confidence' END AS confidence, count(*) AS n, min(perplexity) AS lowest, max(perplexity) AS highest FROM pp, q GROUP BY 1",
     "hotspots": f"WITH {WORDS}, bl AS (SELECT doc_id, size, CAST(s // size AS INTEGER) AS chunk_id, array_to_string(list_slice(w, s + 1, s + size), ' ') AS chunk FROM (SELECT doc_id, w, size, unnest(range(0, len(w), size)) AS s FROM wl, (SELECT unnest([500, 100, 20]) AS size))), f AS (SELECT *, {_raw_features('chunk')} FROM bl), p AS (SELECT *, least(95.0, 40.0 + CASE WHEN {FEATURES['technical_density']} > 0.3 THEN 20.0 ELSE 0.0 END + CASE WHEN {FEATURES['mixed_ratio']} > 0.2 THEN 15.0 ELSE 0.0 END + CASE WHEN {FEATURES['abbreviations']} > 2 THEN 10.0 ELSE 0.0 END) + length(chunk) / 100 AS perplexity FROM f) SELECT doc_id, size, chunk_id, round(perplexity, 6) AS perplexity, perplexity > round(avg(perplexity) OVER w + 1.5 * stddev_pop(perplexity) OVER w, 9) AS is_hotspot FROM p WINDOW w AS (PARTITION BY doc_id, size)",
     "cooccur_sentence": f"WITH {CNT}, {SENT}, fs AS (SELECT s.* FROM sen s SEMI JOIN (SELECT * FROM cnt WHERE frequency >= 5) USING (doc_id, term)) SELECT x.doc_id, x.term AS a, y.term AS b, count(*) AS n FROM fs x JOIN fs y ON x.doc_id = y.doc_id AND x.sentence = y.sentence AND x.term < y.term GROUP BY ALL",
-    "cooccur_words": f"WITH {CNT}, {WORDS}, wp AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM wl), tg AS (SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, term) AS k FROM cnt WHERE length(term) >= 6) WHERE k <= 2), h AS (SELECT p.doc_id, p.pos, t.term FROM wp p JOIN tg t ON p.doc_id = t.doc_id AND contains(p.word, t.term)), n AS (SELECT h.doc_id, h.term, CASE WHEN p.pos < h.pos THEN 'before' ELSE 'after' END AS side, p.word, count(*) AS n FROM h JOIN wp p ON p.doc_id = h.doc_id AND p.pos BETWEEN h.pos - 5 AND h.pos + 5 AND p.pos <> h.pos GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, term, side ORDER BY n DESC, word) AS rank FROM n) WHERE rank <= 3",
+    "cooccur_words": f"WITH {CNT}, {WORDS}, {TARGETS}, wp AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM wl), hw AS (SELECT w.doc_id, w.word AS at_word, t.term FROM (SELECT DISTINCT doc_id, word FROM wp) w JOIN tg t ON w.doc_id = t.doc_id AND contains(w.word, t.term)), nn AS (SELECT a.doc_id, a.word AS at_word, CASE WHEN b.pos < a.pos THEN 'before' ELSE 'after' END AS side, b.word, count(*) AS n FROM wp a JOIN (SELECT doc_id, word, pos, unnest([-5, -4, -3, -2, -1, 1, 2, 3, 4, 5]) AS d FROM wp) b ON a.doc_id = b.doc_id AND a.pos = b.pos + b.d GROUP BY ALL), n AS (SELECT doc_id, term, side, word, CAST(sum(n) AS BIGINT) AS n FROM nn JOIN hw USING (doc_id, at_word) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, term, side ORDER BY n DESC, word) AS rank FROM n) WHERE rank <= 3",
     "knn_graph": f"WITH {KNN} SELECT src, dst, round(weight, 5) AS weight FROM edges",
     "personalised_weights": "SELECT vec_id AS id, round(pow(label + 1, 0.7) / sum(pow(label + 1, 0.7)) OVER (), 9) AS p FROM embeddings",
     "cosine_pairs": f"WITH {SIM} SELECT vec_id, round(similarity, 6) AS similarity FROM sim",
@@ -157,8 +177,8 @@ ORACLE = {
     "merge_terms": f"WITH {CNT} SELECT term, CAST(sum(frequency) AS BIGINT) AS frequency, round(max(frequency / 10), 6) AS score, arg_max(source || ':' || term, (length(source), -doc_id)) AS definition, count(*) AS n_contexts, arg_min(source, doc_id) AS metadata FROM cnt JOIN documents USING (doc_id) GROUP BY term",
     "merge_headwords": f"WITH {HEAD}, {_merged('m', 'true')} SELECT headword AS key, array_to_string(synonyms, ',') AS synonyms, definition, category, array_to_string(sources, ',') AS source_docs FROM m",
     "dictionary_upsert": f"WITH {HEAD}, {_merged('o', 'ord % 2 = 0')}, {_merged('n', 'ord % 2 = 1')} SELECT coalesce(n.headword, o.headword) AS headword, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.synonyms, []), coalesce(n.synonyms, [])))), ',') AS synonyms, coalesce(nullif(n.definition, ''), o.definition, n.definition) AS definition, coalesce(n.category, o.category) AS category, round(greatest(n.confidence, o.confidence), 6) AS confidence, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.sources, []), coalesce(n.sources, [])))), ',') AS source_docs, n.headword IS NOT NULL AS touched FROM oc o FULL JOIN nc n ON o.headword = n.headword",
-    "dictionary_search": f"WITH {HEAD}, {_merged('o', 'ord % 2 = 0')} SELECT headword, round(confidence, 6) AS confidence FROM oc WHERE headword ILIKE '%TION%' OR list_contains(synonyms, 'TION') ORDER BY confidence DESC, headword LIMIT 10",
-    "dictionary_stats": f"WITH {HEAD}, {_merged('o', 'ord % 2 = 0')} SELECT count(*) AS terms, count(*) FILTER (WHERE len(synonyms) > 0) AS with_synonyms, count(*) FILTER (WHERE coalesce(definition, '') <> '') AS with_definition, count(*) FILTER (WHERE coalesce(category, '') <> '') AS with_category, round(avg(len(synonyms)), 6) AS avg_synonyms FROM o",
+    "dictionary_search": f"WITH {HEAD}, {_merged('o', 'true')} SELECT headword, round(confidence, 6) AS confidence FROM oc WHERE headword ILIKE '%TION%' OR list_contains(synonyms, 'TION') ORDER BY confidence DESC, headword LIMIT 10",
+    "dictionary_stats": f"WITH {HEAD}, {_merged('o', 'true')} SELECT count(*) AS terms, count(*) FILTER (WHERE len(synonyms) > 0) AS with_synonyms, count(*) FILTER (WHERE coalesce(definition, '') <> '') AS with_definition, count(*) FILTER (WHERE coalesce(category, '') <> '') AS with_category, round(avg(len(synonyms)), 6) AS avg_synonyms FROM o",
     "term_statistics": f"WITH {SCORED}, s6 AS (SELECT doc_id, term, frequency, round(score + 2.5e-8, 6) AS score FROM scored) SELECT count(DISTINCT doc_id) AS files, count(*) AS terms, count(DISTINCT term) AS distinct_terms, round(avg(score), 5) AS avg_score, round(max(score), 5) AS max_score, round(min(score), 5) AS min_score, round(avg(frequency), 5) AS avg_frequency, max(frequency) AS max_frequency FROM s6",
     "run_statistics": f"WITH {EVAL}, n AS (SELECT count(*) AS total, count(*) FILTER (WHERE confidence = 'high') AS high, count(*) FILTER (WHERE confidence = 'medium') AS medium, count(*) FILTER (WHERE confidence = 'low') AS low FROM ev) SELECT *, round(coalesce(high / nullif(total, 0), 0.0), 6) AS auto_approved_ratio, round(coalesce((medium + low) / nullif(total, 0), 0.0), 6) AS manual_review_ratio FROM n",
     "review_candidates": f"WITH {EVAL}, g AS (SELECT term, max(priority_score) AS priority_score, min(confidence) AS confidence FROM ev GROUP BY term) SELECT term, round(priority_score + 2.5e-8, 6) AS priority_score, confidence FROM g WHERE confidence IN ('low', 'medium') ORDER BY g.priority_score DESC, term LIMIT 50",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LATIN, EngineConfig
@@ -13,19 +13,7 @@ from ..operators import candidates, chunkers, contexts, dictionary, graph, perpl
 from ..sources import readers
 from ..sources.shared import cut
 from . import extract
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def query(f: Callable) -> Callable:
-    """Register a query of the tables it names as parameters."""
-    names = f.__code__.co_varnames[: f.__code__.co_argcount]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(*[spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names])
-
-    QUERIES[f.__name__] = run
-    return f
+from .registry import query
 
 
 def _r(c, n: int = 6):
@@ -91,7 +79,7 @@ def tfidf_chunk(documents):
 
 @query
 def tfidf_l2(documents):
-    return stats.tfidf_l2(_counts(documents)).select("doc_id", "term", "frequency", _r("tfidf").alias("tfidf"))
+    return stats.tfidf_l2(stats.word_counts(documents, _counts(documents))).select("doc_id", "term", "frequency", _r("tfidf").alias("tfidf"))
 
 
 def _cvalue(variant: int) -> None:
@@ -117,16 +105,21 @@ def statistical_priority(documents):
     return out.select("doc_id", "term", _off_tie("score").alias("score"), "perplexity", _off_tie("priority_score").alias("priority_score"), "confidence", F.col("rank").cast("long").alias("rank"))
 
 
+def _nc(documents: DataFrame) -> DataFrame:
+    """NC-value of terms of the engine's least frequency, by the words around their occurrences."""
+    terms = _counts(documents).where("frequency >= 2")
+    return stats.nc_value(stats.c_value(terms, 3), stats.term_contexts(documents, terms))
+
+
 @query
 def nc_value(documents):
-    scored = stats.c_value(_counts(documents), 3)
-    out = stats.nc_value(scored, stats.neighbours(candidates.tokens(documents)))
+    out = _nc(documents)
     return out.select("doc_id", "term", _r("nc_value").alias("nc_value"))
 
 
 @query
 def generic_score(documents):
-    scored = stats.nc_value(stats.c_value(_counts(documents), 3), stats.neighbours(candidates.tokens(documents)))
+    scored = _nc(documents)
     return scored.select("doc_id", "term", _r(stats.generic_score(F.col("nc_value"), F.col("frequency"), F.col("term"), F.lit(1))).alias("score"))
 
 
@@ -280,22 +273,19 @@ def unknown_terms(embeddings):
     return found.select("vec_id", _r("value").alias("similarity"), F.col("is_unknown").alias("explicit"), "unknown", rank.band(F.col("value")).alias("band"))
 
 
-def _with_targets(documents: DataFrame, found: Callable) -> DataFrame:
-    """(doc_id, term, found) of every target of every document: texts are joined with lists of terms, not copied to each."""
-    terms = _targets(documents).groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
-    each = F.transform("terms", lambda t: F.struct(t.alias("term"), found(F.col("text"), t).alias("found")))
-    return documents.join(terms, "doc_id").select("doc_id", F.inline(each))
+def _with_targets(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, terms): every document with the list of its targets."""
+    return documents.join(_targets(documents).groupBy("doc_id").agg(F.collect_list("term").alias("terms")), "doc_id").select("doc_id", "text", "terms")
 
 
 @query
 def kwic(documents):
-    return _with_targets(documents, contexts.kwic).select("doc_id", "term", F.posexplode("found").alias("ord", "context"))
+    return contexts.occurrences(_with_targets(documents), 50, 3).select("doc_id", "term", "ord", contexts.kwic().alias("context"))
 
 
 @query
 def mask_real(documents):
-    found = _with_targets(documents, lambda s, t: contexts.real_masks(s, t, 50, "."))
-    masks = found.select("doc_id", "term", F.posexplode("found").alias("ord", "masked_text"))
+    masks = contexts.occurrences(_with_targets(documents), 50).select("doc_id", "term", "ord", contexts.real_mask(".").alias("masked_text"))
     return masks.withColumn("quality", _r(contexts.mask_quality(F.col("masked_text"))))
 
 
@@ -417,7 +407,7 @@ def html_text_lines(pages):
 
 @query
 def cursor_chunks(documents):
-    cut = lambda s: chunkers.char_windows(s, 2000, 200, (".", "\n", "!", "?", '". "'))
+    cut = lambda s: chunkers.char_windows(s, 2000, 200, (". ", "\n", "!", "?", "."))
     return chunkers.chunked(documents, cut).select("doc_id", "chunk_id", F.md5("chunk").alias("chunk_md5"), F.length("chunk").cast("long").alias("n_chars"))
 
 
@@ -441,7 +431,9 @@ def sentence_split(documents):
 
 @query
 def kwic_turns(conversations):
-    """Every term of every turn, in context and in any case."""
+    """Every term of every turn, in context and in any case: how many contexts differ, and the first one."""
     terms = F.array_distinct(F.regexp_extract_all("text", F.lit(LATIN.token), F.lit(0)))
-    rows = conversations.select("conv_id", "turn", "text", F.explode(terms).alias("term"))
-    return rows.select("conv_id", "turn", "term", F.size(contexts.kwic_any_case(F.col("text"), F.col("term"))).cast("long").alias("n"), F.md5(F.get(contexts.kwic_any_case(F.col("text"), F.col("term")), F.lit(0))).alias("first_md5"))
+    found = contexts.occurrences(conversations.withColumn("terms", terms), 150, 5, any_case=True, keys=("conv_id", "turn"))
+    found = found.select("conv_id", "turn", "term", "ord", contexts.stripped(contexts.plain_context()).alias("context"))
+    per = found.groupBy("conv_id", "turn", "term").agg(F.count_distinct("context").alias("n"), F.min_by("context", "ord").alias("context"))
+    return per.select("conv_id", "turn", "term", "n", F.md5("context").alias("first_md5"))

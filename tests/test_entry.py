@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from termloom.operators import candidates, dictionary, stats
 from termloom.plans import extract
-from termloom.plans.oracle import ORACLE
-from termloom.plans.queries import QUERIES
+from termloom.plans.catalog import ORACLE, QUERIES
 from termloom.sources import provider
 from termloom.streaming import ingest
 

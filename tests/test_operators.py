@@ -111,10 +111,7 @@ def brute_priority(terms):
 @settings(max_examples=25, deadline=None)
 @given(st.dictionaries(st.text("ab", min_size=1, max_size=5), st.integers(1, 60), min_size=1, max_size=12))
 def test_compound_priority(terms):
-    import pandas as pd
-
-    got = rank._prioritise(pd.DataFrame({"term": list(terms), "frequency": list(terms.values())}))
-    assert dict(zip(got["term"], got["factor"])) == pytest.approx(brute_priority(terms))
+    assert dict(zip(terms, rank._factors(list(terms), list(terms.values())))) == pytest.approx(brute_priority(terms))
 
 
 @pytest.mark.parametrize("n", [1, 19, 20, 21, 120])
@@ -171,6 +168,10 @@ def test_packers():
     assert chunkers.pack_sentences("", 10, 2) == []
     assert chunkers.pack_sentences("aaaa。bbbb。cccc。", 10, 3) == ["aaaa。bbbb。", "cccc。"]
     assert len(chunkers.paragraphs("あ。" * 30)) == 6
+    assert chunkers.paragraphs(" a \n\nb\n\nc\n\nd\n\ne") == [" a ", "b", "c", "d", "e"]
+    assert chunkers.char_windows("a" * 15 + ". " + "b" * 30, 20, 4, (". ",)) == ["a" * 15 + ". ", "aa. " + "b" * 16, "b" * 18]
+    assert chunkers.pack_bytes("ああ。いい。う。", 14) == ["ああ。", "いい。", "う。。"] and chunkers.pack_bytes("ab", 5) == ["ab"]
+    assert chunkers.recursive("aa bb cc", 3, 0, (" ", ""), keep_separator=True) == ["aa", " bb", " cc"]
     assert all(len(c) <= 20 for c in chunkers.recursive("word " * 40, 20, 5))
     with pytest.raises(ValueError):
         chunkers.char_windows("abc", 10, 5)
@@ -193,8 +194,12 @@ def test_runs_and_patterns(spark):
 
 
 def test_contexts(spark):
-    assert one(spark, contexts.kwic(F.lit("0123456789xx0123456789"), F.lit("xx"), 3)) == ["...789xx012..."]
-    assert one(spark, contexts.real_masks(F.lit("あ。い燃料う。え"), F.lit("燃料"))) == ["い[MASK]う。"]
+    found = lambda s, *t, **k: contexts.occurrences(spark.createDataFrame([(1, s, list(t))], "doc_id long, text string, terms array<string>"), **k)
+    assert [r[0] for r in found("0123456789xx0123456789", "xx", window=3).select(contexts.kwic()).collect()] == ["...789xx012..."]
+    assert [r[0] for r in found("あ。い燃料う。え", "燃料").select(contexts.real_mask()).collect()] == ["い[MASK]う。"]
+    assert [r["at"] for r in found("aaaa", "aa", overlapping=True).orderBy("ord").collect()] == [1, 2, 3]
+    assert [(r["found"], r["left"]) for r in found("xAb ab", "aB", "", any_case=True).orderBy("ord").collect()] == [("Ab", "x"), ("ab", "xAb ")]
+    assert found(None, "a").count() == 0
     assert one(spark, contexts.mask_quality(F.lit("[MASK]"))) == pytest.approx(0.5 * 0.7 * 0.6)
     terms = spark.createDataFrame([("燃料",), ("foo",)], "term string")
     assert contexts.template_masks(terms).count() == 8
