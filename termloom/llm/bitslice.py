@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of an index block, queries of a group.
-BLOCK_ROWS, GROUP_QUERIES = 1 << 13, 1 << 10
+#: Rows of an index block and queries of a group: at least, and at most.
+BLOCK_ROWS, GROUP_QUERIES = (1 << 13, 1 << 17), (1 << 10, 1 << 14)
+#: Tiles (a block against a group) that a task slot gets before tiles grow.
+TILES = 4
 #: Queries whose bitmaps are worked on together.
 TOGETHER = 32
 #: Quantised values are longs; a component beyond them is an error.
@@ -175,7 +177,19 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record()
 
 
-def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def tile(n_rows: int, n_queries: int, slots: int) -> tuple[int, int]:
+    """(rows of a block, queries of a group): doubled from the least while tiles suffice, as every row goes to each group
+    and every query to each block. What is shuffled falls with a tile's sides."""
+    block, group = BLOCK_ROWS[0], GROUP_QUERIES[0]
+    while (block, group) != (BLOCK_ROWS[1], GROUP_QUERIES[1]):
+        wider = (2 * block, group) if block < BLOCK_ROWS[1] and (group >= GROUP_QUERIES[1] or block // group <= 8) else (block, 2 * group)
+        if -(-n_rows // wider[0]) * -(-n_queries // wider[1]) < TILES * slots:
+            break
+        block, group = wider
+    return block, group
+
+
+def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS[0]) -> DataFrame:
     """(block, n_attr, width, ids, slices) of quantised rows (id, v), dealt evenly to blocks by a hash of the id."""
     blocks = max(1, -(-rows.count() // block_rows))
     dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "v")
@@ -211,14 +225,14 @@ def _search(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     return pa.table({"query_id": out[:, 0].copy(), "vec_id": out[:, 1].copy(), "score": out[:, 2].copy()})
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def top_k(index: DataFrame, queries: DataFrame, k: int = 5, group_queries: int = GROUP_QUERIES[0]) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` highest inner products, ties to smaller ids, rank from 1.
 
     ``queries(id, v)`` is a stated set. Rows with the query's own id are no candidates. Rows that repeat an id are rows
     of their own; of queries that repeat an id with other vectors each row's best candidates compete.
     """
     queries = queries.distinct()
-    groups = max(1, -(-queries.count() // GROUP_QUERIES))
+    groups = max(1, -(-queries.count() // group_queries))
     blocks = (index.agg(F.max("block")).first()[0] or 0) + 1
     left = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = queries.select(F.col("id").alias("query"), "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import mark, release, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,6 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hangs every label below its smallest neighbour and relabels the edges; edges inside a label vanish.
     A hub is met by partial minima and by plain equi-joins that adaptive execution may split. Nulls and loops are ignored.
     """
+    since = mark()
     links = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     labels = None
     while not links.isEmpty():
@@ -28,6 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             links = links.join(parent.select(F.col("u").alias(end), "p"), end).drop(end).withColumnRenamed("p", end)
         links = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        release(since, labels, links)
     if labels is None:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        release(since)
+        return edges.sparkSession.createDataFrame([], "node long, comp long")
     return labels

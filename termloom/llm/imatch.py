@@ -10,15 +10,19 @@ exploded or shuffled to be fingerprinted.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Share of all documents that a term of the lexicon is found in.
 LOW, HIGH = 0.001, 0.2
-#: Subsets of the lexicon: for each rate r, SEEDS of them that hold a term with probability 2^-r, and the whole lexicon.
+#: Subsets of the lexicon: the whole of it, and for each rate r SEEDS of them that hold a term with probability 2^-r.
 #: A subset tells texts apart by degrees where it holds a few of their terms: short texts have dense ones for that, long
-#: texts sparse ones.
-RATES, SEEDS = (2, 3, 4, 5, 6, 7, 8, 9, 10), 4
+#: texts sparse ones. Subsets of one seed are nested, so each is cut from the one before it.
+RATES, SEEDS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10), 8
+#: Terms that the lexicon holds at most; beyond them it is an error to be met by a higher ``low``.
+MOST_TERMS = 1 << 23
 #: Below so many terms within the band, all terms of a text are its lexicon.
 FEWEST = 3
 _SLOTS = 1 << 16
@@ -41,15 +45,19 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     # gaps between slots are filled, so that a slot is found by its place
     before = F.concat(F.array(F.lit(-1)), F.transform("all", lambda x: x["slot"]))
     dense = F.zip_with("all", F.slice(before, 1, F.size("all")), lambda x, b: F.concat(F.array_repeat(empty, x["slot"] - b - 1), F.array(x["ts"])))
-    return by_slot.select(F.flatten(dense).alias("slots"))
+    size = F.aggregate("all", F.lit(0), lambda n, x: n + F.size(x["ts"]))
+    fits = F.when(size <= MOST_TERMS, F.flatten(dense)).otherwise(F.raise_error(F.lit("the lexicon has too many terms: raise low")).cast("array<array<bigint>>"))
+    return by_slot.select(fits.alias("slots"))
+
+
+def _next(rate: int, seed: int) -> Callable[[Column], Column]:
+    """Whether a term of a seed's subset is in the next sparser one: one bit of the term, or of its hash for later seeds."""
 
+    def in_next(t: Column) -> Column:
+        bits = t if seed < 4 else F.xxhash64(t)
+        return F.shiftrightunsigned(bits, 16 + 10 * (seed % 4) + rate - 1).bitwiseAND(F.lit(1).cast("long")) == 0
 
-def _subset(found: Column, rate: int, seed: int) -> Column:
-    if rate == 0:
-        return F.xxhash64(found)
-    bits = F.lit((1 << rate) - 1).cast("long")
-    subset = F.filter(found, lambda t: F.shiftrightunsigned(t, 16 + 10 * seed).bitwiseAND(bits) == 0)
-    return F.when(F.size(subset) > 0, F.xxhash64(subset))
+    return in_next
 
 
 def fingerprinted(df: DataFrame, slots: Column, text_col: str, out: str) -> DataFrame:
@@ -66,9 +74,14 @@ def fingerprinted(df: DataFrame, slots: Column, text_col: str, out: str) -> Data
     # a scalar subquery may not be written inside a higher-order function; the optimiser inlines this single use of it
     df = df.withColumn("__slots", slots).withColumn("__in", F.transform(F.array("__slots"), lambda table: F.filter("__all", lambda t: listed(table, t)))[0]).drop("__slots")
     df = df.withColumn("__in", F.when(F.size("__in") >= FEWEST, F.col("__in")).otherwise(F.col("__all")))
-    subsets = [_subset(F.col("__in"), r, s) for r in (0, *RATES) for s in range(SEEDS if r else 1)]
+    df = df.withColumns({f"__s{s}": F.col("__in") for s in range(SEEDS)}).withColumn("__p", F.array(F.xxhash64("__in")))
+    # one projection a rate: each subset is cut once from the one before it, and hashed
+    for r in RATES:
+        df = df.withColumns({f"__s{s}": F.filter(f"__s{s}", _next(r, s)) for s in range(SEEDS)})
+        hashes = [F.when(F.size(f"__s{s}") > 0, F.xxhash64(f"__s{s}")) for s in range(SEEDS)]
+        df = df.withColumn("__p", F.concat("__p", F.array(*hashes)))
     own = F.array(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return df.withColumn(out, F.when(F.size("__all") > 0, F.array(*subsets)).otherwise(own)).drop("__all", "__in")
+    return df.withColumn(out, F.when(F.size("__all") > 0, F.col("__p")).otherwise(own)).drop("__all", "__in", "__p", *[f"__s{s}" for s in range(SEEDS)])
 
 
 def printed(prints: Column) -> Column:
@@ -92,8 +105,9 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     if not bounds:
         return F.lit(0)
     step = max(1, round(len(bounds) ** 0.5))
-    coarse = F.array(*map(F.lit, bounds[::step]))
-    fine = F.array(*[F.array(*map(F.lit, bounds[i : i + step])) for i in range(0, len(bounds), step)])
+    listed = lambda xs: "array(" + ", ".join(f"{x}L" if x > -(2**63) else "-9223372036854775807L - 1" for x in xs) + ")"
+    coarse = F.expr(listed(bounds[::step]))
+    fine = F.expr("array(" + ", ".join(listed(bounds[i : i + step]) for i in range(0, len(bounds), step)) + ")")
     c = F.size(F.filter(coarse, lambda b: b <= key))
     return F.when(c == 0, F.lit(0)).otherwise((c - 1) * step + F.size(F.filter(F.get(fine, c - 1), lambda b: b <= key)))
 
@@ -111,7 +125,7 @@ def with_next(df: DataFrame, columns: list[str], id_col: str = "doc_id", tie_col
     buckets = min(MOST_BUCKETS, n // BUCKET_DOCS)
     bounds: list[int] = []
     if buckets > 1:
-        shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+        shares = F.expr("array(" + ", ".join(f"{i / buckets:.17g}D" for i in range(1, buckets)) + ")")
         bounds = sorted(set(df.select(key.alias("k")).agg(F.percentile_approx("k", shares, max(10_000, 4 * buckets)).alias("b")).first()["b"]))
     keyed = keyed.withColumn("__bucket", _bucket(F.col("__key"), bounds))
     heads = df.select(key.alias("k")).groupBy(_bucket(F.col("k"), bounds).alias("b")).agg(F.max("k").alias("__head"))

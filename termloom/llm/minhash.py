@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import written
+from .store import mark, release, written
 from .words import mix64, plain, shingle_hashes, shingle_names, text_slices, words_of
 
 #: 32 bands of 4 minima: a pair at 0.75 is missed with probability (1 - 0.75^4)^32 = 6e-6.
@@ -45,7 +45,7 @@ _B = (_seed[_N:] >> np.uint64(32)).astype(np.uint32)
 #: Elections of leaders before members that are left open are compared in blocks.
 ROUNDS = 3
 
-SIGNATURE = "doc long, n_shingles long, same binary, bands array<long>, bits array<long>"
+SIGNATURE = "doc long, sig long, n_shingles long, same binary, bands array<long>, bits array<long>"
 
 
 def _minima(shingles: np.ndarray) -> np.ndarray:
@@ -73,8 +73,8 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        for row, end, data, offsets in text_slices(batch.column(1)):
+        ids, sigs = batch.column(0), batch.column(1)
+        for row, end, data, offsets in text_slices(batch.column(2)):
             words = words_of(data, offsets, lower=True)
             names, first, kinds = shingle_names(words, size)
             hashes, _ = shingle_hashes(words, size)
@@ -90,13 +90,18 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             text, start, stop = plain(words)
             lo = np.append(start, len(text))[words.first]
             same = [hashlib.sha256(text[a:b].data).digest()[:SAME_BYTES] if a < b else None for a, b in zip(lo[:-1].tolist(), lo[1:].tolist())]
-            columns = [ids.slice(row, n), pa.array(np.diff(edge)), pa.array(same, pa.binary()), _lists(bands), _lists(bits)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_shingles", "same", "bands", "bits"])
+            columns = [ids.slice(row, n), sigs.slice(row, n), pa.array(np.diff(edge)), pa.array(same, pa.binary()), _lists(bands), _lists(bits)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "sig", "n_shingles", "same", "bands", "bits"])
 
 
 def signatures(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: set size, digest of the words in order (null for none), band keys and packed low bits."""
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda it: _sign(it, size), SIGNATURE)
+    """One row per row of ``docs``: a hash of its text that tells rows of one id apart, set size, digest of the words in
+    order (null for none), band keys and packed low bits."""
+    return docs.select(F.col(id_col).cast("long").alias("doc"), row_hash(F.col(text_col)).alias("sig"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda it: _sign(it, size), SIGNATURE)
+
+
+def row_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def floor_of_estimate(threshold: float, sigmas: float = 6.0) -> int:
@@ -303,20 +308,39 @@ def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row: documents linked at 100 * both >= percent * either.
+    """(doc_id, n_shingles, component_id, kept, sig) for every row: documents linked at 100 * both >= percent * either.
 
     Texts without words (null, empty) have the empty set and link with nothing. Rows that repeat an id follow their own
-    text; a null id is never linked, its component is null and it is kept. An empty table gives an empty result. Other
-    columns don't matter.
+    text, which ``sig`` tells; a null id is never linked, its component is null and it is kept. An empty table gives an
+    empty result. Other columns don't matter.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     signed = written(signatures(docs, size, "doc", "text"), "signatures")
+    several = signed.where("doc IS NOT NULL").groupBy("doc").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi")
+    if several.isEmpty():
+        return _near(docs, signed, size, percent).withColumnRenamed("doc", id_col)
+    # ids with several texts: each such row is a node of its own, and components take the smallest id of their rows
+    several = written(several.select("doc"), "several")
+    top = docs.agg(F.max("doc")).first()[0]
+    flagged = docs.join(several.withColumn("flag", F.lit(True)), "doc", "left")
+    named = written(flagged.withColumn("own", F.when(F.col("flag"), F.monotonically_increasing_id() + F.lit(top) + 1).otherwise(F.col("doc"))), "named")
+    docs = named.select(F.col("own").alias("doc"), "text")
+    found = _near(docs, written(signatures(docs, size, "doc", "text"), "signatures"), size, percent)
+    found = found.join(named.where("flag").select(F.col("own").alias("doc"), F.col("doc").alias("real")), "doc", "left").withColumn("real", F.coalesce("real", "doc"))
+    found = written(found, "found")
+    least = found.groupBy("component_id").agg(F.min("real").alias("least"))
+    out = found.join(least, "component_id", "left").select(F.col("real").alias(id_col), "n_shingles", F.col("least").alias("component_id"), "sig")
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))).select(id_col, "n_shingles", "component_id", "kept", "sig")
+
+
+def _near(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc, n_shingles, component_id, kept, sig) of rows of which those of one id have one text."""
     sets = signed.where("same IS NOT NULL AND doc IS NOT NULL").groupBy("same")
     sets = written(sets.agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "sets")
     members = sets.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = written(_salted(members, buckets).withColumn("comp", F.col("rep")), "buckets")
-    comps = None
+    comps, since = None, mark()
     for _ in range(ROUNDS):
         leaders = rows.groupBy("key").agg(F.min(F.struct("rep", "comp")).alias("l")).select("key", "l.*").toDF("key", "leader", "leader_comp")
         met = written(_salted(rows, leaders), "met")
@@ -324,12 +348,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
         comps = _joined(comps, _confirmed(stars, sets, docs, size, percent))
         # a leader has met all the others: those go on without it
         rows = _in_components(met.where("rep <> leader").select("key", "rep"), comps)
+        release(since, comps, rows)
         if rows.isEmpty():
             break
     else:
         comps = _joined(comps, _confirmed(_open_pairs(rows, sets, docs, size, percent), sets, docs, size, percent))
+        release(since, comps)
     of_set = sets.select("same", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("comp", "rep").alias("comp"))
-    out = signed.select("doc", "n_shingles", "same").join(of_set, "same", "left")
+    out = signed.select("doc", "sig", "n_shingles", "same").join(of_set, "same", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc").isNotNull(), F.col("comp"))).otherwise(F.col("doc"))
-    out = out.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    out = out.select("doc", "n_shingles", component.alias("component_id"), "sig")
+    return out.withColumn("kept", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True))).select("doc", "n_shingles", "component_id", "kept", "sig")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that near_duplicates' result keeps, rows that repeat both id and text once. All columns stay."""
+    found = written(found, "near")
+    rows = docs.withColumn("__sig", row_hash(F.col(text_col)))
+    at = lambda x: rows[id_col].eqNullSafe(x["__doc"]) & (rows["__sig"] == x["__of"])
+    named = lambda x: x.select(F.col(id_col).alias("__doc"), F.col("sig").alias("__of"))
+    gone = named(found.where("NOT kept"))
+    again = written(named(found.where("kept")).groupBy("__doc", "__of").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")
+    left = rows.join(gone, at(gone), "left_anti")
+    if not again.isEmpty():
+        rows = left
+        left = rows.join(again, at(again), "left_anti").unionByName(rows.join(again, at(again), "left_semi").dropDuplicates([id_col, "__sig"]))
+    return left.drop("__sig")

@@ -16,8 +16,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hash buckets of an epoch's order: three hexadecimal digits.
-DIGITS = 3
+#: Documents of a leaf in one hash bucket of an epoch's order, on average and at most; digits of a bucket's name.
+BUCKET_DOCS, DIGITS = 1000, 3
 
 Path = tuple[str | None, ...]
 Tree = Mapping[str | None, tuple[int, "Tree | None"]]
@@ -65,6 +65,12 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def first_tokens(text: Column, n: Column) -> Column:
+    """A text up to the end of its ``n``-th word."""
+    parts = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", (n + 1).cast("int"))
+    return F.array_join(F.slice(parts, F.lit(1), n.cast("int")), "")
+
+
 def _at_leaves(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of a broadcast table of leaves; a null name is a name like others."""
     named = table.withColumnsRenamed({c: f"__{c}" for c in LEVELS})
@@ -86,15 +92,18 @@ def mix(docs: DataFrame, tree: Tree, levels: tuple[Column, Column, Column], shar
     named = docs.withColumns(dict(zip(LEVELS, levels))).withColumn("tokens", n_tokens(F.col(text_col)))
     paths = leaves(tree)
     names = spark.createDataFrame(paths, "domain string, language string, origin string")
-    supply = _at_leaves(named.groupBy(*LEVELS).agg(F.sum("tokens").alias("n")), names)
-    have = {tuple(r[c] for c in LEVELS): r["n"] for r in supply.collect()}
+    supply = _at_leaves(named.groupBy(*LEVELS).agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("docs")), names).collect()
+    have = {tuple(r[c] for c in LEVELS): r["n"] for r in supply}
+    digits = DIGITS  # the bucket in which a prefix ends is sorted in one task: its size doesn't follow the leaf's
+    while 16**digits * BUCKET_DOCS < max((r["docs"] for r in supply), default=0):
+        digits += 1
     budget = sum(have.values()) * round(share * 1_000_000) // 1_000_000
     given = allocate(tree, {path: n * epochs for path, n in have.items()}, budget)
     parts = [(*path, *divmod(given.get(path, 0), have[path])) for path in paths if have.get(path)]
     plan = spark.createDataFrame(parts, "domain string, language string, origin string, full_epochs long, rest long")
     key = F.concat_ws("|", F.lit(str(seed)), F.col("full_epochs").cast("string"), F.col(id_col).cast("string"))
     named = named.drop("full_epochs", "rest", "last_tokens")
-    rows = _at_leaves(named, plan).withColumn("__h", F.md5(key)).withColumn("__b", F.substring("__h", 1, DIGITS))
+    rows = _at_leaves(named, plan).withColumn("__h", F.md5(key)).withColumn("__b", F.substring("__h", 1, digits))
     sums = rows.groupBy(*LEVELS, "rest", "__b").agg(F.sum("tokens").alias("n"))
     upto = sums.withColumn("before", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("__b")) - F.col("n"))
     ends = upto.where("before < rest AND before + n >= rest").select(*LEVELS, F.col("__b").alias("__end"), F.col("before").alias("__base"))

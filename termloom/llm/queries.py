@@ -34,6 +34,7 @@ def mix_levels() -> tuple[Column, Column, Column]:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken to target weights; see :func:`mixing.mix` for nulls, repeats and empty tables."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     taken = mixing.mix(docs, MIX, mix_levels(), share=0.6, epochs=4, seed=7)
     return taken.select("doc_id", "domain", "lang", "source", "tokens", "full_epochs", "last_tokens")
@@ -82,6 +83,8 @@ FROM placed WHERE full_epochs > 0 OR greatest(0, least(tokens, rest - before)) >
 
 
 def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text. Null texts are empty; rows that repeat an id follow one another
+    by a hash of their texts; of an empty table nothing is returned."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     slots = imatch.lexicon(docs).scalar()
     rows = imatch.fingerprinted(docs, slots, "text", "prints").withColumn("tie", F.xxhash64("text"))
@@ -101,9 +104,12 @@ def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bitslice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stated query's best rows; see :func:`bitslice.quantised` and :func:`bitslice.top_k` for nulls, repeats and ties."""
     rows = written(bitslice.quantised(_table(spark, sf_dir, "embeddings"), 256, "vec_id", "embedding"), "vectors")
-    index = written(bitslice.build_index(rows), "slices")
-    return bitslice.top_k(index, rows.where("id % 50 = 0"), 5).select(F.col("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    asked = rows.where("id % 50 = 0")
+    block, group = bitslice.tile(rows.count(), asked.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    index = written(bitslice.build_index(rows, block), "slices")
+    return bitslice.top_k(index, asked, 5, group).select(F.col("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 OP3_SQL = """
@@ -117,6 +123,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the lines that a larger document repeats; see :func:`linededup.dedup_lines` for nulls and repeats."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
@@ -137,30 +144,77 @@ GROUP BY l.r, l.doc_id
 """
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    """Near-duplicate components of whole texts; see :func:`minhash.near_duplicates` for nulls, repeats and empty tables."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("sig")
 
 
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to the archive and put together again; ``record_sha256`` is the digest of its bytes.
+    See :func:`warc.write_archive` for nulls, repeated and empty payloads."""
     records = warc.read_archive(warc.write_archive(_table(spark, sf_dir, "pages")))
-    return records.select("page_id", F.length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-
-
-OP5_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
-q AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
-r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS owner FROM q)
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes < 100 OR page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN payload_bytes < 100 OR page_id = owner THEN NULL ELSE owner END AS refers_to
-FROM r
+    return records.select("page_id", F.length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", F.sha2("record", 256).alias("record_sha256"))
+
+
+def _record_id(page: str) -> str:
+    h = f"md5('termloom|' || coalesce({page}::VARCHAR, '') || '|' || payload_digest)"
+    part = lambda at, n: f"substr({h}, {at}, {n})"
+    return f"'<urn:uuid:' || {part(1, 8)} || '-' || {part(9, 4)} || '-3' || {part(14, 3)} || '-8' || {part(18, 3)} || '-' || {part(21, 12)} || '>'"
+
+
+_CRLF = "chr(13) || chr(10)"
+OP5_SQL = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, encode(coalesce(html, '')) AS body FROM pages),
+q AS (SELECT page_id, url, html, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS owner FROM q),
+k AS (SELECT *, CASE WHEN payload_bytes < 100 OR page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+             'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || payload_bytes || {_CRLF} || {_CRLF} AS http FROM r),
+h AS (SELECT *, array_to_string(list_filter([
+  'WARC/1.1', 'WARC-Type: ' || record_type, 'WARC-Record-ID: ' || {_record_id('page_id')}, 'WARC-Date: {warc.NO_DATE}',
+  'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A'), 'Content-Type: application/http;msgtype=response',
+  'WARC-Payload-Digest: sha256:' || payload_digest,
+  CASE WHEN record_type = 'revisit' THEN 'WARC-Refers-To: ' || {_record_id('owner')} END,
+  CASE WHEN record_type = 'revisit' THEN 'WARC-Profile: {warc.PROFILE}' END,
+  'Page-ID: ' || coalesce(page_id::VARCHAR, ''),
+  CASE WHEN record_type = 'revisit' THEN 'Refers-To-Page-ID: ' || owner END,
+  'Content-Length: ' || (length(http) + CASE WHEN record_type = 'revisit' THEN 0 ELSE payload_bytes END)
+], lambda x: x IS NOT NULL), {_CRLF}) || {_CRLF} || {_CRLF} || http AS header FROM k)
+SELECT page_id, payload_bytes, payload_digest, record_type, CASE WHEN record_type = 'revisit' THEN owner END AS refers_to,
+       sha256(header || CASE WHEN record_type = 'response' THEN html ELSE '' END || {_CRLF} || {_CRLF}) AS record_sha256
+FROM h
 """
 
 
 def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the windows of words that a smaller document repeats; see :func:`superkmer.dedup_windows`."""
     return superkmer.dedup_windows(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+o AS (SELECT k, min(doc_id) AS owner FROM g GROUP BY k),
+c AS (SELECT DISTINCT doc_id, i + d AS pos FROM (SELECT g.doc_id, g.i, unnest(range(13)) AS d FROM g JOIN o USING (k) WHERE owner < doc_id)),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
+l AS (SELECT p.doc_id, count(*) AS n_words, count(c.pos) AS n_removed, string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE c.pos IS NULL) AS kept
+      FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.pos = c.pos GROUP BY p.doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN l USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM g a JOIN g b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 75 * (x.n + y.n - both_)),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b),
+k AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(k.c, w.doc_id) AS component_id, coalesce(k.c, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learnt from the rows that are not held out; see :func:`langid.predict`."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
     return langid.predict(docs, langid.profiles(docs.where("NOT held_out")), keep=("doc_id", "held_out"))
 
@@ -173,15 +227,17 @@ def tokenizer_file(name: str) -> str:
 
 
 def op8_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, written to files and read back; see :func:`simple8b.write_ids` for nulls and repeats."""
     files = simple8b.write_ids(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), blanks=False, end_id=1)
     return simple8b.read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op9_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of binary length of every text; see :func:`pow2pack.pieces` for nulls and repeats."""
     found = pow2pack.pieces(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), blanks=True, end_id=0)
     found = pow2pack.number_sequences(found.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_imatch_fingerprints": op2_imatch_fingerprints, "op3_bitslice_topk": op3_bitslice_topk, "op4_line_dedup": op4_line_dedup, "op5_warc_archive": op5_warc_archive, "op6_superkmer_dedup": op6_superkmer_dedup, "op7_language_id": op7_language_id, "op8_simple8b_ids": op8_simple8b_ids, "op9_pow2_packing": op9_pow2_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
-ORACLE = {"op1_mix_sources": OP1_SQL, "op3_bitslice_topk": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_warc_archive": OP5_SQL}
+ORACLE = {"op1_mix_sources": OP1_SQL, "op3_bitslice_topk": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_warc_archive": OP5_SQL, "op6_superkmer_dedup": OP6_SQL, "op10_minhash_near_dedup": OP10_SQL}

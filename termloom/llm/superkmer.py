@@ -267,7 +267,8 @@ def repeated_ranges(docs: DataFrame, size: int = 13, id_col: str = "doc_id", tex
     rows = rows.select(F.col(id_col).cast("long").alias("doc"), F.crc32(F.col(text_col).cast("binary")).alias("mark"), F.col(text_col).alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-n_bytes // BUCKET_BYTES))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a task for each bucket as long as they are few, so that a task's share doesn't follow the input
+    n = max(1, min(buckets, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     sent, out, level = rows.mapInArrow(lambda it: _send(it, size, buckets), SENT), None, 0
     while True:
         dealt = sent.repartitionById(n, F.pmod(F.xxhash64("bucket") if level else F.col("bucket"), F.lit(n)).cast("int")).sortWithinPartitions("bucket")

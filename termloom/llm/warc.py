@@ -31,21 +31,48 @@ class Archive:
     payloads: DataFrame
 
 
-def _header(kind: Column) -> Column:
-    """A WARC/1.1 header block in full, blank line included; line breaks in a URL are percent-coded."""
+#: The date of records whose capture time isn't known.
+NO_DATE = "1970-01-01T00:00:00Z"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def record_id(page: Column, digest: Column) -> Column:
+    """A name-based UUID of a page and its payload."""
+    h = F.md5(F.concat(F.lit("termloom|"), page, F.lit("|"), digest))
+    part = lambda at, n: F.substring(h, at, n)
+    return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-3"), part(14, 3), F.lit("-8"), part(18, 3), F.lit("-"), part(21, 12), F.lit(">"))
+
+
+def http_header(n_bytes: Column) -> Column:
+    """The header of the response that a payload is taken to be from."""
+    lines = [F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), n_bytes.cast("string"))]
+    return F.concat(F.array_join(F.array(*lines), CRLF), F.lit(CRLF + CRLF))
+
+
+def _header(kind: Column, date: str) -> Column:
+    """A WARC/1.1 header and the HTTP header behind it, blank lines included; line breaks in a URL are percent-coded.
+
+    A revisit holds the HTTP header alone. The page's number is a field of its own.
+    """
     url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    page, owner = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("page_id", "owner"))
+    http, revisit = http_header(F.col("n_bytes")), kind == "revisit"
+    named = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     lines = [
         F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), kind),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), page, F.lit(">")),
-        F.concat(F.lit("WARC-Target-URI: "), url),
-        F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
-        F.when(kind == "revisit", F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("owner").cast("string"), F.lit(">"))),
-        F.when(kind == "revisit", F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.concat(F.lit("Content-Length: "), F.when(kind == "revisit", F.lit("0")).otherwise(F.col("n_bytes").cast("string"))),
+        named("WARC-Type", kind),
+        named("WARC-Record-ID", record_id(page, F.col("digest"))),
+        named("WARC-Date", F.lit(date)),
+        named("WARC-Target-URI", url),
+        named("Content-Type", F.lit("application/http;msgtype=response")),
+        named("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
+        F.when(revisit, named("WARC-Refers-To", record_id(owner, F.col("digest")))),
+        F.when(revisit, named("WARC-Profile", F.lit(PROFILE))),
+        named("Page-ID", page),
+        F.when(revisit, named("Refers-To-Page-ID", owner)),
+        named("Content-Length", (F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("n_bytes"))).cast("string")),
     ]
-    return F.concat(F.array_join(F.array_compact(F.array(*lines)), CRLF), F.lit(CRLF + CRLF))
+    return F.concat(F.array_join(F.array_compact(F.array(*lines)), CRLF), F.lit(CRLF + CRLF), http)
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +104,10 @@ def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(payloads, pa.binary())], names=["header", "payload"])
 
 
-def write_archive(pages: DataFrame, least: int = 100) -> Archive:
+def write_archive(pages: DataFrame, least: int = 100, date: str = NO_DATE) -> Archive:
     """Write the records of ``pages(page_id, url, html)``.
 
-    Null html is an empty payload, a null url an empty one. Rows that repeat a page id and a payload are alike. A null
+    ``date`` is the records' time of capture. Null html is an empty payload, a null url an empty one. Rows that repeat a page id and a payload are alike. A null
     page id sorts last: it is a response only where no other page has the payload, and nothing refers to it.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -91,7 +118,7 @@ def write_archive(pages: DataFrame, least: int = 100) -> Archive:
     owned = facts.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int")).join(owners_at, ["digest", "salt"])
     first = (F.col("n_bytes") < least) | F.col("owner").isNull() | F.coalesce(F.col("page_id") == F.col("owner"), F.lit(False))
     kind = F.when(first, F.lit("response")).otherwise(F.lit("revisit"))
-    headers = written(owned.select("page_id", "digest", _header(kind).alias("header")), "headers")
+    headers = written(owned.select("page_id", "digest", _header(kind, date).alias("header")), "headers")
     stored = pages.select(payload.alias("payload")).mapInArrow(_compress, "digest string, stored binary")
     return Archive(headers, written(stored.groupBy("digest").agg(F.first("stored").alias("stored")), "payloads"))
 
@@ -99,7 +126,7 @@ def write_archive(pages: DataFrame, least: int = 100) -> Archive:
 def read_archive(archive: Archive) -> DataFrame:
     """(page_id, url, record_type, payload_digest, refers_to, payload, record): every record, put together and verified.
 
-    ``record`` is what a WARC file holds: header, the payload unless the record revisits, and two line breaks. A payload
+    ``record`` is what a WARC file holds: headers, the payload unless the record revisits, and two line breaks. A payload
     that does not have its digest, or is missing, is an error.
     """
     # a digest that very many headers share lies on the left side only, where adaptive execution may split it
@@ -115,11 +142,11 @@ def read_archive(archive: Archive) -> DataFrame:
     body = F.when(kind == "response", F.col("payload")).otherwise(F.lit(b""))
     record = F.concat(F.encode("header", "UTF-8"), body, F.lit((CRLF + CRLF).encode()))
     return rows.select(
-        named("WARC-Record-ID", "<urn:page:(-?[0-9]+)>").cast("long").alias("page_id"),
+        named("Page-ID", "(-?[0-9]+)").cast("long").alias("page_id"),
         F.regexp_extract("header", r"\r\nWARC-Target-URI: ([^\r\n]*)\r\n", 1).alias("url"),
         kind.alias("record_type"),
         named("WARC-Payload-Digest", "sha256:([0-9a-f]{64})").alias("payload_digest"),
-        named("WARC-Refers-To", "<urn:page:(-?[0-9]+)>").cast("long").alias("refers_to"),
+        named("Refers-To-Page-ID", "(-?[0-9]+)").cast("long").alias("refers_to"),
         "payload",
         record.alias("record"),
     )

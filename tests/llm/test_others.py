@@ -3,10 +3,13 @@
 import hashlib
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -78,6 +81,13 @@ def test_fingerprints(spark):
     assert imatch.fingerprinted(df.limit(0), slots, "text", "p").count() == 0
 
 
+def test_a_lexicon_beyond_its_bound_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "MOST_TERMS", 3)
+    df = spark.createDataFrame([(i, "a b c d") for i in range(4)], "doc_id long, text string")
+    with pytest.raises(Exception, match="raise low"):
+        imatch.fingerprinted(df, imatch.lexicon(df, low=0.1, high=1.0).scalar(), "text", "p").collect()
+
+
 @pytest.mark.parametrize("n, size", [(1, 1000), (2, 1000), (50, 3), (50, 1000)])
 def test_next_rows(spark, monkeypatch, n, size):
     monkeypatch.setattr(imatch, "BUCKET_DOCS", size)
@@ -104,6 +114,13 @@ def brute_top(rows, ask, k):
     return sorted(out)
 
 
+def test_tiles_grow_with_the_table():
+    assert bitslice.tile(500, 10, 8) == (1 << 13, 1 << 10)
+    block, group = bitslice.tile(10**9, 2 * 10**7, 1000)
+    assert (block, group) == (1 << 17, 1 << 14)
+    assert all(-(-n // b) * -(-n // 50 // g) >= 4 * 200 or (b, g) == (1 << 13, 1 << 10) for n in (10**5, 10**7, 10**8) for b, g in [bitslice.tile(n, n // 50, 200)])
+
+
 @pytest.mark.parametrize("n, block", [(1, 64), (7, 64), (300, 64), (300, 1000)])
 def test_search(spark, n, block):
     rng = np.random.default_rng(n)
@@ -132,6 +149,19 @@ def test_slices_add_up():
 PAGES = "page_id long, url string, html string, digest string, owner long"
 
 
+def parsed(raw):
+    """(WARC fields, HTTP header lines, block) of one record, by the format's rules alone."""
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    version, *lines = head.decode().split("\r\n")
+    assert version == "WARC/1.1"
+    fields = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines)}
+    assert len(fields) == len(lines) and re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", fields["warc-record-id"])
+    n = int(fields["content-length"])
+    assert rest[n:] == b"\r\n\r\n" and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["warc-date"])
+    http, _, block = rest[:n].partition(b"\r\n\r\n")
+    return fields, http.decode().split("\r\n"), block
+
+
 def test_archive(spark):
     big, other = "x" * 100, "é" * 50
     data = [(3, "http://a\r\nb", big), (1, None, big), (2, "u", big), (4, "u", "x" * 99), (5, "u", "x" * 99), (6, "u", None), (7, "u", ""), (8, "u", other), (9, "u", other), (1, None, big), (10, "u", "y" * 300_000)]
@@ -150,8 +180,18 @@ def test_archive(spark):
     assert [tuple(map(str, x)) for x in got] == [tuple(map(str, x)) for x in sorted(expected, key=lambda x: (x[0], x[1]))]
     assert archive.payloads.count() == len(least)
     records = {r["page_id"]: bytes(r["record"]) for r in warc.read_archive(archive).collect()}
-    assert records[3].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n") and b"http://a%0D%0Ab\r\n" in records[3]
-    assert records[4].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and records[4].endswith(b"\r\n\r\n" + b"x" * 99 + b"\r\n\r\n")
+    kinds = {r[0]: (r[1], r[3]) for r in expected}
+    ids = {i: parsed(raw)[0]["warc-record-id"] for i, raw in records.items()}
+    assert len(set(ids.values())) == len(ids)
+    for i, raw in records.items():
+        head, http, block = parsed(raw)
+        assert {"warc-date", "warc-record-id", "content-type", "warc-target-uri"} <= set(head) and head["warc-type"] == kinds[i][0]
+        assert http[0] == "HTTP/1.1 200 OK" and f"Content-Length: {len(kinds[i][1])}" in http
+        assert block == (kinds[i][1] if kinds[i][0] == "response" else b"")
+        assert head["warc-payload-digest"] == "sha256:" + hashlib.sha256(kinds[i][1]).hexdigest()
+        if kinds[i][0] == "revisit":
+            assert head["warc-refers-to"] == ids[least[kinds[i][1]]] and head["warc-profile"].endswith("identical-payload-digest")
+    assert parsed(records[3])[0]["warc-target-uri"] == "http://a%0D%0Ab"
     assert warc.read_archive(warc.write_archive(df.limit(0))).count() == 0
 
 
@@ -177,6 +217,101 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in none} == {"und"} and {r["score"] for r in none} == {0.0}
 
 
+def brute_grams(text):
+    """The n-grams of one to three letters of a text in order of frequency, then of their codes."""
+    out = Counter()
+    runs = re.findall(r"[^\W\d_]+", text.lower())
+    line = " " + "".join(r + " " for r in runs) if runs else ""
+    for n in (1, 2, 3):
+        out.update(g for g in (line[i : i + n] for i in range(len(line) - n + 1)) if g != " " and not (n == 3 and g[1] == " "))
+    code = lambda g: sum((0 if c == " " else ord(c)) << 20 * k for k, c in enumerate(reversed(g))) | len(g) << 60
+    return sorted(out, key=lambda g: (-out[g], code(g))), out
+
+
+def test_languages_by_the_rule(spark, monkeypatch):
+    """Profiles and out-of-place distances in plain Python, ties and all."""
+    rng = random.Random(12)
+    say = {"en": "the and of with for that house".split(), "de": "der und für mit nicht über haus".split(), "fr": "le et de avec pour que maison".split()}
+    data = [(i, " ".join(rng.choice(say[k] + say["en"][:2]) for _ in range(rng.randint(1, 25))) + "! 7", k if rng.random() < 0.9 else None) for i, k in enumerate(rng.choices(list(say), k=90))]
+    data += [(200, None, "en"), (201, "?", "de"), (202, "a", None), (202, "a", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").withColumn("held_out", langid.held_out())
+    learnt = [(t, k) for i, t, k in data if k and t and zlib.crc32(str(i).encode()) % 4 != 2]
+    profile = {}
+    for lang in say:
+        total = Counter()
+        for t, k in learnt:
+            if k == lang:
+                total.update(brute_grams(t)[1])
+        code = lambda g: sum((0 if c == " " else ord(c)) << 20 * k for k, c in enumerate(reversed(g))) | len(g) << 60
+        profile[lang] = {g: n for n, g in enumerate(sorted(total, key=lambda g: (-total[g], code(g)))[: langid.TOP])}
+    expected = []
+    for i, t, _ in data:
+        own = brute_grams(t or "")[0][: langid.TOP]
+        far = {k: sum(min(langid.TOP, abs(p[g] - n)) if g in p else langid.TOP for n, g in enumerate(own)) for k, p in profile.items()}
+        best = min(sorted(far), key=far.get)
+        expected.append((i, best, round(1 - far[best] / (len(own) * langid.TOP), 9)) if own else (i, "und", 0.0))
+    got = langid.predict(df, langid.profiles(df.where("NOT held_out"))).collect()
+    assert sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in got) == sorted(expected)
+
+
+def brute_prints(texts, low, high):
+    """Fingerprints of texts, the lexicon taken from all of them."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    hashed = lambda x, seed=42: xxhash.xxh64(x, seed=seed).intdigest()
+
+    def of_list(xs):
+        h = 42
+        for x in xs:
+            h = hashed((x & (1 << 64) - 1).to_bytes(8, "little"), h)
+        return h
+
+    terms = [sorted({signed(hashed(w.encode())) for w in re.split(r"[^\w]+|_", (t or "").lower()) if w}) for t in texts]
+    count = Counter(x for t in terms for x in t)
+    lexicon = {x for x, n in count.items() if n > 1 and low * len(texts) <= n <= high * len(texts)}
+    out = []
+    for t, own in zip(texts, terms):
+        chosen = [x for x in own if x in lexicon]
+        chosen = chosen if len(chosen) >= imatch.FEWEST else own
+        prints = [of_list(chosen)]
+        subsets = [chosen] * imatch.SEEDS
+        for r in imatch.RATES:
+            for s in range(imatch.SEEDS):
+                bits = lambda x, s=s: (x if s < 4 else hashed((x & (1 << 64) - 1).to_bytes(8, "little"))) & (1 << 64) - 1
+                subsets[s] = [x for x in subsets[s] if not bits(x) >> 16 + 10 * (s % 4) + r - 1 & 1]
+                prints.append(of_list(subsets[s]) if subsets[s] else None)
+        out.append(prints if own else [hashed((t or "").encode())])
+    return out
+
+
+def test_fingerprints_by_the_rule(spark, tmp_path):
+    """The query's columns against plain Python: edits, nulls, repeated rows, ties, long texts, other columns."""
+    rng = random.Random(7)
+    pool = [f"w{i}" for i in range(400)] + ["é日", "Ünder"]
+    weights = [1 / (k + 1) for k in range(len(pool))]
+    texts = [" ".join(rng.choices(pool, weights, k=rng.randint(0, 60))) for _ in range(80)] + [None, "", "!!", "Aé" * 3001, "x y", "x y"]
+    rows = [(i * 3, t, "prints") for i, t in enumerate(texts)] + [(0, texts[0], "prints")]
+    spark.createDataFrame(rows, "doc_id long, text string, prints string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(queries.op2_imatch_fingerprints(spark, str(tmp_path)).collect(), key=lambda r: (-r["doc_id"], r["edited_sha256"]))
+    order = sorted(((i, t or "") for i, t, _ in rows), key=lambda x: -x[0])
+    every = [t for _, t in order]
+    edited = [t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2] for k, (_, t) in enumerate(order)]
+    own = brute_prints(every, imatch.LOW, imatch.HIGH)
+    lexicon_of = brute_prints(every + edited, imatch.LOW, imatch.HIGH)  # only to see that the lexicon isn't of both
+    shown = lambda p: "-".join("." if x is None else f"{x:x}" for x in p)
+    assert len(got) == len(order) and len(lexicon_of) == 2 * len(own)
+    for r, (i, t), p, e in zip(got, order, own, edited, strict=True):
+        assert (r["doc_id"], r["n_chars"], r["fingerprint"]) == (i, len(t), shown(p).lower())
+        assert r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+    for k, r in enumerate(got):
+        mine, other = r["fingerprint"].split("-"), r["edited_fingerprint"].split("-")
+        after = got[(k + 1) % len(got)]["fingerprint"].split("-")
+        for name, x, y in (("near_edited", mine, other), ("near_next", mine, after)):
+            wide = max(len(x), len(y))
+            x, y = x + ["."] * (wide - len(x)), y + ["."] * (wide - len(y))
+            some = [(a, b) for a, b in zip(x, y) if (a, b) != (".", ".")]
+            assert r[name] == pytest.approx(sum(a == b for a, b in some) / len(some) if some else 0.0)
+
+
 def test_grams_of_mixed_letters():
     data = np.frombuffer("Ab a".encode(), np.uint8)
     codes, doc, which = langid.grams(data, np.array([0, 4]))
