@@ -128,10 +128,19 @@ def features(s: Column) -> dict[str, Column]:
     return {"technical_density": some((kata + latin + number) / words), "mixed_ratio": some((kata + latin) / words), "abbreviations": F.when(words > 0, F.regexp_count(s, F.lit("[A-Z]{2,}"))).otherwise(0).cast("long")}
 
 
+def sentences_of(s: Column, marks: str = "。！？\n") -> Column:
+    """Sentences of 11 to 199 characters."""
+    return F.filter(F.transform(F.split(s, f"[{marks}]+"), lambda x: F.trim(x)), lambda x: (F.length(x) > 10) & (F.length(x) < 200))
+
+
 def sentences_with(s: Column, t: Column, marks: str = "。！？\n", most: int = 3) -> Column:
-    """The first sentences of 11 to 199 characters that hold the term."""
-    parts = F.transform(F.split(s, f"[{marks}]+"), lambda x: F.trim(x))
-    return F.slice(F.filter(parts, lambda x: (F.length(x) > 10) & (F.length(x) < 200) & F.contains(x, t)), 1, most)
+    """The first such sentences that hold the term."""
+    return F.slice(F.filter(sentences_of(s, marks), lambda x: F.contains(x, t)), 1, most)
+
+
+def cache_key(s: Column) -> Column:
+    """Digest of the normalised text."""
+    return F.md5(normalise(s))
 
 
 def shortest_sentence(sentences: Column, t: Column, made: str = "{}について") -> Column:

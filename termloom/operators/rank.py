@@ -84,6 +84,10 @@ def by_steps(p: Column, first: float, second: float) -> Column:
     return F.when(p < first, "high_confidence").when(p < second, "medium_confidence").otherwise("low_confidence")
 
 
+def short_steps(p: Column, first: float = 20.0, second: float = 50.0) -> Column:
+    return F.when(p < first, "high").when(p < second, "medium").otherwise("low")
+
+
 def inverted(p: Column, high: float = 25.0, medium: float = 15.0) -> Column:
     """High perplexity is high confidence."""
     return F.when(p > high, "high_confidence").when(p > medium, "medium_confidence").otherwise("low_confidence")
@@ -114,6 +118,11 @@ def first_of_equals(df: DataFrame, key: str, order: str, most: int, *groups: str
     return once.withColumn("__k", F.row_number().over(Window.partitionBy(*groups).orderBy(order))).where(F.col("__k") <= most).drop("__k")
 
 
+def colour(s: Column) -> Column:
+    """How a score is shown."""
+    return F.when(s > 0.7, "green").when(s > 0.4, "yellow").otherwise("red")
+
+
 def band(s: Column) -> Column:
     return F.when(s < 0.4, "low").when(s < 0.6, "fair").when(s < 0.8, "good").otherwise("high")
 

@@ -111,10 +111,12 @@ def generic_score(nc: Column, frequency: Column, term: Column, modes: Column) ->
 
 
 def min_max(df: DataFrame, col: str, out: str, *keys: str) -> DataFrame:
-    """Scaled to 0..1 within the keys; 0.5 where all are equal."""
+    """Scaled to 0..1 within the keys, or over the whole table by one aggregate row; 0.5 where all are equal."""
     w = Window.partitionBy(*keys)
-    low, high = F.min(col).over(w), F.max(col).over(w)
-    return df.withColumn(out, F.when(high == low, F.lit(0.5)).otherwise((F.col(col) - low) / (high - low)))
+    low, high = (F.min(col).over(w), F.max(col).over(w)) if keys else (F.col("__low"), F.col("__high"))
+    if not keys:
+        df = df.join(F.broadcast(df.agg(F.min(col).alias("__low"), F.max(col).alias("__high"))))
+    return df.withColumn(out, F.when(high == low, F.lit(0.5)).otherwise((F.col(col) - low) / (high - low))).drop("__low", "__high")
 
 
 def base_score(tfidf: Column, c_value: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries  # noqa: F401 - registers
+from . import queries, term_queries  # noqa: F401 - register
 from .oracle import ORACLE as _WRITTEN
 from .registry import QUERIES, TWINS
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions import text
 from ..operators import candidates, chunkers, graph, perplexity, rank, stats, vectors
 from ..sources.provider import Provider, embed
 from ..sources.shared import cut
@@ -39,11 +40,56 @@ def statistical_terms(docs: DataFrame, config: EngineConfig | None = None, most:
     return best.join(cut, "doc_id").where(F.col("rank") <= F.col("cutoff")).select("doc_id", "term", "frequency", "tfidf", "c_value", "score", "rank")
 
 
+def paragraph_tfidf(docs: DataFrame, terms: DataFrame, size: int = 500, mark: str = "。") -> DataFrame:
+    """(doc_id, term, tfidf) of terms counted as substrings of paragraphs or packed sentences."""
+    chunks = chunkers.chunked(docs, lambda s: chunkers.paragraphs(s, size, mark))
+    counts = stats.substring_counts(chunks, terms)
+    return stats.chunk_tfidf(counts, chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks")))
+
+
+def compound_scores(docs: DataFrame, config: EngineConfig | None = None, mark: str = ".") -> DataFrame:
+    """As :func:`scored_terms` on candidates from three sources: n-grams of noun runs, katakana, words of letters and
+    digits; TF-IDF counts substrings of paragraphs."""
+    config = config or EngineConfig()
+    counts = candidates.statistical_candidates(docs, config.profile)
+    found = paragraph_tfidf(docs, counts.select("doc_id", "term"), mark=mark)
+    both = stats.c_value(counts).join(found, ["doc_id", "term"], "left").withColumn("tfidf", F.coalesce("tfidf", F.lit(0.0)))
+    both = stats.min_max(stats.min_max(both, "tfidf", "tfidf_norm", "doc_id"), "c_value", "c_norm", "doc_id")
+    kept = both.where(F.col("frequency") >= config.min_frequency)
+    return kept.withColumn("score", F.round(stats.base_score(F.col("tfidf_norm"), F.col("c_norm")), 9)).select("doc_id", "term", "frequency", "tfidf", "c_value", "score")
+
+
+def compound_terms(docs: DataFrame, config: EngineConfig | None = None, most: int = 50, mark: str = ".") -> DataFrame:
+    """Entry A whole: compound candidates, both penalties, the cut where scores fall off, ``most`` a document at most."""
+    scored = rank.substring_penalty(compound_scores(docs, config, mark)).withColumn("score", F.col("score") * F.col("penalty")).drop("penalty")
+    factors = rank.compound_priority(scored).select("doc_id", "term", "factor")
+    scored = scored.join(factors, ["doc_id", "term"]).withColumn("score", F.round(F.col("score") * F.col("factor"), 9))
+    cutoffs = rank.elbow_cutoff(scored).select("doc_id", "cutoff")
+    best = rank.top_per(scored, most, "doc_id")
+    return best.join(cutoffs, "doc_id").where(F.col("rank") <= F.col("cutoff")).select("doc_id", "term", "frequency", "tfidf", "c_value", "factor", "score", "rank")
+
+
+def generic_terms(docs: DataFrame, config: EngineConfig | None = None, most: int = 30) -> DataFrame:
+    """Candidates of all tokenizer modes, tag patterns and noun sequences, scored by frequency at token borders, C- and
+    NC-value, the best ``most`` of a document."""
+    config = config or EngineConfig()
+    short = candidates.tagged(docs, "A", config.profile)
+    modes = candidates.multi_mode_nouns(docs, config.profile)
+    patterns = [("noun", "noun"), ("noun", "noun", "noun"), ("noun", "suffix"), ("noun", "particle", "noun")]
+    compound = candidates.tag_patterns(short, patterns, "particle").unionAll(candidates.noun_sequences(candidates.noun_runs(short, config.profile), config.profile.joiner))
+    every = modes.select("doc_id", "term").unionAll(compound).distinct().where(text.basic_filter(F.col("term")))
+    counted = candidates.boundary_frequency(short, every)
+    scored = stats.nc_value(stats.c_value(counted, 3), stats.term_contexts(docs, counted))
+    scored = scored.join(modes, ["doc_id", "term"], "left").withColumn("modes", F.coalesce("modes", F.lit(0)))
+    scored = scored.withColumn("score", F.round(stats.generic_score(F.col("nc_value"), F.col("frequency"), F.col("term"), F.col("modes")), 9))
+    return rank.top_per(scored, most, "doc_id").select("doc_id", "term", "frequency", "modes", "score", "rank")
+
+
 def graph_terms(docs: DataFrame, provider: Provider, config: EngineConfig | None = None, most: int = 300) -> DataFrame:
     """Entry A with a graph: base scores spread over similar terms of the document, weighed by co-occurrence."""
     nodes = rank.top_per(scored_terms(docs, config).withColumn("base_score", F.col("score")), most, "doc_id")
     nodes = cut(nodes.withColumn("id", F.xxhash64("doc_id", "term")))
-    near = vectors.knn(embed(nodes.select("doc_id", "id", "term"), provider), id_col="id", within="doc_id")
+    near = vectors.knn_within(embed(nodes.select("doc_id", "id", "term"), provider), "doc_id", id_col="id")
     edges = graph.undirected(near)
     sentence = docs.select("doc_id", F.posexplode(F.split("text", r"[.!?\n。！？]+")).alias("sentence", "s"))
     config = config or EngineConfig()

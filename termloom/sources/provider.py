@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -12,21 +14,61 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import cache_key
+
+
+#: A generated token with its log probability and its candidates.
+TOKENS = "array<struct<token:string,logprob:double,top:array<struct<token:string,logprob:double>>>>"
+
 
 class Provider(Protocol):
     def complete(self, prompts: list[str]) -> list[str | None]: ...
 
+    def generate(self, prompts: list[str]) -> list[list[dict] | None]: ...
+
     def embed(self, texts: list[str]) -> list[list[float] | None]: ...
 
 
+def _digest(s: str, digits: int) -> int:
+    return int(hashlib.md5(s.encode()).hexdigest()[:digits], 16)
+
+
+def _words(s: str) -> list[str]:
+    """The different words of eight or more letters in the lines behind the first, in order."""
+    return list(dict.fromkeys(re.findall("[A-Za-z]{8,}", s.partition("\n")[2])))
+
+
+#: What a stub replies, by style: a verdict, the words of the text as terms or candidates, a letter, a doubtful definition.
+STYLES: dict[str, Callable[[str], str]] = {
+    "yes": lambda p: f"YES | {hashlib.md5(p.encode()).hexdigest()[:8]} {_digest(p, 2) % 10}",
+    "verdict": lambda p: f"{'YES' if _digest(p, 2) % 2 == 0 else 'NO'} | {hashlib.md5(p.encode()).hexdigest()[:8]}",
+    "terms": lambda p: json.dumps({"terms": [{"headword": w, "synonyms": [w.upper()], "definition": f"about {w}", "category": None} for w in _words(p)]}),
+    "candidates": lambda p: json.dumps({"candidates": [{"term": w, "importance": _digest(w, 2) % 12} for w in _words(p)]}) if "candidates" in p else f"{p.splitlines()[1]} defined",
+    "letter": lambda p: "ABCDE"[_digest(p, 2) % 5],
+    "doubt": lambda p: f"{'不明' if _digest(p, 2) % 4 == 0 else 'known'} {p.splitlines()[-1]}",
+    "none": lambda p: "nothing",
+}
+
+
 class Stub:
     """Answers from digests of what is asked."""
 
-    def __init__(self, dim: int = 64) -> None:
-        self.dim = dim
+    def __init__(self, dim: int = 64, style: str = "yes") -> None:
+        self.dim, self.style = dim, style
 
     def complete(self, prompts: list[str]) -> list[str | None]:
-        return [f"YES | {hashlib.md5(p.encode()).hexdigest()[:8]} {int(hashlib.md5(p.encode()).hexdigest()[:2], 16) % 10}" for p in prompts]
+        return [STYLES[self.style](p) for p in prompts]
+
+    def generate(self, prompts: list[str]) -> list[list[dict] | None]:
+        """The last five words of the prompt once more, with log probabilities from their digests, each with two candidates."""
+        out = []
+        for p in prompts:
+            tokens = []
+            for k, w in enumerate((p or "").split()[-5:]):
+                lp = -_digest(f"{w}|{k}", 4) / 10000
+                tokens.append({"token": w, "logprob": lp, "top": [{"token": w, "logprob": lp}, {"token": w.upper(), "logprob": lp - 1}]})
+            out.append(tokens)
+        return out
 
     def embed(self, texts: list[str]) -> list[list[float] | None]:
         out = []
@@ -49,7 +91,12 @@ def with_retry(call: Callable, tries: int = 4, first: float = 1.0, most: float =
             sleep(min(most, first * 2**k) * (1 + 0.1 * random.random()))
 
 
+#: Seconds before the second try of a call.
+FIRST_WAIT = 1.0
+
+
 def _mapped(df: DataFrame, col: str, out: str, kind: str, call: Callable[[list[str]], list], size: int) -> DataFrame:
+    wait = FIRST_WAIT
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {out} {kind}, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,7 +104,7 @@ def _mapped(df: DataFrame, col: str, out: str, kind: str, call: Callable[[list[s
             for at in range(0, len(batch), size):
                 part = batch.iloc[at : at + size]
                 try:
-                    yield part.assign(**{out: with_retry(lambda p=part: call(p[col].tolist())), "error": None})
+                    yield part.assign(**{out: with_retry(lambda p=part: call(p[col].tolist()), first=wait), "error": None})
                 except Exception as e:  # noqa: BLE001 - a failed batch has nulls and its error
                     yield part.assign(**{out: None, "error": type(e).__name__})
 
@@ -69,12 +116,34 @@ def complete(df: DataFrame, provider: Provider, prompt_col: str = "prompt", size
     return _mapped(df, prompt_col, "reply", "string", provider.complete, size)
 
 
+def generate(df: DataFrame, provider: Provider, prompt_col: str = "prompt", size: int = 5) -> DataFrame:
+    """``df`` with ``tokens`` (token, logprob, candidates) and ``error``."""
+    return _mapped(df, prompt_col, "tokens", TOKENS, provider.generate, size)
+
+
 def embed(df: DataFrame, provider: Provider, text_col: str = "term", size: int = 100) -> DataFrame:
+    """``df`` with ``embedding``, null for each row of a failed batch, and ``error``."""
     return _mapped(df, text_col, "embedding", "array<double>", provider.embed, size)
 
 
+def embed_unit(df: DataFrame, provider: Provider, text_col: str = "term", size: int = 100) -> DataFrame:
+    """As :func:`embed`, vectors of length 1; zeros stay."""
+    n = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    return embed(df, provider, text_col, size).withColumn("embedding", F.when(n > 0, F.transform("embedding", lambda x: x / n)).otherwise(F.col("embedding")))
+
+
+def embed_one(df: DataFrame, provider: Provider, text_col: str = "term") -> DataFrame:
+    """One call a row, an empty vector for an error."""
+    return embed(df, provider, text_col, 1).withColumn("embedding", F.coalesce("embedding", F.array().cast("array<double>")))
+
+
+def with_defaults(df: DataFrame, values: dict[str, float | str]) -> DataFrame:
+    """The values that stand for a failed call in the columns named."""
+    return df.withColumns({c: F.when(F.col("error").isNotNull(), F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})
+
+
 def embed_cached(df: DataFrame, cache: DataFrame, provider: Provider, text_col: str = "term") -> tuple[DataFrame, DataFrame]:
     """(rows with embeddings, new cache rows): only texts whose digest the cache lacks are embedded."""
-    keyed = df.withColumn("key", F.md5(text_col))
-    new = embed(keyed.join(cache, "key", "left_anti").select("key", text_col).dropDuplicates(["key"]), provider, text_col).where("error IS NULL").select("key", "embedding")
+    keyed = df.withColumn("key", cache_key(F.col(text_col)))
+    new = embed_unit(keyed.join(cache, "key", "left_anti").select("key", text_col).dropDuplicates(["key"]), provider, text_col).where("error IS NULL").select("key", "embedding")
     return keyed.join(cache.select("key", "embedding").unionByName(new), "key", "left").drop("key"), new
