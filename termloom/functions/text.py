@@ -39,10 +39,14 @@ def normalise_term(s: Column) -> Column:
     return F.translate(nfkc(s), "−～", "-~")
 
 
+_KATA, _KANJI, _HIRA, _CODE = "[ァ-ヶー]+", "[一-龥]+", "[ぁ-ん]+", "[A-Z0-9]+"
+#: What belongs together on both sides of a line break, in this order.
+BROKEN = ((_KATA, _KATA), (_KANJI, _HIRA), (_CODE, _CODE), (_KATA, _KANJI), (_KANJI, _KANJI))
+
+
 def rejoin_broken(s: Column) -> Column:
-    """Words that a line break cuts: five rules, in this order."""
-    kata, kanji, hira, code = "[ァ-ヶー]+", "[一-龥]+", "[ぁ-ん]+", "[A-Z0-9]+"
-    for a, b in ((kata, kata), (kanji, hira), (code, code), (kata, kanji), (kanji, kanji)):
+    """Words that a line break cuts: five rules, in their order."""
+    for a, b in BROKEN:
         s = F.regexp_replace(s, f"({a})\n({b})", "$1$2")
     return s
 

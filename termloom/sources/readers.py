@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import BROKEN
+
 #: File types by suffix; anything else is not read unless a reader falls back to text.
 TYPES = {"pdf": "pdf", "docx": "word", "doc": "word", "txt": "text", "md": "markdown", "html": "html", "htm": "html"}
-#: Encodings by trial; the last resort is UTF-8 without what can't be decoded.
+#: Encodings by trial; the last resort is UTF-8 without what can't be decoded. Some readers try one more, or two alone.
 TRIALS = ("utf-8", "shift-jis", "euc-jp", "iso-2022-jp")
+MORE_TRIALS, TWO_TRIALS = (*TRIALS, "cp932"), ("utf-8", "shift_jis")
 
 
-def decode(raw: bytes, trials: tuple[str, ...] = TRIALS) -> str:
+def decode(raw: bytes, trials: tuple[str, ...] = TRIALS, strict: bool = False) -> str:
     for name in trials:
         try:
             return raw.decode(name)
         except UnicodeDecodeError:
             continue
+    if strict:
+        raise ValueError("none of the encodings fits")
     return raw.decode("utf-8", errors="ignore")
 
 
@@ -52,31 +60,100 @@ def html_text(html: str, separator: str = "\n", dropped: tuple[str, ...] = ("scr
     return "\n".join(line for line in lines if line)
 
 
-def markdown_text(source: str, keep_code: bool = False) -> str:
-    """Text of Markdown; fenced code stays as ``[CODE: ...]`` where it is kept."""
+def markdown_text(source: str, keep_code: bool = False, footnotes: bool = False) -> str:
+    """Text of Markdown; fenced code stays as ``[CODE: ...]`` where it is kept, footnotes go to the end, in order of their marks."""
 
     def code(m: re.Match) -> str:
         return f"[CODE: {m[1].strip()}]" if keep_code else m[1]
 
+    notes: list[str] = []
+    if footnotes:
+        said = dict(re.findall(r"^\[\^([^\]]+)\]:[ \t]*(.*)$", source, flags=re.M))
+        source = re.sub(r"^\[\^[^\]]+\]:.*\n?", "", source, flags=re.M)
+        notes = [said[n] for n in dict.fromkeys(re.findall(r"\[\^([^\]]+)\]", source)) if n in said]
+        source = re.sub(r"\[\^([^\]]+)\]", r"\1", source)
     s = re.sub(r"^```[^\n]*\n(.*?)^```[ \t]*$", code, source, flags=re.S | re.M)
     s = re.sub(r"^#{1,6}[ \t]*|^>[ \t]?|^[ \t]*[-*+][ \t]+|^[ \t]*\d+\.[ \t]+", "", s, flags=re.M)
     s = re.sub(r"^\|?[ \t:|-]*-[ \t:|-]*$", "", s, flags=re.M)
     s = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", s)
     s = re.sub(r"(\*\*|__|\*|`)(.+?)\1", r"\2", s)
     s = re.sub(r"^\|(.*)\|[ \t]*$", lambda m: " ".join(c.strip() for c in m[1].split("|")), s, flags=re.M)
-    return "\n".join(line.strip() for line in s.splitlines() if line.strip())
+    return "\n".join(line.strip() for line in [*s.splitlines(), *notes] if line.strip())
+
+
+@dataclass(frozen=True)
+class Options:
+    """How files are read. ``trials`` are encodings in turn; ``strict``: none of them is an error instead of UTF-8 without
+    what can't be decoded; ``page_marks`` and ``joiner`` are for PDF pages, ``repair`` rejoins words that line breaks cut there;
+    ``tables`` are those of Word files; ``keep_code`` and ``footnotes`` are for Markdown; ``dropped`` tags and ``separator`` for HTML."""
 
+    trials: tuple[str, ...] = TRIALS
+    strict: bool = False
+    page_marks: bool = False
+    joiner: str = "\n\n"
+    repair: bool = False
+    tables: bool = True
+    keep_code: bool = False
+    footnotes: bool = False
+    separator: str = "\n"
+    dropped: tuple[str, ...] = ("script", "style", "meta", "link")
 
-def _pdf(raw: bytes, page_marks: bool = False, joiner: str = "\n\n") -> str:
+
+def _pypdf(raw: bytes) -> list[str]:
     import io
 
     from pypdf import PdfReader  # an optional dependency
 
-    pages = [(k, p.extract_text() or "") for k, p in enumerate(PdfReader(io.BytesIO(raw)).pages, 1)]
-    texts = [f"[Page {k}]\n{t}" if page_marks else t for k, t in pages if t.strip()]
+    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(raw)).pages]
+
+
+def _plain_pdf(raw: bytes) -> list[str]:
+    """Pages by a parser of our own: the strings that uncompressed and deflated content streams show, a line for each move.
+
+    It stands in where the other parser is missing, fails or finds no text. Fonts with encodings of their own give nothing.
+    """
+    pages = []
+    for m in re.finditer(rb"stream\r?\n(.*?)endstream", raw, re.S):
+        data = m[1]
+        with contextlib.suppress(zlib.error):
+            data = zlib.decompress(data.rstrip(b"\r\n"))
+        if b"BT" not in data:
+            continue
+        lines: list[str] = []
+        for token in re.finditer(rb"\[(.*?)\]\s*TJ|\(((?:\\.|[^\\()])*)\)\s*(?:Tj|')|\bT[dDm*]|\bET", data, re.S):
+            if token[1] is not None or token[2] is not None:
+                parts = re.findall(rb"\(((?:\\.|[^\\()])*)\)", token[1]) if token[1] is not None else [token[2]]
+                lines = lines or [""]
+                lines[-1] += "".join(re.sub(rb"\\([()\\])", rb"\1", p).decode("latin-1") for p in parts)
+            elif lines and lines[-1]:
+                lines.append("")
+        pages.append("\n".join(x for x in lines if x))
+    return pages
+
+
+def _pdf(raw: bytes, options: Options = Options()) -> str:  # noqa: B008 - frozen
+    pages: list[str] = []
+    error: Exception = ValueError("no text in the file")
+    for parser in (_pypdf, _plain_pdf):
+        try:
+            pages = parser(raw)
+        except Exception as e:  # noqa: BLE001 - the next parser may read it
+            error = e
+        if any(p.strip() for p in pages):
+            break
+    if options.repair:
+        pages = [rejoined(p) for p in pages]
+    texts = [f"[Page {k}]\n{t}" if options.page_marks else t for k, t in enumerate(pages, 1) if t.strip()]
     if not texts:
-        raise ValueError("no text in the file")
-    return joiner.join(texts)
+        raise error
+    return options.joiner.join(texts)
+
+
+def rejoined(s: str) -> str:
+    """Words that a line break cuts, by the rules of :func:`text.rejoin_broken`."""
+    for a, b in BROKEN:
+        s = re.sub(f"({a})\n({b})", r"\1\2", s)
+    return s
 
 
 def _word(raw: bytes, tables: bool = True) -> str:
@@ -97,16 +174,18 @@ def _word(raw: bytes, tables: bool = True) -> str:
     return "\n\n".join(x for x in out if x.strip())
 
 
-def parse(kind: str | None, raw: bytes, trials: tuple[str, ...] = TRIALS) -> str:
+def parse(kind: str | None, raw: bytes, options: Options = Options()) -> str:  # noqa: B008 - frozen
     if kind == "pdf":
-        return _pdf(raw)
+        return _pdf(raw, options)
     if kind == "word":
-        return _word(raw)
-    s = decode(raw, trials)
-    return html_text(s) if kind == "html" else markdown_text(s) if kind == "markdown" else s
+        return _word(raw, options.tables)
+    s = decode(raw, options.trials, options.strict)
+    if kind == "html":
+        return html_text(s, options.separator, options.dropped)
+    return markdown_text(s, options.keep_code, options.footnotes) if kind == "markdown" else s
 
 
-def read_directory(spark: SparkSession, path: str, types: dict[str, str] = TYPES, recursive: bool = False, other_as_text: bool = False) -> DataFrame:
+def read_directory(spark: SparkSession, path: str, types: dict[str, str] = TYPES, recursive: bool = False, other_as_text: bool = False, options: Options = Options()) -> DataFrame:  # noqa: B008 - frozen
     """(path, file_name, extension, file_type, file_size, modified_time, text, error): one row a file of a known type.
 
     A file that can't be read has a null text and its error; nothing else fails.
@@ -124,7 +203,7 @@ def read_directory(spark: SparkSession, path: str, types: dict[str, str] = TYPES
             texts, errors = [], []
             for kind, raw in zip(batch["file_type"], batch["content"]):
                 try:
-                    texts.append(parse(kind, bytes(raw)))
+                    texts.append(parse(kind, bytes(raw), options))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001 - any reader's failure is a row's own
                     texts.append(None)

@@ -4,13 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df.checkpoint()``; a temporary folder is set only where the session names none, as in tests."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="termloom-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names; a temporary one only where it names none and all runs on one machine."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="termloom-")
