@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A stored dictionary's columns.
@@ -60,3 +60,8 @@ def search(stored: DataFrame, query: str, most: int = 10) -> DataFrame:
     """Headwords like ``%query%`` in any case, or a synonym equal to it; newest and surest first. % and _ stay wildcards."""
     hit = F.col("headword").ilike(f"%{query}%") | F.array_contains("synonyms", query)
     return stored.where(hit).orderBy(F.desc("updated_at"), F.desc("confidence"), "headword").limit(most)
+
+
+def create(spark: SparkSession, name: str, path: str) -> None:
+    """The stored dictionary's table, made where there is none. One headword a row is what :func:`upsert` keeps."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({DDL}) USING parquet LOCATION '{path}'")
