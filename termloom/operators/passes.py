@@ -152,7 +152,7 @@ def cumulative_logprob(tokens: Column, term: Column, any_case: bool = False) ->
 
 def scaled_perplexity(logprob: Column, most: float = 95.0) -> Column:
     """Ten times the perplexity of a log probability, within 5 and ``most``; 50 for none."""
-    return F.coalesce(F.least(F.lit(most), F.greatest(F.lit(5.0), F.exp(-logprob) * 10)), F.lit(50.0))
+    return F.when(logprob.isNotNull(), F.least(F.lit(most), F.greatest(F.lit(5.0), F.exp(-logprob) * 10))).otherwise(F.lit(50.0))
 
 
 def forced_perplexity(tokens: Column, n_ids: Column) -> Column:

@@ -83,7 +83,7 @@ def terms_csv(documents):
     return documents.sparkSession.read.csv(path, header=True)
 
 
-@twin(f"WITH {EVAL}, g AS (SELECT term, max(priority_score) AS priority_score, min(confidence) AS confidence FROM ev GROUP BY term), r AS (SELECT term, priority_score FROM g WHERE confidence IN ('low', 'medium') ORDER BY priority_score DESC, term LIMIT 50) SELECT term, round(priority_score + 2.5e-8, 6) AS priority_score FROM r")
+@twin(f"WITH {EVAL}, g AS (SELECT term, max(priority_score) AS priority_score, min(confidence) AS confidence FROM ev GROUP BY term), r AS (SELECT term, priority_score FROM g WHERE confidence IN ('low', 'medium') ORDER BY priority_score DESC, term LIMIT 50) SELECT term, round(priority_score + 2.55e-8, 6) AS priority_score FROM r")
 @query
 def review_file(documents):
     """The review, as a file with a byte order mark, read back."""
@@ -93,7 +93,7 @@ def review_file(documents):
     path = _folder(documents, "review")
     sinks.write_review(rank.review(rows), path)
     back = documents.sparkSession.read.csv(path, header=True, inferSchema=False)
-    return back.select(F.col(back.columns[0]).alias("term"), F.round(F.col("priority_score").cast("double") + 2.5e-8, 6).alias("priority_score"))
+    return back.select(F.col(back.columns[0]).alias("term"), F.round(F.col("priority_score").cast("double") + 2.55e-8, 6).alias("priority_score"))
 
 
 @twin(f"WITH {EVAL}, n AS (SELECT count(*) AS total, count(*) FILTER (WHERE confidence = 'high') AS high FROM ev) SELECT total, high FROM n")

@@ -103,6 +103,8 @@ TARGETS = "tg AS (SELECT doc_id, term FROM cnt WHERE frequency >= 2)"
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 HEAD = f"""{CNT}, hw AS (SELECT term AS headword, lower(term) AS key, ['x-' || term, term || '-' || lang] AS synonyms, lang || ' word' AS definition, CASE WHEN lang <> 'en' THEN lang END AS category, source, doc_id AS ord FROM cnt JOIN documents USING (doc_id) WHERE frequency >= 3)"""
 
+_VALID = f"(term NOT IN ({STOP}) AND len(list_filter([{STOP}], lambda x: length(term) > length(x) AND (starts_with(term, x) OR ends_with(term, x)))) = 0)"
+
 
 def _merged(name: str, where: str) -> str:
     return f"""{name} AS (SELECT h.key AS headword, list_sort(list_distinct(flatten(list(synonyms)))) AS synonyms, array_to_string(list_sort(list_distinct(list(definition))), ' / ') AS definition, arg_min(category, ord) FILTER (WHERE category IS NOT NULL) AS category, list_sort(list_distinct(list(source))) AS sources FROM hw h WHERE {where} GROUP BY h.key),
@@ -133,7 +135,7 @@ def _raw_features(col: str) -> str:
 
 
 ORACLE = {
-    "term_score_topk": f"WITH {SCORED}, {_penalty('scored')}, fin AS (SELECT doc_id, term, frequency, tfidf, c_value, round(score * penalty, 9) AS score FROM pen), {_elbow('fin')} SELECT r.doc_id, r.term, f.frequency, round(f.tfidf, 6) AS tfidf, round(f.c_value, 6) AS c_value, round(f.score + 2.5e-8, 6) AS score, r.i + 1 AS rank FROM rk r JOIN fin f USING (doc_id, term) JOIN cu USING (doc_id) WHERE r.i < least(cutoff, 50)",
+    "term_score_topk": f"WITH {SCORED}, {_penalty('scored')}, fin AS (SELECT doc_id, term, frequency, tfidf, c_value, round(score * penalty, 9) AS score FROM pen), {_elbow('fin')} SELECT r.doc_id, r.term, f.frequency, round(f.tfidf, 6) AS tfidf, round(f.c_value, 6) AS c_value, round(f.score + 2.55e-8, 6) AS score, r.i + 1 AS rank FROM rk r JOIN fin f USING (doc_id, term) JOIN cu USING (doc_id) WHERE r.i < least(cutoff, 50)",
     "term_frequency": f"WITH {CNT} SELECT * FROM cnt",
     "term_frequency_min2": f"WITH {CNT} SELECT * FROM cnt WHERE frequency >= 2",
     "doc_profile": f"SELECT doc_id, left(sha256(text), 16) AS content_hash, length(text) AS text_length, octet_length(encode(text)) AS n_bytes, round({FEATURES['technical_density']}, 6) AS technical_density, round({FEATURES['mixed_ratio']}, 6) AS mixed_ratio, {FEATURES['abbreviations']} AS abbreviations, regexp_matches(text, '[A-Za-z0-9]') AS has_alnum FROM (SELECT *, {_raw_features('text')} FROM documents)",
@@ -145,15 +147,15 @@ ORACLE = {
     "cvalue_v1": f"WITH {CNT}, {_cvalue(W1)} SELECT doc_id, term, frequency, round(c_value, 6) AS c_value FROM cv",
     "cvalue_v2": f"WITH {CNT}, {_cvalue(W2)} SELECT doc_id, term, frequency, round(c_value, 6) AS c_value FROM cv",
     "cvalue_v3": f"WITH {CNT}, {_cvalue(W3)} SELECT doc_id, term, frequency, round(c_value, 6) AS c_value FROM cv",
-    "minmax_blend": f"WITH {SCORED} SELECT doc_id, term, round(score + 2.5e-8, 6) AS score FROM scored",
-    "statistical_priority": f"WITH {EVAL} SELECT doc_id, term, round(score + 2.5e-8, 6) AS score, perplexity, round(priority_score + 2.5e-8, 6) AS priority_score, confidence, rank FROM ev",
+    "minmax_blend": f"WITH {SCORED} SELECT doc_id, term, round(score + 2.55e-8, 6) AS score FROM scored",
+    "statistical_priority": f"WITH {EVAL} SELECT doc_id, term, round(score + 2.55e-8, 6) AS score, perplexity, round(priority_score + 2.55e-8, 6) AS priority_score, confidence, rank FROM ev",
     "nc_value": f"WITH {_nc()} SELECT doc_id, term, round(nc_value, 6) AS nc_value FROM nc",
     "generic_score": f"WITH {_nc()} SELECT doc_id, term, round(nc_value * 5 + ln(frequency + 1) * 3 + CASE WHEN length(term) BETWEEN 4 AND 10 THEN 10 WHEN length(term) BETWEEN 11 AND 15 THEN 8 WHEN length(term) BETWEEN 2 AND 3 THEN 3 ELSE 1 END + 5 + CASE WHEN regexp_matches(term, '[A-Z0-9]{{2,}}') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(term, '[ア-ヴー]') THEN 5 ELSE 0 END, 6) AS score FROM nc",
     "substring_penalty": f"WITH {CNT}, c2 AS (SELECT * FROM cnt WHERE frequency >= 2), {_penalty('c2')} SELECT doc_id, term, frequency, CAST(penalty AS DOUBLE) AS penalty FROM pen",
     "elbow_cutoff": f"WITH {SCORED}, {_elbow('scored')} SELECT doc_id, n, elbow, contribution, cutoff FROM cu",
     "prune_parts": f"WITH {CNT}, lost AS (SELECT DISTINCT doc_id, term FROM ({_pairs('cnt')})) SELECT doc_id, term, frequency FROM cnt ANTI JOIN lost USING (doc_id, term) WHERE length(term) >= 3",
-    "token_ngrams": f"WITH {GRAMS} SELECT doc_id, term, count(*) AS frequency FROM (SELECT doc_id, t1 AS term FROM ns UNION ALL SELECT doc_id, t1 || ' ' || t2 FROM ns WHERE t2 IS NOT NULL UNION ALL SELECT doc_id, t1 || ' ' || t2 || ' ' || t3 FROM ns WHERE t3 IS NOT NULL) WHERE length(term) BETWEEN 2 AND 60 GROUP BY ALL",
-    "compound_prefixes": f"WITH {GRAMS} SELECT doc_id, term, count(*) AS frequency FROM (SELECT doc_id, t1 || ' ' || t2 AS term FROM ns WHERE first AND t2 IS NOT NULL UNION ALL SELECT doc_id, t1 || ' ' || t2 || ' ' || t3 FROM ns WHERE first AND t3 IS NOT NULL) WHERE length(term) BETWEEN 3 AND 60 GROUP BY ALL",
+    "token_ngrams": f"WITH {GRAMS} SELECT doc_id, term, count(*) AS frequency FROM (SELECT doc_id, t1 AS term FROM ns UNION ALL SELECT doc_id, t1 || ' ' || t2 FROM ns WHERE t2 IS NOT NULL UNION ALL SELECT doc_id, t1 || ' ' || t2 || ' ' || t3 FROM ns WHERE t3 IS NOT NULL) WHERE length(term) BETWEEN 2 AND 60 AND {_VALID} GROUP BY ALL",
+    "compound_prefixes": f"WITH {GRAMS} SELECT doc_id, term, count(*) AS frequency FROM (SELECT doc_id, t1 || ' ' || t2 AS term FROM ns WHERE first AND t2 IS NOT NULL UNION ALL SELECT doc_id, t1 || ' ' || t2 || ' ' || t3 FROM ns WHERE first AND t3 IS NOT NULL) WHERE length(term) BETWEEN 3 AND 60 AND {_VALID} GROUP BY ALL",
     "kwic": f"WITH {CNT}, {TARGETS}, {places('tg')}, e AS (SELECT *, greatest(st - 50, 1) AS s, least(st + length(term) - 1 + 50, length(text)) AS e FROM pl WHERE k <= 3) SELECT doc_id, term, CAST(k - 1 AS INTEGER) AS ord, CASE WHEN s > 1 THEN '...' ELSE '' END || substr(text, s, e - s + 1) || CASE WHEN e < length(text) THEN '...' ELSE '' END AS context FROM e",
     "mask_real": f"WITH {CNT}, {TARGETS}, {places('tg')}, lr AS (SELECT *, substr(text, greatest(st - 50, 1), least(st - 1, 50)) AS l, substr(text, st + length(term), 50) AS r FROM pl), m AS (SELECT doc_id, term, CAST(k - 1 AS INTEGER) AS ord, {STRIP.format("string_split(l, '.')[-1] || '[MASK]' || CASE WHEN instr(r, '.') > 0 THEN left(r, instr(r, '.')) ELSE r END")} AS masked_text FROM lr) SELECT doc_id, term, ord, masked_text, round({QUALITY}, 6) AS quality FROM (SELECT *, len(list_filter(string_split_regex(masked_text, '\\s+'), lambda x: x <> '')) AS nw FROM m)",
     "boundary_frequency": f"WITH {CNT}, tm AS (SELECT doc_id, term FROM cnt WHERE frequency >= 3), g AS (SELECT doc_id, term, 1 AS single FROM tok UNION ALL SELECT doc_id, term || ' ' || nx, 0 FROM (SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM tok) WHERE nx IS NOT NULL), c AS (SELECT doc_id, term, count(*) AS n, max(single) AS single FROM g GROUP BY ALL) SELECT doc_id, term, CAST(greatest(1, coalesce(n, 0) + coalesce(single, 0)) AS BIGINT) AS frequency FROM tm LEFT JOIN c USING (doc_id, term)",
@@ -179,9 +181,9 @@ ORACLE = {
     "dictionary_upsert": f"WITH {HEAD}, {_merged('o', 'ord % 2 = 0')}, {_merged('n', 'ord % 2 = 1')} SELECT coalesce(n.headword, o.headword) AS headword, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.synonyms, []), coalesce(n.synonyms, [])))), ',') AS synonyms, coalesce(nullif(n.definition, ''), o.definition, n.definition) AS definition, coalesce(n.category, o.category) AS category, round(greatest(n.confidence, o.confidence), 6) AS confidence, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.sources, []), coalesce(n.sources, [])))), ',') AS source_docs, n.headword IS NOT NULL AS touched FROM oc o FULL JOIN nc n ON o.headword = n.headword",
     "dictionary_search": f"WITH {HEAD}, {_merged('o', 'true')} SELECT headword, round(confidence, 6) AS confidence FROM oc WHERE headword ILIKE '%TION%' OR list_contains(synonyms, 'TION') ORDER BY confidence DESC, headword LIMIT 10",
     "dictionary_stats": f"WITH {HEAD}, {_merged('o', 'true')} SELECT count(*) AS terms, count(*) FILTER (WHERE len(synonyms) > 0) AS with_synonyms, count(*) FILTER (WHERE coalesce(definition, '') <> '') AS with_definition, count(*) FILTER (WHERE coalesce(category, '') <> '') AS with_category, round(avg(len(synonyms)), 6) AS avg_synonyms FROM o",
-    "term_statistics": f"WITH {SCORED}, s6 AS (SELECT doc_id, term, frequency, round(score + 2.5e-8, 6) AS score FROM scored) SELECT count(DISTINCT doc_id) AS files, count(*) AS terms, count(DISTINCT term) AS distinct_terms, round(avg(score), 5) AS avg_score, round(max(score), 5) AS max_score, round(min(score), 5) AS min_score, round(avg(frequency), 5) AS avg_frequency, max(frequency) AS max_frequency FROM s6",
+    "term_statistics": f"WITH {SCORED}, s6 AS (SELECT doc_id, term, frequency, round(score + 2.55e-8, 6) AS score FROM scored) SELECT count(DISTINCT doc_id) AS files, count(*) AS terms, count(DISTINCT term) AS distinct_terms, round(avg(score), 5) AS avg_score, round(max(score), 5) AS max_score, round(min(score), 5) AS min_score, round(avg(frequency), 5) AS avg_frequency, max(frequency) AS max_frequency FROM s6",
     "run_statistics": f"WITH {EVAL}, n AS (SELECT count(*) AS total, count(*) FILTER (WHERE confidence = 'high') AS high, count(*) FILTER (WHERE confidence = 'medium') AS medium, count(*) FILTER (WHERE confidence = 'low') AS low FROM ev) SELECT *, round(coalesce(high / nullif(total, 0), 0.0), 6) AS auto_approved_ratio, round(coalesce((medium + low) / nullif(total, 0), 0.0), 6) AS manual_review_ratio FROM n",
-    "review_candidates": f"WITH {EVAL}, g AS (SELECT term, max(priority_score) AS priority_score, min(confidence) AS confidence FROM ev GROUP BY term) SELECT term, round(priority_score + 2.5e-8, 6) AS priority_score, confidence FROM g WHERE confidence IN ('low', 'medium') ORDER BY g.priority_score DESC, term LIMIT 50",
+    "review_candidates": f"WITH {EVAL}, g AS (SELECT term, max(priority_score) AS priority_score, min(confidence) AS confidence FROM ev GROUP BY term) SELECT term, round(priority_score + 2.55e-8, 6) AS priority_score, confidence FROM g WHERE confidence IN ('low', 'medium') ORDER BY g.priority_score DESC, term LIMIT 50",
     "graph_semi": f"WITH {CNT}, {SENT}, fq AS (SELECT doc_id, term FROM cnt WHERE frequency >= 5), ins AS (SELECT s.* FROM sen s SEMI JOIN fq USING (doc_id, term)) SELECT DISTINCT a.doc_id, a.term FROM ins a JOIN ins b ON a.doc_id = b.doc_id AND a.sentence = b.sentence AND a.term <> b.term",
     "doc_dedup": "SELECT left(sha256(text), 16) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "sentence_split": "WITH p AS (SELECT doc_id, list_filter(string_split(replace(text, chr(10), '.'), '.'), lambda x: trim(x, ' ') <> '') AS s FROM documents) SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS ord, md5(unnest(s)) AS sentence_md5 FROM p",

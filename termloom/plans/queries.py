@@ -22,7 +22,7 @@ def _r(c, n: int = 6):
 
 def _off_tie(c: str):
     """Six digits of a value that was rounded to nine: moved off ties first, on which engines disagree."""
-    return F.round(F.col(c) + 2.5e-8, 6)
+    return F.round(F.col(c) + 2.55e-8, 6)
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def term_frequency_min2(documents):
 @query
 def doc_profile(documents):
     f = text.features(F.col("text"))
-    return documents.select("doc_id", F.left(F.sha2("text", 256), F.lit(16)).alias("content_hash"), F.length("text").cast("long").alias("text_length"), F.octet_length("text").cast("long").alias("n_bytes"), _r(f["technical_density"]).alias("technical_density"), _r(f["mixed_ratio"]).alias("mixed_ratio"), f["abbreviations"].alias("abbreviations"), text.has_alnum(F.col("text")).alias("has_alnum"))
+    return readers.preprocess(documents).select("doc_id", "content_hash", F.col("text_length").cast("long").alias("text_length"), F.octet_length("text").cast("long").alias("n_bytes"), _r(f["technical_density"]).alias("technical_density"), _r(f["mixed_ratio"]).alias("mixed_ratio"), f["abbreviations"].alias("abbreviations"), text.has_alnum(F.col("text")).alias("has_alnum"))
 
 
 @query
@@ -148,14 +148,14 @@ def token_ngrams(documents):
     """Runs of tokens that aren't stop words, and their n-grams up to three."""
     found = candidates.tokens(documents)
     runs = candidates.runs(found, ~F.lower("term").isin(*LATIN.stop_words))
-    return candidates.compounds(runs, LATIN, 1, 3, (2, 60))
+    return candidates.compounds(runs, LATIN, 1, 3, (2, 60), stop=LATIN.stop_words)
 
 
 @query
 def compound_prefixes(documents):
     found = candidates.tokens(documents)
     runs = candidates.runs(found, ~F.lower("term").isin(*LATIN.stop_words))
-    return candidates.compounds(runs, LATIN, 2, 3, (3, 60), prefixes_only=True)
+    return candidates.compounds(runs, LATIN, 2, 3, (3, 60), prefixes_only=True, stop=LATIN.stop_words)
 
 
 @query
@@ -268,9 +268,9 @@ def threshold_counts(embeddings):
 
 @query
 def unknown_terms(embeddings):
-    rows = _similarities(embeddings)
-    found = rows.withColumn("value", F.when(F.col("is_unknown"), 0.0).otherwise(F.col("similarity"))).withColumn("unknown", F.col("is_unknown") | (F.col("value") < 0.7))
-    return found.select("vec_id", _r("value").alias("similarity"), F.col("is_unknown").alias("explicit"), "unknown", rank.band(F.col("value")).alias("band"))
+    rows = _similarities(embeddings).withColumn("said", F.when(F.col("is_unknown"), "それは不明です").otherwise("a definition"))
+    found = perplexity.unknown(F.col("said"), F.lit("another"), 0.7, F.col("similarity"))
+    return rows.select("vec_id", _r(found["similarity"]).alias("similarity"), found["explicitly_unknown"].alias("explicit"), found["is_unknown"].alias("unknown"), rank.band(found["similarity"]).alias("band"))
 
 
 def _with_targets(documents: DataFrame) -> DataFrame:

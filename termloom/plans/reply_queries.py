@@ -197,7 +197,7 @@ def masked_predictions(benchmark):
 
 @twin(f"""WITH {_RESPONSES}, q AS (SELECT *, w[greatest(1, len(w) // 2)] AS term FROM b), s AS (SELECT lp.item_id, q.term, lp.i, lp.lp, array_to_string(list_slice(lp.w, 1, lp.i), '') AS run FROM lp JOIN q USING (item_id)),
 f AS (SELECT item_id, arg_min(lp, i) FILTER (WHERE contains(run, term)) AS a, arg_min(lp, i) FILTER (WHERE contains(lower(run), lower(term))) AS b, avg(lp) FILTER (WHERE i <= 3) AS m FROM s GROUP BY item_id)
-SELECT q.item_id, q.term, round(a, 6) AS logprob, round(coalesce(least(95.0, greatest(5.0, exp(-b) * 10)), 50.0), 6) AS scaled, round(least(100.0, greatest(5.0, exp(-m) * 10)), 6) AS forced FROM q JOIN f USING (item_id)""")
+SELECT q.item_id, q.term, round(a, 6) AS logprob, round(CASE WHEN b IS NULL THEN 50.0 ELSE least(95.0, greatest(5.0, exp(-b) * 10)) END, 6) AS scaled, round(least(100.0, greatest(5.0, exp(-m) * 10)), 6) AS forced FROM q JOIN f USING (item_id)""")
 @query
 def cumulative_logprobs(benchmark):
     """The token with which the running text first holds a term, scaled, and of a favoured beginning."""

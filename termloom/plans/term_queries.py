@@ -13,7 +13,7 @@ from ..config import JAPANESE
 from ..functions import fixed, text
 from ..operators import candidates, chunkers, contexts, rank, stats
 from . import extract
-from .oracle import CNT, STRIP, TARGETS, TOK, TOKEN, WINDOWS, places
+from .oracle import CNT, STRIP, TARGETS, TOK, TOKEN, WINDOWS, _pairs, places
 from .registry import query, twin
 
 #: Letters and what stands for them.
@@ -194,6 +194,23 @@ def joined_nouns(documents):
     return found.select("doc_id", F.array_join("words", "").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PARTS = _listed(fixed.MEANINGFUL_PARTS)
+_ENDS = f"[{_listed(fixed.MEANINGFUL_PARTS[:4])}]"
+
+
+@twin(f"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({KANA}, '{SPELT}')) AS w FROM documents),
+k AS (SELECT DISTINCT doc_id, unnest([w, w || {_ENDS}[1 + length(w) % 4], {_ENDS}[1 + length(w) % 4], substr(w, 1, 2) || {_ENDS}[1 + length(w) % 4]]) AS term FROM w), c AS (SELECT doc_id, term, 1 AS frequency FROM k),
+p AS ({_pairs('c', 3)}), lost AS (SELECT DISTINCT doc_id, term FROM p WHERE NOT (NOT (ends_with(container, term) AND length(term) < 0.6 * length(container)) AND NOT (starts_with(container, term) AND length(term) < 0.6 * length(container)) AND (ends_with(container, term) OR starts_with(container, term)) AND term IN ({_PARTS})))
+SELECT doc_id, term FROM c ANTI JOIN lost USING (doc_id, term) WHERE length(term) >= 3""")
+@query
+def meaningful_parts(documents):
+    """Terms that are no part of a longer one, or a part with a meaning of its own."""
+    w = documents.select("doc_id", F.explode(F.regexp_extract_all(kana(), F.lit(SPELT), F.lit(0))).alias("w")).distinct()
+    end = F.get(F.array(*map(F.lit, fixed.MEANINGFUL_PARTS[:4])), F.length("w") % 4)
+    terms = w.select("doc_id", F.explode(F.array(F.col("w"), F.concat("w", end), end, F.concat(F.substring("w", 1, 2), end))).alias("term")).distinct()
+    return candidates.prune_parts(terms.withColumn("frequency", F.lit(1).cast("long"))).select("doc_id", "term")
+
+
 _GRAMS_OF_RUNS = "SELECT doc_id, array_to_string(list_slice(w, i, i + n - 1), '') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT doc_id, w, unnest(range({0}, least(len(w), {1}) + 1)) AS n FROM ru))"
 
 
@@ -335,6 +352,20 @@ def generic_terms(documents):
     return extract.generic_terms(documents).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _cut_at(at: str) -> str:
+    """Where a window of 2,000 characters from ``at`` ends: behind the last mark in its second half."""
+    half = f"substr(text, {at} + 1001, 1000)"
+    behind = "".join(f" WHEN contains({half}, {m}) THEN {at} + 1000 + length({half}) - instr(reverse({half}), reverse({m})) + 1" for m in ("'. '", "chr(10)", "'!'", "'?'", "'.'"))
+    return f"CASE WHEN {at} + 2000 >= length(text) THEN length(text){behind} ELSE {at} + 2000 END"
+
+
+@twin(f"""WITH RECURSIVE r AS (SELECT doc_id, 0 AS n, CAST(0 AS BIGINT) AS start, CAST({_cut_at('0')} AS BIGINT) AS e FROM documents WHERE length(text) > 0
+UNION ALL SELECT doc_id, n + 1, e - 200, CAST({_cut_at('(e - 200)')} AS BIGINT) FROM r JOIN documents USING (doc_id) WHERE e < length(text))
+SELECT doc_id, CAST(n AS INTEGER) AS chunk_id, md5(substr(text, start + 1, e - start)) AS chunk_md5, e - start AS n_chars FROM r JOIN documents USING (doc_id)""")
+def cursor_chunks() -> None:
+    """Only the twin: the query stands with the first ones."""
+
+
 @query
 def paragraph_chunks(documents):
     """H3: paragraphs or packed sentences; tested against a version of its own."""
