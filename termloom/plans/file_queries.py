@@ -43,6 +43,62 @@ def directory_counts(benchmark):
     return readers.preprocess_counts(done).select((F.col("processed") + F.col("failed") + F.col("skipped")).alias("files"), "processed", "failed", "skipped", F.col("total_characters").cast("long").alias("total_characters"))
 
 
+#: Words of an item in ASCII, and files made of them: two pages, the first blank; Markdown; bytes that are no UTF-8.
+_ASCII = "array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ')"
+
+
+def _made(benchmark: DataFrame, kind: str, content) -> DataFrame:
+    return benchmark.select("item_id", F.lit(kind).alias("file_type"), content.cast("binary").alias("content"))
+
+
+@twin(f"""WITH a AS (SELECT item_id, {_ASCII} AS a FROM benchmark)
+SELECT item_id, 'pages' AS kind, md5('A1' || chr(10) || 'B2' || chr(10) || chr(10) || a) AS text_md5 FROM a
+UNION ALL SELECT item_id, 'marked', md5('[Page 2]' || chr(10) || 'A1' || chr(10) || 'B2' || chr(10) || '[Page 3]' || chr(10) || a) FROM a
+UNION ALL SELECT item_id, 'repaired', md5('A1B2' || chr(10) || a) FROM a
+UNION ALL SELECT item_id, 'markdown', md5('Head' || chr(10) || a || chr(10) || 'x = 1' || chr(10) || 'end 1') FROM a
+UNION ALL SELECT item_id, 'code', md5('Head' || chr(10) || a || chr(10) || '[CODE: x = 1]' || chr(10) || 'end 1' || chr(10) || 'the note') FROM a
+UNION ALL SELECT item_id, 'html', md5('Head' || chr(10) || a || chr(10) || 'menu') FROM a
+UNION ALL SELECT item_id, 'bare html', md5('Head |' || a) FROM a
+UNION ALL SELECT item_id, 'ignored', md5(a || 'z') FROM a
+UNION ALL SELECT item_id, 'strict', NULL FROM a
+UNION ALL SELECT item_id, 'empty', NULL FROM a""")
+@query
+def parsed_files(benchmark):
+    """Files of every kind, read with every option; what can't be read is null."""
+    words = F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), " ")
+    page = lambda shown: F.concat(F.lit("9 0 obj stream\nBT "), shown, F.lit(" ET\nendstream\n"))
+    pdf = F.concat(F.lit("%PDF-1.4\n"), page(F.lit("( ) Tj")), page(F.lit("(A1) Tj 0 -9 Td (B2) Tj")), page(F.concat(F.lit("("), words, F.lit(") Tj"))))
+    markdown = F.concat(F.lit("# Head\n\n* **"), words, F.lit("**\n\n```py\nx = 1\n```\n> end [^1]\n\n[^1]: the note\n"))
+    plain = F.concat(F.lit("# Head\n\n* **"), words, F.lit("**\n\n```py\nx = 1\n```\n> end 1\n"))
+    html = F.concat(F.lit("<style>p{}</style><h1> Head </h1><p>"), words, F.lit("</p><nav>menu</nav>"))
+    bad = F.concat(words.cast("binary"), F.unhex(F.lit("FF")), F.lit("z").cast("binary"))
+    o = readers.Options
+    cases = [
+        ("pages", "pdf", pdf, o()), ("marked", "pdf", pdf, o(page_marks=True, joiner="\n")), ("repaired", "pdf", pdf, o(repair=True, joiner="\n")),
+        ("markdown", "markdown", plain, o()), ("code", "markdown", markdown, o(keep_code=True, footnotes=True)),
+        ("html", "html", html, o()), ("bare html", "html", html, o(separator="|", dropped=("style", "nav"))),
+        ("ignored", "text", bad, o(trials=("utf-8",))), ("strict", "text", bad, o(trials=("utf-8",), strict=True)), ("empty", "pdf", F.lit("%PDF-1.4"), o()),
+    ]
+    out = None
+    for name, kind, content, options in cases:
+        found = readers.parsed(_made(benchmark, kind, content), options).select("item_id", F.lit(name).alias("kind"), F.md5("text").alias("text_md5"))
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+@twin("SELECT vec_id AS chunk_id, 'text ' || vec_id AS preview, len(embedding) AS dim FROM embeddings")
+@query
+def vector_store(embeddings):
+    """V5: chunks stored with their vectors, anew each time."""
+    from ..operators import vectors
+
+    chunks = embeddings.select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"), "embedding")
+    path = _folder(embeddings, "store")
+    vectors.build_store(chunks.limit(1), path)
+    vectors.build_store(chunks, path)
+    return embeddings.sparkSession.read.parquet(path).select("chunk_id", "preview", F.size("embedding").cast("long").alias("dim"))
+
+
 _LINES = r"""x0 AS (SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)\b.*?</(script|style)>', chr(10), 'g'), '(?s)<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g'), '&copy;', '©') AS t0 FROM pages),
 x AS (SELECT page_id, regexp_replace(replace(replace(t0, '&middot;', '·'), '&quot;', chr(34)), '&amp;?', '&', 'g') AS t FROM x0),
 l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '') AS l FROM x)"""

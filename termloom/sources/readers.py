@@ -197,6 +197,12 @@ def read_directory(spark: SparkSession, path: str, types: dict[str, str] = TYPES
     known = F.element_at(F.create_map(*[F.lit(x) for kv in types.items() for x in kv]), extension)
     files = reader.load(path).withColumn("extension", extension).withColumn("file_type", F.coalesce(known, F.lit("text")) if other_as_text else known)
     files = files.where("file_type IS NOT NULL").withColumn("file_name", F.regexp_extract("path", r"([^/]+)$", 1))
+    rows = files.select("path", "file_name", "extension", "file_type", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_time"), "content")
+    return parsed(rows, options)
+
+
+def parsed(rows: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008 - frozen
+    """``rows`` (file_type, content, ...) with ``text`` and ``error`` in place of the content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -210,8 +216,8 @@ def read_directory(spark: SparkSession, path: str, types: dict[str, str] = TYPES
                     errors.append(f"{type(e).__name__}: {e}")
             yield batch.drop(columns="content").assign(text=texts, error=errors)
 
-    rows = files.select("path", "file_name", "extension", "file_type", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_time"), "content")
-    return rows.mapInPandas(run, "path string, file_name string, extension string, file_type string, file_size long, modified_time timestamp, text string, error string")
+    kept = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "content")
+    return rows.mapInPandas(run, f"{kept}, text string, error string")
 
 
 def preprocess(files: DataFrame) -> DataFrame:
