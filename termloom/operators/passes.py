@@ -226,15 +226,16 @@ def choice_perplexity(terms: DataFrame, provider: Provider) -> DataFrame:
     return got.withColumn("perplexity", F.coalesce(text.choice_perplexity(F.col("reply")), F.lit(25.0))).drop("prompt", "reply", "error")
 
 
-def partial_completion(terms: DataFrame, provider: Provider, tries: int = 3) -> DataFrame:
+def partial_completion(terms: DataFrame, provider: Provider, tries: int = 3, strict: bool = False) -> DataFrame:
     """``terms`` with ``partial``: how often a term is completed from a third, a half and two thirds of it, over some tries;
-    0.2 for terms under four characters."""
-    parts = terms.where(F.length("term") >= 4).select("term", F.explode(F.array_distinct(perplexity.split_points(F.col("term")))).alias("at"))
-    tried = parts.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries))))
+    0.2 for terms under four characters. ``strict``: not from one character, and with three more at most."""
+    parts = terms.where(F.length("term") >= 4).select("term", F.posexplode(perplexity.split_points(F.col("term"))).alias("part", "at"))
+    tried = (parts.where("at > 1") if strict else parts).withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries))))
     head = F.substring("term", F.lit(1), F.col("at"))
     got = complete(tried.withColumn("prompt", prompt(COMPLETE, head, F.col("try").cast("string"))), provider)
-    rest = F.substring("term", F.col("at") + 1, F.length("term"))
-    hit = F.coalesce(F.contains(F.lower("reply"), F.lower(rest)), F.lit(False))
+    said = F.trim("reply")
+    fits = F.contains(said, F.col("term")) & ((F.length(said) <= F.length("term") + 3) if strict else F.lit(True))
+    hit = F.coalesce(fits, F.lit(False))
     per = got.groupBy("term").agg(F.avg(hit.cast("double")).alias("partial"))
     return terms.join(per, "term", "left").withColumn("partial", F.when(F.length("term") < 4, F.lit(0.2)).otherwise(F.col("partial")))
 

@@ -85,20 +85,20 @@ def generic_terms(docs: DataFrame, config: EngineConfig | None = None, most: int
     return rank.top_per(scored, most, "doc_id").select("doc_id", "term", "frequency", "modes", "score", "rank")
 
 
-def graph_terms(docs: DataFrame, provider: Provider, config: EngineConfig | None = None, most: int = 300) -> DataFrame:
-    """Entry A with a graph: base scores spread over similar terms of the document, weighed by co-occurrence."""
-    nodes = rank.top_per(scored_terms(docs, config).withColumn("base_score", F.col("score")), most, "doc_id")
-    nodes = cut(nodes.withColumn("id", F.xxhash64("doc_id", "term")))
-    near = vectors.knn_within(embed(nodes.select("doc_id", "id", "term"), provider), "doc_id", id_col="id")
-    edges = graph.undirected(near)
-    sentence = docs.select("doc_id", F.posexplode(F.split("text", r"[.!?\n。！？]+")).alias("sentence", "s"))
-    config = config or EngineConfig()
-    words = sentence.select("doc_id", "sentence", F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(config.profile.token), F.lit(0)))).alias("t"))
-    in_graph = words.withColumn("term", F.xxhash64("doc_id", "t")).join(nodes.select(F.col("id").alias("term")), "term", "left_semi")
-    edges = graph.reweight(edges, graph.sentence_pairs(in_graph, "doc_id"))
-    edges = edges.join(nodes.select(F.col("id").alias("src"), "doc_id"), "src")
-    ranked = graph.pagerank(graph.personalisation(nodes, 0.7, "doc_id").select("doc_id", "id", "p"), edges)
-    return graph.fuse(nodes.drop("score", "rank").join(ranked, ["doc_id", "id"]), 0.6, "doc_id").drop("id")
+def graph_terms(docs: DataFrame, provider: Provider, config: EngineConfig | None = None, nodes: int = 300, most: int = 50, mark: str = ".") -> DataFrame:
+    """Entry A with a graph: the best ``nodes`` compound candidates that are no generic words, their base scores spread
+    over similar terms of the document, weighed by the sentences that hold both, cut where scores fall off."""
+    base = candidates.prefilter(compound_scores(docs, config, mark)).withColumn("base_score", F.col("score"))
+    kept = cut(rank.top_per(base, nodes, "doc_id").withColumn("id", F.xxhash64("doc_id", "term")))
+    edges = graph.undirected(vectors.knn_within(embed(kept.select("doc_id", "id", "term"), provider), "doc_id", id_col="id"))
+    sentences = docs.select("doc_id", F.posexplode(chunkers.sentences(F.col("text"), mark)).alias("chunk_id", "chunk"))
+    held = stats.substring_counts(sentences, kept.select("doc_id", "term"))
+    together = graph.sentence_pairs(held.select("doc_id", F.col("chunk_id").alias("sentence"), F.xxhash64("doc_id", "term").alias("term")), "doc_id")
+    edges = graph.reweight(edges, together).join(kept.select(F.col("id").alias("src"), "doc_id"), "src")
+    ranked = graph.pagerank(graph.personalisation(kept, 0.7, "doc_id").select("doc_id", "id", "p"), edges)
+    fused = cut(graph.fuse(kept.drop("score", "rank").join(ranked, ["doc_id", "id"]), 0.6, "doc_id").drop("id").withColumn("score", F.round("score", 9)))
+    cutoffs = rank.elbow_cutoff(fused).select("doc_id", "cutoff")
+    return rank.top_per(fused, most, "doc_id").join(cutoffs, "doc_id").where(F.col("rank") <= F.col("cutoff")).drop("cutoff")
 
 
 def evaluated_terms(docs: DataFrame, config: EngineConfig | None = None, most: int = 100) -> DataFrame:

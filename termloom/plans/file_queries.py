@@ -298,7 +298,7 @@ def domain_masks(documents):
 _AROUND = ORACLE["cooccur_words"].removeprefix("WITH ")
 
 
-@twin(f"WITH ar AS (WITH {_AROUND}) SELECT doc_id, term, side AS direction, word AS cooccurrence, CASE WHEN side = 'before' THEN word || ' [MASK]' ELSE '[MASK] ' || word END AS masked_text FROM ar WHERE rank = 1")
+@twin(f"WITH ar AS (WITH {_AROUND}) SELECT doc_id, term, side AS direction, word AS cooccurrence, CASE WHEN side = 'before' THEN word || '[MASK]' ELSE '[MASK]' || word END AS masked_text FROM ar WHERE rank = 1")
 @query
 def statistical_masks(documents):
     """M4: the mask beside the word that is most often next to a term."""

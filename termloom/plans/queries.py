@@ -434,6 +434,6 @@ def kwic_turns(conversations):
     """Every term of every turn, in context and in any case: how many contexts differ, and the first one."""
     terms = F.array_distinct(F.regexp_extract_all("text", F.lit(LATIN.token), F.lit(0)))
     found = contexts.occurrences(conversations.withColumn("terms", terms), 150, 5, any_case=True, keys=("conv_id", "turn"))
-    found = found.select("conv_id", "turn", "term", "ord", contexts.stripped(contexts.plain_context()).alias("context"))
+    found = found.select("conv_id", "turn", "term", "ord", contexts.kwic_sentence(75, (".", "!", "\n")).alias("context"))
     per = found.groupBy("conv_id", "turn", "term").agg(F.count_distinct("context").alias("n"), F.min_by("context", "ord").alias("context"))
     return per.select("conv_id", "turn", "term", "n", F.md5("context").alias("first_md5"))

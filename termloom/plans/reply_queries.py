@@ -274,14 +274,16 @@ def choice_perplexities(benchmark):
     return passes.choice_perplexity(_terms(benchmark), Stub(style="letter")).select("term", "perplexity")
 
 
-@twin(f"""WITH {_WORDS}, c AS (SELECT DISTINCT term, unnest([length(term) // 3, length(term) // 2, length(term) * 2 // 3]) AS place FROM tm WHERE length(term) >= 4), t AS (SELECT *, unnest([1, 2, 3]) AS attempt FROM c),
-r AS (SELECT *, md5({_sql_prompt(passes.COMPLETE, "substr(term, 1, place) || chr(10) || attempt")}) AS m FROM t),
-h AS (SELECT term, avg(CASE WHEN contains(lower('YES | ' || substr(m, 1, 8) || ' ' || CAST(('0x' || substr(m, 1, 2)) AS BIGINT) % 10), lower(substr(term, place + 1))) THEN 1.0 ELSE 0.0 END) AS p FROM r GROUP BY term)
-SELECT tm.term, round(CASE WHEN length(tm.term) < 4 THEN 0.2 ELSE p END, 6)::DOUBLE AS partial FROM tm LEFT JOIN h ON tm.term = h.term""")
+@twin(f"""WITH {_WORDS}, c AS (SELECT term, unnest([length(term) // 3, length(term) // 2, length(term) * 2 // 3]) AS place FROM tm WHERE length(term) >= 4), t AS (SELECT *, unnest(['er', 'en', 'on']) AS ending FROM c),
+h AS (SELECT term, place, contains('it is ' || substr(term, 1, place) || ending, term) AS hit, contains('it is ' || substr(term, 1, place) || ending, term) AND place > 1 AND 6 + place + 2 <= length(term) + 3 AS tight FROM t),
+p AS (SELECT term, avg(hit::INT) AS p, avg(tight::INT) FILTER (WHERE place > 1) AS s FROM h GROUP BY term)
+SELECT tm.term, round(CASE WHEN length(tm.term) < 4 THEN 0.2 ELSE p END, 6)::DOUBLE AS partial, round(CASE WHEN length(tm.term) < 4 THEN 0.2 ELSE s END, 6)::DOUBLE AS strict FROM tm LEFT JOIN p ON tm.term = p.term""")
 @query
 def partial_completions(benchmark):
-    """How often terms are completed from parts of them."""
-    return passes.partial_completion(_terms(benchmark), Stub()).select("term", F.round("partial", 6).alias("partial"))
+    """How often terms are completed from parts of them, loosely and strictly."""
+    loose = passes.partial_completion(_terms(benchmark), Stub(style="ending"))
+    strict = passes.partial_completion(_terms(benchmark), Stub(style="ending"), strict=True).withColumnRenamed("partial", "strict")
+    return loose.join(strict, "term").select("term", F.round("partial", 6).alias("partial"), F.round("strict", 6).alias("strict"))
 
 
 @query
@@ -384,5 +386,5 @@ def graph_terms(documents):
     """Terms ranked by the graph of their document, with the stub's vectors."""
     from . import extract
 
-    out = extract.graph_terms(documents.select("doc_id", "text"), Stub(64), most=50)
-    return out.select("doc_id", "term", "frequency", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+    out = extract.graph_terms(documents.select("doc_id", "text"), Stub(64), mark=".")
+    return out.select("doc_id", "term", "frequency", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -271,16 +271,19 @@ def context_words(documents):
     return stats.term_contexts(documents, _targets(documents))
 
 
-_SEP = "CASE WHEN instr({0}, '.') - 1 BETWEEN 1 AND 99 THEN substr({0}, instr({0}, '.') + 1) WHEN instr({0}, '!') - 1 BETWEEN 1 AND 99 THEN substr({0}, instr({0}, '!') + 1) WHEN instr({0}, chr(10)) - 1 BETWEEN 1 AND 99 THEN substr({0}, instr({0}, chr(10)) + 1) ELSE {0} END"
+def _sep(c: str, window: int) -> str:
+    """What is behind the first kind of mark that is early in a context."""
+    cases = " ".join(f"WHEN instr({c}, {m}) - 1 BETWEEN 1 AND {window - 1} THEN substr({c}, instr({c}, {m}) + 1)" for m in ("'.'", "'!'", "chr(10)"))
+    return f"CASE {cases} ELSE {c} END"
 
 
-def _tail(mark: str) -> str:
+def _tail(mark: str, window: int) -> str:
     at = f"(length(h) - instr(reverse(h), {mark}))"
-    return f"WHEN {at} > length(h) - 100 AND {at} < length(h) - 1 THEN substr(h, 1, {at} + 1)"
+    return f" WHEN {at} > length(h) - {window} AND {at} < length(h) - 1 THEN substr(h, 1, {at} + 1)"
 
 
 @twin(f"""WITH {CNT}, {TARGETS}, {places('tg')}, c AS (SELECT doc_id, term, k, substr(text, greatest(st - 100, 1), least(st - 1 + length(term) + 100, length(text)) - greatest(st - 100, 1) + 1) AS x FROM pl WHERE k <= 3),
-h AS (SELECT doc_id, term, k, {_SEP.format('x')} AS h FROM c), e AS (SELECT *, CASE {_tail("'.'")} {_tail("'!'")} {_tail('chr(10)')} ELSE h END AS e FROM h)
+h AS (SELECT doc_id, term, k, {_sep('x', 100)} AS h FROM c), e AS (SELECT *, CASE {_tail("'.'", 100)} {_tail("'!'", 100)} {_tail('chr(10)', 100)} ELSE h END AS e FROM h)
 SELECT doc_id, term, CAST(k - 1 AS INTEGER) AS ord, md5({STRIP.format('e')}) AS context_md5 FROM e""")
 @query
 def kwic_sentences(documents):
@@ -293,7 +296,8 @@ def kwic_sentences(documents):
 @twin(f"""WITH t AS (SELECT conv_id, turn, text, unnest(list_distinct(regexp_extract_all(text, '{TOKEN}'))) AS term FROM conversations),
 ps AS (SELECT conv_id, turn, text, term, string_split(lower(text), lower(term)) AS p FROM t), pu AS (SELECT conv_id, turn, text, term, unnest(p) AS part, generate_subscripts(p, 1) AS k, len(p) AS np FROM ps),
 pc AS (SELECT *, CAST(1 + sum(length(part)) OVER (PARTITION BY conv_id, turn, term ORDER BY k) + (k - 1) * length(term) AS BIGINT) AS st FROM pu),
-c AS (SELECT conv_id, turn, term, k, {STRIP.format('substr(text, greatest(st - 150, 1), least(st - 1, 150) + length(term) + 150)')} AS x FROM pc WHERE k < np AND k <= 5)
+c0 AS (SELECT conv_id, turn, term, k, substr(text, greatest(st - 150, 1), least(st - 1, 150) + length(term) + 150) AS x FROM pc WHERE k < np AND k <= 5),
+h AS (SELECT conv_id, turn, term, k, {_sep('x', 75)} AS h FROM c0), c AS (SELECT conv_id, turn, term, k, {STRIP.format('CASE ' + _tail("'.'", 75) + _tail("'!'", 75) + _tail('chr(10)', 75) + ' ELSE h END')} AS x FROM h)
 SELECT conv_id, turn, term, count(DISTINCT x) AS n, md5(arg_min(x, k)) AS first_md5 FROM c GROUP BY ALL""")
 def kwic_turns() -> None:
     """Only the twin: the query stands with the first ones."""

@@ -46,6 +46,7 @@ STYLES: dict[str, Callable[[str], str]] = {
     "candidates": lambda p: json.dumps({"candidates": [{"term": w, "importance": _digest(w, 2) % 12} for w in _words(p)]}) if "candidates" in p else f"{p.splitlines()[1]} defined",
     "letter": lambda p: "ABCDE"[_digest(p, 2) % 5],
     "doubt": lambda p: f"{'不明' if _digest(p, 2) % 4 == 0 else 'known'} {p.splitlines()[-1]}",
+    "ending": lambda p: f"it is {p.splitlines()[1]}{('er', 'en', 'on')[int(p.splitlines()[2]) - 1]}",
     "none": lambda p: "nothing",
 }
 
