@@ -17,10 +17,10 @@ from .sources import readers, sinks
 from .sources.provider import Provider, Stub
 
 
-def provider_of(name: str) -> Provider:
-    """A provider by name: the stub, or ``module:callable`` that makes one and knows where its credentials are."""
+def provider_of(name: str, dim: int = 64) -> Provider:
+    """A provider by name: the stub with vectors of ``dim`` numbers, or ``module:callable`` that makes one and knows where its credentials are."""
     if name == "stub" or name.startswith("stub:"):
-        return Stub(style=name.partition(":")[2] or "yes")
+        return Stub(dim, name.partition(":")[2] or "yes")
     import importlib
 
     module, _, made = name.partition(":")
@@ -140,7 +140,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser().parse_args(argv)
     settings = load(a.config) if a.command != "init" and os.path.exists(a.config) else EngineConfig()
     a.settings = settings if not a.profile else EngineConfig(**{**vars(settings), "profile": PROFILES[a.profile]})
-    a.provider = provider_of(a.provider)
+    a.provider = provider_of(a.provider, a.settings.embedding_dim)
     COMMANDS[a.command](spark or SparkSession.builder.appName("termloom").getOrCreate(), a)
     return 0
 

@@ -21,6 +21,13 @@ def term_logprob(tokens: Column, term: Column) -> Column:
     return F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / F.size(own)).otherwise(F.lit(-3.0))
 
 
+def details(tokens: Column, most: int = 10, candidates: int = 3) -> Column:
+    """The first tokens with their probabilities, each with its first candidates and theirs."""
+    shown = lambda x: F.struct(x["token"].alias("token"), x["logprob"].alias("logprob"), F.exp(x["logprob"]).alias("prob"))
+    of = lambda x: F.struct(x["token"].alias("token"), x["logprob"].alias("logprob"), F.exp(x["logprob"]).alias("prob"), F.transform(F.slice(x["top"], 1, candidates), shown).alias("top_candidates"))
+    return F.transform(F.slice(tokens, 1, most), of)
+
+
 def mean_perplexity(contexts: DataFrame, *keys: str) -> DataFrame:
     """(keys, perplexity, avg_logprob, confidence) over contexts (keys, perplexity); 50, -3.9 and medium for none."""
     out = contexts.groupBy(*keys).agg(F.avg("perplexity").alias("perplexity"))

@@ -195,6 +195,15 @@ def masked_predictions(benchmark):
     return rows.select("item_id", "term", F.round(found["perplexity"], 6).alias("perplexity"), F.round(found["logprob"], 6).alias("logprob"), found["rank"].alias("rank"))
 
 
+@twin(f"WITH {_RESPONSES} SELECT item_id, CAST(i - 1 AS INTEGER) AS pos, tok AS token, round(exp(lp), 6) AS prob, CAST(2 AS BIGINT) AS n_candidates, {_sql_up('tok')} AS first, round(exp(lp - 1), 6) AS first_prob FROM lp WHERE i <= 10")
+@query
+def token_details(benchmark):
+    """L2: the first ten tokens and their candidates."""
+    rows = _responses(benchmark).select("item_id", F.posexplode(perplexity.details(F.col("tokens"))).alias("pos", "d"))
+    first = F.get("d.top_candidates", F.lit(0))
+    return rows.select("item_id", "pos", F.col("d.token").alias("token"), F.round("d.prob", 6).alias("prob"), F.size("d.top_candidates").cast("long").alias("n_candidates"), first["token"].alias("first"), F.round(first["prob"], 6).alias("first_prob"))
+
+
 @twin(f"""WITH {_RESPONSES}, q AS (SELECT *, w[greatest(1, len(w) // 2)] AS term FROM b), s AS (SELECT lp.item_id, q.term, lp.i, lp.lp, array_to_string(list_slice(lp.w, 1, lp.i), '') AS run FROM lp JOIN q USING (item_id)),
 f AS (SELECT item_id, arg_min(lp, i) FILTER (WHERE contains(run, term)) AS a, arg_min(lp, i) FILTER (WHERE contains(lower(run), lower(term))) AS b, avg(lp) FILTER (WHERE i <= 3) AS m FROM s GROUP BY item_id)
 SELECT q.item_id, q.term, round(a, 6) AS logprob, round(CASE WHEN b IS NULL THEN 50.0 ELSE least(95.0, greatest(5.0, exp(-b) * 10)) END, 6) AS scaled, round(least(100.0, greatest(5.0, exp(-m) * 10)), 6) AS forced FROM q JOIN f USING (item_id)""")
