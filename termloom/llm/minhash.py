@@ -321,9 +321,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
         return _near(docs, signed, size, percent).withColumnRenamed("doc", id_col)
     # ids with several texts: each such row is a node of its own, and components take the smallest id of their rows
     several = written(several.select("doc"), "several")
-    top = docs.agg(F.max("doc")).first()[0]
+    low, high = docs.agg(F.min("doc"), F.max("doc")).first()
+    if high >= 1 << 62 and low <= -(1 << 62):
+        raise ValueError("ids leave no room for the rows that repeat one with other texts")
+    node = F.monotonically_increasing_id() + F.lit(high) + 1 if high < 1 << 62 else F.lit(low) - 1 - F.monotonically_increasing_id()
     flagged = docs.join(several.withColumn("flag", F.lit(True)), "doc", "left")
-    named = written(flagged.withColumn("own", F.when(F.col("flag"), F.monotonically_increasing_id() + F.lit(top) + 1).otherwise(F.col("doc"))), "named")
+    named = written(flagged.withColumn("own", F.when(F.col("flag"), node).otherwise(F.col("doc"))), "named")
     docs = named.select(F.col("own").alias("doc"), "text")
     found = _near(docs, written(signatures(docs, size, "doc", "text"), "signatures"), size, percent)
     found = found.join(named.where("flag").select(F.col("own").alias("doc"), F.col("doc").alias("real")), "doc", "left").withColumn("real", F.coalesce("real", "doc"))
