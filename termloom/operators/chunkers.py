@@ -120,28 +120,43 @@ def pack_bytes(s: str, size: int = 40000, mark: str = "。") -> list[str]:
     return [x for x in [*out, current] if x.strip()]
 
 
-def recursive(s: str, size: int = 500, overlap: int = 50, separators: tuple[str, ...] = ("\n\n", "\n", "。", "、", " ", ""), keep_separator: bool = False) -> list[str]:
-    """Split at the first separator that occurs, pieces still too long at the next ones, then packed with overlap.
-
-    With ``keep_separator`` a separator stays at the head of the piece behind it.
-    """
-    sep = next((x for x in separators if x == "" or x in s), "")
-    rest = separators[separators.index(sep) + 1 :] if sep in separators else ()
+def _split(s: str, sep: str, keep: bool) -> list[str]:
+    """Parts that aren't empty; with ``keep`` a separator is the head of the part behind it."""
     parts = s.split(sep) if sep else list(s)
-    if keep_separator and sep:
-        parts, sep = [parts[0], *[sep + x for x in parts[1:]]], ""
-    pieces: list[str] = []
-    for piece in parts:
-        pieces += recursive(piece, size, overlap, rest, keep_separator) if len(piece) > size and rest else [piece] if piece else []
+    if keep and sep:
+        parts[1:] = [sep + x for x in parts[1:]]
+    return [x for x in parts if x]
+
+
+def _packed(parts: list[str], sep: str, size: int, overlap: int) -> list[str]:
+    """Parts joined up to ``size``; a pack begins with the last parts of the one before, ``overlap`` characters at most."""
     out: list[str] = []
     held: list[str] = []
-    for piece in pieces:
-        if held and len(sep.join([*held, piece])) > size:
+    length = lambda xs: sum(map(len, xs)) + len(sep) * max(0, len(xs) - 1)
+    for part in parts:
+        if held and length([*held, part]) > size:
             out.append(sep.join(held))
-            while held and (len(sep.join(held)) > overlap or len(sep.join([*held, piece])) > size):
-                held.pop(0)
-        held.append(piece)
-    return [x for x in [*out, sep.join(held)] if x.strip()]
+            while held and (length(held) > overlap or length([*held, part]) > size):
+                held = held[1:]
+        held.append(part)
+    return [x.strip() for x in [*out, sep.join(held)] if x.strip()]
+
+
+def recursive(s: str, size: int = 500, overlap: int = 50, separators: tuple[str, ...] = ("\n\n", "\n", "。", "、", " ", ""), keep_separator: bool = True) -> list[str]:
+    """Split at the first separator that occurs and pack what is shorter than ``size``; a part that isn't stands between
+    packs and is split at the separators that follow. Chunks are stripped."""
+    at = next((i for i, x in enumerate(separators) if x == "" or x in s), len(separators) - 1)
+    sep, rest = separators[at], separators[at + 1 :]
+    out: list[str] = []
+    short: list[str] = []
+    for part in _split(s, sep, keep_separator):
+        if len(part) < size:
+            short.append(part)
+            continue
+        out += _packed(short, "" if keep_separator else sep, size, overlap)
+        short = []
+        out += recursive(part, size, overlap, rest, keep_separator) if rest else [part]
+    return out + _packed(short, "" if keep_separator else sep, size, overlap)
 
 
 def chunked(docs: DataFrame, cut: Callable[[str], list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

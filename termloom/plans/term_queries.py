@@ -386,7 +386,7 @@ def byte_chunks(documents):
 
 @query
 def separator_chunks(documents):
-    """H7 with separators kept."""
-    cut = lambda s: chunkers.recursive(s, 2000, 200, ("\n\n", "\n", ".", ",", " ", ""), keep_separator=True)
+    """H7 without separators."""
+    cut = lambda s: chunkers.recursive(s, 2000, 200, ("\n\n", "\n", ".", ",", " ", ""), keep_separator=False)
     return chunkers.chunked(documents, cut).select("doc_id", "chunk_id", F.md5("chunk").alias("chunk_md5"))
 

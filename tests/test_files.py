@@ -1,6 +1,7 @@
 """Readers, sinks, settings, command lines and what users build on."""
 
 import json
+import re
 import zlib
 
 import pytest
@@ -208,6 +209,48 @@ def plain_paragraphs(s, size, mark):
     return [*chunks, "".join(pack)] if pack else chunks
 
 
+def plain_recursive(s, size, overlap, separators):
+    """The rule once more, with places in the text instead of parts."""
+    sep = next(x for x in separators if x in s)
+    later = separators[separators.index(sep) + 1 :]
+    edges = [0, *([m.start() for m in re.finditer(re.escape(sep), s)] if sep else range(1, len(s))), len(s)]
+    parts = [s[a:b] for a, b in zip(edges, edges[1:]) if a < b]
+    out, run = [], []
+
+    def close():
+        first = 0
+        while first < len(run):
+            last = first
+            while last < len(run) and len("".join(run[first : last + 1])) <= size:
+                last += 1
+            out.append("".join(run[first:last]))
+            if last == len(run):
+                break
+            first = next(k for k in range(first, last + 1) if len("".join(run[k:last])) <= overlap and len("".join(run[k : last + 1])) <= size)
+        run.clear()
+
+    for part in parts:
+        if len(part) < size:
+            run.append(part)
+        else:
+            close()
+            out += plain_recursive(part, size, overlap, later) if later else [part]
+    close()
+    return [x.strip() for x in out if x.strip()]
+
+
+def plain_packs(s, size, overlap):
+    packs, now = [], ""
+    for sentence in re.findall(r"[^。\n]*[。\n]|[^。\n]+$", s):
+        if now and len(now) + len(sentence) > size:
+            packs.append(now)
+            tail = now[max(0, len(now) - overlap) :]
+            mark = re.search("[。\n]", tail)
+            now = tail[mark.end() :] if mark else tail
+        now += sentence
+    return [p.strip() for p in [*packs, now] if p.strip()]
+
+
 def test_packed_texts_by_the_rules():
     import random
 
@@ -221,7 +264,9 @@ def test_packed_texts_by_the_rules():
         else:
             assert "".join(packs) == s + "。" and all(len(p.encode()) < 30 or p.count("。") == 1 for p in packs)
         pieces = chunkers.recursive(s, 10, 3)
-        assert all(len(p) <= 10 for p in pieces) and {c for c in s if c.strip()} - set("。\n") <= set("".join(pieces))
+        assert all(0 < len(p) <= 10 for p in pieces) and pieces == plain_recursive(s, 10, 3, ["\n\n", "\n", "。", "、", " ", ""])
+        got = chunkers.pack_sentences(s, 14, 4, "。\n")
+        assert got == plain_packs(s, 14, 4)
 
 
 def test_embeddings_of_known_texts_are_not_made_again(spark):

@@ -171,7 +171,10 @@ def test_packers():
     assert chunkers.paragraphs(" a \n\nb\n\nc\n\nd\n\ne") == [" a ", "b", "c", "d", "e"]
     assert chunkers.char_windows("a" * 15 + ". " + "b" * 30, 20, 4, (". ",)) == ["a" * 15 + ". ", "aa. " + "b" * 16, "b" * 18]
     assert chunkers.pack_bytes("ああ。いい。う。", 14) == ["ああ。", "いい。", "う。。"] and chunkers.pack_bytes("ab", 5) == ["ab"]
-    assert chunkers.recursive("aa bb cc", 3, 0, (" ", ""), keep_separator=True) == ["aa", " bb", " cc"]
+    assert chunkers.recursive("aa bb cc", 4, 0, (" ", "")) == ["aa", "bb", "cc"]
+    assert chunkers.recursive("a b c d", 3, 1, (" ", ""), keep_separator=False) == ["a b", "b c", "c d"]
+    # a long part stands between packs and is split on its own
+    assert chunkers.recursive("ab\n\ncdefgh ij\n\nk l", 5, 0, ("\n\n", " ", "")) == ["ab", "cde", "fgh", "ij", "k l"]
     assert all(len(c) <= 20 for c in chunkers.recursive("word " * 40, 20, 5))
     with pytest.raises(ValueError):
         chunkers.char_windows("abc", 10, 5)
