@@ -101,7 +101,7 @@ pl AS (SELECT pc.*, text FROM pc JOIN {table} USING ({keys}) WHERE k < np)"""
 QUALITY = "CAST(least(1.0, CASE WHEN length(masked_text) < 10 THEN 0.5 WHEN length(masked_text) > 200 THEN 0.8 ELSE 1.0 END * CASE WHEN (instr(masked_text, '[MASK]') - 1) / length(masked_text) < 0.1 OR (instr(masked_text, '[MASK]') - 1) / length(masked_text) > 0.9 THEN 0.7 ELSE 1.0 END * CASE WHEN regexp_matches(masked_text, '[。、]') THEN 1.1 ELSE 1.0 END * CASE WHEN nw < 5 THEN 0.6 WHEN nw > 15 THEN 1.2 ELSE 1.0 END) AS DOUBLE)"
 TARGETS = "tg AS (SELECT doc_id, term FROM cnt WHERE frequency >= 2)"
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-HEAD = f"""{CNT}, hw AS (SELECT term AS headword, lower(term) AS key, ['x-' || term, term || '-' || lang] AS synonyms, lang || ' word' AS definition, CASE WHEN lang <> 'en' THEN lang END AS category, source, doc_id AS ord FROM cnt JOIN documents USING (doc_id) WHERE frequency >= 3)"""
+HEAD = f"""{CNT}, hw AS (SELECT term AS headword, lower(term) AS key, ['x-' || term, term || '-' || lang] AS synonyms, lang || ' word' AS definition, CASE WHEN lang <> 'en' THEN lang END AS category, source, doc_id AS ord FROM cnt JOIN documents USING (doc_id) WHERE frequency >= 2)"""
 
 _VALID = f"(term NOT IN ({STOP}) AND len(list_filter([{STOP}], lambda x: length(term) > length(x) AND (starts_with(term, x) OR ends_with(term, x)))) = 0)"
 
@@ -158,14 +158,14 @@ ORACLE = {
     "compound_prefixes": f"WITH {GRAMS} SELECT doc_id, term, count(*) AS frequency FROM (SELECT doc_id, t1 || ' ' || t2 AS term FROM ns WHERE first AND t2 IS NOT NULL UNION ALL SELECT doc_id, t1 || ' ' || t2 || ' ' || t3 FROM ns WHERE first AND t3 IS NOT NULL) WHERE length(term) BETWEEN 3 AND 60 AND {_VALID} GROUP BY ALL",
     "kwic": f"WITH {CNT}, {TARGETS}, {places('tg')}, e AS (SELECT *, greatest(st - 50, 1) AS s, least(st + length(term) - 1 + 50, length(text)) AS e FROM pl WHERE k <= 3) SELECT doc_id, term, CAST(k - 1 AS INTEGER) AS ord, CASE WHEN s > 1 THEN '...' ELSE '' END || substr(text, s, e - s + 1) || CASE WHEN e < length(text) THEN '...' ELSE '' END AS context FROM e",
     "mask_real": f"WITH {CNT}, {TARGETS}, {places('tg')}, lr AS (SELECT *, substr(text, greatest(st - 50, 1), least(st - 1, 50)) AS l, substr(text, st + length(term), 50) AS r FROM pl), m AS (SELECT doc_id, term, CAST(k - 1 AS INTEGER) AS ord, {STRIP.format("string_split(l, '.')[-1] || '[MASK]' || CASE WHEN instr(r, '.') > 0 THEN left(r, instr(r, '.')) ELSE r END")} AS masked_text FROM lr) SELECT doc_id, term, ord, masked_text, round({QUALITY}, 6) AS quality FROM (SELECT *, len(list_filter(string_split_regex(masked_text, '\\s+'), lambda x: x <> '')) AS nw FROM m)",
-    "boundary_frequency": f"WITH {CNT}, tm AS (SELECT doc_id, term FROM cnt WHERE frequency >= 3), g AS (SELECT doc_id, term, 1 AS single FROM tok UNION ALL SELECT doc_id, term || ' ' || nx, 0 FROM (SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM tok) WHERE nx IS NOT NULL), c AS (SELECT doc_id, term, count(*) AS n, max(single) AS single FROM g GROUP BY ALL) SELECT doc_id, term, CAST(greatest(1, coalesce(n, 0) + coalesce(single, 0)) AS BIGINT) AS frequency FROM tm LEFT JOIN c USING (doc_id, term)",
+    "boundary_frequency": f"WITH {CNT}, tm AS (SELECT doc_id, term FROM cnt WHERE frequency >= 2), g AS (SELECT doc_id, term, 1 AS single FROM tok UNION ALL SELECT doc_id, term || ' ' || nx, 0 FROM (SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM tok) WHERE nx IS NOT NULL), c AS (SELECT doc_id, term, count(*) AS n, max(single) AS single FROM g GROUP BY ALL) SELECT doc_id, term, CAST(greatest(1, coalesce(n, 0) + coalesce(single, 0)) AS BIGINT) AS frequency FROM tm LEFT JOIN c USING (doc_id, term)",
     "longest_terms": f"WITH {CNT} SELECT doc_id, term, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, term) AS rank FROM cnt) WHERE rank <= 100",
     "stopword_anti": f"WITH {CNT} SELECT * FROM cnt WHERE term NOT IN ({STOP})",
     "feature_perplexity": f"WITH {PPT} SELECT doc_id, term, perplexity, CASE WHEN perplexity > 30 THEN 'high_confidence' WHEN perplexity > 20 THEN 'medium_confidence' ELSE 'low_confidence' END AS confidence FROM pp",
     "confidence_static": f"WITH {PPT} SELECT doc_id, term, CASE WHEN perplexity < 30 THEN 'high' WHEN perplexity > 70 THEN 'low' ELSE 'medium' END AS three_way, CASE WHEN perplexity < 20 THEN 'high_confidence' WHEN perplexity < 50 THEN 'medium_confidence' ELSE 'low_confidence' END AS steps, CASE WHEN perplexity > 25 THEN 'high_confidence' WHEN perplexity > 15 THEN 'medium_confidence' ELSE 'low_confidence' END AS inverted FROM pp",
     "confidence_dynamic": f"WITH {PPT}, q AS (SELECT quantile_cont(perplexity, 0.7) AS p70, quantile_cont(perplexity, 0.9) AS p90 FROM pp WHERE perplexity <> 50) SELECT CASE WHEN perplexity > p90 THEN 'high_confidence' WHEN perplexity > p70 THEN 'medium_confidence' ELSE 'low_confidence' END AS confidence, count(*) AS n, min(perplexity) AS lowest, max(perplexity) AS highest FROM pp, q GROUP BY 1",
     "hotspots": f"WITH {WORDS}, bl AS (SELECT doc_id, size, CAST(s // size AS INTEGER) AS chunk_id, array_to_string(list_slice(w, s + 1, s + size), ' ') AS chunk FROM (SELECT doc_id, w, size, unnest(range(0, len(w), size)) AS s FROM wl, (SELECT unnest([500, 100, 20]) AS size))), f AS (SELECT *, {_raw_features('chunk')} FROM bl), p AS (SELECT *, least(95.0, 40.0 + CASE WHEN {FEATURES['technical_density']} > 0.3 THEN 20.0 ELSE 0.0 END + CASE WHEN {FEATURES['mixed_ratio']} > 0.2 THEN 15.0 ELSE 0.0 END + CASE WHEN {FEATURES['abbreviations']} > 2 THEN 10.0 ELSE 0.0 END) + length(chunk) / 100 AS perplexity FROM f) SELECT doc_id, size, chunk_id, round(perplexity, 6) AS perplexity, perplexity > round(avg(perplexity) OVER w + 1.5 * stddev_pop(perplexity) OVER w, 9) AS is_hotspot FROM p WINDOW w AS (PARTITION BY doc_id, size)",
-    "cooccur_sentence": f"WITH {CNT}, {SENT}, fs AS (SELECT s.* FROM sen s SEMI JOIN (SELECT * FROM cnt WHERE frequency >= 5) USING (doc_id, term)) SELECT x.doc_id, x.term AS a, y.term AS b, count(*) AS n FROM fs x JOIN fs y ON x.doc_id = y.doc_id AND x.sentence = y.sentence AND x.term < y.term GROUP BY ALL",
+    "cooccur_sentence": f"WITH {CNT}, {SENT}, fs AS (SELECT s.* FROM sen s SEMI JOIN (SELECT * FROM cnt WHERE frequency >= 2) USING (doc_id, term)) SELECT x.doc_id, x.term AS a, y.term AS b, count(*) AS n FROM fs x JOIN fs y ON x.doc_id = y.doc_id AND x.sentence = y.sentence AND x.term < y.term GROUP BY ALL",
     "cooccur_words": f"WITH {CNT}, {WORDS}, {TARGETS}, wp AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM wl), hw AS (SELECT w.doc_id, w.word AS at_word, t.term FROM (SELECT DISTINCT doc_id, word FROM wp) w JOIN tg t ON w.doc_id = t.doc_id AND contains(w.word, t.term)), nn AS (SELECT a.doc_id, a.word AS at_word, CASE WHEN b.pos < a.pos THEN 'before' ELSE 'after' END AS side, b.word, count(*) AS n FROM wp a JOIN (SELECT doc_id, word, pos, unnest([-5, -4, -3, -2, -1, 1, 2, 3, 4, 5]) AS d FROM wp) b ON a.doc_id = b.doc_id AND a.pos = b.pos + b.d GROUP BY ALL), n AS (SELECT doc_id, term, side, word, CAST(sum(n) AS BIGINT) AS n FROM nn JOIN hw USING (doc_id, at_word) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, term, side ORDER BY n DESC, word) AS rank FROM n) WHERE rank <= 3",
     "knn_graph": f"WITH {KNN} SELECT src, dst, round(weight, 5) AS weight FROM edges",
     "personalised_weights": "SELECT vec_id AS id, round(pow(label + 1, 0.7) / sum(pow(label + 1, 0.7)) OVER (), 9) AS p FROM embeddings",
@@ -184,7 +184,7 @@ ORACLE = {
     "term_statistics": f"WITH {SCORED}, s6 AS (SELECT doc_id, term, frequency, round(score + 2.55e-8, 6) AS score FROM scored) SELECT count(DISTINCT doc_id) AS files, count(*) AS terms, count(DISTINCT term) AS distinct_terms, round(avg(score), 5) AS avg_score, round(max(score), 5) AS max_score, round(min(score), 5) AS min_score, round(avg(frequency), 5) AS avg_frequency, max(frequency) AS max_frequency FROM s6",
     "run_statistics": f"WITH {EVAL}, n AS (SELECT count(*) AS total, count(*) FILTER (WHERE confidence = 'high') AS high, count(*) FILTER (WHERE confidence = 'medium') AS medium, count(*) FILTER (WHERE confidence = 'low') AS low FROM ev) SELECT *, round(coalesce(high / nullif(total, 0), 0.0), 6) AS auto_approved_ratio, round(coalesce((medium + low) / nullif(total, 0), 0.0), 6) AS manual_review_ratio FROM n",
     "review_candidates": f"WITH {EVAL}, g AS (SELECT term, max(priority_score) AS priority_score, min(confidence) AS confidence FROM ev GROUP BY term) SELECT term, round(priority_score + 2.55e-8, 6) AS priority_score, confidence FROM g WHERE confidence IN ('low', 'medium') ORDER BY g.priority_score DESC, term LIMIT 50",
-    "graph_semi": f"WITH {CNT}, {SENT}, fq AS (SELECT doc_id, term FROM cnt WHERE frequency >= 5), ins AS (SELECT s.* FROM sen s SEMI JOIN fq USING (doc_id, term)) SELECT DISTINCT a.doc_id, a.term FROM ins a JOIN ins b ON a.doc_id = b.doc_id AND a.sentence = b.sentence AND a.term <> b.term",
+    "graph_semi": f"WITH {CNT}, {SENT}, fq AS (SELECT doc_id, term FROM cnt WHERE frequency >= 2), ins AS (SELECT s.* FROM sen s SEMI JOIN fq USING (doc_id, term)) SELECT DISTINCT a.doc_id, a.term FROM ins a JOIN ins b ON a.doc_id = b.doc_id AND a.sentence = b.sentence AND a.term <> b.term",
     "doc_dedup": "SELECT left(sha256(text), 16) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "sentence_split": "WITH p AS (SELECT doc_id, list_filter(string_split(replace(text, chr(10), '.'), '.'), lambda x: trim(x, ' ') <> '') AS s FROM documents) SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS ord, md5(unnest(s)) AS sentence_md5 FROM p",
 }

@@ -160,7 +160,7 @@ def compound_prefixes(documents):
 
 @query
 def boundary_frequency(documents):
-    terms = _counts(documents).where("frequency >= 3").select("doc_id", "term")
+    terms = _counts(documents).where("frequency >= 2").select("doc_id", "term")
     return candidates.boundary_frequency(candidates.tokens(documents), terms, 2, True, " ")
 
 
@@ -206,7 +206,7 @@ def hotspots(documents):
 def cooccur_sentence(documents):
     parts = documents.select("doc_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("sentence", "s"))
     words = parts.select("doc_id", "sentence", F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(LATIN.token), F.lit(0)))).alias("term"))
-    frequent = _counts(documents).where("frequency >= 5").select("doc_id", "term")
+    frequent = _counts(documents).where("frequency >= 2").select("doc_id", "term")
     return graph.sentence_pairs(words.join(frequent, ["doc_id", "term"], "left_semi"), "doc_id")
 
 
@@ -325,7 +325,7 @@ def merge_terms(documents):
 
 
 def _headwords(documents: DataFrame) -> DataFrame:
-    counts = _counts(documents).where("frequency >= 3").join(documents.select("doc_id", "lang", "source"), "doc_id")
+    counts = _counts(documents).where("frequency >= 2").join(documents.select("doc_id", "lang", "source"), "doc_id")
     return counts.select(F.col("term").alias("headword"), F.array(F.concat(F.lit("x-"), "term"), F.concat("term", F.lit("-"), "lang")).alias("synonyms"), F.concat("lang", F.lit(" word")).alias("definition"), F.when(F.col("lang") != "en", F.col("lang")).alias("category"), F.array("source").alias("source_docs"), F.col("doc_id").alias("ord"))
 
 
@@ -389,7 +389,7 @@ def graph_semi(documents):
     """Terms of a document that some sentence puts next to another frequent term."""
     parts = documents.select("doc_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("sentence", "s"))
     words = parts.select("doc_id", "sentence", F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(LATIN.token), F.lit(0)))).alias("term"))
-    frequent = _counts(documents).where("frequency >= 5").select("doc_id", "term")
+    frequent = _counts(documents).where("frequency >= 2").select("doc_id", "term")
     inside = words.join(frequent, ["doc_id", "term"], "left_semi")
     shared = inside.groupBy("doc_id", "sentence").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return frequent.join(inside.join(shared, ["doc_id", "sentence"], "left_semi"), ["doc_id", "term"], "left_semi")
