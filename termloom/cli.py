@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import surface
 from .config import PROFILES, TEMPLATE, EngineConfig, load
-from .operators import passes, rank, stats
+from .operators import contexts, passes, rank, stats
 from .plans import build, extract
 from .sources import readers, sinks
 from .sources.provider import Provider, Stub
+from .sources.shared import cut
 
 
 def provider_of(name: str, dim: int = 64) -> Provider:
@@ -86,6 +90,57 @@ def search(spark: SparkSession, a: argparse.Namespace) -> None:
     print(surface.shown(build.search(spark, a.input, a.query, a.limit).select("headword", "synonyms", "definition", "confidence")))
 
 
+def extracted(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Terms that a provider finds in every document; with ``--two-stage`` candidates first, definitions by contexts then."""
+    docs = cut(_documents(spark, a.input, a.recursive))
+    chunks = build.chunks_of(docs, a.settings)
+    if a.two_stage:
+        found = cut(passes.two_stage(chunks, chunks.limit(0).select("doc_id", F.lit("").alias("term"), F.lit("").alias("context")), a.provider))
+        listed = docs.join(found.groupBy("doc_id").agg(F.collect_list("term").alias("terms")), "doc_id")
+        seen = contexts.occurrences(listed, 150, 5, any_case=True).select("doc_id", "term", contexts.kwic_sentence(75).alias("context"))
+        found = passes.two_stage(chunks, seen, a.provider).withColumn("score", F.col("importance") / 10)
+    else:
+        terms = passes.extract_terms(chunks, a.provider).select("doc_id", F.col("headword").alias("term"), "definition", F.lit(0.0).alias("score"), F.struct("chunk_id", "ord").alias("o"))
+        found = passes.merge_extracted(terms.withColumn("ord", F.col("o.chunk_id") * 10000 + F.col("o.ord")), a.limit)
+    empty = F.array().cast("array<string>")
+    sinks.save(found.select(F.col("doc_id").alias("file_path"), "term", "definition", "score", F.lit(1).cast("long").alias("frequency"), empty.alias("contexts")), a.output, a.format)
+
+
+def served(spark: SparkSession, path: str, port: int, host: str = "127.0.0.1") -> ThreadingHTTPServer:
+    """A server that answers ``GET /terms?q=...&limit=...`` from the newest snapshot; the caller runs and closes it."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:  # noqa: N802
+            url = urlsplit(self.path)
+            asked = parse_qs(url.query)
+            if url.path != "/terms":
+                self.send_error(404)
+                return
+            try:
+                most = min(1000, max(1, int(asked.get("limit", ["10"])[0])))
+            except ValueError:
+                self.send_error(400)
+                return
+            rows = build.search(spark, path, asked.get("q", [""])[0], most).drop("embedding").collect()
+            body = json.dumps([r.asDict() for r in rows], default=str, ensure_ascii=False).encode()
+            self.send_response(200)
+            self.send_header("Content-Type", "application/json; charset=utf-8")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args: object) -> None:
+            """Nothing is logged."""
+
+    return ThreadingHTTPServer((host, port), Handler)
+
+
+def serve(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Serve searches of the dictionary."""
+    with served(spark, a.input, a.port) as server:
+        server.serve_forever()
+
+
 def preprocess(spark: SparkSession, a: argparse.Namespace) -> None:
     """Read files once and keep their texts; ``--list`` shows the runs so far."""
     if a.list:
@@ -110,7 +165,7 @@ def unknown(spark: SparkSession, a: argparse.Namespace) -> None:
     print(surface.shown(stats.similarity_statistics(rows)))
 
 
-COMMANDS = {f.__name__: f for f in (init, statistical, evaluate, generic, dictionary, search, preprocess, unknown)}
+COMMANDS = {"extract": extracted} | {f.__name__: f for f in (init, statistical, evaluate, generic, dictionary, search, serve, preprocess, unknown)}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -133,6 +188,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--pilot", action="store_true")
         p.add_argument("--full", action="store_true")
         p.add_argument("--query", default="%")
+        p.add_argument("--port", type=int, default=8000)
+        p.add_argument("--two-stage", action="store_true")
     return top
 
 

@@ -46,6 +46,18 @@ class FromFunction:
         return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {TERMS}")
 
 
+class FromPlan:
+    """An extractor from a plan over documents that gives (doc_id, term, frequency, score), such as
+    :func:`termloom.plans.extract.compound_terms` or :func:`~termloom.plans.extract.graph_terms`."""
+
+    def __init__(self, plan: Callable[[DataFrame], DataFrame]) -> None:
+        self.plan = plan
+
+    def extract(self, docs: DataFrame) -> DataFrame:
+        rows = self.plan(docs)
+        return rows.select("doc_id", "term", F.lit(None).cast("string").alias("definition"), "score", "frequency", F.lit(None).cast("array<string>").alias("contexts"))
+
+
 def extract_from_directory(spark: SparkSession, path: str, extractor: Extractor, recursive: bool = False, options: readers.Options = readers.Options()) -> DataFrame:  # noqa: B008 - frozen
     """An extractor's terms of every file of a folder, or of one file, with the file's path as ``doc_id``; files that
     can't be read or are empty give none."""

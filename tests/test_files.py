@@ -2,6 +2,9 @@
 
 import json
 import re
+import threading
+import urllib.error
+import urllib.request
 import zlib
 
 import pytest
@@ -139,6 +142,20 @@ def test_command_lines(spark, corpus, tmp_path, capsys):
     capsys.readouterr()
     run("search", tmp_path / "k", "--query", "injector")
     assert "injector" in capsys.readouterr().out.lower()
+    with cli.served(spark, str(tmp_path / "k"), 0) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        at = f"http://127.0.0.1:{server.server_address[1]}"
+        rows = json.loads(urllib.request.urlopen(f"{at}/terms?q=injector&limit=1").read())
+        assert len(rows) == 1 and "injector" in rows[0]["headword"].lower() and "embedding" not in rows[0]
+        for bad in ("/nothing", "/terms?limit=x"):
+            with pytest.raises(urllib.error.HTTPError):
+                urllib.request.urlopen(at + bad)
+        server.shutdown()
+    run("extract", corpus, "-o", tmp_path / "x", "--provider", "stub:terms")
+    assert spark.read.json(str(tmp_path / "x/results")).count() == 2
+    run("extract", corpus, "-o", tmp_path / "y", "--provider", "stub:candidates", "--two-stage")
+    found = spark.read.json(str(tmp_path / "y/results")).select(F.explode("terms").alias("t")).select("t.*").collect()
+    assert found and all(r["definition"] == f"{r['term']} defined" and 0.1 <= r["score"] <= 1.0 for r in found)
     run("preprocess", corpus, "-o", tmp_path / "p", "-e", ".txt")
     run("preprocess", corpus, "-o", tmp_path / "p", "-l")
     assert str(corpus) in capsys.readouterr().out
@@ -156,6 +173,8 @@ def test_an_extractor_of_ones_own(spark, corpus):
 
     found = surface.extract_from_directory(spark, str(corpus), surface.FromFunction(shouts)).collect()
     assert {r["term"] for r in found} == {"Ammonia", "The"} and all(r["doc_id"].endswith("a.txt") and r["contexts"] is None for r in found)
+    planned = surface.extract_from_directory(spark, str(corpus), surface.FromPlan(extract.compound_terms)).collect()
+    assert "ammonia fuel" in {r["term"] for r in planned}
     assert surface.shown(spark.createDataFrame([(1, "x")], "a long, bb string")) == "a | bb\n1 | x"
 
 
