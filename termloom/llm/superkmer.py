@@ -25,9 +25,9 @@ from .store import written
 from .words import HASHED, Words, mix64, plain, run_codes, settled, span_codes, spread, text_slices, words_of
 
 #: Bytes of text for each bucket, on average, and of packed strings in one at most before it is cut again.
-BUCKET_BYTES, BUCKET_LIMIT = 8 << 20, 96 << 20
+BUCKET_BYTES, BUCKET_LIMIT = 4 << 20, 48 << 20
 #: Bytes of text that are cut together, and bytes of strings that are held before they are packed and sent.
-SENT_BYTES, HELD_BYTES = 2 << 20, 48 << 20
+SENT_BYTES, HELD_BYTES = 2 << 20, 32 << 20
 PACK_LEVEL = 6
 #: Words of a minimiser, and share of a window's words of those that large buckets are cut by, in turn.
 MINI = 3
