@@ -6,12 +6,13 @@ A failed batch leaves its rows with an error and the values that stand for one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.provider import Provider, complete, embed, generate
 from . import perplexity, rank, vectors
+from .contexts import masked_sentences
 from .dictionary import merge_headwords
 
 #: What an extraction replies with.
@@ -240,23 +241,105 @@ def partial_completion(terms: DataFrame, provider: Provider, tries: int = 3, str
     return terms.join(per, "term", "left").withColumn("partial", F.when(F.length("term") < 4, F.lit(0.2)).otherwise(F.col("partial")))
 
 
-def generic_evaluation(samples: DataFrame, terms: DataFrame) -> DataFrame:
-    """``terms`` (term, frequency) with ``perplexity`` and ``confidence``: the median of the sane samples (term, perplexity)
-    of all methods; by the term's looks, with wider bounds, where there is none."""
-    per = samples.groupBy("term").agg(perplexity.robust_median(F.collect_list("perplexity")).alias("__m"))
-    out = terms.join(per, "term", "left")
+def _asked(terms: DataFrame, provider: Provider, head: str, parts: list[Column], out: str, key: str = "term") -> DataFrame:
+    """(term, out): the replies to a prompt for each of the parts, in their order, none for failed calls."""
+    rows = terms.select(key, F.posexplode(F.array(*parts)).alias("part", "said")).withColumn("prompt", prompt(head, F.col("said")))
+    got = complete(rows, provider).where("reply IS NOT NULL")
+    return got.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "reply"))), lambda x: x["reply"]).alias(out))
+
+
+BRIEF = "Define the term in at most 30 characters, or say that you don't know it."
+DIFFICULTY = "How hard is the term to understand, from 1 to 10? Reply with the number."
+NATURAL = "How natural is the sentence, from 1 to 10? Reply with the number."
+GENERALITY = "How general is the term, from 1 to 10? Reply with the number."
+FILL = "Which term stands for [MASK]?"
+SENTENCES = ("{}について説明します。", "この{}は重要です。", "{}の特徴を分析しました。")
+
+
+def fallback_perplexity(terms: DataFrame, provider: Provider) -> DataFrame:
+    """``terms`` (distinct) with ``perplexity``: how far three definitions agree, how hard the term is said to be and how
+    natural three sentences with it are, weighed; within 5 and 100."""
+    t, none = F.col("term"), F.array().cast("array<string>")
+    out = terms.select("term").distinct()
+    out = out.join(_asked(out, provider, BRIEF, [F.concat(t, F.lit(f"\n{k}")) for k in (1, 2, 3)], "__d"), "term", "left")
+    out = out.join(_asked(out, provider, DIFFICULTY, [t], "__c"), "term", "left")
+    out = out.join(_asked(out, provider, NATURAL, [F.replace(F.lit(s), F.lit("{}"), t) for s in SENTENCES], "__n"), "term", "left")
+    scores = F.filter(F.transform(F.coalesce("__n", none), text.first_integer), lambda x: x.isNotNull())
+    value = perplexity.weighted(perplexity.consistency(t, F.coalesce("__d", none)), perplexity.comprehension(F.get("__c", F.lit(0))), perplexity.naturalness(scores))
+    return terms.join(out.select("term", value.alias("perplexity")), "term", "left")
+
+
+def term_perplexity(terms: DataFrame, provider: Provider, templates: tuple[str, ...] = TEMPLATES) -> DataFrame:
+    """``terms`` with ``perplexity`` from log probabilities, and from the fallback where these give none."""
+    first = template_perplexity(terms, provider, templates)
+    rest = fallback_perplexity(first.where("perplexity IS NULL").drop("perplexity"), provider)
+    return first.where("perplexity IS NOT NULL").unionByName(rest)
+
+
+def generality(terms: DataFrame, provider: Provider) -> DataFrame:
+    """``terms`` with ``generality`` from a score of ten, at most 1; 0.4 for none."""
+    said = _asked(terms.select("term").distinct(), provider, GENERALITY, [F.col("term")], "__g")
+    out = terms.join(said, "term", "left")
+    return out.withColumn("generality", F.least(F.lit(1.0), perplexity.generality(F.get("__g", F.lit(0))))).drop("__g")
+
+
+def generation_probability(terms: DataFrame, provider: Provider) -> DataFrame:
+    """``terms`` with ``probability``: strict completion and generality, weighed; 0.1 under three characters."""
+    rows = generality(partial_completion(terms, provider, strict=True), provider)
+    return rows.withColumn("probability", perplexity.generation_probability(F.col("term"), F.col("partial"), F.col("generality"))).drop("partial", "generality")
+
+
+def context_probability(rows: DataFrame, provider: Provider) -> DataFrame:
+    """Rows (term, context, ...) with ``context_probability``: how like the term what is said to stand in its place is; null
+    without a context, 0.3 for a failed call."""
+    asked = rows.withColumn("prompt", prompt(FILL, F.replace("context", F.col("term"), F.lit("[MASK]"))))
+    got = complete(asked, provider)
+    value = F.when(F.col("error").isNotNull(), F.lit(0.3)).otherwise(text.string_similarity(F.col("term"), F.trim("reply")))
+    return got.withColumn("context_probability", F.when(F.col("context").isNotNull(), value)).drop("prompt", "reply", "error")
+
+
+def precise_probability(rows: DataFrame, provider: Provider) -> DataFrame:
+    """Rows (term, context) with ``probability`` by completion, context and generality."""
+    found = context_probability(generality(partial_completion(rows, provider), provider), provider)
+    value = perplexity.token_probability(F.col("partial"), F.col("context_probability"), F.col("generality"))
+    return found.withColumn("probability", value).drop("partial", "generality", "context_probability")
+
+
+def mask_samples(sentences: DataFrame, provider: Provider, *keys: str) -> DataFrame:
+    """(keys, term, perplexity) from rows (keys, term, sentences): up to two masked sentences each, by the probability of
+    the first token or candidate that holds the term; none where there is no such."""
+    rows = sentences.select(*keys, "term", F.explode(masked_sentences(F.col("sentences"), F.col("term"))).alias("prompt"))
+    own = lambda x: F.array(F.struct(x["token"].alias("token"), x["logprob"].alias("logprob")))
+    said = F.flatten(F.transform("tokens", lambda x: F.concat(own(x), x["top"])))
+    hit = F.get(F.filter(said, lambda c: F.contains(c["token"], F.col("term"))), F.lit(0))["logprob"]
+    return generate(rows, provider).select(*keys, "term", perplexity.mask_perplexity(F.exp(hit)).alias("perplexity")).where("perplexity IS NOT NULL")
+
+
+def evaluate_generic(docs: DataFrame, terms: DataFrame, provider: Provider, marks: str = ".!?\n") -> DataFrame:
+    """(doc_id, term, frequency, perplexity, confidence) of documents' terms (doc_id, term, frequency): samples from
+    sentences, from masks, and a direct choice where there are fewer than two."""
+    listed = docs.select("doc_id", text.sentences_of(F.col("text"), marks).alias("all")).join(terms.select("doc_id", "term"), "doc_id")
+    held = listed.select("doc_id", "term", F.slice(F.filter("all", lambda x: F.contains(x, F.col("term"))), 1, 3).alias("sentences"))
+    each = held.select("doc_id", "term", F.posexplode("sentences").alias("ord", "sentence"))
+    said = sentence_perplexity(each, provider, "doc_id", "ord").select("doc_id", "term", "perplexity")
+    samples = said.unionAll(mask_samples(held, provider, "doc_id"))
+    few = needing_direct(samples, terms, "doc_id")
+    direct = choice_perplexity(few.select("doc_id", "term"), provider).select("doc_id", "term", "perplexity")
+    return generic_evaluation(samples.unionAll(direct), terms, "doc_id")
+
+
+def generic_evaluation(samples: DataFrame, terms: DataFrame, *keys: str) -> DataFrame:
+    """``terms`` (keys, term, frequency) with ``perplexity`` and ``confidence``: the median of the sane samples (keys, term,
+    perplexity) of all methods; by the term's looks, with wider bounds, where there is none."""
+    per = samples.groupBy(*keys, "term").agg(perplexity.robust_median(F.collect_list("perplexity")).alias("__m"))
+    out = terms.join(per, [*keys, "term"], "left")
     looks = perplexity.from_term(F.col("term"), F.col("frequency"))
     label = F.when(F.col("__m").isNotNull(), rank.inverted(F.col("__m"))).otherwise(rank.inverted(looks, 30.0, 20.0))
     return out.withColumn("confidence", label).withColumn("perplexity", F.coalesce("__m", looks)).drop("__m")
 
 
-def needing_direct(samples: DataFrame, terms: DataFrame, fewest: int = 2) -> DataFrame:
+def needing_direct(samples: DataFrame, terms: DataFrame, *keys: str, fewest: int = 2) -> DataFrame:
     """Terms with fewer samples than two: those that get the direct choice too."""
-    per = samples.groupBy("term").agg(F.count("perplexity").alias("__n"))
-    return terms.join(per, "term", "left").where(F.coalesce("__n", F.lit(0)) < fewest).drop("__n")
+    per = samples.groupBy(*keys, "term").agg(F.count("perplexity").alias("__n"))
+    return terms.join(per, [*keys, "term"], "left").where(F.coalesce("__n", F.lit(0)) < fewest).drop("__n")
 
-
-def batches(terms: DataFrame, size: int) -> DataFrame:
-    """``terms`` with the number of its batch, in the order of terms within a hash of them."""
-    w = Window.partitionBy(F.pmod(F.xxhash64("term"), F.lit(64))).orderBy("term")
-    return terms.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))

@@ -295,6 +295,62 @@ def partial_completions(benchmark):
     return loose.join(strict, "term").select("term", F.round("partial", 6).alias("partial"), F.round("strict", 6).alias("strict"))
 
 
+def _sql_varied(p: str) -> str:
+    d = _sql_digest(p, 2)
+    return f"CASE WHEN {d} % 4 = 0 THEN '不明 ' ELSE '' END || repeat('x', {d} % 20) || ' ' || ({d} % 11)"
+
+
+def _sql_score(p: str) -> str:
+    return f"CAST({_sql_digest(p, 2)} % 11 AS DOUBLE)"
+
+
+_MEAN = " + ".join(_sql_score(_sql_prompt(passes.NATURAL, "replace('" + x + "', '{}', term)")) for x in passes.SENTENCES)
+
+
+@twin(f"""WITH {_WORDS}, d AS (SELECT term, [{', '.join(_sql_varied(_sql_prompt(passes.BRIEF, f"term || chr(10) || '{k}'")) for k in (1, 2, 3))}] AS defs, {_sql_score(_sql_prompt(passes.DIFFICULTY))} AS c, ({_MEAN}) / 3 AS n FROM tm),
+s AS (SELECT *, 40 + least(list_var_pop(list_transform(defs, lambda x: CAST(length(x) AS DOUBLE))) / 10, 20.0) + 15 * len(list_filter(defs, lambda x: contains(x, '不明'))) - CASE WHEN length(term) >= 4 THEN 10 ELSE 0 END - CASE WHEN regexp_matches(term, '[A-Z]{{2,}}') THEN 5 ELSE 0 END AS a FROM d)
+SELECT term, round(least(100.0, greatest(5.0, 0.4 * a + 0.3 * (5 + 9.5 * c) + 0.3 * greatest(5.0, 105 - 10 * n))), 5)::DOUBLE AS perplexity FROM s""")
+@query
+def fallback_perplexities(benchmark):
+    """L18, L21 to L23 with their calls: definitions, difficulty and naturalness, weighed."""
+    return passes.fallback_perplexity(_terms(benchmark), Stub(style="varied")).select("term", F.round("perplexity", 5).alias("perplexity"))
+
+
+@query
+def term_perplexities(benchmark):
+    """L19, then L18 where it gives none; both have queries of their own."""
+    found = passes.term_perplexity(_terms(benchmark), Stub(style="varied"), ("the station and the house {}", "a word of the night {}"))
+    return found.select("term", F.round("perplexity", 5).alias("perplexity"))
+
+
+@twin(f"""WITH {_WORDS}, c AS (SELECT term, unnest([length(term) // 3, length(term) // 2, length(term) * 2 // 3]) AS place FROM tm WHERE length(term) >= 4), t AS (SELECT *, unnest([1, 2, 3]) AS attempt FROM c),
+h AS (SELECT term, avg(contains(trim({_sql_varied(_sql_prompt(passes.COMPLETE, "substr(term, 1, place) || chr(10) || attempt"))}, ' '), term)::INT) AS p FROM t WHERE place > 1 GROUP BY term),
+g AS (SELECT tm.term, CASE WHEN length(tm.term) < 4 THEN 0.2 ELSE p END AS p, least(1.0, {_sql_score(_sql_prompt(passes.GENERALITY, 'tm.term'))} / 10) AS g FROM tm LEFT JOIN h ON tm.term = h.term)
+SELECT term, round(CASE WHEN length(term) < 3 THEN 0.1 ELSE 0.7 * p + 0.3 * g END, 6)::DOUBLE AS probability FROM g""")
+@query
+def generation_probabilities(benchmark):
+    """L13, L24 with their calls: strict completion and generality."""
+    return passes.generation_probability(_terms(benchmark), Stub(style="varied")).select("term", F.round("probability", 6).alias("probability"))
+
+
+@query
+def precise_probabilities(benchmark):
+    """L10, L12, L13 with their calls; tested against plain Python."""
+    rows = benchmark.select(F.explode(F.array_distinct(_tokens())).alias("term"), "text").groupBy("term").agg(F.min("text").alias("context"))
+    rows = rows.withColumn("context", F.when(F.length("term") % 3 > 0, F.col("context")))
+    return passes.precise_probability(rows, Stub(style="varied")).select("term", F.round("probability", 6).alias("probability"))
+
+
+@query
+def generic_perplexities(documents):
+    """The best terms of every document evaluated by all methods; tested against plain Python."""
+    from . import extract
+
+    terms = extract.evaluated_terms(documents, most=5).select("doc_id", "term", "frequency")
+    out = passes.evaluate_generic(documents, cut(terms), Stub(style="letter"))
+    return out.select("doc_id", "term", "frequency", F.round("perplexity", 6).alias("perplexity"), "confidence")
+
+
 @query
 def input_perplexities(benchmark):
     """How well a model foresees terms in their text; tested against plain Python."""

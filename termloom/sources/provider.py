@@ -47,6 +47,7 @@ STYLES: dict[str, Callable[[str], str]] = {
     "letter": lambda p: "ABCDE"[_digest(p, 2) % 5],
     "doubt": lambda p: f"{'不明' if _digest(p, 2) % 4 == 0 else 'known'} {p.splitlines()[-1]}",
     "ending": lambda p: f"it is {p.splitlines()[1]}{('er', 'en', 'on')[int(p.splitlines()[2]) - 1]}",
+    "varied": lambda p: f"{'不明 ' if _digest(p, 2) % 4 == 0 else ''}{'x' * (_digest(p, 2) % 20)} {_digest(p, 2) % 11}",
     "none": lambda p: "nothing",
 }
 

@@ -20,8 +20,8 @@ SMALL = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
 #: Queries that Python decides: tested against plain Python elsewhere.
 NO_TWIN = {
-    "byte_chunks", "compound_priority", "compound_terms", "document_pagerank", "evaluation_files", "generic_terms", "graph_terms", "input_perplexities", "packed_chunks", "paragraph_chunks",
-    "recursive_chunks", "sentence_perplexities", "separator_chunks", "string_similarities", "template_perplexities",
+    "byte_chunks", "compound_priority", "compound_terms", "document_pagerank", "evaluation_files", "generic_perplexities", "generic_terms", "graph_terms", "input_perplexities", "packed_chunks", "paragraph_chunks", "precise_probabilities",
+    "recursive_chunks", "sentence_perplexities", "separator_chunks", "string_similarities", "template_perplexities", "term_perplexities",
 }
 
 

@@ -3,6 +3,7 @@
 import difflib
 import hashlib
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +187,66 @@ def test_steps_of_a_term_that_is_foreseen(spark):
     assert of("ab") == pytest.approx(math.exp(0.5))
     assert of("abc") == pytest.approx(math.exp((0.5 + 0.5 + 2.0) / 3))  # the candidate counts
     assert of("zb") == pytest.approx(math.exp((5.0 + 0.5) / 2))
+
+
+def test_terms_without_log_probabilities_fall_back(spark, items):
+    both = {r["term"]: r["perplexity"] for r in QUERIES["term_perplexities"](spark, items).collect()}
+    terms = spark.createDataFrame([(t,) for t in both], "term string")
+    first = {r["term"]: r["perplexity"] for r in passes.template_perplexity(terms, provider.Stub(), ("the station and the house {}", "a word of the night {}")).collect()}
+    second = {r["term"]: r["perplexity"] for r in passes.fallback_perplexity(terms, provider.Stub(style="varied")).collect()}
+    assert both == pytest.approx({t: second[t] if p is None else p for t, p in first.items()}, abs=1e-5) and None in first.values()
+
+
+def varied(p):
+    return f"{'不明 ' if digest(p, 2) % 4 == 0 else ''}{'x' * (digest(p, 2) % 20)} {digest(p, 2) % 11}"
+
+
+def test_precise_probabilities(spark, items):
+    context = {}
+    for _, s in TEXTS:
+        for t in tokens(s):
+            context[t] = min(s, context.get(t, s))
+    expected = {}
+    for t, s in context.items():
+        if len(t) < 4:
+            partial = 0.2
+        else:
+            tried = [t in varied(f"{passes.COMPLETE}\n{t[:at]}\n{k}").strip(" ") for at in (len(t) // 3, len(t) // 2, len(t) * 2 // 3) for k in (1, 2, 3)]
+            partial = sum(tried) / 9
+        general = min(1.0, (digest(f"{passes.GENERALITY}\n{t}", 2) % 11) / 10)
+        if len(t) % 3 > 0:
+            said = varied(f"{passes.FILL}\n{s.replace(t, '[MASK]')}").strip(" ")
+            value = 0.4 * partial + 0.4 * difflib.SequenceMatcher(None, t, said).ratio() + 0.2 * general
+        else:
+            value = 0.4 * partial + 0.4 * general
+        expected[t] = round(min(1.0, value), 6)
+    assert {r["term"]: r["probability"] for r in QUERIES["precise_probabilities"](spark, items).collect()} == pytest.approx(expected, abs=1e-6)
+
+
+def test_generic_terms_by_all_methods(spark):
+    texts = [(1, "The injector sprays fuel. An injector of the engine leaks here! Nothing else is said"), (2, "short. fuel")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    asked = [(1, "injector", 2), (1, "fuel", 1), (1, "absent", 1), (2, "fuel", 1)]
+    terms = spark.createDataFrame(asked, "doc_id long, term string, frequency long")
+    expected = []
+    for i, t, f in asked:
+        held = [x for x in (x.strip(" ") for x in re.split(r"[.!?\n]+", dict(texts)[i])) if 10 < len(x) < 200 and t in x]
+        samples = []
+        for x in held[:2]:
+            run, lp = "", None
+            for w, y in generated(x.split(t)[0]):
+                run += w
+                if t.lower() in run.lower():
+                    lp = y
+                    break
+            samples.append(50.0 if lp is None else min(95.0, max(5.0, math.exp(-lp) * 10)))
+        for x in held[:2]:
+            lp = next((y for w, z in generated(x.replace(t, "[MASK]")) for c, y in ((w, z), (w, z), (w.upper(), z - 1)) if t in c), None)
+            samples += [] if lp is None else [min(100.0, max(5.0, -lp * 10))]
+        if len(samples) < 2:
+            samples.append({0: 10.0, 1: 18.0, 2: 28.0, 3: 40.0}.get(digest(f"{passes.CHOICE}\n{t}", 2) % 5, 25.0))
+        sane = sorted(p for p in samples if 5 < p < 100)
+        p = (sane[(len(sane) - 1) // 2] + sane[len(sane) // 2]) / 2
+        expected.append((i, t, f, round(p, 6), "high_confidence" if p > 25 else "medium_confidence" if p > 15 else "low_confidence"))
+    got = passes.evaluate_generic(docs, terms, provider.Stub(style="letter")).collect()
+    assert sorted((r["doc_id"], r["term"], r["frequency"], round(r["perplexity"], 6), r["confidence"]) for r in got) == sorted(expected)
