@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -86,20 +89,44 @@ def term_contexts(documents: DataFrame, terms: DataFrame, window: int = 30, id_c
     return found.select(id_col, "term", F.explode(context_words(F.col("left"), F.col("right"))).alias("word")).distinct()
 
 
-def neighbours(token_table: DataFrame, span: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """(id, term, word): distinct words within ``span`` tokens of a term's occurrences."""
-    w = Window.partitionBy(id_col).orderBy("pos")
-    around = F.array_compact(F.array(*[F.lag("term", k).over(w) for k in range(span, 0, -1)], *[F.lead("term", k).over(w) for k in range(1, span + 1)]))
-    found = token_table.select(id_col, "term", around.alias("around")).select(id_col, "term", F.explode("around").alias("word"))
-    return found.where("word <> term").distinct()
+def context_weights(documents: DataFrame, terms: DataFrame, window: int = 30, id_col: str = "doc_id") -> DataFrame:
+    """(id, term, weight): the mean, over a term's context words, of the number of the document's terms that share the word;
+    null for a term without any. The words are those of :func:`term_contexts`, counted where the document is."""
+    listed = documents.join(terms.groupBy(id_col).agg(F.collect_list("term").alias("terms")), id_col).select(id_col, "text", "terms")
+    runs = re.compile(CONTEXT_RUNS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                row, names, means = [], [], []
+                for i, (s, own) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                    held: dict[str, set[str]] = {}
+                    for t in own or ():
+                        found = held.setdefault(t, set())
+                        for a, b in text.spans(s or "", t):
+                            words = runs.findall(s[max(0, a - window) : a] + s[b : b + window])
+                            found.update(words[:3], words[-3:])
+                    shared = Counter(w for found in held.values() for w in found)
+                    for t, found in held.items():
+                        row.append(i)
+                        names.append(t)
+                        means.append(sum(shared[w] for w in found) / len(found) if found else None)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(names, pa.string()), pa.array(means, pa.float64())], names=[id_col, "term", "weight"])
+
+    return listed.mapInArrow(run, f"`{id_col}` {dict(listed.dtypes)[id_col]}, term string, weight double")
+
+
+def mean_weights(contexts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, term, weight) from a table of contexts (id, term, word)."""
+    weight = F.count(F.lit(1)).over(Window.partitionBy(id_col, "word"))
+    return contexts.withColumn("__w", weight).groupBy(id_col, "term").agg(F.avg("__w").alias("weight"))
 
 
-def nc_value(scored: DataFrame, contexts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def nc_value(scored: DataFrame, weights: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``nc_value`` = 0.8 C + 0.2 C * mean weight of the context words, C without any; a word's weight is the number of
-    the document's terms that share it."""
-    linked = contexts.join(scored.select(id_col, "term"), [id_col, "term"])
-    weight = F.count(F.lit(1)).over(Window.partitionBy(id_col, "word"))
-    mean = linked.withColumn("__w", weight).groupBy(id_col, "term").agg(F.avg("__w").alias("__mean"))
+    the document's terms that share it (:func:`context_weights`, :func:`mean_weights`)."""
+    mean = weights.select(id_col, "term", F.col("weight").alias("__mean"))
     value = F.coalesce(0.8 * F.col("c_value") + 0.2 * F.col("c_value") * F.col("__mean"), F.col("c_value"))
     return scored.join(mean, [id_col, "term"], "left").withColumn("nc_value", value).drop("__mean")
 

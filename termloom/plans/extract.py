@@ -79,7 +79,7 @@ def generic_terms(docs: DataFrame, config: EngineConfig | None = None, most: int
     compound = candidates.tag_patterns(short, patterns, "particle").unionAll(candidates.noun_sequences(candidates.noun_runs(short, config.profile), config.profile.joiner))
     every = modes.select("doc_id", "term").unionAll(compound).distinct().where(text.basic_filter(F.col("term")))
     counted = candidates.boundary_frequency(short, every)
-    scored = stats.nc_value(stats.c_value(counted, 3), stats.term_contexts(docs, counted))
+    scored = stats.nc_value(stats.c_value(counted, 3), stats.context_weights(docs, counted))
     scored = scored.join(modes, ["doc_id", "term"], "left").withColumn("modes", F.coalesce("modes", F.lit(0)))
     scored = scored.withColumn("score", F.round(stats.generic_score(F.col("nc_value"), F.col("frequency"), F.col("term"), F.col("modes")), 9))
     return rank.top_per(scored, most, "doc_id").select("doc_id", "term", "frequency", "modes", "score", "rank")

@@ -108,7 +108,7 @@ def statistical_priority(documents):
 def _nc(documents: DataFrame) -> DataFrame:
     """NC-value of terms of the engine's least frequency, by the words around their occurrences."""
     terms = _counts(documents).where("frequency >= 2")
-    return stats.nc_value(stats.c_value(terms, 3), stats.term_contexts(documents, terms))
+    return stats.nc_value(stats.c_value(terms, 3), stats.context_weights(documents, terms))
 
 
 @query
