@@ -173,7 +173,8 @@ def predict(docs: DataFrame, known: DataFrame, text_col: str = "text", keep: tup
     """Columns ``keep`` with ``lang_pred`` and ``score`` (1 less the distance as a share of the largest possible).
 
     Null texts, texts without a letter, and all texts if there is no profile are ``und`` with score 0. Of profiles
-    equally far the language that sorts first wins. Only the text is an input.
+    equally far the language that sorts first wins. Only the text is an input. Rows that repeat an id are predicted one by
+    one; columns that aren't kept don't matter, whatever their names; an empty table gives an empty one.
     """
     held: dict[str, list[tuple[int, int]]] = {}
     for lang, gram, rank in known.collect():

@@ -64,6 +64,7 @@ def pieces(docs: DataFrame, path: str, blanks: bool, end_id: int, longest: int =
     """Every document's pieces with their ids, its place among equal lengths in its partition, and no shuffle.
 
     Null texts are empty and give the end id alone; a null id and rows that repeat an id are documents of their own.
+    Other columns don't matter, whatever their names; an empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _pieces(it, path, blanks, end_id, longest), PIECE).withColumnRenamed("doc", id_col)

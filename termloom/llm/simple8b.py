@@ -138,6 +138,7 @@ def write_ids(docs: DataFrame, path: str, blanks: bool, end_id: int, id_col: str
     """Write the ids of every text, each followed by ``end_id``, in ascending order of ``id_col``; returns the files' rows.
 
     Null texts are empty; null ids come first, rows that repeat an id follow one another in the order of their texts' hashes.
+    Other columns don't matter; an empty table gives no file rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
