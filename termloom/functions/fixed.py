@@ -47,4 +47,12 @@ DOMAIN_TEMPLATES = {
     "chemistry": (("反応", "濃度", "触媒", "化合物", "分子"), ("{keyword}中の[MASK]", "[MASK]を用いた{keyword}", "{keyword}における[MASK]の役割")),
     "ai_ml": (("学習", "モデル", "データ", "アルゴリズム", "精度"), ("{keyword}に基づく[MASK]", "[MASK]を使った{keyword}", "{keyword}における[MASK]の適用")),
 }
+# --- fixed values: contexts, openings and sentences that are made for a term ---
+MADE_CONTEXT = "この{}は重要な専門用語です。"
+MADE_OPENINGS = ("この{}は", "重要な{}")
+MADE_SENTENCE = "{}について"
+PERPLEXITY_TEMPLATES = ("この{}は専門用語である。", "{}について説明します。", "重要な概念である{}を理解する。")
+NATURAL_SENTENCES = ("{}について説明します。", "この{}は重要です。", "{}の特徴を分析しました。")
+# --- fixed values: runs of one script that count as context words ---
+CONTEXT_RUNS = "[ぁ-ん]+|[ァ-ヴー]+|[一-龥]+|[A-Za-z0-9]+"
 # --- end of fixed values ---

@@ -147,7 +147,7 @@ def cache_key(s: Column) -> Column:
     return F.md5(normalise(s))
 
 
-def shortest_sentence(sentences: Column, t: Column, made: str = "{}について") -> Column:
+def shortest_sentence(sentences: Column, t: Column, made: str = fixed.MADE_SENTENCE) -> Column:
     """The shortest of the sentences, the first of equals; one that is made where there is none."""
     ranked = F.array_sort(F.transform(sentences, lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i"), x.alias("x"))))
     return F.coalesce(F.get(ranked, F.lit(0))["x"], F.replace(F.lit(made), F.lit("{}"), t))

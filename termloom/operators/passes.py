@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import fixed, text
 from ..sources.provider import Provider, complete, embed, generate
 from . import perplexity, rank, vectors
 from .contexts import masked_sentences
@@ -198,7 +198,7 @@ def stepwise(asked: DataFrame, provider: Provider, most: int = 5) -> DataFrame:
     return rows.withColumn("p", perplexity.perplexity(F.col("lps"))).drop("said", "lps", "live")
 
 
-TEMPLATES = ("この{}は専門用語である。", "{}について説明します。", "重要な概念である{}を理解する。")
+TEMPLATES = fixed.PERPLEXITY_TEMPLATES
 
 
 def template_perplexity(terms: DataFrame, provider: Provider, templates: tuple[str, ...] = TEMPLATES) -> DataFrame:
@@ -253,7 +253,7 @@ DIFFICULTY = "How hard is the term to understand, from 1 to 10? Reply with the n
 NATURAL = "How natural is the sentence, from 1 to 10? Reply with the number."
 GENERALITY = "How general is the term, from 1 to 10? Reply with the number."
 FILL = "Which term stands for [MASK]?"
-SENTENCES = ("{}について説明します。", "この{}は重要です。", "{}の特徴を分析しました。")
+SENTENCES = fixed.NATURAL_SENTENCES
 
 
 def fallback_perplexity(terms: DataFrame, provider: Provider) -> DataFrame:

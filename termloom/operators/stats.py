@@ -71,8 +71,7 @@ def c_value(terms: DataFrame, variant: int = 1, id_col: str = "doc_id") -> DataF
     return with_containers(terms, id_col).withColumn("c_value", value).drop("__mean", "__most")
 
 
-#: Runs of one script that count as context words.
-CONTEXT_RUNS = "[ぁ-ん]+|[ァ-ヴー]+|[一-龥]+|[A-Za-z0-9]+"
+CONTEXT_RUNS = fixed.CONTEXT_RUNS
 
 
 def context_words(prefix: Column, suffix: Column, runs: str = CONTEXT_RUNS) -> Column:

@@ -320,8 +320,8 @@ def made_contexts(benchmark):
     lists = found.groupBy("item_id", "term").agg(F.array_sort(F.collect_list(item)).alias("c"))
     every = rows.select("item_id", F.explode("terms").alias("term")).join(lists, ["item_id", "term"], "left")
     of = lambda f: F.transform("c", lambda x: x[f])
-    full = contexts.or_made(of("x"), F.col("term"), 1, 3, ("この{}は重要な専門用語です。",))
-    before = contexts.or_made(of("l"), F.col("term"), 2, 3, ("この{}は", "重要な{}"))
+    full = contexts.or_made(of("x"), F.col("term"), 1, 3, (fixed.MADE_CONTEXT,))
+    before = contexts.or_made(of("l"), F.col("term"), 2, 3, fixed.MADE_OPENINGS)
     return every.select("item_id", "term", F.md5(F.array_join(full, "|")).alias("contexts_md5"), F.md5(F.array_join(before, "|")).alias("prefixes_md5"))
 
 
