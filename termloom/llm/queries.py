@@ -219,6 +219,23 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.profiles(docs.where("NOT held_out")), keep=("doc_id", "held_out"))
 
 
+#: crc32 of a number's digits, and the grams of every run of letters with a blank on both sides.
+OP7_SQL = rf"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc),
+d AS (SELECT doc_id, lang, lower(coalesce(text, '')) AS s,
+      xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c // 256, crc[CAST(xor(c, b) % 256 AS INTEGER) + 1])), 4294967295) % 4 = 2 AS held_out FROM documents, t),
+w AS (SELECT doc_id, ' ' || run || ' ' AS p, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(s, '\p{{L}}+')) AS run FROM d) GROUP BY ALL),
+g AS (SELECT doc_id, substr(p, i, k) AS g, c FROM (SELECT *, unnest(range(1, length(p) - k + 2)) AS i FROM (SELECT *, unnest([1, 2, 3]) AS k FROM w)) WHERE substr(p, i, k) <> ' '),
+dg AS (SELECT doc_id, g, sum(c) AS n FROM g GROUP BY ALL),
+own AS (SELECT * FROM (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) - 1 AS place FROM dg) WHERE place < {langid.TOP}),
+prof AS (SELECT * FROM (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(g), g) - 1 AS rank FROM dg JOIN d USING (doc_id) WHERE lang IS NOT NULL AND NOT held_out GROUP BY lang, g) WHERE rank < {langid.TOP}),
+far AS (SELECT o.doc_id, l.lang, count(*) AS used, sum(coalesce(least({langid.TOP}, abs(p.rank - o.place)), {langid.TOP})) AS far
+        FROM own o CROSS JOIN (SELECT DISTINCT lang FROM prof) l LEFT JOIN prof p ON p.lang = l.lang AND p.g = o.g GROUP BY ALL),
+best AS (SELECT doc_id, arg_min(lang, (far, lang)) AS lang_pred, 1 - CAST(min(far) AS DOUBLE) / (any_value(used) * {langid.TOP}.0) AS score FROM far GROUP BY doc_id)
+SELECT d.doc_id, held_out, coalesce(lang_pred, '{langid.UNDETERMINED}') AS lang_pred, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN best USING (doc_id)
+"""
+
+
 def tokenizer_file(name: str) -> str:
     """Where the installed tokenizer files are, the same on every machine."""
     import public_tokenizers
@@ -240,4 +257,4 @@ def op9_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_imatch_fingerprints": op2_imatch_fingerprints, "op3_bitslice_topk": op3_bitslice_topk, "op4_line_dedup": op4_line_dedup, "op5_warc_archive": op5_warc_archive, "op6_superkmer_dedup": op6_superkmer_dedup, "op7_language_id": op7_language_id, "op8_simple8b_ids": op8_simple8b_ids, "op9_pow2_packing": op9_pow2_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
-ORACLE = {"op1_mix_sources": OP1_SQL, "op3_bitslice_topk": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_warc_archive": OP5_SQL, "op6_superkmer_dedup": OP6_SQL, "op10_minhash_near_dedup": OP10_SQL}
+ORACLE = {"op1_mix_sources": OP1_SQL, "op3_bitslice_topk": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_warc_archive": OP5_SQL, "op6_superkmer_dedup": OP6_SQL, "op7_language_id": OP7_SQL, "op10_minhash_near_dedup": OP10_SQL}

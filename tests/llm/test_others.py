@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -324,3 +325,18 @@ def test_every_operator_has_its_query():
     names = sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_queries_equal_their_twins(spark, name):
+    import duckdb
+
+    small, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
+    twin = con.sql(queries.ORACLE[name])
+    columns = sorted(twin.columns)
+    ours = queries.QUERIES[name](spark, small)
+    assert sorted(ours.columns) == columns
+    assert sorted(map(repr, map(tuple, ours.select(*columns).collect()))) == sorted(map(repr, con.sql(f"SELECT {', '.join(columns)} FROM twin").fetchall()))
