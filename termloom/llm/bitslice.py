@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workers import task
+
 #: Rows of an index block and queries of a group: at least, and at most.
 BLOCK_ROWS, GROUP_QUERIES = (1 << 13, 1 << 17), (1 << 10, 1 << 14)
 #: Tiles (a block against a group) that a task slot gets before tiles grow.
@@ -151,6 +153,7 @@ def select_top(score: np.ndarray, allowed: np.ndarray, ids: np.ndarray, k: int)
     return np.concatenate([q, tq[take]]), np.concatenate([row, trow[take]])
 
 
+@task()
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block: one bit-sliced record of each block."""
     block, held = None, []

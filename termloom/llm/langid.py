@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import text_slices
+from .workers import keeps, task
 
 TOP = 400
 #: What a text without a letter is.
@@ -24,6 +25,7 @@ UNDETERMINED = "und"
 HELD = 1 << 18
 
 _table: list[np.ndarray] = []
+keeps("langid", _table.clear)
 
 
 def _letters() -> np.ndarray:
@@ -86,6 +88,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes, documents, which
 
 
+@task("langid")
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     size = 0
@@ -156,6 +159,7 @@ def _distances(data: np.ndarray, offsets: np.ndarray, known: list[tuple[np.ndarr
     return used, far
 
 
+@task("langid")
 def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], known: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, end, data, offsets in text_slices(batch.column(0)):

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .store import mark, release, written
 from .words import mix64, plain, shingle_hashes, shingle_names, text_slices, words_of
+from .workers import task
 
 #: 32 bands of 4 minima: a pair at 0.75 is missed with probability (1 - 0.75^4)^32 = 6e-6.
 BANDS, ROWS = 32, 4
@@ -71,6 +72,7 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel()))
 
 
+@task()
 def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, sigs = batch.column(0), batch.column(1)
@@ -133,6 +135,7 @@ def estimate(x: Column, y: Column) -> Column:
     return F.greatest(F.lit(0.0), (agreeing(x, y) / F.lit(float(_N)) - F.lit(chance)) / F.lit(1 - chance))
 
 
+@task()
 def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (a, salt, b, text) sorted by (a, salt, b nulls first): the leader's own text, then its candidates' texts.
 
@@ -191,6 +194,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, pe
     return rows.mapInArrow(lambda it: _confirm(it, size, percent), "a long, b long")
 
 
+@task()
 def _compact(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(rep, compact): the set's hashes folded to 32 bits, sorted."""
     for batch in batches:
@@ -201,6 +205,7 @@ def _compact(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(sets, pa.binary())], names=["rep", "compact"])
 
 
+@task()
 def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, i, j): pairs of one group's members that differ in component and look similar enough.
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .store import written
 from .tokens import encoder, with_end
 from .words import text_slices
+from .workers import task
 
 PIECE = "doc long, start long, length long, doc_tokens long, part int, slot long, ids binary"
 
@@ -36,6 +37,7 @@ def cuts(lengths: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.
     return doc, start, length
 
 
+@task("tokens")
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, blanks: bool, end_id: int, longest: int) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     used = np.zeros(int(longest).bit_length(), np.int64)  # pieces so far of each length

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .store import written
 from .tokens import encoder, with_end
 from .words import text_slices
+from .workers import task
 
 BLOCK = 128
 #: A shard closes once it holds so many ids.
@@ -105,6 +106,7 @@ def decode(words: np.ndarray, blocks: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+@task("tokens")
 def _shards(batches: Iterator[pa.RecordBatch], path: str, blanks: bool, end_id: int) -> Iterator[pa.RecordBatch]:
     part, seq, before = TaskContext.get().partitionId(), 0, 0
     ids: list[np.ndarray] = []
@@ -146,6 +148,7 @@ def write_ids(docs: DataFrame, path: str, blanks: bool, end_id: int, id_col: str
     return written(rows.mapInArrow(lambda it: _shards(it, path, blanks, end_id), SHARD), "ids")
 
 
+@task()
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .store import written
 from .words import HASHED, Words, mix64, plain, run_codes, settled, span_codes, spread, text_slices, words_of
+from .workers import task
 
 #: Bytes of text for each bucket, on average, and of packed strings in one at most before it is cut again.
 BUCKET_BYTES, BUCKET_LIMIT = 4 << 20, 48 << 20
@@ -96,6 +97,7 @@ def _strings(least: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return head, np.diff(np.append(head, len(least)))
 
 
+@task()
 def _send(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
     packer = _Packer()
     for batch in batches:
@@ -273,6 +275,7 @@ class _Spool:
         self.file.close()
 
 
+@task()
 def _count(batches: Iterator[pa.RecordBatch], size: int, level: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket: the ranges found there, or the records of a bucket too large to be gathered, cut again as
     long as there are levels."""
@@ -330,6 +333,7 @@ def repeated_ranges(docs: DataFrame, size: int = 13, id_col: str = "doc_id", tex
             return out
 
 
+@task()
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, for the way to their ranges."""
     import zstandard
@@ -340,6 +344,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), stored], names=["own", "crc", "stored"])
 
 
+@task()
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 

@@ -16,9 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .words import _SPACE, HASHED, same_spans, span_codes, spread
+from .workers import keeps
 
 #: Distinct pieces, and bytes of them, that a worker remembers; the table starts anew beyond either.
-REMEMBERED, REMEMBERED_BYTES = 1 << 21, 1 << 26
+REMEMBERED, REMEMBERED_BYTES = 1 << 20, 1 << 25
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -161,6 +162,7 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
+keeps("tokens", _encoders.clear)
 
 
 def encoder(path: str, blanks: bool) -> Encoder:

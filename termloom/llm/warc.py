@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
+from .workers import task
 
 #: Header lines end so.
 CRLF = "\r\n"
@@ -75,6 +76,7 @@ def _header(kind: Column, date: str) -> Column:
     return F.concat(F.array_join(F.array_compact(F.array(*lines)), CRLF), F.lit(CRLF + CRLF), http)
 
 
+@task()
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -87,6 +89,7 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([digests, pa.array([packer.compress(x) for x in raw], pa.binary())], names=["digest", "stored"])
 
 
+@task()
 def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(header, payload); a payload that is missing or not what its digest says ends the job."""
     import zstandard
