@@ -148,7 +148,7 @@ def write_ids(docs: DataFrame, path: str, blanks: bool, end_id: int, id_col: str
     return written(rows.mapInArrow(lambda it: _shards(it, path, blanks, end_id), SHARD), "ids")
 
 
-@task()
+@task("tokens")
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
