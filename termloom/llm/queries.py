@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, imatch, langid, linededup, minhash, mixing, pow2pack, simple8b, superkmer, warc
+from . import bitslice, filteraudit, imatch, langid, linededup, minhash, mixing, pow2pack, rpforest, simple8b, superkmer, turnrepair, warc
 from .store import written
 
 
@@ -256,5 +256,104 @@ def op9_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_imatch_fingerprints": op2_imatch_fingerprints, "op3_bitslice_topk": op3_bitslice_topk, "op4_line_dedup": op4_line_dedup, "op5_warc_archive": op5_warc_archive, "op6_superkmer_dedup": op6_superkmer_dedup, "op7_language_id": op7_language_id, "op8_simple8b_ids": op8_simple8b_ids, "op9_pow2_packing": op9_pow2_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
-ORACLE = {"op1_mix_sources": OP1_SQL, "op3_bitslice_topk": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_warc_archive": OP5_SQL, "op6_superkmer_dedup": OP6_SQL, "op7_language_id": OP7_SQL, "op10_minhash_near_dedup": OP10_SQL}
+def op11_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stated query's nearest rows by cosine; see :func:`rpforest.unit_rows` for nulls and repeats, :func:`rpforest.search` for ties."""
+    rows = written(rpforest.unit_rows(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
+    found = rpforest.search(rows, rows.where("id % 50 = 0"), rpforest.grow(rows), k=5)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest edits of every damaged conversation; see :func:`turnrepair.repair` for nulls, ties and repeats."""
+    return turnrepair.repair(turnrepair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+#: Rows after damage, their faults, and the cheapest (cost, audit) of every state of the grammar, row after row; inserts close
+#: over the states before each row. Keys are costs of nine digits and the audit, so that the least string is the cheapest.
+def _more(key: str, cost: str, letter: str) -> str:
+    return f"lpad(CAST(CAST(substr({key}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({key}, 10) || '{letter}'"
+
+
+#: A row's edits: s0 is nothing yet, s1 a system row, s2 a user row last, s3 an assistant row last.
+_EDITED = f"""
+SELECT conv_id, roles, faults, next AS pos, {_more("s0", "4", "D")} AS s0, least({_more("s1", "4", "D")}, CASE WHEN keep AND r = 's' THEN {_more("s0", "more", "K")} END) AS s1,
+       least({_more("s2", "4", "D")}, CASE WHEN keep AND r = 'u' THEN {_more("least(s0, s1, s3)", "more", "K")} END, CASE WHEN keep THEN {_more("least(s0, s1, s3)", "more + 3", "R")} END) AS s2,
+       least({_more("s3", "4", "D")}, CASE WHEN keep AND r = 'a' THEN {_more("s2", "more", "K")} END, CASE WHEN keep THEN {_more("s2", "more + 3", "R")} END) AS s3
+FROM (SELECT *, pos + 1 AS next, roles[pos + 1][1] AS r, faults[pos + 1] NOT IN (1, 2) AS keep, CASE faults[pos + 1] WHEN 3 THEN 3 ELSE 0 END AS more FROM w WHERE pos < len(roles))"""
+_USER = f"SELECT *, least(s2, {_more('least(s0, s1, s3)', '3', 'I')}) AS u FROM ({_EDITED})"
+OP12_SQL = rf"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+      xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c // 256, crc[CAST(xor(c, b) % 256 AS INTEGER) + 1])), 4294967295) % 20 AS kind FROM conversations, t),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+      unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0),
+f AS (SELECT *, row_number() OVER c AS i, lag(substr(role, 1, 1)) OVER c AS before,
+             CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1
+                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 2
+                  WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS fault
+      FROM d WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+v AS (SELECT conv_id, list(role ORDER BY i) AS roles, list(text ORDER BY i) AS texts, list(fault ORDER BY i) AS faults,
+             coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+             count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM f GROUP BY conv_id),
+w AS (
+  SELECT conv_id, roles, faults, 0 AS pos, '000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, '000000003I' AS s2, '000000006II' AS s3 FROM v
+  UNION ALL SELECT conv_id, roles, faults, pos, s0, s1, u, least(s3, {_more("u", "3", "I")}) FROM ({_USER})),
+best AS (SELECT conv_id, least(s0, s3) AS best FROM w WHERE pos = len(roles)),
+a AS (SELECT conv_id, CAST(substr(best, 1, 9) AS BIGINT) AS cost, substr(best, 10) AS audit FROM best),
+e AS (SELECT conv_id, unnest(string_split(audit, '')) AS l, generate_subscripts(string_split(audit, ''), 1) AS p FROM a WHERE audit <> ''),
+n AS (SELECT *, count(*) FILTER (WHERE l <> 'I') OVER o AS nth, count(*) FILTER (WHERE l <> 'D') OVER o AS place FROM e WINDOW o AS (PARTITION BY conv_id ORDER BY p)),
+m AS (SELECT n.conv_id, l, place, CASE WHEN l <> 'I' THEN roles[nth] END AS role, CASE WHEN l <> 'I' THEN texts[nth] END AS text FROM n JOIN v ON v.conv_id IS NOT DISTINCT FROM n.conv_id WHERE l <> 'D'),
+y AS (SELECT *, max(CASE WHEN place = 1 AND l = 'K' AND role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS system FROM m),
+h AS (SELECT conv_id, sha256(string_agg(CASE WHEN l = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY place)) AS hash FROM y GROUP BY conv_id),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(hash, sha256('')) AS repaired_sha256
+FROM c LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+#: The first four filters of the audit; E finds the duplicates.
+def _failures() -> dict[str, Column]:
+    text, words = F.col("text"), filteraudit.words(F.col("text"))
+    capitals = F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    return {"A": F.size(words) < 200, "B": 100 * F.size(F.array_distinct(words)) < 50 * F.size(words), "C": 100 * capitals.cast("long") > 2 * F.length("text").cast("long"), "D": text.rlike("[#$%&*|]")}
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every order of five filters removes, step by step and by source; see :func:`filteraudit.flagged` for nulls and
+    repeats, :func:`filteraudit.labelled` for labels. Of an empty table nothing is returned."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("part"), "text")
+    flags = filteraudit.flagged(docs, _failures(), "E")
+    return filteraudit.audit(filteraudit.labelled(flags, _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")), "ABCDE")
+
+
+OP13_SQL = r"""
+WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS later FROM d),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(text) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN later THEN 16 ELSE 0 END AS mask
+      FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+st AS (SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before FROM o, (SELECT unnest(range(1, 6)) AS step))
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+       CAST(coalesce(sum(n) FILTER (WHERE mask & (before | own) = 0), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & before <> 0), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (WHERE mask = own), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (WHERE mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(toxic) FILTER (WHERE mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * 120 // nullif(bit_count(mask), 0)) FILTER (WHERE mask & own <> 0), 0) AS BIGINT) AS shapley
+FROM c, st GROUP BY part, filter_order, step
+"""
+
+
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_imatch_fingerprints": op2_imatch_fingerprints, "op3_bitslice_topk": op3_bitslice_topk, "op4_line_dedup": op4_line_dedup, "op5_warc_archive": op5_warc_archive, "op6_superkmer_dedup": op6_superkmer_dedup, "op7_language_id": op7_language_id, "op8_simple8b_ids": op8_simple8b_ids, "op9_pow2_packing": op9_pow2_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup, "op11_rp_forest": op11_rp_forest, "op12_turn_repair": op12_turn_repair, "op13_filter_audit": op13_filter_audit}
+ORACLE = {"op1_mix_sources": OP1_SQL, "op3_bitslice_topk": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_warc_archive": OP5_SQL, "op6_superkmer_dedup": OP6_SQL, "op7_language_id": OP7_SQL, "op10_minhash_near_dedup": OP10_SQL, "op12_turn_repair": OP12_SQL, "op13_filter_audit": OP13_SQL}

@@ -9,7 +9,7 @@ from termloom.llm import queries
 
 QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
 #: Names that the operators use inside.
-NAMES = ("doc", "mark", "sig", "same", "bits", "bands", "tokens", "rest", "prints", "rank", "n", "key", "bucket", "own", "crc", "score", "lang_pred", "kept", "digest", "owner", "id", "v", "h", "pos", "part", "slot", "full_epochs", "domain", "held_out", "tie", "next_text", "__sig", "__kept")
+NAMES = ("doc", "mark", "sig", "same", "bits", "bands", "tokens", "rest", "prints", "rank", "n", "key", "bucket", "own", "crc", "score", "lang_pred", "kept", "digest", "owner", "id", "v", "h", "pos", "part", "slot", "full_epochs", "domain", "held_out", "tie", "next_text", "__sig", "__kept", "mask", "cls", "lead", "hashes", "tree", "leaf", "block", "floor", "fault", "copy", "present", "good")
 DOCS = [
     (1, "The house of the night is in the town and the line is long.\nshared line of more than twenty signs", "en", "src0"), (2, None, "en", "src1"), (3, "", None, None), (4, " \n\t ", "fr", "src2"), (5, "!!! 123", "de", "elsewhere"),
     (6, "shared line of more than twenty signs\nder Fluss und das Haus sind nicht weit von hier und dort", "de", "src6"), (6, "shared line of more than twenty signs\nder Fluss und das Haus sind nicht weit von hier und dort", "de", "src6"),
@@ -17,6 +17,8 @@ DOCS = [
     (8, "The house of the night is in the town and the line is long.\nshared line of more than twenty signs", "en", "src0"), (-9, "日本 語 é ß İ ﬁ \U0001f600 " * 20, None, "src5"),
 ]
 
+TURNS = [(1, 0, "user", "Hi."), (1, 1, "assistant", "Yes."), (1, 1, "assistant", "Yes."), (2, None, None, None), (None, 3, "user", ""), (3, 5, "", "w " * 50_000), (4, 1 << 40, "tool", "x"), (4, -7, "system", " \n")]
+
 
 def tables(spark, path, docs, vectors, pages):
     extra = [F.lit(f"x{k}").alias(c) for k, c in enumerate(NAMES)]
@@ -24,6 +26,10 @@ def tables(spark, path, docs, vectors, pages):
     rows.select("*", *[c for c in extra]).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").select("*", *[c for c in extra]).write.parquet(f"{path}/embeddings.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string").select("*", *[c for c in extra]).write.parquet(f"{path}/pages.parquet")
+    turns = [(c, t, r, x) for c, t, r, x in TURNS] if docs else []
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").select("*", *[c for c in extra]).write.parquet(f"{path}/conversations.parquet")
+    labels = [(1, 1, 0), (6, 0, 1), (6, 1, None), (None, 1, 1), (99, 1, 1)] if docs else []
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").select("*", *[c for c in extra]).write.parquet(f"{path}/labels.parquet")
     return str(path)
 
 
@@ -49,9 +55,14 @@ def test_odd_rows(spark, odd, name):
         assert {r["doc_id"] for r in got} == {d[0] for d in DOCS} and all(r["length"] & (r["length"] - 1) == 0 for r in got)
     elif number == "5":
         assert len(got) == 9 and {r["record_type"] for r in got} == {"response", "revisit"}
-    elif number == "3":
+    elif number == "12":
+        assert {r["conv_id"] for r in got} == {t[0] for t in TURNS} and len(got) == 5
+    elif number == "13":
+        assert len(got) == 600 * len({d[3] or "" for d in DOCS})
+        assert sum(r["kept"] + r["removed"] for r in got if r["step"] == 1 and r["filter_order"] == "ABCDE") == len(DOCS)
+    elif number in ("3", "11"):
         asked = {r["query_id"] for r in got}
-        assert asked == {0, 50} and all(r["vec_id"] != r["query_id"] and r["vec_id"] in (0, 6, 7, 50) for r in got)
+        assert asked == {0, 50} and all(r["vec_id"] != r["query_id"] and r["vec_id"] in ((0, 6, 7, 50) if number == "3" else (0, 7, 50)) for r in got)
     else:
         assert got
 
