@@ -21,20 +21,17 @@ from .store import written
 #: Code points of the first block of a text; block i is 4^i times as long.
 FIRST_BLOCK = 256
 #: Where blocks begin, as far as a string can reach.
-_STARTS = [FIRST_BLOCK * (4**i - 1) // 3 for i in range(13)]
-#: White space between words.
-_BLANKS = " \t\n\x0b\x0c\r"
+_STARTS = [FIRST_BLOCK * (4**i - 1) // 3 for i in range(12)]
 
 
 def words(text: Column) -> Column:
     """The maximal runs of characters outside ``\\x20\\x09-\\x0D``."""
-    return F.array_remove(F.split(F.translate(text, _BLANKS, " " * len(_BLANKS)), " "), "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]"), "")
 
 
-def block_hashes(text: Column) -> Column:
-    """A 64-bit hash of every block of a text; none for an empty one."""
-    begins = F.filter(F.array(*map(F.lit, _STARTS)), lambda s: s < F.length(text))
-    return F.transform(begins, lambda s: F.xxhash64(F.substring(text, s + 1, 3 * s + FIRST_BLOCK)))
+def block_hashes(text: Column, n: Column) -> Column:
+    """A 64-bit hash of every block of a text of ``n`` code points; none for an empty one."""
+    return F.array_compact(F.array(*[F.when(n > s, F.xxhash64(F.substring(text, s + 1, 3 * s + FIRST_BLOCK))) for s in _STARTS]))
 
 
 def _class(n: Column, hashes: Column) -> Column:
@@ -68,7 +65,7 @@ def flagged(docs: DataFrame, fails: dict[str, Column], duplicates: str) -> DataF
         raise ValueError(f"{duplicates} is a filter already")
     docs = docs.select("doc", F.coalesce("part", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
     mask, bit = sum((F.when(c, 1 << i).otherwise(0) for i, c in enumerate(fails.values())), F.lit(0)), 1 << len(fails)
-    hashed = docs.withColumn("n", F.length("text")).withColumn("hashes", block_hashes(F.col("text"))).withColumn("cls", _class(F.col("n"), F.col("hashes")))
+    hashed = docs.withColumn("n", F.length("text")).withColumn("hashes", block_hashes(F.col("text"), F.col("n"))).withColumn("cls", _class(F.col("n"), F.col("hashes")))
     facts = written(hashed.select("doc", "part", "n", "hashes", "cls", mask.alias("mask")), "facts")
     classes = written(refined(facts), "classes")
     out = facts.join(classes, "cls", "left_anti").select("doc", "part", "mask")

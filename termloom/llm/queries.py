@@ -318,8 +318,7 @@ FROM c LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN a ON a.
 #: The first four filters of the audit; E finds the duplicates.
 def _failures() -> dict[str, Column]:
     text, words = F.col("text"), filteraudit.words(F.col("text"))
-    capitals = F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    return {"A": F.size(words) < 200, "B": 100 * F.size(F.array_distinct(words)) < 50 * F.size(words), "C": 100 * capitals.cast("long") > 2 * F.length("text").cast("long"), "D": text.rlike("[#$%&*|]")}
+    return {"A": F.size(words) < 200, "B": 100 * F.size(F.array_distinct(words)) < 50 * F.size(words), "C": 100 * F.regexp_count("text", F.lit("[A-Z]")).cast("long") > 2 * F.length("text").cast("long"), "D": text.rlike("[#$%&*|]")}
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,7 +199,7 @@ def test_texts_of_one_class_are_compared_whole(spark, monkeypatch):
     """With hashes that always collide, texts of one length are still told apart."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(filteraudit, "block_hashes", lambda text: F.transform(F.split(text, ""), lambda _: F.lit(7).cast("long")))
+    monkeypatch.setattr(filteraudit, "block_hashes", lambda text, n: F.transform(F.split(text, ""), lambda _: F.lit(7).cast("long")))
     texts = ["aa", "bb", "aa", "bb", "cc", "cc", "aa", "dd"]
     docs = spark.createDataFrame([(i, "p", t) for i, t in enumerate(texts)] + [(0, "p", "aa"), (0, "p", "ee")], "doc long, part string, text string")
     got = sorted((r["doc"], r["mask"]) for r in filteraudit.flagged(docs, {"A": F.lit(False)}, "E").collect())
