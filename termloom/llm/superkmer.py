@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .words import HASHED, Words, mix64, plain, run_codes, settled, span_codes, spread, text_slices, words_of
+from .words import HASHED, Words, mix64, packed_slices, plain, run_codes, settled, span_codes, spread, text_slices, words_of
 from .workers import task
 
 #: Bytes of text for each bucket, on average, and of packed strings in one at most before it is cut again.
@@ -346,14 +346,10 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @task()
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    unpacker = zstandard.ZstdDecompressor()
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            texts, ranges = pa.array([unpacker.decompress(x.as_buffer()) for x in part.column(1)], pa.binary()).cast(pa.string()), part.column(2)
-            yield from _without(part.column(0), texts, ranges)
+        for row, plain_texts in packed_slices(batch.column(1)):
+            part = batch.slice(row, len(plain_texts))
+            yield from _without(part.column(0), pa.array(plain_texts, pa.binary()).cast(pa.string()), part.column(2))
 
 
 def _without(ids: pa.Array, texts: pa.Array, ranges: pa.Array) -> Iterator[pa.RecordBatch]:

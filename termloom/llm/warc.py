@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
+from .words import SLICE_BYTES, packed_slices
 from .workers import task
 
 #: Header lines end so.
@@ -78,33 +79,33 @@ def _header(kind: Column, date: str) -> Column:
 
 @task()
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, stored) of payloads, one at a time: a batch holds what is compressed of some slice of them."""
     import zstandard
 
     packer = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            raw = [x.as_py() for x in part.column(0)]
-            digests = pa.array([hashlib.sha256(x).hexdigest() for x in raw])
-            yield pa.RecordBatch.from_arrays([digests, pa.array([packer.compress(x) for x in raw], pa.binary())], names=["digest", "stored"])
+        digests, stored, n_held = [], [], 0
+        for x in batch.column(0):
+            raw = x.as_buffer()
+            digests.append(hashlib.sha256(raw).hexdigest())
+            stored.append(packer.compress(raw))
+            n_held += len(stored[-1])
+            if n_held >= SLICE_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(stored, pa.binary())], names=["digest", "stored"])
+                digests, stored, n_held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(stored, pa.binary())], names=["digest", "stored"])
 
 
 @task()
 def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(header, payload); a payload that is missing or not what its digest says ends the job."""
-    import zstandard
-
-    unpacker = zstandard.ZstdDecompressor()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            payloads = []
-            for digest, stored in zip(part.column(1).to_pylist(), part.column(2)):
-                payload = unpacker.decompress(stored.as_py()) if stored.is_valid else None
+        digests = batch.column(1)
+        for row, payloads in packed_slices(batch.column(2)):
+            for digest, payload in zip(digests.slice(row, len(payloads)).to_pylist(), payloads):
                 if payload is None or hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError(f"payload does not match digest {digest}")
-                payloads.append(payload)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(payloads, pa.binary())], names=["header", "payload"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(payloads)), pa.array(payloads, pa.binary())], names=["header", "payload"])
 
 
 def write_archive(pages: DataFrame, least: int = 100, date: str = NO_DATE) -> Archive:

@@ -128,6 +128,23 @@ def settled(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarr
     return out
 
 
+def packed_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes | None]]]:
+    """(first row, plain values) of a column of zstd frames, unpacked for some ``limit`` of plain bytes at a time, or one
+    value; the frames say how long they are. Null stays null."""
+    import zstandard
+
+    unpacker, first, held, n_held = zstandard.ZstdDecompressor(), 0, [], 0
+    for row, x in enumerate(column):
+        n = zstandard.frame_content_size(x.as_buffer()) if x.is_valid else 0
+        if held and n_held + n > limit:
+            yield first, held
+            first, held, n_held = row, [], 0
+        held.append(unpacker.decompress(x.as_buffer()) if x.is_valid else None)
+        n_held += n
+    if held:
+        yield first, held
+
+
 class Words(NamedTuple):
     """The words of some consecutive documents: byte spans in ``data``, their codes, and each document's first word."""
 
@@ -179,10 +196,13 @@ def plain(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = words.end - words.start
     end = (length + 1).cumsum() - 1
     out = np.full(int(end[-1]) + 1 if len(end) else 0, 0x20, np.uint8)
-    start = end - length
-    owner, at = spread(words.start, length)
-    out[start[owner] + at - words.start[owner]] = words.data[at]
-    return out, start, end
+    # a word may begin where one ends, between documents
+    inside, there = np.zeros(len(words.data) + 1, np.int8), np.ones(len(out), bool)
+    inside[words.start] += 1
+    inside[words.end] -= 1
+    there[end] = False
+    out[there] = words.data[inside.cumsum(dtype=np.int8)[:-1].view(bool)]
+    return out, end - length, end
 
 
 def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
