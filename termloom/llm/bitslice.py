@@ -23,6 +23,8 @@ from .workers import task
 
 #: Rows of an index block and queries of a group: at least, and at most.
 BLOCK_ROWS, GROUP_QUERIES = (1 << 13, 1 << 17), (1 << 10, 1 << 14)
+#: Numbers of a block's and of a group's vectors at most: sides are the shorter, the longer the vectors.
+TILE_NUMBERS = 1 << 23
 #: Tiles (a block against a group) that a task slot gets before tiles grow.
 TILES = 4
 #: Queries whose bitmaps are worked on together.
@@ -53,13 +55,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def slices_of(values: np.ndarray) -> np.ndarray:
     """[attribute, slice, word] bitmaps of rows of integers; the last slice is the sign."""
-    width = max(1, int(max(np.abs(values).max(initial=0), 1)).bit_length() + 1)
-    n = len(values)
-    padded = np.zeros((-(-n // 64) * 64, values.shape[1]), np.int64)
-    padded[:n] = values
-    bits = (padded.T[:, None, :] >> np.arange(width)[None, :, None]) & 1
-    packed = np.packbits(bits.astype(np.uint8), axis=2, bitorder="little")
-    return packed.view(np.uint64)
+    width = max(int(values.max(initial=1)).bit_length(), int(-1 - values.min(initial=0)).bit_length()) + 1
+    n, n_attr = values.shape
+    out = np.zeros((n_attr, width, -(-n // 64)), np.uint64)
+    own = np.zeros(-(-n // 64) * 64, np.int64)
+    for d in range(n_attr):  # one attribute's bits are spread at a time, whatever the vectors' length
+        own[:n] = values[:, d]
+        for j in range(width):
+            out[d, j] = np.packbits((own >> j & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+    return out
 
 
 def add_products(slices: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -180,16 +184,16 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record()
 
 
-def tile(n_rows: int, n_queries: int, slots: int) -> tuple[int, int]:
+def tile(n_rows: int, n_queries: int, slots: int, width: int = 64) -> tuple[int, int]:
     """(rows of a block, queries of a group): doubled from the least while tiles suffice, as every row goes to each group
-    and every query to each block. What is shuffled falls with a tile's sides."""
-    block, group = BLOCK_ROWS[0], GROUP_QUERIES[0]
-    while (block, group) != (BLOCK_ROWS[1], GROUP_QUERIES[1]):
-        wider = (2 * block, group) if block < BLOCK_ROWS[1] and (group >= GROUP_QUERIES[1] or block // group <= 8) else (block, 2 * group)
-        if -(-n_rows // wider[0]) * -(-n_queries // wider[1]) < TILES * slots:
-            break
+    and every query to each block. What is shuffled falls with a tile's sides; vectors of ``width`` numbers bound them."""
+    most = max(64, TILE_NUMBERS // max(1, width))
+    block, group = min(BLOCK_ROWS[0], most), min(GROUP_QUERIES[0], most)
+    while True:
+        wider = (2 * block, group) if 2 * block <= min(BLOCK_ROWS[1], most) and (2 * group > min(GROUP_QUERIES[1], most) or block // group <= 8) else (block, 2 * group)
+        if wider[1] > min(GROUP_QUERIES[1], most) or -(-n_rows // wider[0]) * -(-n_queries // wider[1]) < TILES * slots:
+            return block, group
         block, group = wider
-    return block, group
 
 
 def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS[0]) -> DataFrame:

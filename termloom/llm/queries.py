@@ -107,7 +107,8 @@ def op3_bitslice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stated query's best rows; see :func:`bitslice.quantised` and :func:`bitslice.top_k` for nulls, repeats and ties."""
     rows = written(bitslice.quantised(_table(spark, sf_dir, "embeddings"), 256, "vec_id", "embedding"), "vectors")
     asked = rows.where("id % 50 = 0")
-    block, group = bitslice.tile(rows.count(), asked.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    block, group = bitslice.tile(n, asked.count(), int(spark.conf.get("spark.sql.shuffle.partitions")), width)
     index = written(bitslice.build_index(rows, block), "slices")
     return bitslice.top_k(index, asked, 5, group).select(F.col("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
