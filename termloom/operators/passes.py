@@ -35,14 +35,21 @@ CHOICE = "How special is the term? Reply A (general), B, C or D (very special)."
 COMPLETE = "Complete the term."
 
 
-def extract_terms(chunks: DataFrame, provider: Provider, id_col: str = "doc_id", longest: int = 30000) -> DataFrame:
-    """(id, chunk_id, headword, synonyms, definition, category, ord) from chunks (id, chunk_id, chunk); headwords of two or
-    more characters. A reply that is no such JSON gives no term."""
-    asked = chunks.withColumn("prompt", prompt(EXTRACT, F.substring("chunk", 1, longest)))
+def _stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def extract_terms(chunks: DataFrame, provider: Provider, id_col: str = "doc_id") -> DataFrame:
+    """(id, chunk_id, headword, synonyms, definition, category, ord) from chunks (id, chunk_id, chunk), each sent whole;
+    headwords of two or more characters as they come. What a reply says is stripped, blank synonyms and headwords go; a
+    reply that is no such JSON gives no term."""
+    asked = chunks.withColumn("prompt", prompt(EXTRACT, F.col("chunk")))
     got = complete(asked.select(id_col, "chunk_id", "prompt"), provider).withColumn("r", F.from_json("reply", TERMS))
     terms = got.select(id_col, "chunk_id", F.posexplode("r.terms").alias("ord", "t")).select(id_col, "chunk_id", "ord", "t.*")
-    kept = terms.where((F.length(F.trim("headword")) >= 2) & F.col("definition").isNotNull())
-    return kept.withColumn("synonyms", F.coalesce("synonyms", F.array().cast("array<string>"))).select(id_col, "chunk_id", "headword", "synonyms", "definition", "category", "ord")
+    kept = terms.where((F.length("headword") >= 2) & (_stripped(F.col("headword")) != "") & F.col("definition").isNotNull())
+    synonyms = F.filter(F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), _stripped), lambda x: x != "")
+    return kept.select(id_col, "chunk_id", _stripped(F.col("headword")).alias("headword"), synonyms.alias("synonyms"), _stripped(F.col("definition")).alias("definition"), _stripped(F.col("category")).alias("category"), "ord")
 
 
 def merge_extracted(terms: DataFrame, most: int = 30, id_col: str = "doc_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import file_queries, queries, reply_queries, term_queries  # noqa: F401 - register
+from . import corpus_queries, file_queries, queries, reply_queries, term_queries  # noqa: F401 - register
 from .oracle import ORACLE as _WRITTEN
 from .registry import QUERIES, TWINS
 

@@ -241,7 +241,7 @@ def boundary_counts(documents):
     return candidates.boundary_frequency(candidates.tokens(documents), _targets(documents), 2, False, " ")
 
 
-@twin(f"WITH {TOK}, t AS (SELECT DISTINCT coalesce(lang, 'en') = 'en' AS en, term FROM tok JOIN documents USING (doc_id)) SELECT term FROM t WHERE en AND term NOT IN (SELECT term FROM t WHERE NOT en)")
+@twin(f"WITH {TOK}, t AS (SELECT DISTINCT coalesce(lang, 'en') = 'en' AS en, term FROM tok JOIN documents USING (doc_id)) SELECT a.term FROM t a ANTI JOIN (SELECT term FROM t WHERE NOT en) b ON a.term = b.term WHERE a.en")
 @query
 def terms_of_one_side(documents):
     """The terms that English documents hold and the others don't."""

@@ -21,6 +21,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables
 #: Queries that Python decides: tested against plain Python elsewhere.
 NO_TWIN = {
     "byte_chunks", "compound_priority", "compound_terms", "document_pagerank", "evaluation_files", "generic_perplexities", "generic_terms", "graph_terms", "input_perplexities", "packed_chunks", "paragraph_chunks", "precise_probabilities",
+    "indexed_neighbours", "learnt_lexicon", "pagerank_converged", "segmented_compounds", "segmented_nouns", "segmented_subtypes", "segmented_tokens",
     "recursive_chunks", "sentence_perplexities", "separator_chunks", "string_similarities", "template_perplexities", "term_perplexities",
 }
 
