@@ -3,11 +3,15 @@ an index of vectors, PageRank up to its stopping rule, and the dictionary's log
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import candidates, parts, segment
+from ..operators import candidates, graph, parts, segment, vector_index, vectors
+from ..sources.shared import cut, shared_dir
 from .oracle import CNT
+from .queries import _nodes
 from .registry import query, twin
 
 #: Runs of lower-case letters, without the spaces between words; digits stand as they are.
@@ -88,3 +92,36 @@ def _corpus_cvalue(variant: int, weight: str) -> None:
 
 for _v, _w in ((1, "log2(length(vo.term) + 1)"), (2, "log2(length(vo.term))"), (3, "log2(greatest(2, length(vo.term)))")):
     _corpus_cvalue(_v, _w)
+
+
+def _place(table: DataFrame, name: str) -> str:
+    return f"{shared_dir(table.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def indexed_neighbours(embeddings):
+    """The twelve nearest rows of every row by an index in lists; recall is measured in the tests."""
+    path = _place(embeddings, "index")
+    vector_index.build(embeddings, path)
+    return vector_index.search(path, embeddings, 12, 0.30).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@twin("""WITH u AS (SELECT vec_id AS id, embedding FROM embeddings WHERE vec_id % 10 <> 3), n AS (SELECT vec_id + CASE WHEN vec_id % 7 = 0 THEN 1000000 ELSE 0 END AS id, list_transform(embedding, lambda x: -x) AS embedding FROM embeddings WHERE vec_id % 5 = 0),
+s AS (SELECT * FROM n UNION ALL SELECT * FROM u ANTI JOIN n USING (id))
+SELECT id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, len(embedding) AS dim FROM s""")
+@query
+def vector_store_upsert(embeddings):
+    """V5: an index that rows are put into, some in the place of others: what it holds then. Nine rows of ten are there at
+    first, and a fifth of all comes turned about, partly with new ids."""
+    path = _place(embeddings, "index")
+    vector_index.build(embeddings.where("vec_id % 10 <> 3"), path)
+    turned = embeddings.where("vec_id % 5 = 0").select(F.expr("vec_id + if(vec_id % 7 = 0, 1000000, 0)").alias("vec_id"), F.transform("embedding", lambda x: -x).alias("embedding"))
+    vector_index.upsert(path, turned)
+    return vector_index._stored(embeddings.sparkSession, path).select("id", F.round(F.col("v")[0], 6).alias("first"), F.size("v").cast("long").alias("dim"))
+
+
+@query
+def pagerank_converged(embeddings):
+    """PageRank of the corpus-wide graph up to its stopping rule; tested against plain Python."""
+    edges = cut(graph.undirected(vectors.knn(embeddings)))
+    return graph.pagerank_large(_nodes(embeddings).select("id", "p"), edges).select("id", F.round("pagerank", 8).alias("pagerank"))

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from termloom.operators import candidates, parts, segment, stats
+from termloom.operators import graph, parts, segment, stats, vector_index, vectors
 
 COSTS = {"a": 5, "b": 7, "ab": 9, "ba": 12, "aba": 14, "bab": 13, "abab": 20, "c": 50}
 
@@ -124,3 +124,62 @@ def test_corpus_c_values(spark):
     assert got["net"] == (2, round(math.log2(4) * (5 - 2.5), 9)) and got["networks"] == (0, round(math.log2(9) * 2, 9))
     one = stats.c_value(df.withColumn("doc_id", F.lit(1))).collect()
     assert {r["term"]: round(r["c_value"], 9) for r in one} == {t: v for t, (_, v) in got.items()}
+
+
+@pytest.mark.parametrize("kind", ["uniform", "clusters"])
+def test_index_finds_neighbours(spark, tmp_path, kind):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(4000, 16))
+    if kind == "clusters":
+        v = rng.normal(size=(30, 16))[rng.integers(0, 30, 4000)] + 0.3 * v
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(None, [1.0] * 16), (9000, None)], "vec_id long, embedding array<double>").cache()
+    c = vector_index.build(df, str(tmp_path / "x"), lists=40)
+    asked = df.where("vec_id % 20 = 0")
+    exact = {(r["src"], r["dst"]) for r in vectors.knn(df.where("vec_id IS NOT NULL"), 10, -1.0, asked=asked).collect()}
+    got = {(r["src"], r["dst"]) for r in vector_index.search(str(tmp_path / "x"), asked, 10).collect()}
+    assert len(got) == len(exact) == 2000 and len(got & exact) >= 0.9 * len(exact) and c.take < 40
+    whole = {(r["src"], r["dst"]) for r in vector_index.search(str(tmp_path / "x"), asked, 10, take=40, block=64).collect()}
+    assert whole == exact
+    # files of other lists aren't read
+    one = vector_index.search(str(tmp_path / "x"), df.where("vec_id = 20"), 5, take=1)
+    assert "PartitionFilters: [" in one._jdf.queryExecution().toString() and one.count() == 5
+
+
+def test_index_takes_rows_in(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = {i: x.tolist() for i, x in enumerate(rng.normal(size=(300, 6)))}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "vec_id long, embedding array<double>")
+    path = str(tmp_path / "x")
+    vector_index.build(frame(rows), path, lists=12)
+    before = {r["list"]: r["n"] for r in vector_index._stored(spark, path).groupBy("list").agg(F.count("id").alias("n")).collect()}
+    new = {5: [-x for x in rows[5]], 6: rows[6], 1000: [1.0] * 6}
+    touched = vector_index.upsert(path, frame(new))
+    assert touched == sorted(touched) and len(touched) < len(before)
+    rows |= new
+    got = {r["id"]: r["v"] for r in vector_index._stored(spark, path).collect()}
+    assert got == rows and vector_index._stored(spark, path).count() == len(rows)
+    assert vector_index.upsert(path, frame(new).limit(0)) == []
+    # a list that loses all of its rows
+    lonely = min(before, key=lambda n: before[n])
+    gone = {r["id"]: [-1.0 * x for x in r["v"]] for r in vector_index._stored(spark, path).where(f"list = {lonely}").collect()}
+    vector_index.upsert(path, frame(gone))
+    assert {r["id"]: r["v"] for r in vector_index._stored(spark, path).collect()} == rows | gone
+    vector_index.build(frame({}), str(tmp_path / "e"))
+
+
+def test_pagerank_stops_by_its_rule(spark):
+    rng = random.Random(4)
+    n = 60
+    edges = {(a, b): rng.random() + 0.1 for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(150)) if a < b and a % 9 and b % 9}
+    p = np.array([rng.random() for _ in range(n)])
+    p /= p.sum()
+    nodes = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "id long, p double")
+    links = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src long, dst long, weight double")
+    src, dst = (np.array([e[k] for e in edges]) for k in (0, 1))
+    for tol, rounds in ((1e-4, 100), (1e-7, 100), (1e-12, 3), (1e-5, 4)):
+        want = graph.power_iteration(n, src, dst, np.array(list(edges.values())), p, 0.85, tol, rounds)
+        got = {r["id"]: r["pagerank"] for r in graph.pagerank_large(nodes, links, tol=tol, rounds=rounds).collect()}
+        assert max(abs(got[i] - want[i]) for i in range(n)) < 1e-12
+    assert graph.pagerank_large(nodes.limit(0), links).count() == 0
+    alone = {r["id"]: r["pagerank"] for r in graph.pagerank_large(nodes, links.limit(0)).collect()}
+    assert max(abs(alone[i] - p[i]) for i in range(n)) < 1e-3
