@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import candidates, graph, parts, segment, vector_index, vectors
+from ..operators import candidates, dictionary_index, dictionary_log, graph, parts, segment, vector_index, vectors
 from ..sources.shared import cut, shared_dir
-from .oracle import CNT
-from .queries import _nodes
+from .oracle import CNT, ORACLE
+from .queries import _dictionary, _half, _headwords, _nodes
 from .registry import query, twin
 
 #: Runs of lower-case letters, without the spaces between words; digits stand as they are.
@@ -125,3 +125,24 @@ def pagerank_converged(embeddings):
     """PageRank of the corpus-wide graph up to its stopping rule; tested against plain Python."""
     edges = cut(graph.undirected(vectors.knn(embeddings)))
     return graph.pagerank_large(_nodes(embeddings).select("id", "p"), edges).select("id", F.round("pagerank", 8).alias("pagerank"))
+
+
+@twin(ORACLE["dictionary_upsert"])
+@query
+def dictionary_from_log(documents):
+    """K3: the documents' second half of headwords as a batch of changes upon the first, merged when they are read."""
+    store = _place(documents, "dictionary")
+    dictionary_log.start(store, _half(documents, 0))
+    dictionary_log.append(store, 0, _half(documents, 1), F.lit("2024-01-01").cast("timestamp"))
+    out = dictionary_log.read(documents.sparkSession, store)
+    return out.select("headword", F.array_join("synonyms", ",").alias("synonyms"), "definition", "category", F.round("confidence", 6).alias("confidence"), F.array_join("source_docs", ",").alias("source_docs"), F.col("updated_at").isNotNull().alias("touched"))
+
+
+@twin(ORACLE["dictionary_search"])
+@query
+def dictionary_indexed_search(documents):
+    """K5: the same search by posting lists of the headwords' grams."""
+    path = _place(documents, "search")
+    dictionary_index.build(_dictionary(_headwords(documents)), path)
+    out = dictionary_index.search(documents.sparkSession, path, "TION", 10)
+    return out.select("headword", F.round("confidence", 6).alias("confidence"))

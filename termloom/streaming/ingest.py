@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import dictionary
+from ..operators import dictionary, dictionary_log
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -28,3 +28,17 @@ def ingest(spark: SparkSession, path: str, store: str, checkpoint: str, terms_of
 
     stream = spark.readStream.schema(DOCUMENTS).parquet(path)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_log(spark: SparkSession, path: str, store: str, checkpoint: str, terms_of: Callable[[DataFrame], DataFrame], compact_every: int = 8) -> StreamingQuery:
+    """As :func:`ingest`, into a log: batch n appends its own changes and nothing else is rewritten, but for a new snapshot
+    once ``compact_every`` batches are open. :func:`dictionary_log.read` has the dictionary."""
+
+    def merge(batch: DataFrame, n: int) -> None:
+        done = dictionary_log._listed(batch.sparkSession, f"{store}/snapshots", "upto=")
+        if not done or done[-1] < n:  # else the batch is in a snapshot already and is run again
+            dictionary_log.append(store, n, terms_of(batch), F.lit(n).cast("timestamp"))
+            dictionary_log.compact(batch.sparkSession, store, compact_every)
+
+    stream = spark.readStream.schema(DOCUMENTS).parquet(path)
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from termloom.operators import graph, parts, segment, stats, vector_index, vectors
+from termloom.operators import dictionary, dictionary_index, dictionary_log, graph, parts, segment, stats, vector_index, vectors
 
 COSTS = {"a": 5, "b": 7, "ab": 9, "ba": 12, "aba": 14, "bab": 13, "abab": 20, "c": 50}
 
@@ -183,3 +183,63 @@ def test_pagerank_stops_by_its_rule(spark):
     assert graph.pagerank_large(nodes.limit(0), links).count() == 0
     alone = {r["id"]: r["pagerank"] for r in graph.pagerank_large(nodes, links.limit(0)).collect()}
     assert max(abs(alone[i] - p[i]) for i in range(n)) < 1e-3
+
+
+WORDS = ["net", "Network", "working", "a%b", "50_x", "ß", "Straße", "日本語", "", "x"]
+
+
+def batch(spark, rng, n):
+    """Rows of the dictionary, a headword once; nulls and empty values among them."""
+    rows = []
+    for w in rng.sample(WORDS, n):
+        some = lambda: rng.choice([None, [], rng.sample(["net", "s", "t", "TION"], 2)])
+        rows.append((w, some(), rng.choice([None, "", f"d{rng.random()}"]), rng.choice([None, "c", "e"]), rng.choice([None, rng.random()]), some(), rng.choice([None, [rng.random()]]), None, None))
+    return spark.createDataFrame(rows, dictionary_log.SCHEMA)
+
+
+def shown(df):
+    return sorted((r["headword"], *(tuple(r[c]) if isinstance(r[c], list) else r[c] for c in dictionary_log.COLUMNS[1:])) for r in df.collect())
+
+
+@pytest.mark.parametrize("every", [2, 99])
+def test_the_log_gives_what_upserts_give(spark, tmp_path, every):
+    rng, store = random.Random(every), str(tmp_path / "log")
+    assert dictionary_log.read(spark, store).count() == 0
+    whole = spark.createDataFrame([], dictionary_log.SCHEMA)
+    for n in range(5):
+        rows, now = batch(spark, rng, rng.randint(1, 8)).cache(), F.lit(1000 + n).cast("timestamp")
+        whole = dictionary.upsert(whole, rows, now).cache()
+        dictionary_log.append(store, n, rows, now)
+        if n == 1:
+            dictionary_log.append(store, n, rows, now)  # a batch that is run again
+        dictionary_log.compact(spark, store, every)
+        assert shown(dictionary_log.read(spark, store)) == shown(whole)
+    assert len(dictionary_log._listed(spark, f"{store}/snapshots", "upto=")) == (every == 2)
+
+
+def test_ingestion_appends(spark, tmp_path):
+    from termloom.operators import candidates
+    from termloom.plans import extract
+    from termloom.streaming import ingest
+
+    def terms(batch):
+        return extract.dictionary_rows(candidates.term_counts(batch).withColumn("score", F.col("frequency").cast("double")))
+
+    for k, s in enumerate(("alpha beta", "beta gamma", "gamma delta")):
+        spark.createDataFrame([(k, s, "en", "s", len(s))], ingest.DOCUMENTS).write.mode("append").parquet(str(tmp_path / "docs"))
+        ingest.ingest_log(spark, str(tmp_path / "docs"), str(tmp_path / "log"), str(tmp_path / "check"), terms, 2).awaitTermination()
+    got = {r["headword"]: r["source_docs"] for r in dictionary_log.read(spark, str(tmp_path / "log")).collect()}
+    assert got == {"alpha": ["0"], "beta": ["0", "1"], "gamma": ["1", "2"], "delta": ["2"]}
+
+
+def test_search_by_grams_finds_what_a_scan_finds(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(w + s, rng.choice([None, [], ["net", "a%b"], [w.upper()]]), rng.choice([None, 0.5, rng.random()]), None) for w in WORDS for s in ("", "s", "NET", "%", "-日本")] + [(None, ["net"], 1.0, None)]
+    stored = spark.createDataFrame(rows, "headword string, synonyms array<string>, confidence double, updated_at timestamp").cache()
+    dictionary_index.build(stored, str(tmp_path / "i"))
+    plain = stored.where("headword IS NOT NULL")
+    for q in ("net", "NET", "n", "ne", "%", "a%b", "_x", "50_", "日本", "nothing", "", "e%s", "STRASSE", "straße", "S"):
+        want = [tuple(r) for r in dictionary.search(plain, q, 100).select("headword", "confidence").collect()]
+        assert [tuple(r) for r in dictionary_index.search(spark, str(tmp_path / "i"), q, 100).select("headword", "confidence").collect()] == want, q
+    text = dictionary_index.search(spark, str(tmp_path / "i"), "network")._jdf.queryExecution().toString()
+    assert "PartitionFilters" in text
