@@ -7,13 +7,12 @@ holds each distinct string of a slice once, with the places where it occurs. Wha
 
 A bucket beyond ``BUCKET_LIMIT`` (its minimiser is in very many windows) is not gathered: its records are cut again, one
 at a time, at the minimisers of longer runs, in the end of whole windows, and dealt to buckets of their own. What is too
-large even then is one passage with very many places: its records are read twice, from a file of the task's own, and only
-its windows are held.
+large even then is about few windows with very many places: its records stay apart, give the smallest document of each of
+their windows, and get back those of all.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -234,60 +233,69 @@ def _bucket(blobs: list[bytes], size: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(docs[owners[own]]), pa.array(marks[owners[own]]), pa.array(base + at[b]), pa.array(base + at[e] + size)], names=["doc", "mark", "lo", "hi"])
 
 
-class _Spool:
-    """Records of a bucket that holds few windows and too many places of theirs: written aside, and read once more when
-    the smallest document of every window is known."""
-
-    def __init__(self, size: int) -> None:
-        self.size, self.file, self.lengths, self.smallest = size, tempfile.TemporaryFile(), [], {}
-
-    def _windows(self, blob: bytes) -> Iterator[tuple[bytes, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(window, its place in its string, documents, marks and first words of the string's places, row by row)."""
-        for docs, marks, strings, owners, froms, n_words, text in _parts(blob):
-            end = np.flatnonzero(text == 0x20)
-            start = np.concatenate([[0], end[:-1] + 1])
-            raw, order = text.tobytes(), np.argsort(strings, kind="stable")
-            edge, first = np.searchsorted(strings[order], np.arange(len(n_words) + 1)), np.concatenate([[0], n_words.cumsum()])
-            for s, n in enumerate(n_words.tolist()):
-                own = order[edge[s] : edge[s + 1]]
-                at = (docs[owners[own]], marks[owners[own]], froms[own])
-                for k in range(n - self.size + 1):
-                    i = first[s] + k
-                    yield raw[start[i] : end[i + self.size - 1]], k, *at
-
-    def add(self, blob: bytes) -> None:
-        self.file.write(blob)
-        self.lengths.append(len(blob))
-        for window, _, docs, _, _ in self._windows(blob):
-            least = int(docs.min())
-            self.smallest[window] = min(least, self.smallest.get(window, least))
-
-    def ranges(self) -> Iterator[pa.RecordBatch]:
-        self.file.seek(0)
-        for n in self.lengths:
-            held: list[list[np.ndarray]] = []
-            for window, k, docs, marks, froms in self._windows(self.file.read(n)):
-                lost = docs > self.smallest[window]
-                held.append([docs[lost], marks[lost], froms[lost] + k])
-            if held:
-                docs, marks, lo = map(np.concatenate, zip(*held))
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(marks), pa.array(lo), pa.array(lo + self.size)], names=["doc", "mark", "lo", "hi"])
-        self.file.close()
+def _windows(blob: bytes, size: int) -> Iterator[tuple[bytes, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(window, its place in its string, documents, marks and first words of the string's places) of a record of few strings."""
+    for docs, marks, strings, owners, froms, n_words, text in _parts(blob):
+        end = np.flatnonzero(text == 0x20)
+        start = np.concatenate([[0], end[:-1] + 1])
+        raw, order = text.tobytes(), np.argsort(strings, kind="stable")
+        edge, first = np.searchsorted(strings[order], np.arange(len(n_words) + 1)), np.concatenate([[0], n_words.cumsum()])
+        for s, n in enumerate(n_words.tolist()):
+            own = order[edge[s] : edge[s + 1]]
+            at = (docs[owners[own]], marks[owners[own]], froms[own])
+            for k in range(n - size + 1):
+                i = first[s] + k
+                yield raw[start[i] : end[i + size - 1]], k, *at
+
+
+@task()
+def _minima(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(record, window, least): the smallest document of each window of a record."""
+    for batch in batches:
+        for record, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            least: dict[bytes, int] = {}
+            for window, _, docs, _, _ in _windows(blob.as_py(), size):
+                least[window] = min(int(docs.min()), least.get(window, 1 << 63))
+            yield pa.RecordBatch.from_arrays([pa.array([record] * len(least), pa.string()), pa.array(list(least), pa.binary()), pa.array(list(least.values()), pa.int64())], names=["record", "window", "least"])
+
+
+@task()
+def _above(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The places of a record's windows in documents above the smallest of all."""
+    for batch in batches:
+        for blob, least in zip(batch.column(0), batch.column(1)):
+            smallest = {x["window"]: x["least"] for x in least.as_py()}
+            for window, k, docs, marks, froms in _windows(blob.as_py(), size):
+                lost = docs > smallest[window]
+                if lost.any():
+                    lo = froms[lost] + k
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[lost]), pa.array(marks[lost]), pa.array(lo), pa.array(lo + size)], names=["doc", "mark", "lo", "hi"])
+
+
+def _hot_ranges(records: DataFrame, size: int) -> DataFrame:
+    """(doc, mark, lo, hi) of records that are all about few windows with very many places.
+
+    Such a bucket isn't gathered: the smallest document of a window is a minimum, so every record gives its own, they are
+    joined by the window's bytes into those of all, and every record gets those of its windows back.
+    """
+    named = records.select(F.sha2("packed", 256).alias("record"), "packed")
+    own = written(named.mapInArrow(lambda it: _minima(it, size), "record string, window binary, least long"), "minima")
+    least = own.groupBy("window").agg(F.min("least").alias("least"))
+    back = own.select("record", "window").distinct().join(least, "window").groupBy("record").agg(F.collect_list(F.struct("window", "least")).alias("windows"))
+    return named.join(back, "record").select("packed", "windows").mapInArrow(lambda it: _above(it, size), "doc long, mark long, lo long, hi long")
 
 
 @task()
 def _count(batches: Iterator[pa.RecordBatch], size: int, level: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket: the ranges found there, or the records of a bucket too large to be gathered, cut again as
-    long as there are levels."""
+    long as there are levels, and as they are after that."""
     schema = pa.schema([(x, pa.binary() if x == "packed" else pa.int64()) for x in ("doc", "mark", "lo", "hi", "bucket", "n", "packed")])
-    packer, bucket, held, n_held, spool = _Packer(), None, [], 0, None
+    packer, bucket, held, n_held = _Packer(), None, [], 0
 
     def rows(found: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([found.column(f.name) if f.name in found.schema.names else pa.nulls(found.num_rows, f.type) for f in schema], schema=schema)
 
     def closed() -> Iterator[pa.RecordBatch]:
-        if spool is not None:
-            yield from map(rows, spool.ranges())
         if held and (out := _bucket(held, size)) is not None:
             yield rows(out)
         held.clear()
@@ -296,15 +304,14 @@ def _count(batches: Iterator[pa.RecordBatch], size: int, level: int) -> Iterator
         for name, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             if name != bucket:
                 yield from closed()
-                bucket, n_held, spool = name, 0, None
+                bucket, n_held = name, 0
             held.append(blob.as_py())
             n_held += n
             while n_held > BUCKET_LIMIT and held:
                 if level < len(AGAIN):
                     _cut_again(held.pop(), bucket, size, level, packer)
                 else:
-                    spool = spool or _Spool(size)
-                    spool.add(held.pop())
+                    yield rows(pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([held.pop()], pa.binary())], names=["bucket", "n", "packed"]))
                 if packer.n >= HELD_BYTES:
                     yield from map(rows, packer.packed())
     yield from closed()
@@ -331,6 +338,8 @@ def repeated_ranges(docs: DataFrame, size: int = 13, id_col: str = "doc_id", tex
         sent, level = found.where("packed IS NOT NULL").select("bucket", "n", "packed"), level + 1
         if sent.isEmpty():
             return out
+        if level > len(AGAIN):
+            return out.unionAll(_hot_ranges(sent, size))
 
 
 @task()
