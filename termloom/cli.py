@@ -95,10 +95,10 @@ def extracted(spark: SparkSession, a: argparse.Namespace) -> None:
     docs = cut(_documents(spark, a.input, a.recursive))
     chunks = build.chunks_of(docs, a.settings)
     if a.two_stage:
-        found = cut(passes.two_stage(chunks, chunks.limit(0).select("doc_id", F.lit("").alias("term"), F.lit("").alias("context")), a.provider))
+        found = cut(passes.chosen(chunks, a.provider))
         listed = docs.join(found.groupBy("doc_id").agg(F.collect_list("term").alias("terms")), "doc_id")
         seen = contexts.occurrences(listed, 150, 5, any_case=True).select("doc_id", "term", contexts.kwic_sentence(75).alias("context"))
-        found = passes.two_stage(chunks, seen, a.provider).withColumn("score", F.col("importance") / 10)
+        found = passes.defined(found, seen, a.provider).withColumn("score", F.col("importance") / 10)
     else:
         terms = passes.extract_terms(chunks, a.provider).select("doc_id", F.col("headword").alias("term"), "definition", F.lit(0.0).alias("score"), F.struct("chunk_id", "ord").alias("o"))
         found = passes.merge_extracted(terms.withColumn("ord", F.col("o.chunk_id") * 10000 + F.col("o.ord")), a.limit)

@@ -1,7 +1,8 @@
 """Passes over a provider: prompts as columns, replies as columns, and what is read from them.
 
-Every pass returns a plain DataFrame. Replies are paid for, so a caller writes a pass's rows before it uses them twice.
-A failed batch leaves its rows with an error and the values that stand for one.
+Every pass returns a plain DataFrame. Replies are paid for: a pass writes those that it uses twice itself, and a ``Stored``
+provider keeps all replies in a table that passes and runs share. A failed batch is asked again row by row; what fails
+then leaves an error and the values that stand for one.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..sources.provider import Provider, complete, embed, generate
+from ..sources.provider import Provider, complete, embed, generate, stepped
+from ..sources.shared import cut
 from . import perplexity, rank, vectors
 from .contexts import masked_sentences
 from .dictionary import merge_headwords
@@ -91,17 +93,25 @@ def validate(terms: DataFrame, provider: Provider) -> DataFrame:
     return out.drop("prompt", "reply", "error")
 
 
-def two_stage(chunks: DataFrame, contexts: DataFrame, provider: Provider, id_col: str = "doc_id") -> DataFrame:
-    """(id, term, importance, definition): candidates of every chunk with the greatest importance of each, from 1 to 10,
-    then a definition of each by its contexts (id, term, context)."""
+def chosen(chunks: DataFrame, provider: Provider, id_col: str = "doc_id") -> DataFrame:
+    """(id, term, importance): candidates of every chunk with the greatest importance of each, from 1 to 10."""
     asked = chunks.select(id_col, prompt(CHOOSE, F.col("chunk")).alias("prompt"))
     got = complete(asked, provider).select(id_col, F.explode(F.from_json("reply", CANDIDATES)["candidates"]).alias("c"))
-    best = got.select(id_col, "c.*").where(F.col("importance").between(1, 10)).groupBy(id_col, "term").agg(F.max("importance").alias("importance"))
+    return got.select(id_col, "c.*").where(F.col("importance").between(1, 10)).groupBy(id_col, "term").agg(F.max("importance").alias("importance"))
+
+
+def defined(best: DataFrame, contexts: DataFrame, provider: Provider, id_col: str = "doc_id") -> DataFrame:
+    """(id, term, importance, definition): candidates (id, term, importance) defined by their contexts (id, term, context)."""
     joined = contexts.groupBy(id_col, "term").agg(F.array_join(F.array_sort(F.collect_list("context")), "\n").alias("contexts"))
     rows = best.join(joined, [id_col, "term"], "left").withColumn("prompt", prompt(DEFINE, F.col("term"), F.coalesce("contexts", F.lit(""))))
     return complete(rows, provider).select(id_col, "term", "importance", F.col("reply").alias("definition"))
 
 
+def two_stage(chunks: DataFrame, contexts: DataFrame, provider: Provider, id_col: str = "doc_id") -> DataFrame:
+    """(id, term, importance, definition): candidates of every chunk, then a definition of each by its contexts."""
+    return defined(chosen(chunks, provider, id_col), contexts, provider, id_col)
+
+
 def context_free(terms: DataFrame, provider: Provider) -> DataFrame:
     """``terms`` (term, ...) with ``context_free_definition`` and ``error``."""
     asked = terms.withColumn("prompt", prompt(CONTEXT_FREE, F.col("term")))
@@ -177,8 +187,10 @@ def input_perplexity(places: DataFrame, provider: Provider, *keys: str) -> DataF
     """
     few = places.where((F.col("ord").isNull()) | ((F.col("ord") < 3) & (F.length("prefix") >= 10)))
     asked = few.where("ord IS NOT NULL").withColumn("context", F.substring("prefix", -200, 200))
-    direct = generate(asked.withColumn("prompt", F.col("context")), provider).withColumn("p", direct_generation(F.col("tokens"), F.col("term")))
-    steps = stepwise(asked, provider)
+    # written, as both ways use the replies
+    replied = cut(generate(asked.withColumn("prompt", F.col("context")), provider))
+    direct = replied.withColumn("p", direct_generation(F.col("tokens"), F.col("term")))
+    steps = stepwise(replied, provider)
     samples = direct.select(*keys, "term", "p").unionAll(steps.select(*keys, "term", "p"))
     per = samples.groupBy(*keys, "term").agg(F.avg("p").alias("p"), F.count("p").alias("samples"))
     every = places.groupBy(*keys, "term").agg(F.count("ord").alias("n"))
@@ -190,19 +202,10 @@ def input_perplexity(places: DataFrame, provider: Provider, *keys: str) -> DataF
 
 def stepwise(asked: DataFrame, provider: Provider, most: int = 5) -> DataFrame:
     """Rows (context, term, ...) with ``p``: the perplexity of up to five tokens foreseen one by one; a token that is
-    neither the term's next letters nor a candidate for them counts as -5."""
-    rows = asked.withColumn("said", F.lit("")).withColumn("lps", F.array().cast("array<double>")).withColumn("live", F.lit(True))
-    for i in range(most):
-        open_, done = rows.where(F.col("live") & (F.length("term") > i)), rows.where(~(F.col("live") & (F.length("term") > i)))
-        got = generate(open_.withColumn("prompt", F.concat("context", "said")), provider)
-        first = F.get("tokens", F.lit(0))
-        target = F.substring("term", F.lit(i + 1), F.length(first["token"]))
-        hit = F.get(F.filter(first["top"], lambda c: c["token"] == target), F.lit(0))["logprob"]
-        lp = F.when(first.isNull(), F.lit(None).cast("double")).when(first["token"] == target, first["logprob"]).otherwise(F.coalesce(hit, F.lit(-5.0)))
-        got = got.withColumn("lps", F.when(first.isNotNull(), F.concat("lps", F.array(lp))).otherwise(F.col("lps"))).withColumn("said", F.concat("said", F.coalesce(first["token"], F.lit(""))))
-        got = got.withColumn("live", ~F.contains("said", "term")).drop("prompt", "tokens", "error")
-        rows = got.unionByName(done)
-    return rows.withColumn("p", perplexity.perplexity(F.col("lps"))).drop("said", "lps", "live")
+    neither the term's next letters nor a candidate for them counts as -5. A column ``tokens`` has the replies to the
+    contexts, if they were asked for before."""
+    rows = asked if "tokens" in asked.columns else generate(asked.withColumn("prompt", F.col("context")), provider).drop("prompt", "error")
+    return stepped(rows, provider, most).withColumn("p", perplexity.perplexity(F.col("lps"))).drop("lps", "tokens", "prompt", "error")
 
 
 TEMPLATES = fixed.PERPLEXITY_TEMPLATES
@@ -278,7 +281,7 @@ def fallback_perplexity(terms: DataFrame, provider: Provider) -> DataFrame:
 
 def term_perplexity(terms: DataFrame, provider: Provider, templates: tuple[str, ...] = TEMPLATES) -> DataFrame:
     """``terms`` with ``perplexity`` from log probabilities, and from the fallback where these give none."""
-    first = template_perplexity(terms, provider, templates)
+    first = cut(template_perplexity(terms, provider, templates))  # used twice, paid for once
     rest = fallback_perplexity(first.where("perplexity IS NULL").drop("perplexity"), provider)
     return first.where("perplexity IS NOT NULL").unionByName(rest)
 
@@ -329,7 +332,7 @@ def evaluate_generic(docs: DataFrame, terms: DataFrame, provider: Provider, mark
     held = listed.select("doc_id", "term", F.slice(F.filter("all", lambda x: F.contains(x, F.col("term"))), 1, 3).alias("sentences"))
     each = held.select("doc_id", "term", F.posexplode("sentences").alias("ord", "sentence"))
     said = sentence_perplexity(each, provider, "doc_id", "ord").select("doc_id", "term", "perplexity")
-    samples = said.unionAll(mask_samples(held, provider, "doc_id"))
+    samples = cut(said.unionAll(mask_samples(held, provider, "doc_id")))  # used twice, paid for once
     few = needing_direct(samples, terms, "doc_id")
     direct = choice_perplexity(few.select("doc_id", "term"), provider).select("doc_id", "term", "perplexity")
     return generic_evaluation(samples.unionAll(direct), terms, "doc_id")

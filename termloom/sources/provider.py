@@ -97,6 +97,26 @@ def with_retry(call: Callable, tries: int = 4, first: float = 1.0, most: float =
 FIRST_WAIT = 1.0
 
 
+def _called(prompts: list, call: Callable[[list], list], wait: float) -> tuple[list, list[str | None]]:
+    """(replies, errors) of prompts that aren't null, which aren't sent; a batch that fails is asked once more row by row."""
+    asked = [i for i, p in enumerate(prompts) if p is not None]
+    replies: list = [None] * len(prompts)
+    errors: list[str | None] = [None] * len(prompts)
+    if not asked:
+        return replies, errors
+    try:
+        for i, reply in zip(asked, with_retry(lambda: call([prompts[i] for i in asked]), first=wait)):
+            replies[i] = reply
+    except Exception as e:  # noqa: BLE001 - a client may raise anything
+        for i in asked:
+            try:
+                replies[i] = call([prompts[i]])[0] if len(asked) > 1 else None
+                errors[i] = None if len(asked) > 1 else type(e).__name__
+            except Exception as own:  # noqa: BLE001 - a failed row has a null and its error
+                errors[i] = type(own).__name__
+    return replies, errors
+
+
 def _mapped(df: DataFrame, col: str, out: str, kind: str, call: Callable[[list[str]], list], size: int) -> DataFrame:
     wait = FIRST_WAIT
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {out} {kind}, error string"
@@ -105,27 +125,96 @@ def _mapped(df: DataFrame, col: str, out: str, kind: str, call: Callable[[list[s
         for batch in batches:
             for at in range(0, len(batch), size):
                 part = batch.iloc[at : at + size]
-                try:
-                    yield part.assign(**{out: with_retry(lambda p=part: call(p[col].tolist()), first=wait), "error": None})
-                except Exception as e:  # noqa: BLE001 - a failed batch has nulls and its error
-                    yield part.assign(**{out: None, "error": type(e).__name__})
+                replies, errors = _called(part[col].tolist(), call, wait)
+                yield part.assign(**{out: pd.Series(replies, part.index, dtype=object), "error": pd.Series(errors, part.index, dtype=object)})
 
     return df.mapInPandas(run, schema)
 
 
+class Stored:
+    """A provider whose replies are kept in a table under ``path`` and paid for once, whichever pass asks.
+
+    A pass asks for its distinct prompts that the table lacks, writes the replies, and reads all of them back; failed calls
+    aren't kept, so they are asked again by the next pass. ``in_flight`` bounds the tasks that call at a time, and with it
+    the calls. The table has a folder for each kind of call; replies that two runs wrote at a time are alike to its reader:
+    the first of them counts.
+    """
+
+    def __init__(self, provider: Provider, path: str, in_flight: int = 16) -> None:
+        self.provider, self.path, self.in_flight = provider, path, in_flight
+
+    def answered(self, df: DataFrame, col: str, out: str, kind: str, method: str, size: int) -> DataFrame:
+        spark, folder = df.sparkSession, f"{self.path}/{method}"
+        schema = f"key string, {out} {kind}"
+        keyed = df.withColumn("__key", cache_key(F.col(col)))
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        known = spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
+        asked = keyed.where(F.col(col).isNotNull()).select(F.col("__key").alias("key"), F.col(col).alias("prompt")).dropDuplicates(["key"])
+        new = asked.join(known.select("key"), "key", "left_anti").repartition(self.in_flight, "key")
+        got = _mapped(new, "prompt", out, kind, getattr(self.provider, method), size)
+        got.where("error IS NULL").select("key", out).write.mode("append").parquet(folder)
+        kept = spark.read.schema(schema).parquet(folder).groupBy("key").agg(F.min_by(out, F.xxhash64(F.to_json(F.struct(out)))).alias(out))
+        joined = keyed.join(kept.withColumnRenamed("key", "__key").withColumn("__there", F.lit(True)), "__key", "left")
+        missing = F.col(col).isNotNull() & F.col("__there").isNull()
+        return joined.withColumn("error", F.when(missing, F.lit("Unanswered"))).select(*df.columns, out, "error")
+
+
+def _asked(df: DataFrame, provider: Provider, col: str, out: str, kind: str, method: str, size: int) -> DataFrame:
+    if isinstance(provider, Stored):
+        return provider.answered(df, col, out, kind, method, size)
+    return _mapped(df, col, out, kind, getattr(provider, method), size)
+
+
 def complete(df: DataFrame, provider: Provider, prompt_col: str = "prompt", size: int = 5) -> DataFrame:
-    """``df`` with ``reply`` and ``error``. Write the rows before they are used: a retry must not pay twice."""
-    return _mapped(df, prompt_col, "reply", "string", provider.complete, size)
+    """``df`` with ``reply`` and ``error``; a null prompt isn't sent. Write the rows before they are used twice, or give a
+    :class:`Stored` provider: a retry must not pay twice."""
+    return _asked(df, provider, prompt_col, "reply", "string", "complete", size)
 
 
 def generate(df: DataFrame, provider: Provider, prompt_col: str = "prompt", size: int = 5) -> DataFrame:
-    """``df`` with ``tokens`` (token, logprob, candidates) and ``error``."""
-    return _mapped(df, prompt_col, "tokens", TOKENS, provider.generate, size)
+    """``df`` with ``tokens`` (token, logprob, candidates) and ``error``; a null prompt isn't sent."""
+    return _asked(df, provider, prompt_col, "tokens", TOKENS, "generate", size)
+
+
+def stepped(df: DataFrame, provider: Provider, most: int, size: int = 5) -> DataFrame:
+    """``df`` (context, term, tokens, ...) with ``lps``: log probabilities of up to ``most`` tokens that spell the term, foreseen
+    one by one. ``tokens`` are the replies to the contexts themselves, so the first step is not asked again.
+
+    All steps of a row are one task's: rows of a batch take each step together, and those that have spelt their term or
+    run out of it are left out. A token that is neither the term's next letters nor has a candidate for them counts as -5.
+    """
+    inner, wait = (provider.provider if isinstance(provider, Stored) else provider), FIRST_WAIT
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", lps array<double>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                part = batch.iloc[at : at + size]
+                contexts, terms = part["context"].tolist(), part["term"].tolist()
+                said, lps = [""] * len(part), [[] for _ in terms]
+                replies = list(part["tokens"])
+                for i in range(most):
+                    live = [len(t) > i and (i == 0 or t not in s) for t, s in zip(terms, said)]
+                    if i:
+                        replies, _ = _called([c + s if on else None for c, s, on in zip(contexts, said, live)], inner.generate, wait)
+                    for k, (on, tokens) in enumerate(zip(live, replies)):
+                        if not on or tokens is None or not len(tokens):
+                            continue
+                        first = tokens[0]
+                        target = terms[k][i : i + len(first["token"])]
+                        others = [c["logprob"] for c in first["top"] if c["token"] == target]
+                        lps[k].append(first["logprob"] if first["token"] == target else others[0] if others else -5.0)
+                        said[k] += first["token"]
+                yield part.assign(lps=pd.Series(lps, part.index, dtype=object))
+
+    return df.mapInPandas(run, schema)
 
 
 def embed(df: DataFrame, provider: Provider, text_col: str = "term", size: int = 100) -> DataFrame:
     """``df`` with ``embedding``, null for each row of a failed batch, and ``error``."""
-    return _mapped(df, text_col, "embedding", "array<double>", provider.embed, size)
+    return _asked(df, provider, text_col, "embedding", "array<double>", "embed", size)
 
 
 def embed_unit(df: DataFrame, provider: Provider, text_col: str = "term", size: int = 100) -> DataFrame:

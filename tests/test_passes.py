@@ -250,3 +250,68 @@ def test_generic_terms_by_all_methods(spark):
         expected.append((i, t, f, round(p, 6), "high_confidence" if p > 25 else "medium_confidence" if p > 15 else "low_confidence"))
     got = passes.evaluate_generic(docs, terms, provider.Stub(style="letter")).collect()
     assert sorted((r["doc_id"], r["term"], r["frequency"], round(r["perplexity"], 6), r["confidence"]) for r in got) == sorted(expected)
+
+
+def Counting(path, fails=""):  # noqa: N802 - a class made here travels to the workers by value
+    class Counts(provider.Stub):
+        """Writes down what it is asked, from whichever worker."""
+
+        def _told(self, prompts):
+            import os
+
+            with open(path, "a") as f:
+                f.writelines(f"{os.getpid()}\t{p!r}\n" for p in prompts)
+            if fails and any(fails in p for p in prompts):
+                raise OSError("no answer")
+
+        def complete(self, prompts):
+            self._told(prompts)
+            return super().complete(prompts)
+
+        def generate(self, prompts):
+            self._told(prompts)
+            return super().generate(prompts)
+
+    return Counts()
+
+
+def asked_of(path):
+    return [line.split("\t")[1] for line in path.read_text().splitlines()] if path.exists() else []
+
+
+def test_prompts_are_sent_once(spark, tmp_path):
+    said = tmp_path / "said"
+    places = spark.createDataFrame([(1, "alpha", 0, "some words that stand before it "), (1, "beta", 0, "other words that stand before it ")], "item_id long, term string, ord int, prefix string")
+    out = passes.input_perplexity(places, Counting(str(said)), "item_id")
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInPandas") <= 1
+    assert out.count() == 2
+    asked = asked_of(said)
+    assert len(asked) == len(set(asked)) and sum(p.endswith("before it '") for p in asked) == 2
+    said.write_text("")
+    docs = spark.createDataFrame([(1, "The alpha is here. An alpha is there. No beta.")], "doc_id long, text string")
+    terms = spark.createDataFrame([(1, "alpha", 2), (1, "gamma", 1)], "doc_id long, term string, frequency long")
+    assert passes.evaluate_generic(docs, terms, Counting(str(said))).count() == 2
+    assert len(asked_of(said)) == len(set(asked_of(said)))
+
+
+def test_replies_are_kept(spark, tmp_path):
+    said = tmp_path / "said"
+    kept = provider.Stored(Counting(str(said)), str(tmp_path / "replies"), in_flight=2)
+    rows = spark.createDataFrame([(i, None if i == 7 else f"p{i % 3}") for i in range(10)], "id long, prompt string")
+    plain = sorted((r["id"], r["reply"], r["error"]) for r in provider.complete(rows, provider.Stub()).collect())
+    for _ in range(2):
+        assert sorted((r["id"], r["reply"], r["error"]) for r in provider.complete(rows, kept).collect()) == plain
+    assert sorted(asked_of(said)) == ["'p0'", "'p1'", "'p2'"]
+    tokens = provider.generate(rows, kept).where("id = 1").first()["tokens"]
+    assert [t["token"] for t in tokens] == ["p1"] and len(asked_of(said)) == 6
+
+
+def test_a_failed_batch_is_asked_row_by_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(provider, "FIRST_WAIT", 0.0)
+    rows = spark.createDataFrame([(i, f"p{i}") for i in range(5)], "id long, prompt string").coalesce(1)
+    got = {r["id"]: (r["reply"] is None, r["error"]) for r in provider.complete(rows, Counting(str(tmp_path / "a"), "p3")).collect()}
+    assert got == {i: (i == 3, "OSError" if i == 3 else None) for i in range(5)}
+    kept = provider.Stored(Counting(str(tmp_path / "b"), "p3"), str(tmp_path / "replies"))
+    assert {r["id"]: r["error"] for r in provider.complete(rows, kept).collect()} == {i: "Unanswered" if i == 3 else None for i in range(5)}
+    mended = provider.Stored(Counting(str(tmp_path / "c")), str(tmp_path / "replies"))
+    assert all(r["error"] is None for r in provider.complete(rows, mended).collect()) and asked_of(tmp_path / "c") == ["'p3'"]
