@@ -35,8 +35,8 @@ LOW_BITS = 4
 PER_LONG = 64 // LOW_BITS
 #: Groups that the members of one bucket are dealt to when they meet what is known of it.
 SALTS = 8
-#: Members of a bucket that one task compares with as many others.
-CHUNK = 2048
+#: Members of a bucket that one task compares with as many others, and bytes of their folded sets: at most, on average.
+CHUNK, CHUNK_BYTES = 2048, 16 << 20
 
 _N = BANDS * ROWS
 _seed = mix64(np.arange(1, 2 * _N + 1, dtype=np.uint64))
@@ -287,8 +287,9 @@ def _open_pairs(rows: DataFrame, sets: DataFrame, docs: DataFrame, size: int, pe
     wanted = rows.select(F.col("rep").alias("doc")).distinct()
     compact = _of(docs, wanted).mapInArrow(lambda it: _compact(it, size), "rep long, compact binary")
     known = written(sets.select("rep", "bits", "bands").join(compact, "rep"), "compact")
-    rows = rows.join(known, "rep")
-    rows = rows.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    sizes = rows.join(known.select("rep", F.length("compact").alias("bytes")), "rep").groupBy("key").agg(F.sum("bytes").alias("bytes"))
+    rows = rows.join(sizes, "key").join(known, "rep")
+    rows = rows.withColumn("chunks", F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("key", F.least("chunk", "j").alias("i"), F.greatest("chunk", "j").alias("j"), "rep", "comp", "chunk", "bits", "bands", "compact")

@@ -244,8 +244,10 @@ def test_near_duplicates_of_families(spark):
     assert near_result(rows(spark, pairs)) == brute_near(pairs)
 
 
-def test_near_duplicates_of_one_large_group(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "CHUNK", 16)
+@pytest.mark.parametrize("bound", [("CHUNK", 16), ("CHUNK_BYTES", 2000)])
+def test_near_duplicates_of_one_large_group(spark, monkeypatch, bound):
+    """Chunks of a group are bounded by members and by bytes of their sets; neither changes the result."""
+    monkeypatch.setattr(minhash, *bound)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(50)]
     pairs = [(i, " ".join(w if rng.random() > 0.06 else f"u{rng.random()}" for w in base)) for i in range(120)]
