@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -36,21 +38,27 @@ def sentences(s: Column, mark: str = "。") -> Column:
 
 
 def char_windows(s: str, size: int = 2000, overlap: int = 200, marks: tuple[str, ...] = ("。", "．", "\n", "！", "？", ". ")) -> list[str]:
-    """Windows of characters that end after the last mark in their second half, marks in order of priority."""
+    """Windows of characters that end after the last mark in their second half, marks in order of priority. The places of
+    marks are found once and looked up by bisection."""
     if not overlap < size // 2:
         raise ValueError("overlap must be under half the size")
-    out, at = [], 0
-    while at < len(s):
-        end = at + size
-        if end < len(s):
-            for mark in marks:
-                found = s.rfind(mark, at + size // 2, end)
-                if found >= 0:
-                    end = found + len(mark)
-                    break
-        out.append(s[at : min(end, len(s))])
-        at = end - overlap if end < len(s) else len(s)
-    return out
+    places = [(len(m), [x.start() for x in re.finditer(f"(?={re.escape(m)})", s)]) for m in marks]
+
+    def stop(begin: int) -> int:
+        """Where the window that begins here ends."""
+        if begin + size >= len(s):
+            return len(s)
+        for length, starts in places:
+            last = bisect_right(starts, begin + size - length) - 1
+            if last >= 0 and starts[last] >= begin + size // 2:
+                return starts[last] + length
+        return begin + size
+
+    spans = [(0, stop(0))] if s else []
+    while spans and spans[-1][1] < len(s):
+        begin = spans[-1][1] - overlap
+        spans.append((begin, stop(begin)))
+    return [s[begin:end] for begin, end in spans]
 
 
 def pack_sentences(s: str, size: int = 4000, overlap: int = 400, marks: str = "。．！？\n") -> list[str]:
