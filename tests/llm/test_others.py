@@ -255,7 +255,7 @@ def test_languages_by_the_rule(spark, monkeypatch):
     assert sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in got) == sorted(expected)
 
 
-def brute_prints(texts, low, high):
+def brute_prints(texts, low, high, corpus=None):
     """Fingerprints of texts, the lexicon taken from all of them."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     hashed = lambda x, seed=42: xxhash.xxh64(x, seed=seed).intdigest()
@@ -266,9 +266,10 @@ def brute_prints(texts, low, high):
             h = hashed((x & (1 << 64) - 1).to_bytes(8, "little"), h)
         return h
 
-    terms = [sorted({signed(hashed(w.encode())) for w in re.split(r"[^\w]+|_", (t or "").lower()) if w}) for t in texts]
-    count = Counter(x for t in terms for x in t)
-    lexicon = {x for x, n in count.items() if n > 1 and low * len(texts) <= n <= high * len(texts)}
+    terms_of = lambda texts: [sorted({signed(hashed(w.encode())) for w in re.split(r"[^\w]+|_", (t or "").lower()) if w}) for t in texts]
+    terms, corpus = terms_of(texts), texts if corpus is None else corpus
+    count = Counter(x for t in terms_of(corpus) for x in t)
+    lexicon = {x for x, n in count.items() if n > 1 and low * len(corpus) <= n <= high * len(corpus)}
     out = []
     for t, own in zip(texts, terms):
         chosen = [x for x in own if x in lexicon]
@@ -297,10 +298,11 @@ def test_fingerprints_by_the_rule(spark, tmp_path):
     every = [t for _, t in order]
     edited = [t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2] for k, (_, t) in enumerate(order)]
     own = brute_prints(every, imatch.LOW, imatch.HIGH)
-    lexicon_of = brute_prints(every + edited, imatch.LOW, imatch.HIGH)  # only to see that the lexicon isn't of both
+    others = brute_prints(edited, imatch.LOW, imatch.HIGH, every)  # edited texts by the lexicon of the texts
     shown = lambda p: "-".join("." if x is None else f"{x:x}" for x in p)
-    assert len(got) == len(order) and len(lexicon_of) == 2 * len(own)
-    for r, (i, t), p, e in zip(got, order, own, edited, strict=True):
+    assert len(got) == len(order)
+    for r, (i, t), p, e, q in zip(got, order, own, edited, others, strict=True):
+        assert r["edited_fingerprint"] == shown(q).lower()
         assert (r["doc_id"], r["n_chars"], r["fingerprint"]) == (i, len(t), shown(p).lower())
         assert r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
     for k, r in enumerate(got):
