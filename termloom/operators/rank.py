@@ -20,17 +20,20 @@ def top(df: DataFrame, k: int, score: str = "score", term: str = "term") -> Data
     return df.orderBy(F.desc(score), term).limit(k)
 
 
+def _penalty() -> Column:
+    f, m = F.col("frequency"), F.col("__most")
+    return F.when(m > 0.10 * f, F.when(m / f > 0.2, 0.2).otherwise(0.4)).otherwise(F.lit(1.0))
+
+
 def substring_penalty(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``penalty``: 0.2 or 0.4 where the most frequent container has over a fifth or a tenth of a term's frequency, else 1."""
-    f, m = F.col("frequency"), F.col("__most")
-    penalty = F.when(m > 0.10 * f, F.when(m / f > 0.2, 0.2).otherwise(0.4)).otherwise(F.lit(1.0))
-    return with_containers(scored, id_col).withColumn("penalty", penalty).drop("__mean", "__most")
+    return with_containers(scored, id_col).withColumn("penalty", _penalty()).drop("__mean", "__most")
 
 
-def _factors(terms: list[str], frequency: list[int]) -> list[float]:
+def _factors(terms: list[str], frequency: list[int], parts: dict[int, list[int]] | None = None) -> list[float]:
     """What is left of each term's score once long terms have penalised the terms they contain."""
     factor, done = [1.0] * len(terms), [False] * len(terms)
-    parts = dict(inside(terms, 1))
+    parts = dict(inside(terms, 1)) if parts is None else parts
     for i in sorted(parts, key=lambda i: (-len(terms[i]), terms[i])):
         if done[i] or not frequency[i] > 3:
             continue
@@ -54,6 +57,51 @@ def compound_priority(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return per_key(rows, id_col, work, f"{fields(rows)}, factor double")
 
 
+def both_penalties(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``scored`` with the ``penalty`` of :func:`substring_penalty` and the ``factor`` of :func:`compound_priority`, for
+    which a document's terms meet once."""
+    columns = [id_col, *[c for c in scored.columns if c != id_col]]
+    rows = scored.select(*columns)
+
+    def work(table: pa.Table) -> pa.Table:
+        terms, frequency = table.column("term").to_pylist(), table.column("frequency").to_pylist()
+        most = [0] * len(terms)
+        parts = dict(inside(terms, 1))
+        for i, own in parts.items():
+            for j in own:
+                if len(terms[j]) > 1:
+                    most[j] = max(most[j], frequency[i])
+        table = table.append_column("__most", pa.array([m or None for m in most], pa.int64()))
+        return table.append_column("factor", pa.array(_factors(terms, frequency, parts), pa.float64()))
+
+    found = per_key(rows, id_col, work, f"{fields(rows)}, __most long, factor double")
+    return found.withColumn("penalty", _penalty()).select(*scored.columns, "penalty", "factor")
+
+
+def _steps(scored: DataFrame, id_col: str, high: int) -> DataFrame:
+    """``scored`` with the place ``i`` of a term, best first, the number ``n`` of its document's terms, the relative drop
+    ``rate`` before it, and whether the running sum has ``reached`` its share there."""
+    order = Window.partitionBy(id_col).orderBy(F.desc("score"), "term")
+    whole = Window.partitionBy(id_col)
+    ranked = scored.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(whole))
+    ranked = ranked.withColumn("rate", F.when((F.col("i") >= 1) & (F.col("i") < F.least(F.col("n") - 1, F.lit(high))) & (F.col("score") > 0), (F.lag("score").over(order) - F.col("score")) / F.col("score")))
+    head = F.when(F.col("i") < high, F.col("score")).otherwise(0.0)
+    running = F.round(F.sum(head).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), 9)
+    return ranked.withColumn("reached", (F.col("i") < high) & (running >= F.round(0.8 * F.sum(head).over(whole), 9)))
+
+
+#: What the cut-off is worked out from: aggregates of a document's steps.
+MEASURES = {"best": lambda: F.max("rate"), "mean": lambda: F.avg("rate"), "at": lambda: F.max_by("i", F.struct("rate", -F.col("i"))), "part": lambda: F.min(F.when(F.col("reached"), F.col("i") + 1))}
+
+
+def _cutoff(low: int, high: int) -> tuple[Column, Column, Column]:
+    """(elbow, contribution, cutoff) from the measures and ``n``."""
+    elbow = F.when(F.col("best") > 2 * F.col("mean"), F.least(F.floor(1.2 * F.col("at")), F.lit(high))).otherwise(low).cast("long")
+    elbow, contribution = F.coalesce(elbow, F.lit(low).cast("long")), F.coalesce("part", F.lit(high)).cast("long")
+    cut = F.when(F.col("n") <= low, F.col("n")).otherwise(F.greatest(F.lit(low), F.least(elbow, contribution, F.col("n"), F.lit(high))))
+    return elbow, contribution, cut.cast("long")
+
+
 def elbow_cutoff(scored: DataFrame, id_col: str = "doc_id", low: int = 20, high: int = 100) -> DataFrame:
     """(id, n, elbow, contribution, cutoff): how many terms are worth validating.
 
@@ -61,18 +109,21 @@ def elbow_cutoff(scored: DataFrame, id_col: str = "doc_id", low: int = 20, high:
     most ``high``, else ``low``. Contribution is the first place at which the running sum reaches eight tenths of the
     top ``high``. The cut-off is the smaller, within ``low`` and ``high``; up to ``low`` terms are all kept.
     """
-    order = Window.partitionBy(id_col).orderBy(F.desc("score"), "term")
+    steps = _steps(scored.select(id_col, "term", "score"), id_col, high)
+    per = steps.groupBy(id_col).agg(F.max("n").alias("n"), *[f().alias(name) for name, f in MEASURES.items()])
+    elbow, contribution, cutoff = _cutoff(low, high)
+    return per.select(id_col, "n", elbow.alias("elbow"), contribution.alias("contribution"), cutoff.alias("cutoff"))
+
+
+def within_cutoff(scored: DataFrame, most: int, id_col: str = "doc_id", low: int = 20, high: int = 100) -> DataFrame:
+    """The rows of ``scored`` within the cut-off of :func:`elbow_cutoff`, ``most`` a document at most, with ``rank`` from 1.
+
+    One sort of each document's rows gives places and measures; nothing is joined back.
+    """
     whole = Window.partitionBy(id_col)
-    ranked = scored.select(id_col, "term", "score").withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(whole))
-    ranked = ranked.withColumn("rate", F.when((F.col("i") >= 1) & (F.col("i") < F.least(F.col("n") - 1, F.lit(high))) & (F.col("score") > 0), (F.lag("score").over(order) - F.col("score")) / F.col("score")))
-    head = F.when(F.col("i") < high, F.col("score")).otherwise(0.0)
-    running = F.round(F.sum(head).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), 9)
-    ranked = ranked.withColumn("reached", (F.col("i") < high) & (running >= F.round(0.8 * F.sum(head).over(whole), 9)))
-    per = ranked.groupBy(id_col).agg(F.max("n").alias("n"), F.max("rate").alias("best"), F.avg("rate").alias("mean"), F.max_by("i", F.struct("rate", -F.col("i"))).alias("at"), F.min(F.when(F.col("reached"), F.col("i") + 1)).alias("part"))
-    elbow = F.when(F.col("best") > 2 * F.col("mean"), F.least(F.floor(1.2 * F.col("at")), F.lit(high))).otherwise(low).cast("long")
-    per = per.withColumn("elbow", F.coalesce(elbow, F.lit(low).cast("long"))).withColumn("contribution", F.coalesce("part", F.lit(high)).cast("long"))
-    cut = F.when(F.col("n") <= low, F.col("n")).otherwise(F.greatest(F.lit(low), F.least("elbow", "contribution", F.col("n"), F.lit(high))))
-    return per.select(id_col, "n", "elbow", "contribution", cut.cast("long").alias("cutoff"))
+    steps = _steps(scored, id_col, high).select("*", *[f().over(whole).alias(name) for name, f in MEASURES.items()])
+    kept = steps.where((F.col("i") < most) & (F.col("i") < _cutoff(low, high)[2]))
+    return kept.select(*scored.columns, (F.col("i") + 1).alias("rank"))
 
 
 def three_way(p: Column, low: float = 30.0, high: float = 70.0) -> Column:

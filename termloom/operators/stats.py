@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 from .candidates import with_containers
 from .contexts import occurrences
-from .groups import counted, per_key
+from .groups import counted, fields, per_key
 
 
 def chunk_tfidf(counts: DataFrame, sizes: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -24,8 +24,35 @@ def chunk_tfidf(counts: DataFrame, sizes: DataFrame, id_col: str = "doc_id") ->
     idf = ln((N + 1) / (df + 1)) + 1 and the score is the largest (1 + ln tf) * idf, so only the largest tf is needed.
     """
     per = counts.where("tf > 0").groupBy(id_col, "term").agg(F.max("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n_chunks") + 1) / (F.col("df") + 1)) + 1
-    return per.join(sizes, id_col).select(id_col, "term", ((1 + F.log("tf")) * idf).alias("tfidf"))
+    return per.join(sizes, id_col).select(id_col, "term", _tfidf().alias("tfidf"))
+
+
+def _tfidf() -> Column:
+    return (1 + F.log("tf")) * (F.log((F.col("n_chunks") + 1) / (F.col("df") + 1)) + 1)
+
+
+def substring_tfidf(terms: DataFrame, docs: DataFrame, cut: Callable[[str], list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``terms`` (distinct in a document) with ``tfidf`` from their occurrences as substrings of the chunks that ``cut``
+    makes of the document's text; 0 for one that occurs in none.
+
+    A document's text and terms meet in one task, where the text is cut and searched once for all terms.
+    """
+    others = [c for c in terms.columns if c != id_col]
+    rows = terms.select(id_col, *others, F.lit(None).cast("string").alias("__text")).unionByName(docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("__text")), allowMissingColumns=True)
+
+    def work(table: pa.Table) -> pa.Table:
+        is_term = table.column("__text").is_null()
+        own = table.filter(is_term).drop_columns("__text")
+        chunks = [c for s in table.column("__text").drop_null().to_pylist() for c in cut(s)]
+        tf, df = [0] * own.num_rows, [0] * own.num_rows
+        for _, j, n in counted(own.column("term").to_pylist(), chunks):
+            tf[j], df[j] = max(tf[j], n), df[j] + 1
+        for name, values in (("tf", tf), ("df", df), ("n_chunks", [len(chunks)] * own.num_rows)):
+            own = own.append_column(name, pa.array(values, pa.int64()))
+        return own
+
+    found = per_key(rows, id_col, work, f"{fields(terms.select(id_col, *others))}, tf long, df long, n_chunks long")
+    return found.select(*terms.columns, F.when(F.col("tf") > 0, _tfidf()).otherwise(0.0).alias("tfidf"))
 
 
 def substring_counts(chunks: DataFrame, terms: DataFrame, id_col: str = "doc_id") -> DataFrame:

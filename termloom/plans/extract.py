@@ -35,25 +35,15 @@ def statistical_terms(docs: DataFrame, config: EngineConfig | None = None, most:
     """Entry A: scored, penalised, cut where the scores fall off, ``most`` a document at most."""
     scored = rank.substring_penalty(scored_terms(docs, config))
     scored = scored.withColumn("score", F.round(F.col("score") * F.col("penalty"), 9))
-    cut = rank.elbow_cutoff(scored).select("doc_id", "cutoff")
-    best = rank.top_per(scored, most, "doc_id")
-    return best.join(cut, "doc_id").where(F.col("rank") <= F.col("cutoff")).select("doc_id", "term", "frequency", "tfidf", "c_value", "score", "rank")
+    return rank.within_cutoff(scored, most).select("doc_id", "term", "frequency", "tfidf", "c_value", "score", "rank")
 
 
-def paragraph_tfidf(docs: DataFrame, terms: DataFrame, size: int = 500, mark: str = "。") -> DataFrame:
-    """(doc_id, term, tfidf) of terms counted as substrings of paragraphs or packed sentences."""
-    chunks = chunkers.chunked(docs, lambda s: chunkers.paragraphs(s, size, mark))
-    counts = stats.substring_counts(chunks, terms)
-    return stats.chunk_tfidf(counts, chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks")))
-
-
-def compound_scores(docs: DataFrame, config: EngineConfig | None = None, mark: str = ".") -> DataFrame:
+def compound_scores(docs: DataFrame, config: EngineConfig | None = None, mark: str = ".", size: int = 500) -> DataFrame:
     """As :func:`scored_terms` on candidates from three sources: n-grams of noun runs, katakana, words of letters and
-    digits; TF-IDF counts substrings of paragraphs."""
+    digits; TF-IDF counts substrings of paragraphs or packed sentences of some ``size``."""
     config = config or EngineConfig()
     counts = candidates.statistical_candidates(docs, config.profile)
-    found = paragraph_tfidf(docs, counts.select("doc_id", "term"), mark=mark)
-    both = stats.c_value(counts).join(found, ["doc_id", "term"], "left").withColumn("tfidf", F.coalesce("tfidf", F.lit(0.0)))
+    both = stats.substring_tfidf(stats.c_value(counts), docs, lambda s: chunkers.paragraphs(s, size, mark))
     both = stats.min_max(stats.min_max(both, "tfidf", "tfidf_norm", "doc_id"), "c_value", "c_norm", "doc_id")
     kept = both.where(F.col("frequency") >= config.min_frequency)
     return kept.withColumn("score", F.round(stats.base_score(F.col("tfidf_norm"), F.col("c_norm")), 9)).select("doc_id", "term", "frequency", "tfidf", "c_value", "score")
@@ -61,12 +51,9 @@ def compound_scores(docs: DataFrame, config: EngineConfig | None = None, mark: s
 
 def compound_terms(docs: DataFrame, config: EngineConfig | None = None, most: int = 50, mark: str = ".") -> DataFrame:
     """Entry A whole: compound candidates, both penalties, the cut where scores fall off, ``most`` a document at most."""
-    scored = rank.substring_penalty(compound_scores(docs, config, mark)).withColumn("score", F.col("score") * F.col("penalty")).drop("penalty")
-    factors = rank.compound_priority(scored).select("doc_id", "term", "factor")
-    scored = scored.join(factors, ["doc_id", "term"]).withColumn("score", F.round(F.col("score") * F.col("factor"), 9))
-    cutoffs = rank.elbow_cutoff(scored).select("doc_id", "cutoff")
-    best = rank.top_per(scored, most, "doc_id")
-    return best.join(cutoffs, "doc_id").where(F.col("rank") <= F.col("cutoff")).select("doc_id", "term", "frequency", "tfidf", "c_value", "factor", "score", "rank")
+    scored = rank.both_penalties(compound_scores(docs, config, mark))
+    scored = scored.withColumn("score", F.round(F.col("score") * F.col("penalty") * F.col("factor"), 9))
+    return rank.within_cutoff(scored, most).select("doc_id", "term", "frequency", "tfidf", "c_value", "factor", "score", "rank")
 
 
 def generic_terms(docs: DataFrame, config: EngineConfig | None = None, most: int = 30) -> DataFrame:
@@ -96,9 +83,8 @@ def graph_terms(docs: DataFrame, provider: Provider, config: EngineConfig | None
     together = graph.sentence_pairs(held.select("doc_id", F.col("chunk_id").alias("sentence"), F.xxhash64("doc_id", "term").alias("term")), "doc_id")
     edges = graph.reweight(edges, together).join(kept.select(F.col("id").alias("src"), "doc_id"), "src")
     ranked = graph.pagerank(graph.personalisation(kept, 0.7, "doc_id").select("doc_id", "id", "p"), edges)
-    fused = cut(graph.fuse(kept.drop("score", "rank").join(ranked, ["doc_id", "id"]), 0.6, "doc_id").drop("id").withColumn("score", F.round("score", 9)))
-    cutoffs = rank.elbow_cutoff(fused).select("doc_id", "cutoff")
-    return rank.top_per(fused, most, "doc_id").join(cutoffs, "doc_id").where(F.col("rank") <= F.col("cutoff")).drop("cutoff")
+    fused = graph.fuse(kept.drop("score", "rank").join(ranked, ["doc_id", "id"]), 0.6, "doc_id").drop("id").withColumn("score", F.round("score", 9))
+    return rank.within_cutoff(fused, most)
 
 
 def evaluated_terms(docs: DataFrame, config: EngineConfig | None = None, most: int = 100) -> DataFrame:
