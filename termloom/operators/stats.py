@@ -24,10 +24,11 @@ def chunk_tfidf(counts: DataFrame, sizes: DataFrame, id_col: str = "doc_id") ->
     idf = ln((N + 1) / (df + 1)) + 1 and the score is the largest (1 + ln tf) * idf, so only the largest tf is needed.
     """
     per = counts.where("tf > 0").groupBy(id_col, "term").agg(F.max("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
-    return per.join(sizes, id_col).select(id_col, "term", _tfidf().alias("tfidf"))
+    return per.join(sizes, id_col).select(id_col, "term", tfidf().alias("tfidf"))
 
 
-def _tfidf() -> Column:
+def tfidf() -> Column:
+    """The score from the columns tf, df and n_chunks."""
     return (1 + F.log("tf")) * (F.log((F.col("n_chunks") + 1) / (F.col("df") + 1)) + 1)
 
 
@@ -52,7 +53,7 @@ def substring_tfidf(terms: DataFrame, docs: DataFrame, cut: Callable[[str], list
         return own
 
     found = per_key(rows, id_col, work, f"{fields(terms.select(id_col, *others))}, tf long, df long, n_chunks long")
-    return found.select(*terms.columns, F.when(F.col("tf") > 0, _tfidf()).otherwise(0.0).alias("tfidf"))
+    return found.select(*terms.columns, F.when(F.col("tf") > 0, tfidf()).otherwise(0.0).alias("tfidf"))
 
 
 def substring_counts(chunks: DataFrame, terms: DataFrame, id_col: str = "doc_id") -> DataFrame:

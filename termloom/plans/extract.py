@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -12,12 +12,28 @@ from ..sources.provider import Provider, embed
 from ..sources.shared import cut
 
 
-def window_tfidf(docs: DataFrame, config: EngineConfig, size: int = 100) -> DataFrame:
-    """(doc_id, term, tfidf) with whole-token counts in word windows of half overlap."""
-    windows = chunkers.word_windows(docs, size)
-    found = windows.select("doc_id", "chunk_id", F.explode(F.regexp_extract_all("chunk", F.lit(config.profile.token), F.lit(0))).alias("term"))
-    counts = found.groupBy("doc_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return stats.chunk_tfidf(counts, windows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks")))
+def window_tfidf(docs: DataFrame, config: EngineConfig, size: int = 100, least: int = 10) -> DataFrame:
+    """(doc_id, term, tfidf) with whole-token counts in word windows of half overlap (:func:`chunkers.word_windows`).
+
+    Tokens hold no blanks, so a window of an even ``size`` is two neighbouring blocks of half its size: tokens are counted
+    once, in blocks, and a term's blocks are added up in their order. All rows of a (document, term) stay where one shuffle
+    has put them. ``docs`` has each document once.
+    """
+    if size % 2:
+        raise ValueError("the size of a window must be even")
+    step, n = size // 2, F.size("w")
+    split = docs.select("doc_id", chunkers.words(F.col("text")).alias("w")).where(n > 0)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda b: F.array_join(F.slice("w", b * step + 1, step), " "))
+    windows = F.when(n >= least, F.floor((n - least) / step) + 1).otherwise(0).cast("int")
+    blocks = split.select("doc_id", windows.alias("n_chunks"), F.posexplode(parts).alias("block", "part"))
+    found = blocks.select("doc_id", "n_chunks", "block", F.explode(F.regexp_extract_all("part", F.lit(config.profile.token), F.lit(0))).alias("term")).repartition("doc_id", "term")
+    counts = found.groupBy("doc_id", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.first("n_chunks").alias("n_chunks"))
+    w = Window.partitionBy("doc_id", "term").orderBy("block")
+    after = F.when(F.lead("block").over(w) == F.col("block") + 1, F.lead("n").over(w)).otherwise(0)
+    lonely = (F.col("block") > 0) & (F.col("block") <= F.col("n_chunks")) & (F.coalesce(F.lag("block").over(w), F.lit(-1)) != F.col("block") - 1)
+    both = counts.select("doc_id", "term", "n_chunks", F.when(F.col("block") < F.col("n_chunks"), F.col("n") + after).alias("own"), F.when(lonely, F.col("n")).alias("before"))
+    per = both.groupBy("doc_id", "term").agg(F.max(F.greatest("own", "before")).alias("tf"), (F.count("own") + F.count("before")).alias("df"), F.first("n_chunks").alias("n_chunks"))
+    return per.where("df > 0").select("doc_id", "term", stats.tfidf().alias("tfidf"))
 
 
 def scored_terms(docs: DataFrame, config: EngineConfig | None = None) -> DataFrame:
