@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +90,57 @@ def parsed_files(benchmark):
     return out
 
 
+_UPPER = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+@twin(f"SELECT item_id, md5(translate(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\s', ' ', 'g'), '{_UPPER[0]}', '{_UPPER[1]}') || chr(10) || 'END ' || item_id) AS text_md5 FROM benchmark")
+@query
+def mapped_pdfs(benchmark):
+    """Files whose font has codes of its own and a map to Unicode, which here gives capitals, with pages and fonts in
+    an object stream."""
+    maps = "2 beginbfrange <0000> <0060> <0000> <007B> <FFFF> <007B> endbfrange 1 beginbfrange <0061> <007A> <0041> endbfrange"
+    objects = ["<</Type/Catalog/Pages 2 0 R>>", "<</Type/Pages/Kids[3 0 R]/Resources<</Font<</F1 4 0 R>>>>>>", "<</Type/Page/Contents 6 0 R>>", "<</Type/Font/Subtype/Type0/Encoding/Identity-H/ToUnicode 5 0 R>>"]
+    starts = [sum(len(x) + 1 for x in objects[:k]) for k in range(4)]
+    head = " ".join(f"{k} {at}" for k, at in enumerate(starts, 1)) + "\n"
+    stream = lambda n, extra, data: F.concat(F.lit(f"{n} 0 obj\n<<{extra}>>\nstream\n"), data, F.lit("\nendstream\nendobj\n"))
+    codes = lambda s: F.concat(F.lit("<"), F.hex(F.encode(s, "UTF-16BE")), F.lit("> Tj"))
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    page = F.concat(F.lit("BT /F1 9 Tf "), codes(text), F.lit(" 0 -9 Td "), codes(F.concat(F.lit("end "), F.col("item_id").cast("string"))), F.lit(" ET"))
+    file = F.concat(F.lit("%PDF-1.5\n"), stream(7, f"/Type/ObjStm/N 4/First {len(head)}", F.lit(head + "\n".join(objects))), stream(5, "", F.lit(f"1 begincodespacerange <0000> <FFFF> endcodespacerange {maps}")), stream(6, "", page), F.lit("trailer <</Root 1 0 R>>"))
+    return readers.parsed(_made(benchmark, "pdf", file)).select("item_id", F.md5("text").alias("text_md5"))
+
+
+@F.pandas_udf("binary")
+def _word_file(text: pd.Series, cell: pd.Series) -> pd.Series:
+    """Word files of two paragraphs, a blank one and a table of two cells."""
+
+    def made(t: str, c: str) -> bytes:
+        p = "<w:p><w:r><w:t>{}</w:t></w:r></w:p>"
+        table = "<w:tbl><w:tr>" + "".join(f"<w:tc>{p.format(escape(x))}</w:tc>" for x in (" item ", c)) + "</w:tr></w:tbl>"
+        body = p.format("Head &amp; more") + p.format(" ") + table + p.format(escape(t))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+        return out.getvalue()
+
+    return pd.Series([made(t, c) for t, c in zip(text, cell)])
+
+
+@twin("""SELECT item_id, 'tables' AS kind, md5('Head & more' || chr(10) || chr(10) || 'item | ' || item_id || chr(10) || chr(10) || text) AS text_md5 FROM benchmark
+UNION ALL SELECT item_id, 'paragraphs', md5('Head & more' || chr(10) || chr(10) || text) FROM benchmark UNION ALL SELECT item_id, 'broken', NULL FROM benchmark""")
+@query
+def word_files(benchmark):
+    """Word files with their tables in place and without them; one that is no container is null."""
+    made = benchmark.select("item_id", F.lit("word").alias("file_type"), _word_file("text", F.col("item_id").cast("string")).alias("content"))
+    broken = _made(benchmark, "word", F.col("text"))
+    cases = [("tables", made, readers.Options()), ("paragraphs", made, readers.Options(tables=False)), ("broken", broken, readers.Options())]
+    out = None
+    for name, rows, options in cases:
+        found = readers.parsed(rows, options).select("item_id", F.lit(name).alias("kind"), F.md5("text").alias("text_md5"))
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
 @twin("SELECT vec_id AS chunk_id, 'text ' || vec_id AS preview, len(embedding) AS dim FROM embeddings")
 @query
 def vector_store(embeddings):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import BROKEN
+from . import pdf
 
 #: File types by suffix; anything else is not read unless a reader falls back to text.
 TYPES = {"pdf": "pdf", "docx": "word", "doc": "word", "txt": "text", "md": "markdown", "html": "html", "htm": "html"}
@@ -108,10 +109,8 @@ def _pypdf(raw: bytes) -> list[str]:
 
 
 def _plain_pdf(raw: bytes) -> list[str]:
-    """Pages by a parser of our own: the strings that uncompressed and deflated content streams show, a line for each move.
-
-    It stands in where the other parser is missing, fails or finds no text. Fonts with encodings of their own give nothing.
-    """
+    """Pages of a file whose objects are broken: the strings of whatever content streams there are, a line for each move,
+    whatever their fonts. It stands in where the other parsers fail or find no text."""
     pages = []
     for m in re.finditer(rb"stream\r?\n(.*?)endstream", raw, re.S):
         data = m[1]
@@ -134,7 +133,7 @@ def _plain_pdf(raw: bytes) -> list[str]:
 def _pdf(raw: bytes, options: Options = Options()) -> str:  # noqa: B008 - frozen
     pages: list[str] = []
     error: Exception = ValueError("no text in the file")
-    for parser in (_pypdf, _plain_pdf):
+    for parser in (_pypdf, pdf.pages, _plain_pdf):
         try:
             pages = parser(raw)
         except Exception as e:  # noqa: BLE001 - the next parser may read it
