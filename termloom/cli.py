@@ -59,9 +59,11 @@ def statistical(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Entry C: scored and classified terms; ``--pilot`` ten, ``--limit N``, ``--full`` a hundred."""
+    """Entry C: scored and classified terms; ``--pilot`` ten, ``--limit N``, ``--full`` a hundred. ``--looks`` asks no
+    provider and judges terms by their looks."""
     most = 10 if a.pilot else 100 if a.full else a.limit
-    rows = extract.evaluated_terms(_documents(spark, a.input, a.recursive), a.settings, most).cache()
+    docs = _documents(spark, a.input, a.recursive)
+    rows = cut(extract.evaluated_terms(docs, a.settings, most) if a.looks else extract.evaluated_by_provider(docs, a.provider, a.settings, most))
     sinks.write_rows(rows, f"{a.output}/results")
     sinks.write_rows(extract.run_statistics(rows), f"{a.output}/stats")
     sinks.write_review(rank.review(rows), f"{a.output}/review")
@@ -69,12 +71,12 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def generic(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Entry D: the generic extractor's terms in classes by what a provider says of them."""
-    rows = extract.generic_terms(_documents(spark, a.input, a.recursive), a.settings, a.limit)
-    terms = rows.groupBy("term").agg(F.sum("frequency").alias("frequency"))
-    samples = passes.choice_perplexity(terms, a.provider).select("term", "perplexity")
-    found = rank.dynamic_confidence(passes.generic_evaluation(samples, terms))
-    sinks.write_rows(sinks.buckets(found), a.output)
+    """Entry D: the generic extractor's terms of each document in classes by what a provider foresees of them: in their
+    sentences, behind masks, and by a direct choice where that gives too little."""
+    docs = _documents(spark, a.input, a.recursive)
+    terms = cut(extract.generic_terms(docs, a.settings, a.limit).select("doc_id", "term", "frequency"))
+    found = cut(passes.evaluate_generic(docs, terms, a.provider, a.settings.profile.sentence_marks))
+    sinks.write_rows(sinks.buckets(rank.dynamic_confidence(found)), a.output)
 
 
 def dictionary(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -187,6 +189,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--limit", type=int, default=30)
         p.add_argument("--pilot", action="store_true")
         p.add_argument("--full", action="store_true")
+        p.add_argument("--looks", action="store_true")
         p.add_argument("--query", default="%")
         p.add_argument("--port", type=int, default=8000)
         p.add_argument("--two-stage", action="store_true")

@@ -214,9 +214,12 @@ TEMPLATES = fixed.PERPLEXITY_TEMPLATES
 def template_perplexity(terms: DataFrame, provider: Provider, templates: tuple[str, ...] = TEMPLATES) -> DataFrame:
     """``terms`` with ``perplexity``: from the mean log probability of the term behind the beginnings of three templates,
     within 5 and 100; null where none gives one."""
-    heads = F.array(*[F.lit(t.split("{}")[0]) for t in templates])
-    asked = terms.select("term", F.explode(heads).alias("prompt")).distinct()
-    got = generate(asked, provider).withColumn("lp", cumulative_logprob(F.col("tokens"), F.col("term")))
+    heads = sorted({t.split("{}")[0] for t in templates})
+    # the beginnings don't hold the term: one call each, one row of them all goes to every term
+    said = generate(terms.sparkSession.createDataFrame([(h,) for h in heads], "prompt string").coalesce(1), provider)
+    said = cut(said.agg(F.collect_list(F.struct("prompt", "tokens")).alias("__said")))
+    got = terms.select("term").distinct().join(F.broadcast(said)).select("term", F.inline("__said"))
+    got = got.withColumn("lp", cumulative_logprob(F.col("tokens"), F.col("term")))
     weights = {t.split("{}")[0]: sum(x.split("{}")[0] == t.split("{}")[0] for x in templates) for t in templates}
     weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("prompt")]
     per = got.where("lp IS NOT NULL").groupBy("term").agg((F.sum(F.col("lp") * weight) / F.sum(weight)).alias("lp"))
@@ -240,14 +243,15 @@ def choice_perplexity(terms: DataFrame, provider: Provider) -> DataFrame:
 def partial_completion(terms: DataFrame, provider: Provider, tries: int = 3, strict: bool = False) -> DataFrame:
     """``terms`` with ``partial``: how often a term is completed from a third, a half and two thirds of it, over some tries;
     0.2 for terms under four characters. ``strict``: not from one character, and with three more at most."""
-    parts = terms.where(F.length("term") >= 4).select("term", F.posexplode(perplexity.split_points(F.col("term"))).alias("part", "at"))
+    places = F.transform(F.array_distinct("__p"), lambda x: F.struct(x.alias("at"), F.size(F.filter("__p", lambda y: y == x)).alias("weight")))  # equal places are one prompt
+    parts = terms.where(F.length("term") >= 4).select("term", perplexity.split_points(F.col("term")).alias("__p")).select("term", F.inline(places))
     tried = (parts.where("at > 1") if strict else parts).withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries))))
     head = F.substring("term", F.lit(1), F.col("at"))
     got = complete(tried.withColumn("prompt", prompt(COMPLETE, head, F.col("try").cast("string"))), provider)
     said = F.trim("reply")
     fits = F.contains(said, F.col("term")) & ((F.length(said) <= F.length("term") + 3) if strict else F.lit(True))
     hit = F.coalesce(fits, F.lit(False))
-    per = got.groupBy("term").agg(F.avg(hit.cast("double")).alias("partial"))
+    per = got.groupBy("term").agg((F.sum(hit.cast("double") * F.col("weight")) / F.sum("weight")).alias("partial"))
     return terms.join(per, "term", "left").withColumn("partial", F.when(F.length("term") < 4, F.lit(0.2)).otherwise(F.col("partial")))
 
 

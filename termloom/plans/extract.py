@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import text
-from ..operators import candidates, chunkers, graph, perplexity, rank, stats, vectors
+from ..operators import candidates, chunkers, graph, passes, perplexity, rank, stats, vectors
 from ..sources.provider import Provider, embed
 from ..sources.shared import cut
 
@@ -103,17 +103,38 @@ def graph_terms(docs: DataFrame, provider: Provider, config: EngineConfig | None
     return rank.within_cutoff(fused, most)
 
 
-def evaluated_terms(docs: DataFrame, config: EngineConfig | None = None, most: int = 100) -> DataFrame:
-    """Entry C without a remote model: statistical score, a perplexity from features, priority and class."""
-    config = config or EngineConfig()
+def statistically_best(docs: DataFrame, config: EngineConfig, most: int) -> DataFrame:
+    """(doc_id, term, frequency, c_value, tfidf, score, rank): the ``most`` best terms of a document by statistics alone."""
     counts = candidates.term_counts(docs, config.profile)
     both = stats.c_value(counts, 2).join(stats.tfidf_l2(stats.word_counts(docs, counts)).select("doc_id", "term", "tfidf"), ["doc_id", "term"])
     scored = both.withColumn("score", F.round(stats.statistical_score(F.col("c_value"), F.col("tfidf"), F.col("frequency")), 9))
-    best = rank.top_per(scored, most, "doc_id").withColumn("perplexity", perplexity.from_term(F.col("term"), F.col("frequency")))
+    return rank.top_per(scored, most, "doc_id")
+
+
+def evaluated_terms(docs: DataFrame, config: EngineConfig | None = None, most: int = 100) -> DataFrame:
+    """Entry C without a remote model: statistical score, a perplexity from features, priority and class."""
+    best = statistically_best(docs, config or EngineConfig(), most).withColumn("perplexity", perplexity.from_term(F.col("term"), F.col("frequency")))
     best = best.withColumn("priority_score", F.round(stats.priority_score(F.col("score"), F.col("perplexity"), F.lit(None).cast("double")), 9))
     return best.withColumn("confidence", rank.three_way(F.col("perplexity")))
 
 
+def evaluated_by_provider(docs: DataFrame, provider: Provider, config: EngineConfig | None = None, most: int = 100, completed: int = 20) -> DataFrame:
+    """Entry C with a model: as :func:`evaluated_terms`, with the perplexity that the provider's log probabilities or, where
+    these give none, its judgements give a term (50 where all calls fail), and for the ``completed`` best of a document how
+    surely the model completes the term; 0.1 for the others.
+
+    What a model says of a term doesn't depend on the document, so each of the distinct terms is asked about once.
+    """
+    best = cut(statistically_best(docs, config or EngineConfig(), most))
+    said = cut(passes.term_perplexity(best.select("term").distinct(), provider))
+    sure = cut(passes.generation_probability(best.where(F.col("rank") <= completed).select("term").distinct(), provider))
+    rows = best.join(said.select("term", "perplexity"), "term", "left").withColumn("perplexity", F.coalesce("perplexity", F.lit(50.0)))
+    rows = rows.join(sure.select("term", F.col("probability").alias("__p")), "term", "left")
+    rows = rows.withColumn("token_probability", F.when(F.col("rank") <= completed, F.coalesce("__p", F.lit(0.1))).otherwise(0.1)).drop("__p")
+    rows = rows.withColumn("priority_score", F.round(stats.priority_score(F.col("score"), F.col("perplexity"), F.col("token_probability")), 9))
+    return rows.withColumn("confidence", rank.three_way(F.col("perplexity")))
+
+
 def run_statistics(evaluated: DataFrame) -> DataFrame:
     """Counts of the classes and the shares approved without and with review; 0 where there is nothing."""
     counted = evaluated.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("confidence") == c).alias(c) for c in ("high", "medium", "low")])

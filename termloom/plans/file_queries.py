@@ -10,6 +10,7 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..operators import candidates, contexts, dictionary, passes, rank, stats
 from ..sources import readers, sinks
@@ -110,7 +111,7 @@ def mapped_pdfs(benchmark):
     return readers.parsed(_made(benchmark, "pdf", file)).select("item_id", F.md5("text").alias("text_md5"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _word_file(text: pd.Series, cell: pd.Series) -> pd.Series:
     """Word files of two paragraphs, a blank one and a table of two cells."""
 

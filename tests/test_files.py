@@ -132,10 +132,17 @@ def test_command_lines(spark, corpus, tmp_path, capsys):
     assert {"ammonia", "fuel", "ammonia fuel"} <= {r["t"] for r in rows}
     run("statistical", corpus, "-o", tmp_path / "g", "--graph", "--format", "csv")
     assert spark.read.csv(str(tmp_path / "g"), header=True).count() > 0
-    run("evaluate", corpus, "-o", tmp_path / "e", "--pilot")
+    run("evaluate", corpus, "-o", tmp_path / "e", "--pilot", "--provider", "stub:varied")
+    asked = spark.read.json(str(tmp_path / "e/results")).collect()
+    assert len({r["perplexity"] for r in asked}) > 2 and all(5 <= r["perplexity"] <= 100 and 0 <= r["token_probability"] <= 1 for r in asked)
+    run("evaluate", corpus, "-o", tmp_path / "looks", "--pilot", "--looks")
+    assert "token_probability" not in spark.read.json(str(tmp_path / "looks/results")).columns
     assert spark.read.json(str(tmp_path / "e/results")).groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 10
     run("generic", corpus, "-o", tmp_path / "d", "--provider", "stub:letter")
-    assert spark.read.json(str(tmp_path / "d")).agg(F.sum("n")).first()[0] > 0
+    classes = spark.read.json(str(tmp_path / "d")).collect()
+    assert {r["confidence"] for r in classes} <= {"high_confidence", "medium_confidence", "low_confidence"} and all(r["n"] == len(r["terms"]) for r in classes)
+    docs = cli._documents(spark, str(corpus))
+    assert sum(r["n"] for r in classes) == extract.generic_terms(docs).count()
     run("dictionary", corpus, "-o", tmp_path / "k", "--provider", "stub:terms")
     run("dictionary", corpus, "-o", tmp_path / "k", "--provider", "stub:terms")
     assert build.latest(spark, str(tmp_path / "k")).count() > 0 and len(list((tmp_path / "k").glob("snapshot=*"))) == 2

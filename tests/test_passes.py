@@ -315,3 +315,24 @@ def test_a_failed_batch_is_asked_row_by_row(spark, tmp_path, monkeypatch):
     assert {r["id"]: r["error"] for r in provider.complete(rows, kept).collect()} == {i: "Unanswered" if i == 3 else None for i in range(5)}
     mended = provider.Stored(Counting(str(tmp_path / "c")), str(tmp_path / "replies"))
     assert all(r["error"] is None for r in provider.complete(rows, mended).collect()) and asked_of(tmp_path / "c") == ["'p3'"]
+
+
+def test_evaluation_by_a_provider(spark, tmp_path):
+    from termloom.plans import extract
+
+    docs = spark.createDataFrame([(1, "alpha beta gamma alpha delta"), (2, "beta gamma beta omega"), (3, None), (4, "")], "doc_id long, text string")
+    model = Counting(str(tmp_path / "said"))
+    model.style = "varied"
+    rows = extract.evaluated_by_provider(docs, model, most=3, completed=2).collect()
+    prompts = asked_of(tmp_path / "said")
+    assert prompts and not {p for p in prompts if prompts.count(p) > 1}  # none twice, though documents share terms
+    looks = {(r["doc_id"], r["term"]): r for r in extract.evaluated_terms(docs, most=3).collect()}
+    assert {(r["doc_id"], r["term"]): r["score"] for r in rows} == {k: r["score"] for k, r in looks.items()} and len(rows) == 6
+    terms = spark.createDataFrame([(t,) for t in {r["term"] for r in rows}], "term string")
+    said = {r["term"]: r["perplexity"] for r in passes.term_perplexity(terms, provider.Stub(style="varied")).collect()}
+    sure = {r["term"]: r["probability"] for r in passes.generation_probability(terms, provider.Stub(style="varied")).collect()}
+    for r in rows:
+        assert r["perplexity"] == pytest.approx(said[r["term"]])
+        assert r["token_probability"] == pytest.approx(sure[r["term"]] if r["rank"] <= 2 else 0.1)
+        assert r["priority_score"] == pytest.approx(0.4 * r["score"] + 0.4 * (100 - r["perplexity"]) + 20 * r["token_probability"])
+        assert r["confidence"] == ("high" if r["perplexity"] < 30 else "low" if r["perplexity"] > 70 else "medium")
