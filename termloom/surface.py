@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from .operators.groups import inside
 from .sources import readers
 
 #: What an extractor gives for each document.
@@ -87,3 +93,46 @@ def shown(df: DataFrame, n: int = 20, width: int = 100) -> str:
     table = [list(df.columns), *rows]
     sizes = [max(len(r[k]) for r in table) for k in range(len(df.columns))]
     return "\n".join(" | ".join(v.ljust(s) for v, s in zip(r, sizes)).rstrip() for r in table)
+
+
+class _CompoundTerms:
+    """Handler of the table function: terms of the documents of a table, its id and any other columns passed on."""
+
+    @staticmethod
+    def analyze(docs: AnalyzeArgument, longest: AnalyzeArgument | None = None) -> AnalyzeResult:
+        if not docs.isTable:
+            raise ValueError("the first argument must be a table: termloom_terms(TABLE(docs))")
+        kept = [f for f in docs.dataType.fields if f.name.lower() != "text"]
+        if len(kept) == len(docs.dataType.fields):
+            raise ValueError("the table needs a column text")
+        if longest is not None and not (longest.isConstantExpression and isinstance(longest.value, int) and longest.value > 0):
+            raise ValueError("the most words of a term must be a constant number from 1")
+        taken = {f.name.lower() for f in kept} & {"term", "frequency", "c_value"}
+        if taken:
+            raise ValueError(f"columns of the result are in the table already: {sorted(taken)}")
+        schema = StructType([*kept, StructField("term", StringType()), StructField("frequency", LongType()), StructField("c_value", DoubleType())])
+        return AnalyzeResult(schema=schema)
+
+    def eval(self, row: Row, longest: int = 3) -> Iterator[tuple]:
+        values = row.asDict()
+        name = next(n for n in values if n.lower() == "text")
+        text, kept = values[name], tuple(v for n, v in values.items() if n != name)
+        counts: Counter[str] = Counter()
+        for run in re.split(r"[^\w\s\-]+", text or ""):
+            words = re.findall(r"[^\W_][\w\-]*", run)
+            counts.update(" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1))
+        terms = sorted(counts)
+        held: dict[int, list[int]] = {}
+        for whole, own in inside(terms, 2):
+            for part in own:
+                held.setdefault(part, []).append(counts[terms[whole]])
+        for i, t in enumerate(terms):
+            mean = sum(held[i]) / len(held[i]) if i in held else 0.0
+            yield (*kept, t, counts[t], max(0.0, math.log2(len(t) + 1) * (counts[t] - mean)))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """``SELECT * FROM termloom_terms(TABLE(docs), 3)`` in the session's SQL: for every row of a table with a column
+    ``text``, its n-grams of up to three words that no mark divides, their frequency and C-value, beside the row's other
+    columns. Null texts give no row. Each row is worked on where it is: nothing is shuffled."""
+    spark.udtf.register("termloom_terms", F.udtf(_CompoundTerms))
