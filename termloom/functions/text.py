@@ -124,12 +124,23 @@ def valid_term(t: Column, stop: tuple[str, ...] = fixed.STOP_WORDS) -> Column:
     return ~F.array_contains(words, t) & ~edge
 
 
-def features(s: Column) -> dict[str, Column]:
-    """Technical density, mixed ratio and number of abbreviations of a text; zeros without words."""
+def feature_counts(s: Column) -> dict[str, Column]:
+    """What the features of a text are worked out from. No match holds a blank, so counts of parts between blanks add up."""
     words = F.size(F.filter(F.split(s, r"(?U)\s+"), lambda w: w != ""))
-    kata, latin, number = (F.regexp_count(s, F.lit(p)) for p in ("[ア-ヴー]{3,}", "[A-Za-z]{3,}", r"\d+\.?\d*"))
+    patterns = {"kata": "[ア-ヴー]{3,}", "latin": "[A-Za-z]{3,}", "number": r"\d+\.?\d*", "capitals": "[A-Z]{2,}"}
+    return {"words": words} | {name: F.regexp_count(s, F.lit(p)) for name, p in patterns.items()}
+
+
+def features_from(counts: dict[str, Column]) -> dict[str, Column]:
+    """Technical density, mixed ratio and number of abbreviations; zeros without words."""
+    words, kata, latin, number = (counts[c] for c in ("words", "kata", "latin", "number"))
     some = lambda c: F.when(words > 0, c).otherwise(F.lit(0.0))
-    return {"technical_density": some((kata + latin + number) / words), "mixed_ratio": some((kata + latin) / words), "abbreviations": F.when(words > 0, F.regexp_count(s, F.lit("[A-Z]{2,}"))).otherwise(0).cast("long")}
+    return {"technical_density": some((kata + latin + number) / words), "mixed_ratio": some((kata + latin) / words), "abbreviations": F.when(words > 0, counts["capitals"]).otherwise(0).cast("long")}
+
+
+def features(s: Column) -> dict[str, Column]:
+    """The features of a text."""
+    return features_from(feature_counts(s))
 
 
 def sentences_of(s: Column, marks: str = "。！？\n") -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def words(s: Column) -> Column:
     return F.filter(F.split(F.coalesce(s, F.lit("")), r"(?U)\s+"), lambda w: w != "")
@@ -23,6 +26,23 @@ def word_blocks(docs: DataFrame, sizes: tuple[int, ...] = (500, 100, 20), id_col
     return starts.select(id_col, "size", "chunk_id", "start_word", F.array_join(F.slice("w", F.col("start_word") + 1, F.col("size")), " ").alias("chunk"))
 
 
+def feature_blocks(docs: DataFrame, sizes: tuple[int, ...] = (500, 100, 20), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, size, chunk_id, n_chars, words, kata, latin, number, capitals): lengths and counts for features of the blocks of
+    :func:`word_blocks`, without their texts.
+
+    Blocks of the sizes' greatest common divisor are searched once; blocks of each size are sums of these. ``docs`` has
+    each document once.
+    """
+    step = math.gcd(*sizes)
+    counts = ("n_chars", *text.feature_counts(F.lit("")))
+    split = docs.select(id_col, words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    parts = F.transform(F.expr(f"sequence(0, size(w) - 1, {step})"), lambda at: F.array_join(F.slice("w", at + 1, step), " "))
+    small = split.select(id_col, F.posexplode(parts).alias("block", "part")).select(id_col, "block", F.length("part").alias("n_chars"), *[c.alias(n) for n, c in text.feature_counts(F.col("part")).items()])
+    sized = small.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("chunk_id", F.expr(f"int(block div (size div {step}))"))
+    sums = sized.groupBy(id_col, "size", "chunk_id").agg(*[F.sum(c).alias(c) for c in counts], F.count(F.lit(1)).alias("__n"))
+    return sums.withColumn("n_chars", F.col("n_chars") + F.col("__n") - 1).drop("__n")  # a blank between blocks
+
+
 def word_windows(docs: DataFrame, size: int = 100, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, chunk_id, start_word, n_words, chunk): windows at half a size from one another, none under ``least`` words."""
     step = size // 2

@@ -197,8 +197,9 @@ def confidence_dynamic(documents):
 
 @query
 def hotspots(documents):
-    blocks = chunkers.word_blocks(documents)
-    scored = blocks.withColumn("perplexity", perplexity.from_features(text.features(F.col("chunk"))) + F.length("chunk") / 100)
+    blocks = chunkers.feature_blocks(documents)
+    found = text.features_from({c: F.col(c) for c in ("words", "kata", "latin", "number", "capitals")})
+    scored = blocks.withColumn("perplexity", perplexity.from_features(found) + F.col("n_chars") / 100)
     return rank.hotspots(scored, "doc_id", "size").select("doc_id", "size", "chunk_id", _r("perplexity").alias("perplexity"), "is_hotspot")
 
 

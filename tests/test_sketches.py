@@ -58,3 +58,17 @@ def test_nulls_and_empty_tables(spark):
     clash = spark.createDataFrame([("x", 1.0, "n")], "rows string, n double, key string")
     r = sketches.summary(sketches.batch(clash, "n", "rows", "key"), "key").first()
     assert (r["key"], r["rows"], r["median"], r["distinct_items"]) == ("n", 1, 1.0, 1)
+
+
+def test_features_of_blocks_add_up(spark):
+    from pyspark.sql import functions as F
+
+    from termloom.functions import text
+    from termloom.operators import chunkers
+
+    words = ["ABC", "12.5", "アンモニア", "x", "Fuel", "IMO-2", "　", "3"]
+    docs = spark.createDataFrame([(i, " ".join(random.Random(i).choices(words, k=n))) for i, n in enumerate((0, 1, 19, 20, 21, 100, 101, 1234))] + [(99, None), (98, " ")], "doc_id long, text string")
+    blocks = chunkers.word_blocks(docs).select("doc_id", "size", "chunk_id", F.length("chunk").alias("n_chars"), *[c.alias(n) for n, c in text.feature_counts(F.col("chunk")).items()])
+    got = chunkers.feature_blocks(docs)
+    assert got.columns == blocks.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, blocks.collect())) and got.count() > 90
