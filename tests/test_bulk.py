@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from termloom.operators import segment
+from termloom.operators import contexts, segment
 
 
 def test_paths_of_many_runs_equal_those_of_one(monkeypatch):
@@ -27,3 +27,20 @@ def test_substrings_are_counted_by_number():
         for batch in segment.substrings(runs, 8):
             got.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
         assert got == Counter(r[i : i + k] for r in runs for k in range(1, 9) for i in range(len(r) - k + 1))
+
+
+def test_neighbours_of_a_document_are_counted_in_one_task(spark):
+    """Against plain Python, and without the window that held every word's neighbours."""
+    rand = random.Random(3)
+    texts = {i: [rand.choice(["ab", "abc", "b", "ca", "é", "z"]) for _ in range(rand.randint(0, 40))] for i in range(6)}
+    words = spark.createDataFrame([(i, p, w) for i, ws in texts.items() for p, w in enumerate(ws)], "doc_id long, pos int, word string")
+    targets = spark.createDataFrame([(i, t) for i in texts for t in ("ab", "b", "é", "none")], "doc_id long, term string")
+    found = contexts.around_words(words, targets, 3, 2)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for i, ws in texts.items():
+        for t in ("ab", "b", "é", "none"):
+            for side in ("before", "after"):
+                n = Counter(v for p, w in enumerate(ws) if t in w for v in (ws[max(0, p - 3) : p] if side == "before" else ws[p + 1 : p + 4]))
+                want |= {(i, t, side, v, k, r + 1) for r, (v, k) in enumerate(sorted(n.items(), key=lambda x: (-x[1], x[0]))[:2])}
+    assert {tuple(r) for r in found.collect()} == want
