@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+from termloom.config import JAPANESE
 from termloom.operators import candidates, contexts, segment, stats
 
 
@@ -58,3 +59,17 @@ def test_terms_of_a_document_are_counted_and_compared_in_one_task(spark):
     assert words == {(r["doc_id"], r["term"]): r["words"] for r in found.where("doc_id = 1").collect()}
     assert {r["squares"] for r in found.where("doc_id = 1").collect()} == {sum(n * n for n in words.values())}
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_noun_runs_are_cut_where_the_text_is(spark):
+    """Equal to the window over tokens, without a shuffle; n-grams of a repeated id are added up in one."""
+    docs = spark.createDataFrame([(1, "ガス燃料 12 噴射弁のA1ガス"), (2, None), (3, ""), (4, "機関式の燃料性ガス機関 燃料性")], "doc_id long, text string")
+    found = candidates.document_noun_runs(docs, "A", JAPANESE)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted((r["doc_id"], r["run"], tuple(r["words"])) for r in df.collect())
+    assert rows(found) == rows(candidates.noun_runs(candidates.tagged(docs, "A", JAPANESE), JAPANESE))
+    twice = docs.unionAll(docs)
+    counts = candidates.statistical_candidates(twice, JAPANESE)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    once = {(r["doc_id"], r["term"]): 2 * r["frequency"] for r in candidates.statistical_candidates(docs, JAPANESE).collect()}
+    assert once and once == {(r["doc_id"], r["term"]): r["frequency"] for r in counts.collect()}
