@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import LATIN, EngineConfig
 from ..functions import text
-from ..operators import candidates, chunkers, contexts, dictionary, graph, perplexity, rank, stats, vectors
+from ..operators import around, candidates, chunkers, contexts, dictionary, graph, perplexity, rank, stats, vectors
 from ..sources import readers
 from ..sources.shared import cut
 from . import extract
@@ -107,8 +107,7 @@ def statistical_priority(documents):
 
 def _nc(documents: DataFrame) -> DataFrame:
     """NC-value of terms of the engine's least frequency, by the words around their occurrences."""
-    terms = _counts(documents).where("frequency >= 2")
-    return stats.nc_value(stats.c_value(terms, 3), stats.context_weights(documents, terms))
+    return stats.nc_value(stats.c_value(around.weighed_terms(documents, EngineConfig().min_frequency), 3))
 
 
 @query
@@ -286,8 +285,7 @@ def kwic(documents):
 
 @query
 def mask_real(documents):
-    masks = contexts.occurrences(_with_targets(documents), 50).select("doc_id", "term", "ord", contexts.real_mask(".").alias("masked_text"))
-    return masks.withColumn("quality", _r(contexts.mask_quality(F.col("masked_text"))))
+    return around.real_masks(documents, EngineConfig().min_frequency, 50, ".").withColumn("quality", _r("quality"))
 
 
 @query
