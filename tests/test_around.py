@@ -3,8 +3,10 @@
 import random
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from termloom.config import JAPANESE, LATIN
 from termloom.functions import fixed, text
 from termloom.operators import around, candidates, contexts, stats
 
@@ -84,3 +86,57 @@ def test_contexts_of_a_quota(spark):
     found = contexts.combined(rows, [3, 1], 3)
     assert shuffles(found) == 1  # once by term, not for each step
     assert rows_of(found) == [("t", 1, "a"), ("t", 2, "b"), ("u", 1, "z")]
+
+
+PATTERNS = [("noun", "noun"), ("noun", "noun", "noun"), ("noun", "suffix"), ("noun", "particle", "noun")]
+PIECES = ["カタカナ", "漢字", "機", "の", "ひらが", "性", "化", "的", "7", "12", "AB", "Ab", "x1", "-", " ", "。", "とは", "é", "概要", "９"]
+
+
+def pieces(spark, seed):
+    rand = random.Random(seed)
+    texts = ["".join(rand.choice(PIECES) for _ in range(rand.randint(0, 60))) for _ in range(50)]
+    return spark.createDataFrame([*enumerate(texts), (90, None), (91, ""), (92, "機")], "doc_id long, text string").repartition(3)
+
+
+def test_patterns_of_tags_are_found_without_windows(spark):
+    docs = pieces(spark, 8)
+    found = candidates.document_patterns(docs, PATTERNS, "particle", "A", JAPANESE)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert shuffles(found) == 1 and "Window" not in plan
+    assert rows_of(found) == rows_of(candidates.tag_patterns(candidates.tagged(docs, "A", JAPANESE), PATTERNS, "particle"))
+
+
+def test_joined_runs_are_cut_without_windows(spark):
+    docs = pieces(spark, 9)
+    found = candidates.joined_runs(docs, "particle", "A", JAPANESE)
+    assert shuffles(found) == 1 and "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    before = F.lag("term").over(Window.partitionBy("doc_id").orderBy("pos"))
+    kept = candidates.tagged(docs, "A", JAPANESE).where("tag <> 'particle'").withColumn("fresh", ~F.coalesce(candidates.may_join(before, F.col("term")), F.lit(True)))
+    old = candidates.runs(kept, F.lit(True), new_run=F.col("fresh")).select("doc_id", F.array_join("words", "").alias("term"))
+    assert rows_of(found) == rows_of(old.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")))
+
+
+def test_generic_candidates_are_counted_without_windows(spark):
+    docs = pieces(spark, 10)
+    for profile in (JAPANESE, LATIN):
+        found = candidates.generic_candidates(docs, PATTERNS, "particle", profile)
+        assert shuffles(found) == 1 and "Window" not in found._jdf.queryExecution().executedPlan().toString()
+        short, modes = candidates.tagged(docs, "A", profile), candidates.multi_mode_nouns(docs, profile)
+        compound = candidates.tag_patterns(short, PATTERNS, "particle").unionAll(candidates.noun_sequences(candidates.noun_runs(short, profile), profile.joiner))
+        every = modes.select("doc_id", "term").unionAll(compound).distinct().where(text.basic_filter(F.col("term")))
+        old = candidates.boundary_frequency(short, every).join(modes, ["doc_id", "term"], "left").select("doc_id", "term", F.coalesce("modes", F.lit(0)), "frequency")
+        assert rows_of(found) == rows_of(old)
+    terms = found.withColumn("frequency", F.col("frequency"))
+    weights = {(r["doc_id"], r["term"]): r["weight"] for r in stats.context_weights(docs, terms).collect()}
+    own = around.weighed(docs, terms).collect()
+    assert len(own) == len(weights) and all(r["weight"] == weights[r["doc_id"], r["term"]] or abs(r["weight"] - weights[r["doc_id"], r["term"]]) < 1e-9 for r in own)
+
+
+def test_meaningful_terms_are_left_where_the_text_is(spark):
+    docs = pieces(spark, 11)
+    ends = fixed.MEANINGFUL_PARTS[:4]
+    made_of = lambda s: F.flatten(F.transform(F.regexp_extract_all(s, F.lit("[ァ-ヴー一-龥A-Z]+"), F.lit(0)), lambda w: F.array(w, *[x for e in ends for x in (F.concat(w, F.lit(e)), F.lit(e))])))
+    found = candidates.meaningful_terms(docs, made_of(F.col("text")))
+    assert shuffles(found) == 1  # the texts: terms were dealt out twice, and their pairs
+    terms = docs.select("doc_id", F.explode(made_of(F.col("text"))).alias("term")).distinct().withColumn("frequency", F.lit(1).cast("long"))
+    assert rows_of(found) == rows_of(candidates.prune_parts(terms).select("doc_id", "term")) and found.count()
