@@ -205,10 +205,10 @@ SELECT doc_id, term FROM c ANTI JOIN lost USING (doc_id, term) WHERE length(term
 @query
 def meaningful_parts(documents):
     """Terms that are no part of a longer one, or a part with a meaning of its own."""
-    w = documents.select("doc_id", F.explode(F.regexp_extract_all(kana(), F.lit(SPELT), F.lit(0))).alias("w")).distinct()
-    end = F.get(F.array(*map(F.lit, fixed.MEANINGFUL_PARTS[:4])), F.length("w") % 4)
-    terms = w.select("doc_id", F.explode(F.array(F.col("w"), F.concat("w", end), end, F.concat(F.substring("w", 1, 2), end))).alias("term")).distinct()
-    return candidates.prune_parts(terms.withColumn("frequency", F.lit(1).cast("long"))).select("doc_id", "term")
+    found = F.array_distinct(F.regexp_extract_all(kana(), F.lit(SPELT), F.lit(0)))
+    end = lambda w: F.get(F.array(*map(F.lit, fixed.MEANINGFUL_PARTS[:4])), F.length(w) % 4)
+    terms = F.flatten(F.transform(found, lambda w: F.array(w, F.concat(w, end(w)), end(w), F.concat(F.substring(w, 1, 2), end(w)))))
+    return candidates.meaningful_terms(documents, terms)
 
 
 _GRAMS_OF_RUNS = "SELECT doc_id, array_to_string(list_slice(w, i, i + n - 1), '') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT doc_id, w, unnest(range({0}, least(len(w), {1}) + 1)) AS n FROM ru))"
