@@ -174,8 +174,7 @@ SELECT doc_id, t AS term FROM c WHERE {_COMPOUND}""")
 @query
 def pattern_compounds(documents):
     """C11: compounds by patterns of tags, particles left out."""
-    short = candidates.tagged(_in_kana(documents), "A", JAPANESE)
-    return candidates.tag_patterns(short, [("noun", "noun"), ("noun", "noun", "noun"), ("noun", "suffix"), ("noun", "particle", "noun")], "particle")
+    return candidates.document_patterns(_in_kana(documents), [("noun", "noun"), ("noun", "noun", "noun"), ("noun", "suffix"), ("noun", "particle", "noun")], "particle", "A", JAPANESE)
 
 
 @twin(f"""WITH {_tagged('A', 'ta')}, nn AS (SELECT *, lag(pos) OVER o AS p, lag(term) OVER o AS q FROM ta WHERE tag <> 'particle' WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
