@@ -184,13 +184,7 @@ SELECT doc_id, t AS term, count(*) AS n FROM (SELECT doc_id, run, string_agg(ter
 @query
 def joined_nouns(documents):
     """Runs of tokens that may join."""
-    from pyspark.sql import Window
-
-    short = candidates.tagged(_in_kana(documents), "A", JAPANESE)
-    before = F.lag("term").over(Window.partitionBy("doc_id").orderBy("pos"))
-    kept = short.where("tag <> 'particle'").withColumn("fresh", ~F.coalesce(candidates.may_join(before, F.col("term")), F.lit(True)))
-    found = candidates.runs(kept, F.lit(True), new_run=F.col("fresh"))
-    return found.select("doc_id", F.array_join("words", "").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return candidates.joined_runs(_in_kana(documents), "particle", "A", JAPANESE)
 
 
 _PARTS = _listed(fixed.MEANINGFUL_PARTS)
