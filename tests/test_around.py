@@ -1,5 +1,6 @@
 """What stands around a document's terms, worked out where the document is, against the columns and against plain Python."""
 
+import math
 import random
 import re
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from termloom.config import JAPANESE, LATIN
 from termloom.functions import fixed, text
-from termloom.operators import around, candidates, contexts, stats
+from termloom.operators import around, candidates, contexts, parts, stats
 
 SIGNS = ["ab", "abab", "Ab1", "é", "カタ", "漢字", "ひら", ".", "。", " ", "  ", "\n", chr(0x3000), chr(0x2028), chr(0x1c), "-", "[MASK]", "a", "[MASK", "😀"]
 
@@ -140,3 +141,23 @@ def test_meaningful_terms_are_left_where_the_text_is(spark):
     assert shuffles(found) == 1  # the texts: terms were dealt out twice, and their pairs
     terms = docs.select("doc_id", F.explode(made_of(F.col("text"))).alias("term")).distinct().withColumn("frequency", F.lit(1).cast("long"))
     assert rows_of(found) == rows_of(candidates.prune_parts(terms).select("doc_id", "term")) and found.count()
+
+
+def test_parts_meet_by_equality(spark, monkeypatch):
+    """Terms that share their grams aren't compared with each other; long containers go by grams, with the same result."""
+    rand = random.Random(12)
+    words = {"".join(rand.choice("abé漢") for _ in range(rand.randint(1, 9))) for _ in range(300)} | {"", "😀a", "b😀a", "ab" * 30}
+    df = spark.createDataFrame([(w, i + 1) for i, w in enumerate(sorted(words))] + [(None, 5)], "term string, frequency long")
+    by = {r["term"]: r["frequency"] for r in df.collect()}
+    pairs = sorted((t, c, by[c]) for t in words for c in words if len(t) >= 2 and t != c and t in c)
+    usual_only = df.where("term is null or length(term) <= 40")
+    plan = parts.containment(usual_only)._jdf.queryExecution().executedPlan().toString()
+    assert "Contains(" not in plan and "gram" not in plan
+    for usual in (40, 5, 0):
+        assert rows_of(parts.containment(df, usual=usual)) == pairs
+        monkeypatch.setattr(parts, "USUAL", usual)
+        got = {r["term"]: (r["containers"], round(r["c_value"], 9)) for r in parts.c_value(df).collect()}
+        for t in words:
+            held = [n for p, _, n in pairs if p == t]
+            value = max(0.0, math.log2(len(t) + 1) * (by[t] - (sum(held) / len(held) if held else 0.0)))
+            assert got[t] == (len(held), round(value, 9))
