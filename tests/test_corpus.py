@@ -145,6 +145,48 @@ def test_index_finds_neighbours(spark, tmp_path, kind):
     assert "PartitionFilters: [" in one._jdf.queryExecution().toString() and one.count() == 5
 
 
+def _shuffled(spark):
+    """Bytes that the session's stages have written to shuffles so far."""
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_rows_travel_once_for_a_group_of_lists(spark, tmp_path):
+    """A search that takes eight times the lists shuffles no more, and finds the same."""
+    rng = np.random.default_rng(10)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(4000, 32)))], "vec_id long, embedding array<double>").cache()
+    exact = {(r["src"], r["dst"]) for r in vectors.knn(df, 4, -1.0).collect()}
+    moved = []
+    for lists in (10, 80):
+        path = str(tmp_path / f"x{lists}")
+        vector_index.build(df, path, lists=lists)
+        before = _shuffled(spark)
+        got = {(r["src"], r["dst"]) for r in vector_index.search(path, df, 4, take=lists).collect()}
+        moved.append(_shuffled(spark) - before)
+        assert got == exact
+    assert 0 < moved[1] < 1.5 * moved[0]
+
+
+@pytest.mark.parametrize("block", [None, 50])
+def test_index_searches_odd_rows(spark, tmp_path, block):
+    """Lists that one group can't hold, equal vectors, rows without a direction, ids that are asked for and not there."""
+    rng = np.random.default_rng(11)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(400, 5)))]
+    rows += [(-i, [1.0, 2.0, 0.0, 0.0, 0.0]) for i in range(1, 300)] + [(900, [0.0] * 5), (901, [float("nan")] * 5), (902, [float("inf"), 1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").cache()
+    asked = df.unionByName(spark.createDataFrame([(7000, [1.0, 1.0, 0.0, 0.0, 0.0])], df.schema))
+    path = str(tmp_path / "x")
+    vector_index.build(df, path, lists=9)
+    for least in (-1.0, 0.3):
+        exact = {(r["src"], r["dst"], round(r["weight"], 9)) for r in vectors.knn(df, 6, least, asked=asked).collect()}
+        got = [(r["src"], r["dst"], round(r["weight"], 9)) for r in vector_index.search(path, asked, 6, least, take=9, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == exact
+    assert vector_index.search(path, asked.limit(0), 6, block=block).count() == 0
+    vector_index.build(df.limit(0), str(tmp_path / "e"))
+    assert vector_index.search(str(tmp_path / "e"), df.limit(0), 6, block=block).count() == 0
+
+
 def test_index_takes_rows_in(spark, tmp_path):
     rng = np.random.default_rng(8)
     rows = {i: x.tolist() for i, x in enumerate(rng.normal(size=(300, 6)))}
