@@ -61,6 +61,41 @@ def test_modes_cut_ever_finer(spark):
         segment.lexicon(entries, most=3)
 
 
+def test_documents_are_segmented_where_they_are(spark, tmp_path):
+    """Nouns, subtypes, n-grams and counts made inside a task are those of the table of tokens; a file of one part is dealt out."""
+    from termloom.operators import candidates
+
+    costs = {"データ": 4000, "ベース": 4500, "データベース": 7000, "管理": 4000, "データベース管理": 9500, "システム": 4000, "を": 3000, "AB": 9000}
+    kinds = {w: ("noun", "common") for w in costs} | {"を": ("particle", "case"), "管理": ("noun", "verbal"), "AB": (None, None)}
+    words = segment.Lexicon(costs, kinds)
+    texts = ["データベース管理システムをIT-2で。", None, "", "管理システム管理システム漢字AB 12 データ,データ管理", "システム" * 40, "データベース管理システム。データベース管理システム"]
+    rows = [*enumerate(texts), (None, "管理システム"), (7, "を"), (8, "7 x-1")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs = segment.dealt(spark.read.parquet(f"{tmp_path}/docs"))
+    assert docs.rdd.getNumPartitions() == 4
+    flat = lambda df: sorted(map(str, df.collect()))
+    tokens = lambda modes: segment.segmented(docs, words, modes)
+    assert flat(segment.document_nouns(docs, words)) == flat(candidates.single_nouns(tokens("A")))
+    assert flat(segment.document_subtypes(docs, words)) == flat(segment.multi_mode_nouns(tokens("ABC")))
+    grams = candidates.noun_runs(tokens("C")).select("doc_id", F.explode(candidates.ngrams(F.col("words"), 2, 3)).alias("term"))
+    assert flat(segment.document_compounds(docs, words)) == flat(grams.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("frequency")))
+    counted = tokens("ABC").groupBy("mode", "term", "tag", "subtype").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
+    assert flat(segment.token_counts(docs, words)) == flat(counted)
+    twice = docs.where("doc_id = 3").unionAll(docs.where("doc_id = 3"))
+    assert flat(segment.document_nouns(segment.dealt(twice), words)) == flat(segment.document_nouns(segment.dealt(docs.where("doc_id = 3")), words))
+
+
+@pytest.mark.parametrize("alphabet", ["abé", "".join(map(chr, range(0x4E00, 0x4E00 + 400))), "漢🎉a"])
+def test_substrings_are_counted(alphabet):
+    rng = random.Random(5)
+    runs = ["".join(rng.choices(alphabet, k=rng.randint(0, 20))) for _ in range(80)] + [""]
+    for longest in (1, 3, 8):
+        got = Counter()
+        for batch in segment.substrings(runs, longest):
+            got.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+        assert got == Counter(r[i : i + k] for r in runs for k in range(1, longest + 1) for i in range(len(r) - k + 1))
+
+
 def learnt(texts, rounds, longest, least, most, whole):
     """The same lexicon in plain Python."""
     import re
