@@ -115,6 +115,30 @@ def test_scans_read_only_their_columns(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
 
 
+def test_ranks_in_one_task_equal_the_joined_ones(spark):
+    """Neighbours, sentences and PageRank of a document made where it is, against the operators in a row."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from termloom.operators import chunkers, graph, stats, vectors
+
+    rng = random.Random(2)
+    words = ["net", "work", "network", "data", "base", "set", "x"]
+    texts = [". ".join(" ".join(rng.choices(words, k=rng.randint(0, 5))) for _ in range(9)) for _ in range(4)]
+    docs = spark.createDataFrame([*enumerate(texts), (1, "data base. net"), (5, None), (6, "x. y")], "doc_id long, text string")
+    rows = [(d, 10 * d + i, w, float(i * (d != 3)), None if (d, i) == (2, 3) else [rng.random() - 0.3 for _ in range(5)]) for d in (0, 1, 2, 3, 5) for i, w in enumerate(words)]
+    kept = spark.createDataFrame(rows, "doc_id long, id long, term string, base_score double, embedding array<double>")
+    got = {r["id"]: r["pagerank"] for r in graph.document_ranks(kept, docs, chunkers.sentences(F.col("text"), ".")).collect()}
+    edges = graph.undirected(vectors.knn_within(kept, "doc_id", id_col="id"))
+    sentences = docs.select("doc_id", F.posexplode(chunkers.sentences(F.col("text"), ".")).alias("chunk_id", "chunk"))
+    held = stats.substring_counts(sentences, kept.select("doc_id", "term")).join(kept, ["doc_id", "term"])
+    together = graph.sentence_pairs(held.select("doc_id", F.col("chunk_id").alias("sentence"), F.col("id").alias("term")), "doc_id")
+    edges = graph.reweight(edges, together).join(kept.select(F.col("id").alias("src"), "doc_id"), "src")
+    want = {r["id"]: r["pagerank"] for r in graph.pagerank(graph.personalisation(kept, 0.7, "doc_id").select("doc_id", "id", "p"), edges).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_graph_terms(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma alpha beta. gamma alpha delta beta delta. " * 5)], "doc_id long, text string")
     got = extract.graph_terms(docs, provider.Stub(16)).collect()
