@@ -139,6 +139,23 @@ def test_ranks_in_one_task_equal_the_joined_ones(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_candidates_are_scored_where_they_are_found(spark):
+    """One task of a document gives what the operators in a row give, and a small table keeps the session's tasks."""
+    from termloom.functions import text
+    from termloom.operators import chunkers
+
+    texts = ["日本語の解析データ。解析データはデータの解析" * 9, None, "", "alpha beta-2 alpha ことデータこと IT2 ガソリンもの解析など. alpha beta", "x", "a b. " * 300]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "データ解析 alpha")], "doc_id long, text string")
+    cut = lambda s: chunkers.paragraphs(s, 50, ".")
+    counts = candidates.statistical_candidates(docs)
+    want = stats.substring_tfidf(stats.c_value(counts), docs.where("doc_id IS NOT NULL"), cut).where("doc_id IS NOT NULL")
+    flat = lambda df: sorted(map(str, df.select("doc_id", "term", "frequency", "c_value", "tfidf").collect()))
+    found = stats.candidate_scores(docs, cut)
+    assert flat(found.where("doc_id IS NOT NULL")) == flat(want) and found.where("doc_id IS NULL").count()
+    valid = counts.where(~text.valid_term(F.col("term")) & ~F.col("term").rlike("^[A-Za-z0-9-]+$"))
+    assert counts.rdd.getNumPartitions() == 4 and not valid.count()
+
+
 def test_graph_terms(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma alpha beta. gamma alpha delta beta delta. " * 5)], "doc_id long, text string")
     got = extract.graph_terms(docs, provider.Stub(16)).collect()
