@@ -157,11 +157,7 @@ SELECT doc_id, 'single' AS kind, term, CAST(1 AS BIGINT) AS n FROM s UNION ALL S
 @query
 def noun_candidates(documents):
     """Single nouns, nouns of all modes, and sequences of nouns."""
-    docs = _in_kana(documents)
-    short = candidates.tagged(docs, "A", JAPANESE)
-    row = lambda df, kind, n: df.select("doc_id", F.lit(kind).alias("kind"), "term", n.cast("long").alias("n"))
-    out = row(candidates.single_nouns(short), "single", F.lit(1)).unionAll(row(candidates.multi_mode_nouns(docs, JAPANESE), "modes", F.col("modes")))
-    return out.unionAll(row(candidates.noun_sequences(candidates.document_noun_runs(docs, "A", JAPANESE)), "sequence", F.lit(1)))
+    return candidates.document_nouns(_in_kana(documents), JAPANESE)
 
 
 _LEADS = "SELECT doc_id, term, tag, lead(term) OVER o AS t2, lead(tag) OVER o AS g2, lead(term, 2) OVER o AS t3, lead(tag, 2) OVER o AS g3 FROM ta WINDOW o AS (PARTITION BY doc_id ORDER BY pos)"

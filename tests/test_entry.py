@@ -156,6 +156,20 @@ def test_candidates_are_scored_where_they_are_found(spark):
     assert counts.rdd.getNumPartitions() == 4 and not valid.count()
 
 
+def test_nouns_are_found_where_the_text_is(spark):
+    """Singles, nouns of all modes and sequences of one task are those of the tables of tokens; texts are read once."""
+    from termloom.config import JAPANESE
+
+    texts = ["日本語の解析データ。解析データはデータの解析こと", None, "", "alpha beta-2 IT2 ガソリン解析など ABC 12 日本データ解析", "漢", "データ解析性日本 データこと解析"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "データ解析 alpha")], "doc_id long, text string")
+    want = set()
+    for kind, rows in (("single", candidates.single_nouns(candidates.tagged(docs, "A", JAPANESE)).withColumn("n", F.lit(1))), ("modes", candidates.multi_mode_nouns(docs, JAPANESE).withColumnRenamed("modes", "n")), ("sequence", candidates.noun_sequences(candidates.document_noun_runs(docs, "A", JAPANESE)).withColumn("n", F.lit(1)))):
+        want |= {(r["doc_id"], kind, r["term"], r["n"]) for r in rows.collect()}
+    got = [tuple(r) for r in candidates.document_nouns(docs, JAPANESE).collect()]
+    assert set(got) == want and len(got) == len(want) and {k for _, k, _, _ in got} == {"single", "modes", "sequence"}
+    assert plan(QUERIES["noun_candidates"](spark, SMALL)).count("Scan parquet") <= 2
+
+
 def test_graph_terms(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma alpha beta. gamma alpha delta beta delta. " * 5)], "doc_id long, text string")
     got = extract.graph_terms(docs, provider.Stub(16)).collect()
